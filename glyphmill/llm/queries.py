@@ -23,9 +23,71 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM b, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS g(i) WHERE len(w) > 0
+), dw AS (
+  SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM d, (SELECT DISTINCT size FROM bw) AS s, unnest(generate_series(1, len(w) - size + 1)) AS g(i)
+), hits AS (
+  SELECT r, i, dw.size, item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win
+), n AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(generate_series(i, i + size - 1)) AS g(p) GROUP BY r
+), it AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)
+"""
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS place FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST) AS k FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share FROM o
+), f AS (
+  SELECT min(k) AS k FROM l WHERE share * w <= cap
+), t AS (
+  SELECT source, source_size, CASE WHEN l.k < f.k THEN cap::DOUBLE ELSE (SELECT share FROM l AS x WHERE x.k = f.k) * w END AS target FROM l, f
+), q AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT % source_size ELSE 0 END AS rest FROM t
+), c AS (
+  SELECT d.*, source_size, target, copies, rest, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS cum FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), m AS (
+  SELECT *, max(CASE WHEN 2 * cum - size <= 2 * rest THEN place END) OVER (PARTITION BY source) AS cut FROM c
+)
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN place <= cut THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_output,)}
+    return {f.__name__: f for f in (op6_decontaminate, op7_mixing, op8_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL}
