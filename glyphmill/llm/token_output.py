@@ -17,7 +17,7 @@ from glyphmill.llm.common import open_store, prefix_hash, range_hash, shared_pat
 
 END_ID = 0
 #: Distinct pieces that a worker remembers.
-PIECES = 1_000_000
+PIECES = 250_000
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -115,7 +115,7 @@ def with_end(ids: np.ndarray, size: np.ndarray, end_id: int = END_ID) -> tuple[n
     return out, size + 1
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", tokens_per_file: int = 4 << 20, block: int = 1 << 16) -> DataFrame:
+def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", tokens_per_file: int = 2 << 20, block: int = 1 << 16) -> DataFrame:
     """Write every document's ids, end id appended, in ascending doc_id order (null ids first).
 
     Returns the manifest: one row per file (part, seq, path, n_docs, n_tokens, bytes). Documents are ranged by
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "te
             rows.append((part, seq, path, len(sizes), len(ids), len(data)))
             held, n, seq = [], 0, seq + 1
 
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", 1 << 20):
             ids, sizes = with_end(*enc.encode(b.column(1)))
             held.append((ids, sizes, b.column(0).to_pylist()))
             n += len(ids)
