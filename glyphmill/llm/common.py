@@ -59,7 +59,7 @@ def id_fold(name: str, n: int) -> Column:
 # ---------------------------------------------------------------- batches
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into pieces of about max_bytes of one text column (a longer row stays whole)."""
     for batch in batches:
         if not batch.num_rows:
@@ -98,7 +98,7 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inv" if inverse else "pow"
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         p = np.full(size, _INV if inverse else _BASE, dtype=np.uint64)
         p[0] = 1
         _POWERS[key] = have = np.multiply.accumulate(p)

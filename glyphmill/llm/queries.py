@@ -85,8 +85,21 @@ SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN place <= c
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.ppm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op7_mixing, op8_token_output)}
+    return {f.__name__: f for f in (op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
