@@ -98,8 +98,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
+    return {f.__name__: f for f in (op2_jaccard_join, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
