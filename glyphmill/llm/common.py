@@ -87,6 +87,17 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Hand freed memory back to the system: called as a task's kernel ends, since idle workers stay alive."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- hashing
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

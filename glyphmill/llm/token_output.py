@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm import rans
-from glyphmill.llm.common import open_store, prefix_hash, range_hash, shared_path, slices, text_bytes, text_or_empty, written
+from glyphmill.llm.common import open_store, prefix_hash, range_hash, release, shared_path, slices, text_bytes, text_or_empty, written
 
 END_ID = 0
 #: Distinct pieces that a worker remembers.
-PIECES = 250_000
+PIECES = 100_000
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -143,12 +143,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "te
             ids, sizes = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             data = rans.encode_file(ids, [x for h in held for x in h[2]], sizes, block)
             path = f"{base}/tokens-{part:05d}-{seq:05d}-{uuid.uuid4().hex[:12]}.rans"
-            with store.open_output_stream(path) as f:
+            with store.open_output_stream(path, compression=None) as f:
                 f.write(data)
             rows.append((part, seq, path, len(sizes), len(ids), len(data)))
             held, n, seq = [], 0, seq + 1
 
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", 1 << 19):
             ids, sizes = with_end(*enc.encode(b.column(1)))
             held.append((ids, sizes, b.column(0).to_pylist()))
             n += len(ids)
@@ -156,6 +156,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "te
                 flush()
         if held:
             flush()
+        enc.clear()
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "path", "n_docs", "n_tokens", "bytes"])
 
     return written(d.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long, bytes long"), "token-manifest")
@@ -182,6 +184,7 @@ def read_tokens(manifest: DataFrame, out: str, ids: bool = False) -> DataFrame:
                 if ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(got.astype(np.int32), pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
+        release()
 
     return files.repartition(n, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
