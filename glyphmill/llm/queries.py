@@ -98,6 +98,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.nn_descent import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.jaccard_join import jaccard_join
 
@@ -105,7 +111,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
