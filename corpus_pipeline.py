@@ -1,14 +1,54 @@
-"""A corpus pipeline over the training-data operators."""
+"""A corpus pipeline over the training-data operators: quality, near duplicates, decontamination, mixing, token files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphmill.llm import decontaminate, jaccard_join, mixing, quality, token_output
+from glyphmill.llm.common import written
+from glyphmill.llm.queries import table, tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, doesn't reject."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard_join.one_of_each(docs)
 
-STAGES: list = []
-ORACLE_SQL = None
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of test items that they held."""
+    return decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.take_mix(docs)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token files, as read back."""
+    return token_output.encode_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_files),
+]
+#: The classifier and the token files can't be told in SQL; the tests hold run() against brute force.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from glyphmill.llm.common import written
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else written(out, f"stage-{i}")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage-{i}")
     return docs
