@@ -29,6 +29,12 @@ def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.compact_windows import near_duplicate_passages
+
+    return near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.decontaminate import contamination
 
@@ -117,7 +123,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op5_substring_dedup, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
