@@ -29,6 +29,23 @@ def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to FROM m
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.compact_windows import near_duplicate_passages
 
@@ -123,8 +140,8 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op5_substring_dedup, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op4_warc, op5_substring_dedup, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL}
