@@ -5,11 +5,224 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from glyphmill.functions import scalars as S
+from glyphmill.operators import asset_rules as R
+from glyphmill.operators import folder_rules as A
+from glyphmill.operators import gate as B
+from glyphmill.operators import geometry as G
+from glyphmill.operators import packing as X
+from glyphmill.operators import runtime as T
+from glyphmill.plans.adapters import relation, with_relations
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, build: Callable[..., DataFrame], relations: str, sql: str | None = None) -> None:
+    """Register a query that builds on relations, in order, and its comparison."""
+    names = relations.split()
+    _QUERIES[name] = lambda spark, sf_dir: build(*[relation(spark, sf_dir, n) for n in names])
+    if sql:
+        _SQL[name] = with_relations(sql)
+
+
+OCC = "occ AS (SELECT a.asset_ref, decl_w, decl_h, source_kind, scale, used, n, decl_w * decl_h AS area, least(1.0::DOUBLE, used::DOUBLE / (decl_w * decl_h)) AS occ FROM atlases a JOIN (SELECT asset_ref, sum(w * h)::BIGINT AS used, count(*) AS n FROM sprites GROUP BY 1) s USING (asset_ref))"
+_add("r01_occupancy", R.occupancy, "sprites atlases", f"WITH {OCC} SELECT asset_ref, occ, greatest(area - used, 0) * 4 AS wasted_bytes, CASE WHEN greatest(area - used, 0) * 4 < 262144 THEN 'info' WHEN occ < 0.6 THEN 'crit' ELSE 'warn' END AS severity FROM occ WHERE occ < 0.8")
+_add("r02_oversize", R.oversize, "images", "SELECT asset_ref, greatest(w, h) AS longest, CASE WHEN greatest(w, h) > 2730 THEN 'crit' ELSE 'warn' END AS severity FROM images WHERE greatest(w, h) > 2048")
+POT = "i AS (SELECT *, CAST(pow(2, ceil(log2(w))) AS BIGINT) AS pw, CAST(pow(2, ceil(log2(h))) AS BIGINT) AS ph FROM images)"
+_add("r03_npot", R.npot, "images", f"WITH {POT} SELECT asset_ref, 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE AS waste, pw * ph * 4 - w * h * 4 AS vram_saved, 'info' AS severity FROM i WHERE NOT (w = pw AND h = ph) AND 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE > 0.25")
+_add("r04_solid_fill", R.solid_fill, "images features", "SELECT asset_ref, w * h * 4 - 4 AS vram_saved, CASE WHEN greatest(w, h) >= 1024 THEN 'warn' ELSE 'info' END AS severity FROM images JOIN features USING (asset_ref) WHERE solid AND least(w, h) >= 256")
+_add("r05_upscaled_source", R.upscaled_source, "images features", "SELECT asset_ref, upscale_depth, w * h * 4 - (w >> upscale_depth) * (h >> upscale_depth) * 4 AS vram_saved, 'warn' AS severity FROM images JOIN features USING (asset_ref) WHERE upscale_depth >= 1 AND NOT coalesce(solid, false) AND greatest(w, h) >= 256")
+_add("r06_frame_redundancy", R.frame_redundancy, "sprites atlas_images", """WITH c AS (SELECT asset_ref, frame_hash, count(DISTINCT (x, y, w, h)) AS n, arg_min(w * h, sprite_idx) AS area FROM sprites WHERE frame_hash IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT (x, y, w, h)) >= 3),
+g AS (SELECT asset_ref, count(*) AS clusters, sum(area * (n - 1))::BIGINT AS area FROM c GROUP BY 1), t AS (SELECT asset_ref, sum(w * h)::BIGINT AS total FROM sprites GROUP BY 1)
+SELECT asset_ref, clusters, area, area * 4 AS vram_saved, floor((byte_size * area)::DOUBLE / total + 0.5)::BIGINT AS disk_saved, 'warn' AS severity FROM g JOIN t USING (asset_ref) LEFT JOIN atlas_images USING (asset_ref)""")
+_add("r07_trim_margin", R.trim_margin, "sprites atlases", """WITH m AS (SELECT *, CASE WHEN trim_w IS NULL THEN greatest(w, h) ELSE greatest(trim_x, trim_y, w - trim_x - trim_w, h - trim_y - trim_h) END AS margin, w * h - CASE WHEN trim_w IS NULL THEN 0 ELSE trim_w * trim_h END AS freed FROM sprites WHERE NOT trimmed),
+f AS (SELECT *, row_number() OVER (PARTITION BY asset_ref, x, y, w, h ORDER BY sprite_idx) AS k FROM m WHERE margin >= 4), g AS (SELECT asset_ref, count(*) AS frames, sum(freed)::BIGINT AS freed FROM f WHERE k = 1 GROUP BY 1)
+SELECT asset_ref, frames, freed, freed::DOUBLE / (decl_w * decl_h) AS share, 'info' AS severity FROM g JOIN atlases USING (asset_ref) WHERE freed::DOUBLE / (decl_w * decl_h) >= 0.05""")
+_add("r08_wasted_alpha", R.wasted_alpha, "images features encode_sizes", "SELECT i.asset_ref, byte_size - bytes AS disk_saved, 'info' AS severity FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05")
+_add("r09_strippable_metadata", R.strippable_metadata, "images", "SELECT asset_ref, strippable_bytes AS disk_saved, CASE WHEN strippable_bytes >= 65536 THEN 'warn' ELSE 'info' END AS severity FROM images WHERE strippable_bytes >= 4096")
+_add("r10_icc_non_srgb", R.icc_non_srgb, "images", "SELECT asset_ref, icc_bytes, 'info' AS severity FROM images WHERE icc_bytes IS NOT NULL AND icc_srgb IS NOT TRUE")
+_add("r11_interior_transparency", R.interior_transparency, "images features", "SELECT asset_ref, bbox_w * bbox_h AS box, interior_transparent::DOUBLE / (bbox_w * bbox_h) AS share, 'info' AS severity FROM features WHERE bbox_w * bbox_h >= 16384 AND interior_transparent::DOUBLE / (bbox_w * bbox_h) >= 0.6")
+_add("r12_binary_alpha", R.binary_alpha, "images features", "SELECT asset_ref, 'info' AS severity FROM images JOIN features USING (asset_ref) WHERE binary_alpha AND opaque IS NOT TRUE AND greatest(w, h) >= 128")
+PLACES = "p AS (SELECT asset_ref, x, y, w, h, min(sprite_idx) AS p FROM grid_sprites WHERE NOT rotated GROUP BY ALL)"
+TOUCH = f"{PLACES}, t AS (SELECT DISTINCT a.asset_ref, least(a.p, b.p) AS a, greatest(a.p, b.p) AS b FROM p a JOIN p b ON a.asset_ref = b.asset_ref AND a.p <> b.p AND ((b.x + b.w = a.x AND b.y < a.y + a.h AND a.y < b.y + b.h) OR (b.y + b.h = a.y AND b.x < a.x + a.w AND a.x < b.x + b.w)))"
+_add("r13_touching_pairs", R.touching_pairs, "grid_sprites", f"WITH {TOUCH} SELECT * FROM t")
+_add("r13_bleeding", lambda s: R.bleeding(s, R.DEFAULT.replace(bleed_info=1, bleed_warn=2)), "grid_sprites", f"WITH {TOUCH} SELECT asset_ref, count(*) AS pairs, CASE WHEN count(*) >= 2 THEN 'warn' ELSE 'info' END AS severity FROM t GROUP BY 1")
+GAPS = f"""{PLACES}, g AS (SELECT a.asset_ref, a.p, min(least(CASE WHEN b.y < a.y + a.h AND a.y < b.y + b.h AND b.x - a.x - a.w >= 0 THEN b.x - a.x - a.w END, CASE WHEN b.x < a.x + a.w AND a.x < b.x + b.w AND b.y - a.y - a.h >= 0 THEN b.y - a.y - a.h END)) AS gap
+FROM p a JOIN p b ON a.asset_ref = b.asset_ref AND a.p <> b.p GROUP BY 1, 2)"""
+_add("r14_excessive_gutter", lambda s: R.excessive_gutter(s, R.DEFAULT.replace(gutter_gaps=2)), "grid_sprites", f"WITH {GAPS} SELECT asset_ref, count(*) AS gaps, quantile_disc(gap, 0.5)::BIGINT AS median, 'info' AS severity FROM g WHERE gap IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND quantile_disc(gap, 0.5) >= 8")
+_add("r15_repack_opportunity", lambda s, a, i: R.repack_opportunity(a, X.packed_sizes(X.pack(s)), i), "sprites atlases atlas_images")
+
+
+def _refs(sprites: DataFrame) -> DataFrame:
+    r = sprites.filter("asset_ref % 4 < 2").select("asset_ref", "name").filter("cast(substr(name, 2) as int) % 3 <> 0")
+    return r.select("asset_ref", F.lit("name").alias("kind"), F.col("name").alias("value")).unionByName(r.filter("asset_ref % 4 = 0").select("asset_ref", F.lit("prefix").alias("kind"), F.substring("name", 1, 2).alias("value")))
+
+
+_add("r16_unreferenced_regions", lambda s: R.unreferenced_regions(s, _refs(s)), "sprites", """WITH r AS (SELECT asset_ref, name FROM sprites WHERE asset_ref % 4 < 2 AND CAST(substr(name, 2) AS INT) % 3 <> 0),
+s AS (SELECT *, NOT EXISTS (SELECT 1 FROM r WHERE r.asset_ref = s.asset_ref AND r.name = s.name) AND NOT EXISTS (SELECT 1 FROM r WHERE r.asset_ref = s.asset_ref AND r.asset_ref % 4 = 0 AND regexp_matches(s.name, concat('^', substr(r.name, 1, 2), '[0-9]+$'))) AS dead FROM sprites s WHERE asset_ref IN (SELECT asset_ref FROM r))
+SELECT asset_ref, sum(dead::INT)::BIGINT AS dead, sum(CASE WHEN dead THEN w * h END)::BIGINT AS area, 'info' AS severity FROM s GROUP BY 1 HAVING sum(dead::INT) > 0 AND (count(*) - sum(dead::INT)) / count(*) >= 0.5""")
+_add("r17_dimension_mismatch", R.dimension_mismatch, "atlases atlas_images sprites", """SELECT a.asset_ref, count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) AS off_edge,
+CASE WHEN (any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h)) AND count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) > 0 THEN 'crit' WHEN any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h) THEN 'warn' ELSE 'info' END AS severity
+FROM atlases a JOIN atlas_images i USING (asset_ref) LEFT JOIN sprites s ON s.asset_ref = a.asset_ref WHERE abs(i.w - decl_w) > 2 OR abs(i.h - decl_h) > 2 GROUP BY 1""")
+GRID = """g AS (SELECT asset_ref, decl_w, decl_h, cell, ceil(decl_w / cell)::BIGINT AS cols, ceil(decl_h / cell)::BIGINT AS rows FROM (SELECT *, greatest(8, floor(greatest(decl_w, decl_h) / 64.0 + 0.5))::BIGINT AS cell FROM atlases WHERE asset_ref % 8 = 3)),
+cov AS (SELECT DISTINCT asset_ref, r, c FROM g JOIN sprites s USING (asset_ref), unnest(generate_series(greatest(0, y // cell), least(rows - 1, (y + h - 1) // cell))) AS a(r), unnest(generate_series(greatest(0, x // cell), least(cols - 1, (x + w - 1) // cell))) AS b(c)),
+e AS (SELECT g.asset_ref, r, c FROM g, unnest(generate_series(0, rows - 1)) AS a(r), unnest(generate_series(0, cols - 1)) AS b(c) WHERE (g.asset_ref, r, c) NOT IN (SELECT asset_ref, r, c FROM cov)),
+run AS (SELECT asset_ref, r, min(c) AS c0, max(c) AS c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY asset_ref, r ORDER BY c) AS i FROM e) GROUP BY asset_ref, r, i),
+blk AS (SELECT asset_ref, c0, c1, min(r) AS r0, max(r) AS r1 FROM (SELECT *, r - row_number() OVER (PARTITION BY asset_ref, c0, c1 ORDER BY r) AS j FROM run) GROUP BY asset_ref, c0, c1, j),
+rect AS (SELECT asset_ref, c0 * cell AS x, r0 * cell AS y, least(decl_w, (c1 + 1) * cell) - c0 * cell AS w, least(decl_h, (r1 + 1) * cell) - r0 * cell AS h FROM blk JOIN g USING (asset_ref))"""
+_few = lambda a: a.filter("asset_ref % 8 = 3")  # noqa: E731  sheets of one kind of the adapter; the cell grid is a product of sheets and cells
+_add("g02_empty_rectangles", lambda s, a: G.empty_rectangles(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT * FROM rect")
+_add("g03_empty_summary", lambda s, a: G.empty_summary(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share FROM rect GROUP BY 1")
+_add("r18_wasted_regions", lambda s, a: G.wasted_regions(s, _few(a)), "sprites atlases", f"WITH {GRID}, {OCC} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share, 'info' AS severity FROM rect JOIN occ USING (asset_ref) WHERE occ < 0.8 GROUP BY 1")
+_add("a16_dispersion", lambda s, a: G.dispersion(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT g.asset_ref, count(rect.asset_ref) AS n, 1 - coalesce(max(w * h)::DOUBLE / sum(w * h)::DOUBLE, 1.0) AS fragmentation FROM g LEFT JOIN rect USING (asset_ref) GROUP BY 1")
+_FORMAT = "fb AS (SELECT asset_ref, arg_min(target_mime, (bytes, target_mime)) AS target_mime, min(bytes) AS bytes FROM encode_sizes WHERE target_mime IN ('image/avif', 'image/webp') AND NOT opaque GROUP BY 1), fm AS (SELECT i.asset_ref, target_mime, byte_size - bytes AS disk_saved, CASE WHEN content_class IN ('flat', 'alpha-art') THEN 'format-lossless' ELSE 'format' END AS rule, 'warn' AS severity FROM images i JOIN fb USING (asset_ref) LEFT JOIN features f ON f.asset_ref = i.asset_ref WHERE i.mime <> target_mime AND byte_size - bytes >= 4096 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.25)"
+_add("r19_format", R.format_candidates, "images features encode_sizes", f"WITH {_FORMAT} SELECT * FROM fm")
+_add("r20_font_glyph_page", lambda s, a: R.font_glyph_page(s, a, R.DEFAULT.replace(glyphs=4)), "sprites atlases", f"WITH {OCC} SELECT asset_ref, n AS glyphs, occ, CASE WHEN occ <= 0.5 THEN 'warn' ELSE 'info' END AS severity FROM occ WHERE source_kind = 'bmfont' AND n >= 4")
+
+_DUP = "dup AS (SELECT content_hash, count(*) AS n, min(asset_ref) AS first, arg_min(byte_size, asset_ref) * (count(*) - 1) AS disk_saved FROM images JOIN features USING (asset_ref) WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
+_add("a01_duplicate_exact", A.duplicate_exact, "images features", f"WITH {_DUP} SELECT * FROM dup")
+_add("a01_duplicate_documents", lambda h: A.duplicate_exact(h.select("asset_ref", "byte_size"), h), "hashes", "SELECT content_hash, count(*) AS n, min(asset_ref) AS first, arg_min(byte_size, asset_ref) * (count(*) - 1) AS disk_saved FROM hashes GROUP BY 1 HAVING count(*) > 1")
+_XOR = "bit_count(xor(CAST(('0x' || substr(a.d_hash, 1, 8)) AS BIGINT), CAST(('0x' || substr(b.d_hash, 1, 8)) AS BIGINT))) + bit_count(xor(CAST(('0x' || substr(a.d_hash, 9, 8)) AS BIGINT), CAST(('0x' || substr(b.d_hash, 9, 8)) AS BIGINT)))"
+_add("a02_similar_candidates", A.similar_candidates, "hashes", f"SELECT a.d_hash, b.d_hash AS other, ({_XOR})::INT AS distance FROM (SELECT DISTINCT d_hash FROM hashes) a JOIN (SELECT DISTINCT d_hash FROM hashes) b ON a.d_hash < b.d_hash AND {_XOR} <= 6")
+_add("a02_duplicate_similar", A.duplicate_similar, "hashes")
+_STEM = r"concat(regexp_extract(path, '^(.*/)?', 0), regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))+$', ''))"
+_RES = r"regexp_matches(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '[_-](?:\d+p|\d+x|hd|sd)(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))*$')"
+_V = f"v AS (SELECT CASE WHEN {_RES} THEN {_STEM} ELSE concat({_STEM}, '|', CAST(floor(w::DOUBLE / h * 50 + 0.5) AS BIGINT)) END AS key, count(*) AS n, sum(w * h * 4)::BIGINT AS vram, min(w * h * 4) AS least, max(w * h * 4) AS most FROM images GROUP BY 1)"
+_add("a03_should_atlas", A.should_atlas, "images", f"SELECT count(*) AS files, count(DISTINCT {_STEM}) AS logical FROM images WHERE greatest(w, h) <= 512 HAVING count(*) >= 8")
+_add("a04_atlas_merge", A.atlas_merge, "sprites atlases", f"WITH {OCC}, m AS (SELECT scale, count(*) AS n, sum(used) AS used, sum(area) AS area, min(asset_ref) AS first FROM occ WHERE source_kind IN ('texturepacker-hash', 'texturepacker-array', 'pixi') AND occ < 0.5 GROUP BY 1 ORDER BY n DESC, first LIMIT 1), k AS (SELECT *, greatest(1, ceil(used / (2048 * 2048 * 0.8::DOUBLE)))::BIGINT AS merged FROM m) SELECT scale, n, merged, CASE WHEN area * 4 - merged * 16777216 > 0 THEN (area * 4 - merged * 16777216)::BIGINT END AS vram_saved FROM k WHERE merged < n")
+_add("a05_missing_images", lambda a, i: A.missing_images(a.join(i.filter("asset_ref % 6 <> 1"), "asset_ref", "left_anti").select(F.col("asset_ref").alias("manifest"), F.col("image_ref").alias("image"))), "atlases atlas_images", "SELECT asset_ref AS manifest, image_ref AS image, 'crit' AS severity FROM atlases WHERE asset_ref NOT IN (SELECT asset_ref FROM atlas_images WHERE asset_ref % 6 <> 1)")
+_add("a06_format_aggregate", lambda i, f, e: A.aggregate_saving(R.format_candidates(i, f, e)), "images features encode_sizes", f"WITH {_FORMAT} SELECT count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved FROM fm")
+_add("a07_metadata_aggregate", lambda i: A.aggregate_saving(R.strippable_metadata(i)), "images", "SELECT count(*) AS n, sum(strippable_bytes)::BIGINT AS disk_saved FROM images WHERE strippable_bytes >= 4096")
+_add("a08_premultiplied_alpha", A.premultiplied_alpha, "features", "SELECT count(*) AS n, 'info' AS severity FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75")
+_add("a09_variant_groups", A.variant_groups, "images", f"WITH {_V} SELECT * FROM v")
+_add("a10_variants", A.variants, "images", f"WITH {_V} SELECT (sum(vram) - sum(most))::BIGINT AS vram_saved, count(*) AS logical FROM v")
+_add("a11_format_siblings", A.format_siblings, "images", f"SELECT {_STEM} AS stem, w, h, count(DISTINCT mime) AS mimes, count(*) AS n FROM images WHERE NOT {_RES} GROUP BY 1, 2, 3 HAVING count(DISTINCT mime) > 1")
+_add("a11_redundant_formats", lambda i: A.redundant_formats(i.withColumns({"w": F.lit(64), "h": F.lit(64)})), "images", f"WITH s AS (SELECT asset_ref, mime, {_STEM} AS stem FROM images WHERE NOT {_RES}) SELECT asset_ref, mime FROM s WHERE mime <> 'image/webp' AND stem IN (SELECT stem FROM s WHERE mime = 'image/webp')")
+_add("a12_loose_in_atlas", A.loose_in_atlas, "features sprites", "WITH f AS (SELECT frame_hash, asset_ref AS atlas_ref, sprite_idx FROM sprites WHERE frame_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_hash ORDER BY asset_ref, sprite_idx) = 1) SELECT asset_ref, atlas_ref, sprite_idx FROM features JOIN f ON pixel_hash = frame_hash")
+_add("a13_gpu_alignment", A.gpu_alignment, "images", "SELECT count(*) AS n, 'info' AS severity FROM images WHERE w % 4 <> 0 OR h % 4 <> 0")
+_add("a14_mipmap_cost", A.mipmap_cost, "images", "SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4)::BIGINT AS extra FROM images")
+_U = "u AS (SELECT frame_hash, asset_ref, sprite_idx, w * h AS area FROM sprites WHERE frame_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_hash, asset_ref ORDER BY sprite_idx) = 1), o AS (SELECT frame_hash, count(*) AS sheets, min(asset_ref) AS owner FROM u GROUP BY 1 HAVING count(*) > 1)"
+_add("a15_cross_atlas_redundancy", A.cross_atlas_redundancy, "sprites atlas_images", f"WITH {_U}, d AS (SELECT asset_ref, count(*) AS dupes, sum(area)::BIGINT AS area FROM u JOIN o USING (frame_hash) WHERE asset_ref <> owner GROUP BY 1), t AS (SELECT asset_ref, sum(w * h)::BIGINT AS total FROM sprites GROUP BY 1) SELECT asset_ref, dupes, area, area * 4 AS vram_saved, floor((byte_size * area)::DOUBLE / total + 0.5)::BIGINT AS disk_saved FROM d JOIN t USING (asset_ref) LEFT JOIN atlas_images USING (asset_ref)")
+_add("a17_merge_shared_atlases", A.merge_shared_atlases, "sprites atlases", "SELECT image_ref, name, asset_ref, sprite_idx FROM sprites JOIN atlases USING (asset_ref) QUALIFY row_number() OVER (PARTITION BY image_ref, name ORDER BY ord, sprite_idx) = 1")
+_add("a18_totals", A.totals, "images", f"WITH {_V} SELECT sum(byte_size)::BIGINT AS disk, sum(w * h * 4)::BIGINT AS vram, sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT)::BIGINT AS vram_mipmapped, count(*) AS textures, (SELECT sum(most) FROM v)::BIGINT AS loaded, ceil((SELECT sum(most) FROM v) * 4 / 3.0::DOUBLE)::BIGINT AS loaded_mipmapped, (SELECT count(*) FROM v) AS loaded_textures FROM images")
+_add("a19_potential_disk_saved", lambda i, f, e: A.potential_disk_saved(R.format_candidates(i, f, e).select("asset_ref", "disk_saved").unionByName(R.strippable_metadata(i).select("asset_ref", "disk_saved")).unionByName(R.wasted_alpha(i, f, e).select("asset_ref", "disk_saved")), i, f), "images features encode_sizes", f"""WITH {_FORMAT}, {_DUP}, wa AS (SELECT i.asset_ref, byte_size - bytes AS disk_saved FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05),
+per AS (SELECT asset_ref, max(disk_saved) AS best FROM (SELECT asset_ref, disk_saved FROM fm UNION ALL SELECT asset_ref, strippable_bytes FROM images WHERE strippable_bytes >= 4096 UNION ALL SELECT * FROM wa) GROUP BY 1),
+gone AS (SELECT asset_ref FROM images JOIN features USING (asset_ref) JOIN dup USING (content_hash) WHERE asset_ref <> first), b AS (SELECT coalesce(sum(best), 0)::BIGINT AS best FROM per WHERE asset_ref NOT IN (SELECT asset_ref FROM gone))
+SELECT best, (SELECT coalesce(sum(disk_saved), 0) FROM dup)::BIGINT AS copies, (best + (SELECT coalesce(sum(disk_saved), 0) FROM dup))::BIGINT AS potential FROM b""")
+
+
+def _guard(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a7", "a8"), ("a9", "a10")], "key string, value string")
+
+
+_QUERIES["d05_dedup_edges"] = lambda spark, d: A.dedup_edges(relation(spark, d, "assets").distinct(), relation(spark, d, "marking"), _guard(spark))
+_SQL["d05_dedup_edges"] = with_relations("""WITH f AS (SELECT DISTINCT asset_ref, content_hash, pool, split_part(asset_ref, '/', 1) AS bundle, CASE WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a7', 'a9') THEN 'key' WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a8', 'a10') THEN 'value' ELSE 'general' END AS skin FROM assets),
+m AS (SELECT f.*, coalesce(availability, 'isolated') AS availability FROM f LEFT JOIN marking USING (bundle)),
+g AS (SELECT *, count(*) OVER k AS n, min(CASE WHEN availability = 'eager' THEN asset_ref END) OVER k AS eager, min(asset_ref) OVER (PARTITION BY content_hash, pool, skin, bundle) AS local FROM m WINDOW k AS (PARTITION BY content_hash, pool, skin))
+SELECT content_hash, pool, skin, asset_ref, coalesce(eager, local) AS owner, CASE WHEN asset_ref = coalesce(eager, local) THEN NULL WHEN eager IS NULL THEN concat('same-', availability, '-bundle') WHEN bundle = split_part(eager, '/', 1) THEN 'same-eager-bundle' ELSE 'eager-owner-cross-bundle' END AS reason FROM g WHERE n > 1""")
+
+_RANK = "CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END"
+_add("b01_global_metrics", lambda i, f: B.global_metrics(A.totals(i), f), "images found", f"WITH {_V}, n AS (SELECT count(*) FILTER (WHERE severity = 'crit') AS crit, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, count(*) AS findings, (SELECT sum(byte_size) FROM images)::BIGINT AS \"totalDisk\", (SELECT sum(w * h * 4) FROM images)::BIGINT AS \"totalVram\", (SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT) FROM images)::BIGINT AS \"totalVramMipmapped\", (SELECT sum(most) FROM v)::BIGINT AS \"loadedVram\", (SELECT count(*) FROM v) AS \"loadedTextures\" FROM found) UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE value")
+_METRICS = "SELECT 'asset' AS scope, path AS ref, 'vram' AS metric, (w * h * 4)::DOUBLE AS value FROM images UNION ALL SELECT 'asset', path, 'disk', byte_size::DOUBLE FROM images UNION ALL SELECT 'asset', path, 'oversizePx', greatest(w, h)::DOUBLE FROM images"
+
+
+def _gate(images: DataFrame) -> DataFrame:
+    from glyphmill.config import parse_budget
+
+    m = B.asset_metrics(images.select(F.col("path").alias("asset_ref"), S.vram_bytes(F.col("w"), F.col("h")).alias("vram"), F.col("byte_size").alias("disk"), F.lit(None).alias("occupancy"), F.greatest("w", "h").alias("oversizePx")))
+    rows, _ = parse_budget({"version": 1, "assets": [{"match": "dir1/**", "budgets": {"vram": {"error": {"max": "8 MB"}}, "disk": {"warn": {"max": "100 KB"}}}}, {"match": "**/*.png", "budgets": {"oversizePx": {"warn": {"max": 2000}}}}]})
+    budgets = images.sparkSession.createDataFrame(rows, "ord int, scope string, match string, metric string, level string, chk string, budget double")
+    return B.evaluate(m.select(F.lit("asset").alias("scope"), F.col("asset_ref").alias("ref"), "metric", "value"), budgets).drop("delta_pct")
+
+
+_add("b05_gate", _gate, "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vram' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'disk', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach FROM c JOIN b USING (ord, metric)")
+_add("b06_verdict", lambda i: B.verdict(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), n AS (SELECT count(*) FILTER (WHERE ord = 0 AND metric = 'vram' AND value > 8388608) AS errors, count(*) FILTER (WHERE (ord = 0 AND metric = 'disk' AND value > 102400) OR (ord = 1 AND metric = 'oversizePx' AND value > 2000)) AS warnings FROM c) SELECT errors, warnings, CASE WHEN errors > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN errors > 0 THEN 1 ELSE 0 END AS exit_code FROM n")
+_add("k03_worst_first", lambda i: B.worst_first(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vram' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'disk', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach, abs((value - budget) / budget) AS over FROM c JOIN b USING (ord, metric) WHERE value > budget ORDER BY CASE WHEN level = 'error' THEN 0 ELSE 1 END, over DESC, ref, metric LIMIT 10")
+_add("b07_diff_metrics", lambda b, a: B.diff_metrics(b.groupBy(F.col("severity").alias("metric")).agg(F.count("*").alias("value")), a.groupBy(F.col("severity").alias("metric")).agg(F.count("*").alias("value"))), "before after", "WITH b AS (SELECT severity AS metric, count(*) AS before FROM before GROUP BY 1), a AS (SELECT severity AS metric, count(*) AS after FROM after GROUP BY 1) SELECT metric, b.before, a.after, a.after - b.before AS delta, (a.after - b.before)::DOUBLE * 100 / b.before AS pct FROM b JOIN a USING (metric)")
+_DIFF = "x AS (SELECT id, arg_max(severity, ord) AS before FROM before GROUP BY 1), y AS (SELECT id, arg_max(severity, ord) AS after FROM after GROUP BY 1), df AS (SELECT id, x.before, y.after, CASE WHEN x.before IS NULL THEN 'added' WHEN y.after IS NULL THEN 'resolved' WHEN x.before <> y.after THEN 'changed' END AS status FROM x FULL JOIN y USING (id))"
+_add("b08_diff_findings", B.diff_findings, "before after", f"WITH {_DIFF} SELECT id, before, after, status FROM df WHERE status IS NOT NULL")
+_add("b09_has_regression", lambda b, a: B.has_regression(B.diff_findings(b, a), "warn"), "before after", f"WITH {_DIFF} SELECT count(*) FILTER (WHERE (status = 'added' OR (status = 'changed' AND {_RANK.replace('severity', 'after')} < {_RANK.replace('severity', 'before')})) AND {_RANK.replace('severity', 'after')} <= 1) > 0 AS regression FROM df")
+_add("b10_biggest_wins", B.biggest_wins, "found", f"WITH u AS (SELECT id, asset_ref, {_RANK} AS r, 'disk_saved' AS axis, disk_saved AS bytes FROM found UNION ALL SELECT id, asset_ref, {_RANK}, 'vram_saved', vram_saved FROM found) SELECT axis, row_number() OVER (PARTITION BY axis ORDER BY bytes DESC, r, asset_ref, id)::INT AS place, id, asset_ref, bytes FROM u WHERE bytes > 0 QUALIFY place <= 3")
+_add("b12_filter_findings", lambda f: B.filter_findings(f, "warn").select("id", "severity"), "found", "SELECT id, severity FROM found WHERE severity IN ('crit', 'warn')")
+_add("k05_sorted_findings", lambda f: B.sorted_findings(f), "found", "SELECT * FROM found")
+_add("u01_triage", lambda f: B.triage(f, f.select("asset_ref").distinct()), "found", "SELECT count(*) FILTER (WHERE severity = 'crit') AS crit, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'ok') AS ok, (SELECT count(*) FROM (SELECT asset_ref FROM found GROUP BY 1 HAVING count(*) FILTER (WHERE severity <> 'ok') = 0)) AS clean FROM found")
+_add("u02_worst_per_asset", B.worst_per_asset, "found", f"SELECT asset_ref, id, rule, severity FROM found QUALIFY row_number() OVER (PARTITION BY asset_ref ORDER BY {_RANK}, id) = 1")
+_add("u03_loose_dominated", B.loose_dominated, "found images", "WITH s AS (SELECT count(*) FILTER (WHERE loose)::DOUBLE / count(*) AS share FROM images) SELECT rule, count(*) AS n, any_value(share) AS share FROM found, s WHERE share >= 0.5 AND rule IN ('dimensions-npot', 'format') AND severity <> 'crit' GROUP BY 1")
+_add("u04_budget_model", lambda i: B.budget_model(A.totals(i), 256 << 20), "images", f"WITH {_V}, l AS (SELECT sum(most)::BIGINT AS loaded FROM v) SELECT loaded, 268435456::BIGINT AS \"limit\", floor(loaded * 1000.0::DOUBLE / 268435456 + 0.5) / 10 AS pct, loaded > 268435456 AS over, greatest(268435456 - loaded, 0) AS left FROM l".replace("AS left FROM", 'AS "left" FROM'))
+_add("u07_rule_rollup", B.rule_rollup, "found", "WITH f AS (SELECT *, CASE rule WHEN 'occupancy' THEN 'packing' WHEN 'dimensions-npot' THEN 'size' WHEN 'format' THEN 'format' ELSE 'duplicates' END AS rule_group FROM found) SELECT rule_group, rule, severity, count(*) AS n FROM f GROUP BY ROLLUP (rule_group, rule, severity)")
+
+_WIN = "wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS nth, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM frames) WHERE back <= 1800), pl AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY dt, seq) AS k, count(*) OVER (PARTITION BY session) AS n FROM wf WHERE nth > 30)"
+_REP = f"{_WIN}, rp AS (SELECT session, a.frames, a.duration, play_frames, avg_draws, max_draws, p95, median, redundant FROM (SELECT session, count(*) AS frames, sum(dt) AS duration FROM wf GROUP BY 1) a LEFT JOIN (SELECT session, count(*) AS play_frames, avg(CASE WHEN draws > 0 THEN draws END) AS avg_draws, max(draws) AS max_draws, max(CASE WHEN k - 1 = least(n - 1, n * 95 // 100) THEN dt END) AS p95, max(CASE WHEN k - 1 = least(n - 1, n // 2) THEN dt END) AS median, sum(redundant)::BIGINT AS redundant FROM pl GROUP BY 1) b USING (session))"
+_add("t01_redundant_binds", T.redundant_binds, "calls", "SELECT session, count(*) AS binds, count(*) FILTER (WHERE same) AS redundant FROM (SELECT session, texture = lag(texture) OVER (PARTITION BY session, target ORDER BY seq) AS same FROM calls) GROUP BY 1")
+_add("t02_counters", lambda f: f.groupBy("session").agg(F.sum("draws").alias("draws"), F.sum("binds").alias("binds"), F.bool_or(F.col("uploads") > 0).alias("any_upload")), "frames", "SELECT session, sum(draws)::BIGINT AS draws, sum(binds)::BIGINT AS binds, bool_or(uploads > 0) AS any_upload FROM frames GROUP BY 1")
+_add("t03_window_frames", lambda f: T.window_frames(f, 40).filter("nth > 30").select("session", "seq", "nth"), "frames", "SELECT session, seq, seq::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM frames) WHERE back <= 40 AND seq > 30")
+_add("t04_session_reports", T.session_reports, "frames", f"WITH {_REP} SELECT * FROM rp")
+_add("t05_hitches", T.hitches, "frames", f"WITH {_REP} SELECT session, seq, dt, CASE WHEN uploads > 0 AND compiles > 0 THEN 'upload+shader' WHEN uploads > 0 THEN 'upload' WHEN compiles > 0 THEN 'shader' ELSE 'unknown' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20")
+_add("t06_batching", lambda f: T.batching(f.sparkSession.createDataFrame([(9, 0)], "atlases long, loose long"), T.session_reports(f)), "frames", f"WITH {_REP} SELECT session, avg_draws, 10::BIGINT AS ideal FROM rp WHERE avg_draws > 50 OR (avg_draws >= 4 AND avg_draws > 30)")
+_add("t08_hitch_costs", lambda f: T.hitch_costs(T.hitches(f)), "frames", f"WITH {_REP}, h AS (SELECT session, dt, CASE WHEN uploads > 0 AND compiles > 0 THEN 'upload+shader' WHEN uploads > 0 THEN 'upload' WHEN compiles > 0 THEN 'shader' ELSE 'unknown' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq) AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20) SELECT session, cause, count(*) AS n, sum(dt) AS ms FROM h GROUP BY 1, 2")
+_add("t09_redundant_state", lambda f: T.redundant_state(T.session_reports(f)), "frames", f"WITH {_REP} SELECT session, redundant::DOUBLE / play_frames AS per_frame FROM rp WHERE redundant::DOUBLE / play_frames > 5")
+_add("t11_correlate_fix", lambda i: T.correlate_fix(i.select(F.col("byte_size").cast("double").alias("before"), (F.col("byte_size") - F.col("strippable_bytes")).cast("double").alias("after"))), "images", "WITH s AS (SELECT sum(byte_size)::DOUBLE AS before, sum(byte_size - strippable_bytes)::DOUBLE AS after FROM images WHERE strippable_bytes IS NOT NULL) SELECT before, after, after / before AS ratio, CASE WHEN after / before <= 0.34 THEN 'crit' WHEN after / before <= 0.67 THEN 'warn' ELSE 'info' END AS severity FROM s")
+_add("t12_compare_sessions", lambda f: T.compare_sessions(T.session_reports(f), T.session_reports(f.filter("seq % 5 <> 0")), least=20), "frames", f"""WITH {_REP}, {_REP.replace("wf", "wg").replace("pl AS", "pm AS").replace("FROM pl", "FROM pm").replace("rp AS", "rq AS").replace("FROM frames", "FROM frames WHERE seq % 5 <> 0")}, j AS (SELECT a.session, a.avg_draws AS a1, b.avg_draws AS b1, a.p95 AS a2, b.p95 AS b2, a.redundant::DOUBLE AS a3, b.redundant::DOUBLE AS b3, abs(b.frames - a.frames)::DOUBLE / greatest(a.frames, b.frames) <= 0.3 AS ok FROM rp a JOIN rq b USING (session) WHERE a.frames >= 20 AND b.frames >= 20)
+SELECT session, 'avg_draws' AS metric, a1 AS before, b1 AS after, b1 - a1 AS delta FROM j UNION ALL SELECT session, 'p95', a2, b2, b2 - a2 FROM j UNION ALL SELECT session, 'redundant', CASE WHEN ok THEN a3 END, CASE WHEN ok THEN b3 END, CASE WHEN ok THEN b3 - a3 END FROM j""")
+
+_add("x03_pack", lambda s: X.packed_sizes(X.pack(s)), "sprites")
+_add("x04_scale_atlas", lambda s: X.scale_atlas(s, 0.5), "sprites", "SELECT asset_ref, sprite_idx, floor(x * 0.5::DOUBLE)::BIGINT AS x, floor(y * 0.5::DOUBLE)::BIGINT AS y, greatest(1, ceil((x + w) * 0.5::DOUBLE)::BIGINT - floor(x * 0.5::DOUBLE)::BIGINT) AS w, greatest(1, ceil((y + h) * 0.5::DOUBLE)::BIGINT - floor(y * 0.5::DOUBLE)::BIGINT) AS h FROM sprites")
+_add("x07_alias_map", X.alias_map, "sprites", "WITH g AS (SELECT asset_ref, frame_hash, min(sprite_idx) AS alias_of FROM sprites WHERE frame_hash IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT (x, y, w, h)) >= 2) SELECT asset_ref, sprite_idx, alias_of FROM sprites JOIN g USING (asset_ref, frame_hash) WHERE sprite_idx <> alias_of")
+_add("x09_source_rects", lambda s: X.source_rects(s.filter("trim_w is not null")), "sprites", "SELECT asset_ref, sprite_idx, trim_x, trim_y, src_h - trim_y - trim_h AS bottom_y FROM sprites WHERE trim_w IS NOT NULL")
+
+
+def _candidates(images: DataFrame, features: DataFrame, sizes: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("long")
+    rows = [
+        (R.format_candidates(images, features, sizes).select("asset_ref", "disk_saved", none.alias("vram_saved")), "transcode"), (R.npot(images).select("asset_ref", none.alias("disk_saved"), "vram_saved"), "resize"),
+        (R.strippable_metadata(images).select("asset_ref", "disk_saved", none.alias("vram_saved")), "strip"), (R.wasted_alpha(images, features, sizes).select("asset_ref", "disk_saved", none.alias("vram_saved")), "opaque"),
+    ]
+    out = None
+    for df, op in rows:
+        df = df.withColumns({"op": F.lit(op), "ord": F.col("asset_ref")})
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+_PLAN = f"""{_FORMAT}, {POT}, c AS (SELECT asset_ref, 'transcode' AS op, 6 AS pass, disk_saved, NULL::BIGINT AS vram_saved FROM fm UNION ALL SELECT asset_ref, 'resize', 4, NULL, pw * ph * 4 - w * h * 4 FROM i WHERE NOT (w = pw AND h = ph) AND 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE > 0.25
+UNION ALL SELECT asset_ref, 'strip', 8, strippable_bytes, NULL FROM images WHERE strippable_bytes >= 4096 UNION ALL SELECT i.asset_ref, 'opaque', 7, byte_size - bytes, NULL FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05),
+pn AS (SELECT asset_ref, op, pass, disk_saved, vram_saved FROM c QUALIFY row_number() OVER (PARTITION BY asset_ref ORDER BY pass) = 1)"""
+_add("x10_plan_repairs", lambda i, f, e: X.plan_repairs(_candidates(i, f, e)), "images features encode_sizes", f"WITH {_PLAN} SELECT * FROM pn")
+_add("x11_plan_footprint", lambda i, f, e: X.plan_footprint(X.plan_repairs(_candidates(i, f, e))), "images features encode_sizes", f"WITH {_PLAN} SELECT op, pass, count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved, sum(vram_saved)::BIGINT AS vram_saved, count(*) FILTER (WHERE disk_saved IS NULL AND vram_saved IS NULL) AS deferred FROM pn GROUP BY 1, 2")
+
+
+def _scalars(images: DataFrame) -> DataFrame:
+    w, h, p = F.col("w"), F.col("h"), F.col("path")
+    return images.select("asset_ref", S.vram_bytes(w, h).alias("vram"), S.vram_bytes_mipmapped(w, h).alias("mip"), S.is_power_of_two(w).alias("pot"), S.next_power_of_two(w).alias("next_pot"), S.stem_of(p).alias("stem"), S.has_resolution_token(p).alias("res"), S.aspect_bucket(w, h).alias("aspect"), S.default_cell(w, h).cast("long").alias("cell"), S.bundle_of(p).alias("bundle"), S.dir_of(p).alias("dir"), S.exceeds_scan_budget(w * 3, h).alias("too_big"), S.percent1(w.cast("double") / (w + h)).alias("pct"), S.normalize_path(F.concat(F.lit("./a/../"), p)).alias("norm"), S.signed_area2(F.lit(0), F.lit(0), w, F.lit(3), F.lit(5), h).alias("area2"))
+
+
+_add("f_scalars", _scalars, "images", f"SELECT asset_ref, w * h * 4 AS vram, ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT AS mip, (w & (w - 1)) = 0 AS pot, CAST(pow(2, ceil(log2(w))) AS BIGINT) AS next_pot, {_STEM} AS stem, {_RES} AS res, floor(w::DOUBLE / h * 50 + 0.5)::BIGINT AS aspect, greatest(8, floor(greatest(w, h) / 64.0 + 0.5))::BIGINT AS cell, split_part(path, '/', 1) AS bundle, split_part(path, '/', 1) AS dir, w * 3 * h > 25165824 AS too_big, floor(w::DOUBLE / (w + h) * 1000 + 0.5) / 10 AS pct, path AS norm, w * h - 3 * 5 AS area2 FROM images")
+
+
+def _findings(sprites: DataFrame, atlases: DataFrame, images: DataFrame, features: DataFrame) -> DataFrame:
+    """The report: firings of several rules in one schema, with their ids."""
+    none = F.lit(None).cast("long")
+    parts = [("occupancy", R.occupancy(sprites, atlases), None, None), ("dimensions-oversize", R.oversize(images), None, None), ("dimensions-npot", R.npot(images), None, "vram_saved"), ("solid-fill", R.solid_fill(images, features), None, "vram_saved"), ("strippable-metadata", R.strippable_metadata(images), "disk_saved", None), ("icc-non-srgb", R.icc_non_srgb(images), None, None)]
+    out = None
+    for rule, df, disk, vram in parts:
+        df = df.select(F.concat(F.lit(f"{rule}:"), F.col("asset_ref").cast("string")).alias("id"), F.lit(rule).alias("rule"), "severity", "asset_ref", (F.col(disk) if disk else none).cast("long").alias("disk_saved"), (F.col(vram) if vram else none).cast("long").alias("vram_saved"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+_add("findings_report", lambda s, a, i, f: _findings(s, a, i, f).groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("disk_saved").alias("disk_saved"), F.sum("vram_saved").alias("vram_saved")), "sprites atlases images features", f"""WITH {OCC}, {POT.replace("i AS", "ip AS")}, fs AS (SELECT 'occupancy' AS rule, CASE WHEN greatest(area - used, 0) * 4 < 262144 THEN 'info' WHEN occ < 0.6 THEN 'crit' ELSE 'warn' END AS severity, NULL::BIGINT AS disk_saved, NULL::BIGINT AS vram_saved FROM occ WHERE occ < 0.8
+UNION ALL SELECT 'dimensions-oversize', CASE WHEN greatest(w, h) > 2730 THEN 'crit' ELSE 'warn' END, NULL, NULL FROM images WHERE greatest(w, h) > 2048 UNION ALL SELECT 'dimensions-npot', 'info', NULL, pw * ph * 4 - w * h * 4 FROM ip WHERE NOT (w = pw AND h = ph) AND 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE > 0.25
+UNION ALL SELECT 'solid-fill', CASE WHEN greatest(w, h) >= 1024 THEN 'warn' ELSE 'info' END, NULL, w * h * 4 - 4 FROM images JOIN features USING (asset_ref) WHERE solid AND least(w, h) >= 256 UNION ALL SELECT 'strippable-metadata', CASE WHEN strippable_bytes >= 65536 THEN 'warn' ELSE 'info' END, strippable_bytes, NULL FROM images WHERE strippable_bytes >= 4096
+UNION ALL SELECT 'icc-non-srgb', 'info', NULL, NULL FROM images WHERE icc_bytes IS NOT NULL AND icc_srgb IS NOT TRUE) SELECT rule, severity, count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved, sum(vram_saved)::BIGINT AS vram_saved FROM fs GROUP BY 1, 2""")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
