@@ -9,7 +9,8 @@ among the contexts (all windows that hold the anchor) of anchors with equal byte
 3. contexts that differ, but agree over one of four longer ranges, go, once for each distinct context, to
    shards by anchor; a shard's merged contexts form one text whose run-length index streams the matching
    statistics of every position, and matches of at least `length` are marked;
-4. an anchor with very many distinct contexts doesn't go to one shard: its windows are counted by hash.
+4. an anchor with very many distinct contexts doesn't go to one shard: its windows part by offset, range by range, into
+   those whose common bytes agree nowhere, those whose bytes agree as a whole, and mixed ones, which part again.
 
 Marks name documents by a 64-bit hash of the text, so copies share them.
 """
@@ -31,7 +32,7 @@ LENGTH = 400
 GRAM = 100
 #: Bytes of context in a shard, on average.
 SHARD = 1 << 20
-#: Distinct contexts of one anchor beyond which its windows are counted by hash instead.
+#: Distinct contexts of one anchor beyond which its windows part by offset instead.
 HOT = 1000
 #: Bits of the bounded set that spares documents without marks a shuffle.
 BITS = 1 << 20
@@ -137,35 +138,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     sizes = chosen.groupBy("g").count()
     n_contexts = chosen.count()
     shards = max(1, n_contexts * (2 * length - gram) // SHARD)
-    wanted = chosen.join(sizes, "g").select("t", F.struct("pos", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int").alias("shard"), (F.col("count") > HOT).alias("hot")).alias("w"))
+    wanted = chosen.join(sizes, "g").select("t", F.struct("pos", F.when(F.col("count") <= HOT, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).alias("shard")).alias("w"))
     wanted = written(wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")), "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "t", "start", "context", "hash"]
         for b in slices(batches, "text", 1 << 20):
             raw, off = text_bytes(b.column(1))
             w = b.column(2)
             count = np.diff(w.offsets.to_numpy())
             flat = w.flatten()
-            pos, shard, hot = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy(), flat.field(2).to_numpy(zero_copy_only=False).astype(bool)
+            pos, shard = flat.field(0).to_numpy().astype(np.int64), flat.field(1)
             row = np.repeat(np.arange(len(count)), count)
             s, e = context_range(pos, np.diff(off)[row], length, gram)
-            t = b.column(0).to_numpy()[row]
-            i = np.flatnonzero(~hot)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(shard[i]), pa.array(t[i]), pa.array(s[i].astype(np.int32)), byte_ranges(raw, off[row[i]] + s[i], off[row[i]] + e[i]), pa.nulls(len(i), pa.int64())], names=names)
-            i = np.flatnonzero(hot)
-            if len(i):
-                prefix = prefix_hash(raw)
-                n = (e - s - length + 1)[i]
-                which = np.repeat(i, n)
-                at = s[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                base = off[row[which]]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(which), pa.int32()), pa.array(t[which]), pa.array(at.astype(np.int32)), pa.nulls(len(which), pa.binary()), pa.array(range_hash(prefix, base + at, base + at + length).view(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [shard, pa.array(b.column(0).to_numpy()[row]), pa.array(s.astype(np.int32)), pa.array((pos - s).astype(np.int32)), byte_ranges(raw, off[row] + s, off[row] + e)],
+                names=["shard", "t", "start", "left", "context"],
+            )
         release()
 
     texts = among(d.select("t", "text"), wanted).join(wanted, "t")
-    sent = texts.select("t", "text", "wanted").mapInArrow(contexts, "shard int, t long, start int, context binary, hash long")
+    sent = texts.select("t", "text", "wanted").mapInArrow(contexts, "shard int, t long, start int, left int, context binary")
     sent = written(sent, "contexts")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +177,68 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
                 yield pa.RecordBatch.from_arrays([pa.array([t[r] for r, _, _ in got], pa.int64()), pa.array([start[r] + s for r, s, _ in got], pa.int32()), pa.array([start[r] + e for r, _, e in got], pa.int32())], names=["t", "s", "e"])
         release()
 
-    cold = sent.filter("context is not null").groupBy("shard", "t", "start").agg(F.max("context").alias("context"))  # of contexts with one start the longest
+    cold = sent.filter("shard is not null").groupBy("shard", "t", "start").agg(F.max("context").alias("context"))  # of contexts with one start the longest
     cold = cold.repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard")
     indexed = cold.select("shard", "t", "start", "context").mapInArrow(index, "t long, s int, e int")
-    windows = sent.filter("hash is not null").select("hash", "t", "start").distinct()
-    hot = windows.join(windows.groupBy("hash").count().filter("count > 1"), "hash").select("t", F.col("start").alias("s"), (F.col("start") + length).cast("int").alias("e")).distinct()
+    hot = parted(sent.filter("shard is null").drop("shard").dropDuplicates(["t", "start", "left"]), length, gram)
 
     marks = written(whole.unionByName(indexed).unionByName(hot).groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("marks")), "marks")
     marked = among(d, marks).join(marks, "t", "left")
     return marked.select("doc_id", "text", "marks").unionByName(among(d, marks, "left_anti").select("doc_id", "text", F.lit(None).cast(marks.schema["marks"].dataType).alias("marks")))
 
 
+def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataFrame:
+    """t, s, e of the bytes that repeat among contexts (t, start, left, context) of equal anchors, without bringing them together.
+
+    The windows at offsets lo..hi before the anchor have some bytes in common and span some more. Where the common bytes occur
+    once, no window repeats; where those that have them in common agree in all they span, all do; the rest parts on.
+    """
+    spark = contexts.sparkSession
+    contexts = written(contexts, "hot-contexts")
+    marks = spark.createDataFrame([], "t long, s int, e int")
+    if contexts.isEmpty():
+        return marks
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "context", 1 << 20):
+            raw, off = text_bytes(b.column(3))
+            prefix, size = prefix_hash(raw), np.diff(off)
+            t, start, left = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+            open_ = b.column(4)
+            row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
+            lo0, hi0 = (open_.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+            for k in range(parts):
+                n = hi0 - lo0 + 1
+                step = -(-n // parts)
+                lo, hi = lo0 + k * step, np.minimum(lo0 + (k + 1) * step - 1, hi0)
+                a = off[row] + left[row]
+                ok = (lo <= hi) & (lo <= left[row]) & (left[row] + length - hi <= size[row])
+                i = np.flatnonzero(ok)
+                if not len(i):
+                    continue
+                r, a, lo, hi = row[i], a[i], lo[i], hi[i]
+                key = range_hash(prefix, a - lo, a + length - hi) + ((lo << 20) + hi).astype(np.uint64)
+                low, high = np.maximum(lo, left[r] + length - size[r]), np.minimum(hi, left[r])
+                full = range_hash(prefix, a - high, a + length - low) + low.astype(np.uint64)
+                at = start[r] + left[r]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *[pa.array(x) for x in (t[r], start[r].astype(np.int32), left[r].astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), (at - high).astype(np.int32), (at + length - low).astype(np.int32))]],
+                    names=["key", "full", "t", "start", "left", "lo", "hi", "s", "e"],
+                )
+        release()
+
+    open_ = contexts.withColumn("open", F.array(F.struct(F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))))
+    while True:
+        rows = written(open_.select("t", "start", "left", "context", "open").mapInArrow(split, "key long, full long, t long, start int, left int, lo int, hi int, s int, e int"), "ranges")
+        met = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("full") != F.max("full")).alias("mixed")).filter("n > 1").select("key", "mixed")
+        met = written(rows.join(met, "key"), "ranges-met")
+        marks = marks.unionByName(met.filter("not mixed").select("t", "s", "e"))
+        mixed = met.filter("mixed")
+        if mixed.isEmpty():
+            return marks
+        open_ = contexts.join(mixed.groupBy("t", "start", "left").agg(F.collect_list(F.struct("lo", "hi")).alias("open")), ["t", "start", "left"])
+
+
 def among(docs: DataFrame, keyed: DataFrame, how: str = "left_semi") -> DataFrame:
     """Documents whose t may (left_semi) or can't (left_anti) be among those of a table: by at most BITS bits, a bounded
     broadcast. A full set lets everything through, and a join that follows decides."""
