@@ -24,7 +24,7 @@ _ENCODERS: dict[str, PieceEncoder] = {}
 class PieceEncoder:
     """Token ids of whole texts through the tokenizers library.
 
-    A byte-level pre-tokenizer always cuts between a character and white space after it, between a line
+    A byte-level pre-tokenizer always cuts between a character and white space after it, between a lone line
     feed and a character after it, and between a letter and a sign after it. So the library encodes each
     distinct piece between such cuts once, and the ids of a text are those of its pieces in order.
     """
@@ -80,7 +80,10 @@ class PieceEncoder:
         letter = ((raw | 0x20) >= 0x61) & ((raw | 0x20) <= 0x7A)
         sign = (raw > 0x20) & (raw < 0x7F) & ~letter & ~((raw >= 0x30) & (raw <= 0x39))
         is_row = np.zeros(len(raw) + 1, bool)
-        is_row[1:-1] = (ends[:-1] & ((raw[1:] == 0x20) | (raw[1:] == 0x0A))) | ((raw[:-1] == 0x0A) & begins[1:]) | (letter[:-1] & sign[1:])
+        alone = raw[:-1] == 0x0A  # a line feed with no white space before it; a longer run would part otherwise at its end
+        alone[1:] &= ends[:-2]
+        alone[:1] = False
+        is_row[1:-1] = (ends[:-1] & ((raw[1:] == 0x20) | (raw[1:] == 0x0A))) | (alone & begins[1:]) | (letter[:-1] & sign[1:])
         is_row[off] = True
         at = np.flatnonzero(is_row)
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
