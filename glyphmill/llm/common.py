@@ -210,11 +210,19 @@ def shingle_hashes(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray
     off = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=off[1:])
     at = np.arange(off[-1]) + np.repeat(words.first[:-1] - off[:-1], size)
-    span = np.repeat(np.minimum(n, width), size)
-    padded = np.concatenate([words.hash, np.zeros(width, np.uint64)])
-    h = np.zeros(len(at), np.uint64)
+    step = np.uint64(0xC2B2AE3D27D4EB4F)
+    run = np.zeros(max(len(words) - width + 1, 0), np.uint64)
     for k in range(width):
-        h = h * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(k < span, padded[at + k], np.uint64(0)) + np.uint64(k)
+        run = run * step + words.hash[k : k + len(run)] + np.uint64(k)
+    h = np.zeros(len(at), np.uint64)
+    few = np.repeat(n < width, size)
+    h[~few] = run[at[~few]]
+    if few.any():
+        a, span, short = at[few], np.repeat(n, size)[few], np.zeros(int(few.sum()), np.uint64)
+        padded = np.concatenate([words.hash, np.zeros(width, np.uint64)])
+        for k in range(width):
+            short = short * step + np.where(k < span, padded[a + k], np.uint64(0)) + np.uint64(k)
+        h[few] = short
     return mix(h), off
 
 
@@ -241,6 +249,5 @@ def minimizers(v: np.ndarray, w: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     key = (v & ~_AT) | (np.arange(len(v), dtype=np.uint64) & _AT)
     m = window_min(key, w)
-    m = m[np.concatenate([[True], m[1:] != m[:-1]])]
-    at = np.unique((m & _AT).astype(np.int64))
-    return at if len(v) <= int(_AT) else np.flatnonzero(np.isin(key, m))
+    m = m[np.concatenate([[True], m[1:] != m[:-1]])]  # the leftmost minimum only moves on
+    return (m & _AT).astype(np.int64) if len(v) <= int(_AT) else np.flatnonzero(np.isin(key, m))
