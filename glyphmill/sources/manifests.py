@@ -22,7 +22,7 @@ def _rows(parse: Callable[[str], list[tuple]], column: str) -> Callable[[Iterato
                 try:
                     out += [(ref, *r) for r in parse(body)]
                 except (ValueError, KeyError, TypeError, AttributeError, IndexError, struct.error) as e:
-                    out.append((ref, *[None] * 13, str(e) or type(e).__name__))
+                    out.append((ref, *[None] * (len(_COLUMNS) - 2), str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=_COLUMNS).astype({"sprite_idx": "Int64", **{c: "Int32" for c in ("x", "y", "w", "h", "src_w", "src_h", "page_w", "page_h")}, "rotated": "boolean", "trimmed": "boolean"})
 
     return run

@@ -19,7 +19,7 @@ def minute_activity(frames: DataFrame, late: str = "1 minute", size: str = "1 mi
 
 
 def session_counters(frames: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
-    """Running totals of each session, in update mode: frames, those after warm-up, draws, redundant binds, uploads, longest frame.
+    """Running totals of each session, in update mode: frames, those after warm-up, and of the latter draws, redundant binds, uploads and the longest frame.
 
     The state of a session is a handful of numbers, however long the session runs.
     """
