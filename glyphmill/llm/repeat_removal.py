@@ -9,8 +9,9 @@ among the contexts (all windows that hold the anchor) of anchors with equal byte
 3. contexts that differ, but agree over one of four longer ranges, go, once for each distinct context, to
    shards by anchor; a shard's merged contexts form one text whose run-length index streams the matching
    statistics of every position, and matches of at least `length` are marked;
-4. an anchor with very many distinct contexts doesn't go to one shard: its windows part by offset, range by range, into
-   those whose common bytes agree nowhere, those whose bytes agree as a whole, and mixed ones, which part again.
+4. an anchor with very many distinct contexts doesn't go to one shard: its contexts go by the longer ranges, cut to the
+   windows that hold them; where still very many share a range, its windows part by offset, range by range, into those whose
+   common bytes occur once, those whose bytes all agree, and the rest, which part again.
 
 Marks name documents by a 64-bit hash of the text, so copies share them.
 """
@@ -32,7 +33,7 @@ LENGTH = 400
 GRAM = 100
 #: Bytes of context in a shard, on average.
 SHARD = 1 << 20
-#: Distinct contexts of one anchor beyond which its windows part by offset instead.
+#: Distinct contexts of one anchor, or of one longer range, that go to one shard.
 HOT = 1000
 #: Bits of the bounded set that spares documents without marks a shuffle.
 BITS = 1 << 20
@@ -57,7 +58,7 @@ def anchors_of(texts: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple
     a, row, begin, end = a[fine], row[fine], begin[fine], end[fine]
     lo, hi = np.maximum(begin, a + gram - length), np.minimum(end, a + length)
     context = range_hash(prefix, lo, hi) + (a - lo).astype(np.uint64)
-    cuts = np.linspace(0, length - gram, 5).astype(np.int64)
+    cuts = quarters_of(length, gram)
     quarters = np.zeros(len(a), np.int64)
     for i in range(4):
         s, e = a - cuts[i], a + length - cuts[i + 1]
@@ -67,6 +68,11 @@ def anchors_of(texts: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple
     return row, a - begin, g[a], context, quarters
 
 
+def quarters_of(length: int, gram: int) -> np.ndarray:
+    """Offsets of windows before an anchor, from 0 to the most, in four ranges."""
+    return np.linspace(0, length - gram, 5).astype(np.int64)
+
+
 def context_range(pos: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all windows that hold the anchor at pos, in a text of n bytes."""
     return np.maximum(0, pos + gram - length), np.minimum(pos, n - length) + length
@@ -133,12 +139,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     # contexts that differ but agree over one of the longer ranges
     each = classes.select("g", "c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("first.q", 16 * i).bitwiseAND(65535).alias("h")) for i in range(4)])).alias("r")).select("g", "c", "r.i", "r.h").filter("h > 0")
     agreed = each.groupBy("g", "i", "h").count().filter("count > 1")
-    chosen = each.join(agreed, ["g", "i", "h"]).select("g", "c").distinct().join(classes, ["g", "c"]).select("g", "first.t", "first.pos")
-    chosen = written(chosen, "chosen")
+    matched = written(each.join(agreed, ["g", "i", "h"]), "matched")
+    chosen = written(matched.select("g", "c").distinct().join(classes.select("g", "c", "first.t", "first.pos"), ["g", "c"]), "chosen")
     sizes = chosen.groupBy("g").count()
-    n_contexts = chosen.count()
-    shards = max(1, n_contexts * (2 * length - gram) // SHARD)
-    wanted = chosen.join(sizes, "g").select("t", F.struct("pos", F.when(F.col("count") <= HOT, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).alias("shard")).alias("w"))
+    cold = chosen.join(sizes.filter(F.col("count") <= HOT), "g").select("t", "pos", F.lit(-1).alias("quarter"), F.xxhash64("g").alias("deal"))
+    often = matched.join(sizes.filter(F.col("count") > HOT).select("g"), "g").join(chosen, ["g", "c"])
+    often = often.select("t", "pos", F.col("i").alias("quarter"), F.when(F.col("count") <= HOT, F.xxhash64("g", "i", "h")).alias("deal"))
+    asked = written(cold.unionByName(often), "asked")
+    shards = max(1, asked.count() * (2 * length - gram) // SHARD)
+    wanted = asked.select("t", F.struct("pos", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "quarter").alias("w"))
     wanted = written(wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")), "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +156,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
             w = b.column(2)
             count = np.diff(w.offsets.to_numpy())
             flat = w.flatten()
-            pos, shard = flat.field(0).to_numpy().astype(np.int64), flat.field(1)
+            pos, shard, quarter = flat.field(0).to_numpy().astype(np.int64), flat.field(1), flat.field(2)
             row = np.repeat(np.arange(len(count)), count)
             s, e = context_range(pos, np.diff(off)[row], length, gram)
+            cuts, k = quarters_of(length, gram), quarter.to_numpy()
+            part = k >= 0
+            s = np.where(part, np.maximum(s, pos - cuts[k + 1]), s)
+            e = np.where(part, np.minimum(e, pos + length - cuts[np.maximum(k, 0)]), e)
             yield pa.RecordBatch.from_arrays(
-                [shard, pa.array(b.column(0).to_numpy()[row]), pa.array(s.astype(np.int32)), pa.array((pos - s).astype(np.int32)), byte_ranges(raw, off[row] + s, off[row] + e)],
-                names=["shard", "t", "start", "left", "context"],
+                [shard, pa.array(b.column(0).to_numpy()[row]), pa.array(s.astype(np.int32)), pa.array((pos - s).astype(np.int32)), quarter, byte_ranges(raw, off[row] + s, off[row] + e)],
+                names=["shard", "t", "start", "left", "quarter", "context"],
             )
         release()
 
     texts = among(d.select("t", "text"), wanted).join(wanted, "t")
-    sent = texts.select("t", "text", "wanted").mapInArrow(contexts, "shard int, t long, start int, left int, context binary")
+    sent = texts.select("t", "text", "wanted").mapInArrow(contexts, "shard int, t long, start int, left int, quarter int, context binary")
     sent = written(sent, "contexts")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +193,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
     cold = sent.filter("shard is not null").groupBy("shard", "t", "start").agg(F.max("context").alias("context"))  # of contexts with one start the longest
     cold = cold.repartition(max(parts, min(shards, 20_000)), "shard").sortWithinPartitions("shard")
     indexed = cold.select("shard", "t", "start", "context").mapInArrow(index, "t long, s int, e int")
-    hot = parted(sent.filter("shard is null").drop("shard").dropDuplicates(["t", "start", "left"]), length, gram)
+    hot = parted(sent.filter("shard is null").drop("shard").dropDuplicates(["t", "start", "left", "quarter"]), length, gram)
 
     marks = written(whole.unionByName(indexed).unionByName(hot).groupBy("t").agg(F.collect_list(F.struct("s", "e")).alias("marks")), "marks")
     marked = among(d, marks).join(marks, "t", "left")
@@ -188,10 +201,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
 
 
 def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataFrame:
-    """t, s, e of the bytes that repeat among contexts (t, start, left, context) of equal anchors, without bringing them together.
+    """t, s, e of the bytes that repeat among contexts (t, start, left, quarter, context) of equal anchors, without bringing them together.
 
-    The windows at offsets lo..hi before the anchor have some bytes in common and span some more. Where the common bytes occur
-    once, no window repeats; where those that have them in common agree in all they span, all do; the rest parts on.
+    The windows at offsets lo..hi before the anchor have some bytes in common and span some more. Where the common bytes occur once, no
+    window repeats; contexts that agree in all they span repeat it, and one of them goes on with those that agree with none.
     """
     spark = contexts.sparkSession
     contexts = written(contexts, "hot-contexts")
@@ -204,7 +217,7 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
             raw, off = text_bytes(b.column(3))
             prefix, size = prefix_hash(raw), np.diff(off)
             t, start, left = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
-            open_ = b.column(4)
+            quarter, open_ = b.column(5), b.column(4)
             row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
             lo0, hi0 = (open_.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
             for k in range(parts):
@@ -222,21 +235,25 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
                 full = range_hash(prefix, a - high, a + length - low) + low.astype(np.uint64)
                 at = start[r] + left[r]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *[pa.array(x) for x in (t[r], start[r].astype(np.int32), left[r].astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), (at - high).astype(np.int32), (at + length - low).astype(np.int32))]],
-                    names=["key", "full", "t", "start", "left", "lo", "hi", "s", "e"],
+                    [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *[pa.array(x) for x in (t[r], start[r].astype(np.int32), left[r].astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), (at - high).astype(np.int32), (at + length - low).astype(np.int32))], quarter.take(pa.array(r))],
+                    names=["key", "full", "t", "start", "left", "lo", "hi", "s", "e", "quarter"],
                 )
         release()
 
-    open_ = contexts.withColumn("open", F.array(F.struct(F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))))
+    cuts = F.array(*[F.lit(int(c)) for c in quarters_of(length, gram)])
+    open_ = contexts.withColumn("open", F.array(F.struct(F.get(cuts, F.col("quarter")).alias("lo"), F.get(cuts, F.col("quarter") + 1).alias("hi"))))
+    own = ["t", "start", "left", "quarter"]
     while True:
-        rows = written(open_.select("t", "start", "left", "context", "open").mapInArrow(split, "key long, full long, t long, start int, left int, lo int, hi int, s int, e int"), "ranges")
-        met = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("full") != F.max("full")).alias("mixed")).filter("n > 1").select("key", "mixed")
-        met = written(rows.join(met, "key"), "ranges-met")
-        marks = marks.unionByName(met.filter("not mixed").select("t", "s", "e"))
-        mixed = met.filter("mixed")
+        rows = open_.select("t", "start", "left", "context", "open", "quarter").mapInArrow(split, "key long, full long, t long, start int, left int, lo int, hi int, s int, e int, quarter int")
+        rows = written(rows, "ranges")
+        full = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("first"))
+        several = full.groupBy("key").agg((F.count("*") > 1).alias("mixed"), F.sum("n").alias("all")).filter("all > 1").select("key", "mixed")
+        met = written(rows.join(full.join(several, "key").filter("n > 1 or mixed"), ["key", "full"]), "ranges-met")
+        marks = marks.unionByName(met.filter("n > 1").select("t", "s", "e"))
+        mixed = met.filter("mixed and lo < hi").filter(F.struct(*own) == F.col("first"))
         if mixed.isEmpty():
             return marks
-        open_ = contexts.join(mixed.groupBy("t", "start", "left").agg(F.collect_list(F.struct("lo", "hi")).alias("open")), ["t", "start", "left"])
+        open_ = contexts.join(mixed.groupBy(*own).agg(F.collect_list(F.struct("lo", "hi")).alias("open")), own)
 
 
 def among(docs: DataFrame, keyed: DataFrame, how: str = "left_semi") -> DataFrame:
