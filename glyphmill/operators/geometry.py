@@ -16,20 +16,26 @@ def grid(atlases: DataFrame) -> DataFrame:
     return atlases.filter("decl_w > 0 and decl_h > 0").select("asset_ref", "decl_w", "decl_h", c.alias("cell"), F.ceil(F.col("decl_w") / c).alias("cols"), F.ceil(F.col("decl_h") / c).alias("rows"))
 
 
-def covered_cells(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
-    """asset_ref, r, c of the cells that some frame touches."""
+def covered_ranges(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
+    """asset_ref, r, c0, c1: the columns that a frame touches in each row of cells."""
     s = sprites.filter("w > 0 and h > 0").join(grid(atlases), "asset_ref")
-    span = lambda at, size, n: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col(at) / F.col("cell"))), F.least(F.col(n) - 1, F.floor((F.col(at) + F.col(size) - 1) / F.col("cell"))))
     s = s.filter((F.col("x") < F.col("cols") * F.col("cell")) & (F.col("y") < F.col("rows") * F.col("cell")) & (F.col("x") + F.col("w") > 0) & (F.col("y") + F.col("h") > 0))
-    return s.withColumn("r", F.explode(span("y", "h", "rows"))).withColumn("c", F.explode(span("x", "w", "cols"))).select("asset_ref", "r", "c").distinct()
+    first = lambda at: F.greatest(F.lit(0).cast("long"), F.floor(F.col(at) / F.col("cell")))
+    last = lambda at, size, n: F.least(F.col(n) - 1, F.floor((F.col(at) + F.col(size) - 1) / F.col("cell")))
+    return s.select("asset_ref", F.explode(F.sequence(first("y"), last("y", "h", "rows"))).alias("r"), first("x").alias("c0"), last("x", "w", "cols").alias("c1"))
 
 
 def empty_rectangles(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
-    """asset_ref, x, y, w, h: empty cells joined along rows, then rows of equal extent joined downwards (islands twice)."""
+    """asset_ref, x, y, w, h: gaps between covered columns along rows of cells, then rows of equal gaps joined downwards.
+
+    A row's covered column ranges and a range behind its last column, in order: what lies between a range and the furthest end so
+    far is empty. Cells themselves are never listed.
+    """
     g = grid(atlases)
-    cells = g.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
-    empty = cells.join(covered_cells(sprites, atlases), ["asset_ref", "r", "c"], "left_anti")
-    run = empty.withColumn("i", F.col("c") - F.row_number().over(Window.partitionBy("asset_ref", "r").orderBy("c"))).groupBy("asset_ref", "r", "i").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    covered = covered_ranges(sprites, atlases).select("asset_ref", "r", "c0", "c1")
+    ends = g.select("asset_ref", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("r"), F.col("cols").alias("c0"), F.col("cols").alias("c1"))
+    reach = F.max("c1").over(Window.partitionBy("asset_ref", "r").orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1))
+    run = covered.unionByName(ends).withColumn("from", F.coalesce(reach, F.lit(-1)) + 1).filter("c0 > from").select("asset_ref", "r", F.col("from").alias("c0"), (F.col("c0") - 1).alias("c1"))
     block = run.withColumn("j", F.col("r") - F.row_number().over(Window.partitionBy("asset_ref", "c0", "c1").orderBy("r"))).groupBy("asset_ref", "c0", "c1", "j").agg(F.min("r").alias("r0"), F.max("r").alias("r1"))
     b = block.join(g, "asset_ref")
     x, y = F.col("c0") * F.col("cell"), F.col("r0") * F.col("cell")

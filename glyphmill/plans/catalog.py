@@ -68,17 +68,16 @@ SELECT asset_ref, sum(dead::INT)::BIGINT AS dead, sum(CASE WHEN dead THEN w * h
 _add("r17_dimension_mismatch", R.dimension_mismatch, "atlases atlas_images sprites", """SELECT a.asset_ref, count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) AS off_edge,
 CASE WHEN (any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h)) AND count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) > 0 THEN 'crit' WHEN any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h) THEN 'warn' ELSE 'info' END AS severity
 FROM atlases a JOIN atlas_images i USING (asset_ref) LEFT JOIN sprites s ON s.asset_ref = a.asset_ref WHERE abs(i.w - decl_w) > 2 OR abs(i.h - decl_h) > 2 GROUP BY 1""")
-GRID = """g AS (SELECT asset_ref, decl_w, decl_h, cell, ceil(decl_w / cell)::BIGINT AS cols, ceil(decl_h / cell)::BIGINT AS rows FROM (SELECT *, greatest(8, floor(greatest(decl_w, decl_h) / 64.0 + 0.5))::BIGINT AS cell FROM atlases WHERE asset_ref % 8 = 3)),
+GRID = """g AS (SELECT asset_ref, decl_w, decl_h, cell, ceil(decl_w / cell)::BIGINT AS cols, ceil(decl_h / cell)::BIGINT AS rows FROM (SELECT *, greatest(8, floor(greatest(decl_w, decl_h) / 64.0 + 0.5))::BIGINT AS cell FROM atlases)),
 cov AS (SELECT DISTINCT asset_ref, r, c FROM g JOIN sprites s USING (asset_ref), unnest(generate_series(greatest(0, y // cell), least(rows - 1, (y + h - 1) // cell))) AS a(r), unnest(generate_series(greatest(0, x // cell), least(cols - 1, (x + w - 1) // cell))) AS b(c)),
-e AS (SELECT g.asset_ref, r, c FROM g, unnest(generate_series(0, rows - 1)) AS a(r), unnest(generate_series(0, cols - 1)) AS b(c) WHERE (g.asset_ref, r, c) NOT IN (SELECT asset_ref, r, c FROM cov)),
+e AS (SELECT g.asset_ref, r, c FROM (SELECT asset_ref, r, c FROM g, unnest(generate_series(0, rows - 1)) AS a(r), unnest(generate_series(0, cols - 1)) AS b(c)) AS g ANTI JOIN cov USING (asset_ref, r, c)),
 run AS (SELECT asset_ref, r, min(c) AS c0, max(c) AS c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY asset_ref, r ORDER BY c) AS i FROM e) GROUP BY asset_ref, r, i),
 blk AS (SELECT asset_ref, c0, c1, min(r) AS r0, max(r) AS r1 FROM (SELECT *, r - row_number() OVER (PARTITION BY asset_ref, c0, c1 ORDER BY r) AS j FROM run) GROUP BY asset_ref, c0, c1, j),
 rect AS (SELECT asset_ref, c0 * cell AS x, r0 * cell AS y, least(decl_w, (c1 + 1) * cell) - c0 * cell AS w, least(decl_h, (r1 + 1) * cell) - r0 * cell AS h FROM blk JOIN g USING (asset_ref))"""
-_few = lambda a: a.filter("asset_ref % 8 = 3")  # noqa: E731  sheets of one kind of the adapter; the cell grid is a product of sheets and cells
-_add("g02_empty_rectangles", lambda s, a: G.empty_rectangles(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT * FROM rect")
-_add("g03_empty_summary", lambda s, a: G.empty_summary(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share FROM rect GROUP BY 1")
-_add("r18_wasted_regions", lambda s, a: G.wasted_regions(s, _few(a)), "sprites atlases", f"WITH {GRID}, {OCC} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share, 'info' AS severity FROM rect JOIN occ USING (asset_ref) WHERE occ < 0.8 GROUP BY 1")
-_add("a16_dispersion", lambda s, a: G.dispersion(s, _few(a)), "sprites atlases", f"WITH {GRID} SELECT g.asset_ref, count(rect.asset_ref) AS n, 1 - coalesce(max(w * h)::DOUBLE / sum(w * h)::DOUBLE, 1.0) AS fragmentation FROM g LEFT JOIN rect USING (asset_ref) GROUP BY 1")
+_add("g02_empty_rectangles", G.empty_rectangles, "sprites atlases", f"WITH {GRID} SELECT * FROM rect")
+_add("g03_empty_summary", G.empty_summary, "sprites atlases", f"WITH {GRID} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share FROM rect GROUP BY 1")
+_add("r18_wasted_regions", G.wasted_regions, "sprites atlases", f"WITH {GRID}, {OCC} SELECT asset_ref, count(*) AS n, sum(w * h)::BIGINT AS area, max(w * h)::BIGINT AS largest, max(w * h)::DOUBLE / sum(w * h)::DOUBLE AS share, 'info' AS severity FROM rect JOIN occ USING (asset_ref) WHERE occ < 0.8 GROUP BY 1")
+_add("a16_dispersion", G.dispersion, "sprites atlases", f"WITH {GRID} SELECT g.asset_ref, count(rect.asset_ref) AS n, 1 - coalesce(max(w * h)::DOUBLE / sum(w * h)::DOUBLE, 1.0) AS fragmentation FROM g LEFT JOIN rect USING (asset_ref) GROUP BY 1")
 _FORMAT = "fb AS (SELECT asset_ref, arg_min(target_mime, (bytes, target_mime)) AS target_mime, min(bytes) AS bytes FROM encode_sizes WHERE target_mime IN ('image/avif', 'image/webp') AND NOT opaque GROUP BY 1), fm AS (SELECT i.asset_ref, target_mime, byte_size - bytes AS disk_saved, CASE WHEN content_class IN ('flat', 'alpha-art') THEN 'format-lossless' ELSE 'format' END AS rule, 'warn' AS severity FROM images i JOIN fb USING (asset_ref) LEFT JOIN features f ON f.asset_ref = i.asset_ref WHERE i.mime <> target_mime AND byte_size - bytes >= 4096 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.25)"
 _add("r19_format", R.format_candidates, "images features encode_sizes", f"WITH {_FORMAT} SELECT * FROM fm")
 _add("r20_font_glyph_page", lambda s, a: R.font_glyph_page(s, a, R.DEFAULT.replace(glyphs=4)), "sprites atlases", f"WITH {OCC} SELECT asset_ref, n AS glyphs, occ, CASE WHEN occ <= 0.5 THEN 'warn' ELSE 'info' END AS severity FROM occ WHERE source_kind = 'bmfont' AND n >= 4")
