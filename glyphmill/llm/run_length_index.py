@@ -23,11 +23,13 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
     if int(rank.max()) == n - 1:
         return np.argsort(rank), ranks
     while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - h)] = rank[h:].astype(np.int64) + 1
-        key = rank.astype(np.int64) * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        key = rank.astype(np.int64)
+        key *= n + 1
+        key[: max(0, n - h)] += rank[h:]
+        key[: max(0, n - h)] += 1
+        order = np.argsort(key)
         sorted_key = key[order]
+        del key
         fresh = np.ones(n, bool)
         fresh[1:] = sorted_key[1:] != sorted_key[:-1]
         rank = np.empty(n, np.int32)
@@ -39,7 +41,7 @@ def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.nd
 
 
 def _dense_sort(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys share a rank, so their order is free
     k = key[order]
     fresh = np.ones(len(k), np.int32)
     fresh[1:] = k[1:] != k[:-1]
