@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- storage
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, as a URI without
@@ -34,11 +36,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write to a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Spark drops the write's shuffle files as it ends; else they stay on disk until the driver collects garbage.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        w = df.write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
