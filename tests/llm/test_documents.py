@@ -181,6 +181,48 @@ def test_a_passage_that_very_many_share(spark, piece):
     assert {r.doc_id for r in got} == set(range(30)) and {r.class_id for r in got} == {0}
 
 
+def edited(seed, places):
+    w = passage(seed, 50).split()
+    for p, x in places:
+        w[p] = f"edit{x}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("piece", [3, 400])
+def test_stars_and_chains_of_near_passages(spark, piece):
+    texts = []
+    for k in range(8):  # an original and copies with an edit each: like the original, unlike one another
+        texts += [edited(7000 + k, [(p, f"{k}x{p}")] if p else []) for p in (0, 6, 14, 22, 30, 38)]
+    for k in range(4):  # each like the one before only
+        texts += [edited(7100 + k, [(6 + 7 * j, f"{k}y{j}") for j in range(m)]) for m in range(5)]
+    check_against_brute_force(spark, texts, piece)
+
+
+def test_a_large_group_of_near_passages(spark):
+    check_against_brute_force(spark, [edited(7200, [(4 + i % 42, f"z{i}")] if i else []) for i in range(430)], 400)
+
+
+def check_against_brute_force(spark, texts, piece):
+    """Texts of one passage each."""
+    sets, root = [set(shingles(t)) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    size = Counter(map(find, range(len(texts))))
+    want = {i: find(i) for i in range(len(texts)) if size[find(i)] > 1}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = compact_windows.near_duplicate_passages(df, piece=piece).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 # ---------------------------------------------------------------- 6
 
 
