@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ class PieceEncoder:
 
     A byte-level pre-tokenizer always cuts between a character and white space after it, between a lone line
     feed and a character after it, and between a letter and a sign after it. So the library encodes each
-    distinct piece between such cuts once, and the ids of a text are those of its pieces in order.
+    distinct piece between such cuts once, and the ids of a text are those of its pieces in order. What spells an
+    added token is a piece of its own, never cut; a row with an added token that looks at what stands beside it stays whole.
     """
 
     def __init__(self, path: str):
@@ -34,7 +36,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        spell = lambda some: re.compile(b"|".join(re.escape(c.encode()) for c in sorted((t.content for t in some), key=len, reverse=True))) if some else None
+        beside = [t for t in added if t.lstrip or t.rstrip or t.single_word]
+        self.added = {t.content for t in added}
+        self.any_added, self.beside = spell(list(added)), spell(beside)
         self.clear()
 
     def clear(self) -> None:
@@ -49,7 +55,7 @@ class PieceEncoder:
         rest = []
         for i, p in enumerate(pieces):
             word = p[1:] if p[:1] == " " else p
-            if word.isascii() and word.isalpha():  # one word for the model; its alphabet writes a space as U+0120
+            if word.isascii() and word.isalpha() and word not in self.added:  # one word for the model; its alphabet writes a space as U+0120
                 got[i] = [t.id for t in self.tokenizer.model.tokenize("\u0120" + word if len(word) < len(p) else word)]
             else:
                 rest.append(i)
@@ -68,6 +74,23 @@ class PieceEncoder:
         self.used += len(flat)
         self.known.update(zip(names, range(n, n + len(names)), strict=True))
 
+    def _part(self, raw: np.ndarray, off: np.ndarray, is_row: np.ndarray) -> None:
+        """Cut around added tokens, and not inside them. Of those that begin at one place the longest counts."""
+        buf = raw.tobytes()
+        at = 0
+        while self.any_added and (m := self.any_added.search(buf, at)):
+            row = int(np.searchsorted(off, m.start(), "right")) - 1
+            end = int(off[row + 1])
+            if self.beside and self.beside.search(buf, int(off[row]), end):
+                is_row[off[row] + 1 : end] = False
+                at = end
+            elif m.end() > end and (m := self.any_added.search(buf, m.start(), end)) is None:
+                at = end  # it goes on in the next row
+            else:
+                is_row[m.start() + 1 : m.end()] = False
+                is_row[[m.start(), m.end()]] = True
+                at = m.end()
+
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, one after another, and the number of ids of each row."""
         raw, off = text_bytes(arr)
@@ -85,6 +108,7 @@ class PieceEncoder:
         alone[:1] = False
         is_row[1:-1] = (ends[:-1] & ((raw[1:] == 0x20) | (raw[1:] == 0x0A))) | (alone & begins[1:]) | (letter[:-1] & sign[1:])
         is_row[off] = True
+        self._part(raw, off, is_row)
         at = np.flatnonzero(is_row)
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()

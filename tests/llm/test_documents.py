@@ -329,6 +329,31 @@ def test_pieces_give_the_librarys_ids():
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    e, t = token_output.PieceEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    end = "<|endoftext|>"
+    texts = [end, f"a b{end}", f"{end} c d", f"Ab, {end}{end}\n{end}x.", "<|endof", "text|>", f"<|{end}|>", f"end of{end[:-1]} >", f"é{end}é 日{end} 1", "endoftext", None, f" {end}", f"{end}\n"] * 2
+    ids, n = e.encode(pa.array(texts))
+    want = [x.ids for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w] and 50256 in ids
+
+
+@pytest.mark.parametrize("kind", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_other_added_tokens(tmp_path, kind):
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.add_tokens([AddedToken(x, normalized=False, **kind) for x in ("PAD", "PADS", "a b")])
+    t.save(str(tmp_path / "t.json"))
+    e, t = token_output.PieceEncoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["PAD", " PAD  x", "x PADSy PAD, z", "a b  a b", "PADDING a bc", "hi a", " b PAD\n"]
+    ids, n = e.encode(pa.array(texts))
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 def test_rans_blocks(n):
     rng = np.random.default_rng(n)
