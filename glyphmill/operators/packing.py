@@ -1,10 +1,11 @@
 """Trial packing and repair planning.
 
-Packing is sequential within a sheet and parallel over sheets: a sheet's sprites are one bounded group.
+Packing is sequential within a sheet, however large, and parallel over sheets; the trial pack alone leaves large sheets out.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,36 +23,33 @@ def candidate_bins(most: int = 4096) -> list[tuple[int, int]]:
 
 def place_all(sizes: list[tuple[int, int]], width: int, height: int) -> tuple[list[tuple[int, int] | None], int]:
     """Best short-side fit into free maximal rectangles, in the given order. Positions (None: no room) and how many fit."""
-    free = [(0, 0, width, height)]
+    free = np.array([(0, 0, width, height)], np.int64)
     out: list[tuple[int, int] | None] = []
     for w, h in sizes:
-        fits = [(min(fw - w, fh - h), max(fw - w, fh - h), y, x) for x, y, fw, fh in free if fw >= w and fh >= h]
-        if not fits:
+        room = free[(free[:, 2] >= w) & (free[:, 3] >= h)]
+        if not len(room):
             out.append(None)
             continue
-        _, _, y, x = min(fits)
+        spare_w, spare_h = room[:, 2] - w, room[:, 3] - h
+        x, y = room[np.lexsort((room[:, 0], room[:, 1], np.maximum(spare_w, spare_h), np.minimum(spare_w, spare_h)))[0], :2].tolist()
         out.append((x, y))
-        cut = []
-        for fx, fy, fw, fh in free:
-            if x >= fx + fw or x + w <= fx or y >= fy + fh or y + h <= fy:
-                cut.append((fx, fy, fw, fh))
-                continue
-            if x > fx:
-                cut.append((fx, fy, x - fx, fh))
-            if x + w < fx + fw:
-                cut.append((x + w, fy, fx + fw - x - w, fh))
-            if y > fy:
-                cut.append((fx, fy, fw, y - fy))
-            if y + h < fy + fh:
-                cut.append((fx, y + h, fw, fy + fh - y - h))
-        cut = list(dict.fromkeys(cut))
-        free = [a for a in cut if not any(a != b and a[0] >= b[0] and a[1] >= b[1] and a[0] + a[2] <= b[0] + b[2] and a[1] + a[3] <= b[1] + b[3] for b in cut)]
+        fx, fy, fw, fh = free.T
+        met = (x < fx + fw) & (x + w > fx) & (y < fy + fh) & (y + h > fy)
+        fx, fy, fw, fh = free[met].T
+        parts = [(fx, fy, x - fx, fh), (0 * fx + x + w, fy, fx + fw - x - w, fh), (fx, fy, fw, y - fy), (fx, 0 * fy + y + h, fw, fy + fh - y - h)]
+        new = np.concatenate([np.stack(p, axis=1) for p in parts])
+        new = np.unique(new[(new[:, 2] > 0) & (new[:, 3] > 0)], axis=0)
+        free = np.concatenate([free[~met], new])
+        # only new rectangles can lie in others
+        a, b = new[:, None, :], free[None, :, :]
+        inside = (a[..., 0] >= b[..., 0]) & (a[..., 1] >= b[..., 1]) & (a[..., 0] + a[..., 2] <= b[..., 0] + b[..., 2]) & (a[..., 1] + a[..., 3] <= b[..., 1] + b[..., 3]) & (a != b).any(axis=2)
+        free = np.concatenate([free[: len(free) - len(new)], new[~inside.any(axis=1)]])
     return out, sum(p is not None for p in out)
 
 
-def pack(sprites: DataFrame, most: int = 4096, most_sprites: int = MAX_SPRITES) -> DataFrame:
+def pack(sprites: DataFrame, most: int = 4096, most_sprites: int | None = None) -> DataFrame:
     """asset_ref, sprite_idx, bin, bin_w, bin_h, x, y: each sheet's sprites, largest first, in its smallest bin; what doesn't fit the
-    largest goes on to further ones, and an item larger than that gets a bin of its own."""
+    largest goes on to further ones, and an item larger than that gets a bin of its own. Sheets of over most_sprites, if given, are left out."""
     bins = candidate_bins(most)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -79,11 +77,13 @@ def pack(sprites: DataFrame, most: int = 4096, most_sprites: int = MAX_SPRITES)
             number += 1
         return pd.DataFrame(rows, columns=["asset_ref", "sprite_idx", "bin", "bin_w", "bin_h", "x", "y"])
 
-    counts = sprites.groupBy("asset_ref").count().filter(F.col("count") <= most_sprites).select("asset_ref")
+    s = sprites
+    if most_sprites is not None:
+        s = s.join(s.groupBy("asset_ref").count().filter(F.col("count") <= most_sprites).select("asset_ref"), "asset_ref", "left_semi")
     schema = StructType().add("asset_ref", sprites.schema["asset_ref"].dataType)
     for c in ("sprite_idx", "bin", "bin_w", "bin_h", "x", "y"):
         schema = schema.add(c, "long")
-    s = sprites.join(counts, "asset_ref", "left_semi").filter("w > 0 and h > 0").select("asset_ref", "sprite_idx", "w", "h")
+    s = s.filter("w > 0 and h > 0").select("asset_ref", "sprite_idx", "w", "h")
     return s.groupBy("asset_ref").applyInPandas(one, schema)
 
 

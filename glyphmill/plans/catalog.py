@@ -54,7 +54,7 @@ _add("r13_bleeding", lambda s: R.bleeding(s, R.DEFAULT.replace(bleed_info=1, ble
 GAPS = f"""{PLACES}, g AS (SELECT a.asset_ref, a.p, min(least(CASE WHEN b.y < a.y + a.h AND a.y < b.y + b.h AND b.x - a.x - a.w >= 0 THEN b.x - a.x - a.w END, CASE WHEN b.x < a.x + a.w AND a.x < b.x + b.w AND b.y - a.y - a.h >= 0 THEN b.y - a.y - a.h END)) AS gap
 FROM p a JOIN p b ON a.asset_ref = b.asset_ref AND a.p <> b.p GROUP BY 1, 2)"""
 _add("r14_excessive_gutter", lambda s: R.excessive_gutter(s, R.DEFAULT.replace(gutter_gaps=2)), "grid_sprites", f"WITH {GAPS} SELECT asset_ref, count(*) AS gaps, quantile_disc(gap, 0.5)::BIGINT AS median, 'info' AS severity FROM g WHERE gap IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND quantile_disc(gap, 0.5) >= 8")
-_add("r15_repack_opportunity", lambda s, a, i: R.repack_opportunity(a, X.packed_sizes(X.pack(s)), i), "sprites atlases atlas_images")
+_add("r15_repack_opportunity", lambda s, a, i: R.repack_opportunity(a, X.packed_sizes(X.pack(s, most_sprites=X.MAX_SPRITES)), i), "sprites atlases atlas_images")
 
 
 def _refs(sprites: DataFrame) -> DataFrame:
