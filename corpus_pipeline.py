@@ -41,7 +41,7 @@ STAGES = [
     ("mixing sources to target weights", source_mixing),
     ("token-ID / binary output", token_files),
 ]
-#: The classifier and the token files can't be told in SQL; the tests hold run() against brute force.
+#: The classifier and the token files can't be told in SQL. Operators are tested one by one; no test holds run() as a whole against brute force.
 ORACLE_SQL = None
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Words, mix, shingle_hashes, slices, text_or_empty, written
@@ -150,16 +150,29 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999
     an equal set; n_links: other documents linked. Null and empty texts, and texts of white space, have no shingles:
     they link to nothing and are classes of their own. A null doc_id counts as larger than any other; a class of such alone has class_id null.
     """
-    spark = docs.sparkSession
+    measured, s = _classes(docs, similarity, recall, width, text, doc_id, limit, depth)
+    some = measured.filter("n > 0").select("doc_id", "sid", "n").join(s, "sid")
+    none = measured.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return some.select("doc_id", "class_id", "set_id", F.col("n").alias("n_shingles"), F.col("m").alias("n_copies"), (F.col("m") - 1 + F.col("links")).cast("long").alias("n_links")).unionByName(none)
+
+
+def _row(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The name of a row: a hash of its doc_id, null or not, and its text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), text_or_empty(text))
+
+
+def _classes(docs: DataFrame, similarity: float, recall: float = 0.999, width: int = 5, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, sid, n, mins, row), and shingle sets (sid, set_id, class_id, label, m, links, first: its first row by doc_id, nulls last)."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             name, size, mins = sets_of(b.column(1), width)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name.view(np.int64)), pa.array(size), pa.array([m.tobytes() for m in mins], pa.binary())], names=["doc_id", "sid", "n", "mins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name.view(np.int64)), pa.array(size), pa.array([m.tobytes() for m in mins], pa.binary()), b.column(2)], names=["doc_id", "sid", "n", "mins", "row"])
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    measured = written(d.mapInArrow(measure, "doc_id long, sid long, n long, mins binary"), "measured")
-    sets = written(measured.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("m"), F.min("mins").alias("mins")), "sets")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), _row(doc_id, text).alias("row"))
+    measured = written(d.mapInArrow(measure, "doc_id long, sid long, n long, mins binary, row long"), "measured")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    sets = written(measured.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("set_id"), first, F.count("*").alias("m"), F.min("mins").alias("mins")), "sets")
 
     edges = chosen_path_edges(sets, similarity, recall, limit, depth)
     groups = written(connected_components(edges), "groups")
@@ -167,12 +180,9 @@ def jaccard_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.999
     by_set = links.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = connected_components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")).filter("a <> b"))
 
-    s = sets.select("sid", "set_id", "m").join(by_set, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    s = sets.select("sid", "set_id", "first", "m").join(by_set, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     lowest = s.groupBy("label").agg(F.min("set_id").alias("class_id"))
-    s = s.join(lowest, "label").select("sid", "set_id", "class_id", "m", F.coalesce("links", F.lit(0)).alias("links"))
-    some = measured.filter("n > 0").select("doc_id", "sid", "n").join(s, "sid")
-    none = measured.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("set_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return some.select("doc_id", "class_id", "set_id", F.col("n").alias("n_shingles"), F.col("m").alias("n_copies"), (F.col("m") - 1 + F.col("links")).cast("long").alias("n_links")).unionByName(none)
+    return measured, s.join(lowest, "label").select("sid", "set_id", "class_id", "label", "m", F.coalesce("links", F.lit(0)).alias("links"), "first")
 
 
 def chosen_path_edges(sets: DataFrame, similarity: float, recall: float, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
@@ -235,18 +245,19 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, similari
     smallest set it is connected to. A group of g sets has g / block blocks; each set goes to as many pairs of blocks."""
     size = groups.groupBy("label").count()
     members = groups.join(size, "label").select(F.col("node").alias("sid"), "label", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = members.join(sets.select("sid", "set_id", "m"), "sid").filter("set_id is not null")
+    members = members.join(sets.select("sid", F.col("first.row").alias("row"), "m"), "sid")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             h, off = shingle_hashes(Words(b.column(1)), width)
             h = [np.unique(h[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
             name = [int(mix(np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]) for x in h]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "own", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())], names=["row", "sid", "shingles"])
 
-    wanted = members.select(F.col("set_id").alias("doc_id")).distinct()
-    full = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(shingles, "doc_id long, own long, shingles binary").dropDuplicates(["doc_id", "own"])
-    full = members.join(full, (members["set_id"] == full["doc_id"]) & (members["sid"] == full["own"])).select("sid", "label", "blocks", "m", "shingles")
+    # each set is asked of one row, whether that has a doc_id or not
+    wanted = members.select("row").distinct()
+    full = docs.join(wanted, "row", "left_semi").select("row", "text").mapInArrow(shingles, "row long, sid long, shingles binary").dropDuplicates(["sid"])
+    full = members.join(full.drop("row"), "sid").select("sid", "label", "blocks", "m", "shingles")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     dealt = full.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "sid", "m", "shingles")
@@ -262,12 +273,13 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, similari
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents, with their columns, one of each class of near duplicates: that with the smallest doc_id. Rows
-    without a doc_id, and texts without words, stay; of rows with equal ids, one of each text stays."""
-    from pyspark.sql import Window
-
-    found = jaccard_join(docs, similarity, text=text, doc_id=doc_id, **options)
-    keep = found.filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    d = docs.filter(F.col(doc_id).isNotNull()).join(keep, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi")
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id).orderBy(text))).filter("_nth = 1").drop("_nth")
-    return d.unionByName(docs.filter(F.col(doc_id).isNull()))
+    """The documents, with their columns, one of each class of near duplicates: that with the smallest doc_id, a null one
+    counting as larger than any other. Texts without words stay; of rows with equal ids and such texts, one of each text."""
+    _, sets = _classes(docs, similarity, text=text, doc_id=doc_id, **options)
+    keep = sets.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    d = docs.withColumn("_row", _row(doc_id, text))
+    words = text_or_empty(text).rlike(r"[^\x20\x09-\x0D]")
+    some = d.filter(words).join(keep, "_row", "left_semi").dropDuplicates(["_row"])
+    none = d.filter(~words & F.col(doc_id).isNotNull()).dropDuplicates(["_row"])
+    unnamed = d.filter(~words & F.col(doc_id).isNull())
+    return some.unionByName(none).unionByName(unnamed).drop("_row").select(*docs.columns)

@@ -110,6 +110,26 @@ def test_near_duplicates_of_a_large_group(spark):
         assert got[i].n_links == want and got[i].class_id == (0 if i < 120 else i)
 
 
+def test_one_of_each_class_stays_whatever_its_ids(spark):
+    near = lambda seed, at: edited(seed, [(at, "x")]) + " " + passage(seed + 1, 100)
+    rows = [(1, passage(8000, 60)), (2, near(8100, 4)), (2, passage(8200, 70)), (2, passage(8000, 60)), (3, near(8300, 4)), (3, near(8300, 40)), (4, near(8400, 4)), (4, near(8100, 9))]
+    rows += [(None, near(8500, 4)), (None, near(8500, 30)), (None, near(8400, 30)), (None, passage(8600, 60)), (None, passage(8600, 60)), (5, ""), (5, ""), (None, " "), (None, " "), (6, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long")
+    sets, label = [set(shingles(t)) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    links = [sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in enumerate(sets) if i != j) if sets[i] else 0 for i in range(len(rows))]
+    assert sorted((r.n_links, r.doc_id or 0) for r in jaccard_join.jaccard_join(df).collect()) == sorted((k, r[0] or 0) for k, r in zip(links, rows, strict=True))
+    got = jaccard_join.one_of_each(df).collect()
+    some = [r for r in got if sets[r.n]]
+    assert Counter(label[r.n] for r in some) == Counter({label[i] for i in range(len(rows)) if sets[i]})
+    order = lambda d: (d is None, d or 0)
+    assert all(order(r.doc_id) == min(order(rows[i][0]) for i in range(len(rows)) if label[i] == label[r.n]) for r in some)
+    assert sorted((r.doc_id or 0, r.text or "") for r in got if not sets[r.n]) == [(0, " "), (0, " "), (5, ""), (6, "")]
+
+
 def test_blocks_of_a_group_give_the_same_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 12, 10)).astype(np.uint64) for _ in range(30)]
