@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +35,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None, replaces: Iterable[DataFrame] = ()) -> DataFrame:
     """Write to a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Spark drops the write's shuffle files as it ends; else they stay on disk until the driver collects garbage.
+    Spark drops the write's shuffle files as it ends; else they stay on disk until the driver collects garbage. replaces:
+    tables written before that nothing reads any longer; they are deleted once this one stands.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -49,7 +50,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
         (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in replaces:
+        store, at = open_store(old.written_to)
+        store.delete_dir(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
