@@ -125,7 +125,7 @@ def _powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inv" if inverse else "pow"
     have = _POWERS.get(key)
     if have is None or len(have) < n:
-        size = -(-n // (1 << 18)) << 18
+        size = max(1, -(-n // (1 << 18))) << 18
         p = np.full(size, _INV if inverse else _BASE, dtype=np.uint64)
         p[0] = 1
         _POWERS[key] = have = np.multiply.accumulate(p)

@@ -183,9 +183,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
             for k in np.unique(shard).tolist():
                 part = table.filter(pa.array(shard == k)).combine_chunks()
                 t, start, regions = merged_regions(part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_pylist())
-                for a in range(0, len(regions), 30_000):  # separators need a symbol each
-                    if a:
-                        raise ValueError("a shard holds too many regions")
                 got = repeated_in(regions, length)
                 yield pa.RecordBatch.from_arrays([pa.array([t[r] for r, _, _ in got], pa.int64()), pa.array([start[r] + s for r, s, _ in got], pa.int32()), pa.array([start[r] + e for r, _, e in got], pa.int32())], names=["t", "s", "e"])
         release()
@@ -246,11 +243,11 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
     while True:
         rows = open_.select("t", "start", "left", "context", "open", "quarter").mapInArrow(split, "key long, full long, t long, start int, left int, lo int, hi int, s int, e int, quarter int")
         rows = written(rows, "ranges")
-        full = rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("first"))
-        several = full.groupBy("key").agg((F.count("*") > 1).alias("mixed"), F.sum("n").alias("all")).filter("all > 1").select("key", "mixed")
-        met = written(rows.join(full.join(several, "key").filter("n > 1 or mixed"), ["key", "full"]), "ranges-met")
-        marks = marks.unionByName(met.filter("n > 1").select("t", "s", "e"))
-        mixed = met.filter("mixed and lo < hi").filter(F.struct(*own) == F.col("first"))
+        full = written(rows.groupBy("key", "full").agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("first"), F.min("lo").alias("lo"), F.min("hi").alias("hi")), "range-classes")
+        repeated = full.filter("n > 1").select("key", "full")
+        marks = marks.unionByName(written(rows.join(repeated, ["key", "full"]).select("t", "s", "e"), "range-marks", replaces=[rows]))
+        several = full.groupBy("key").count().filter("count > 1").select("key")
+        mixed = full.filter("lo < hi").join(several, "key").select("first.*", "lo", "hi")
         if mixed.isEmpty():
             return marks
         open_ = contexts.join(mixed.groupBy(*own).agg(F.collect_list(F.struct("lo", "hi")).alias("open")), own)

@@ -12,14 +12,17 @@ import numpy as np
 
 
 def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array by prefix doubling, with the ranks of each doubled length. symbols: int64 below 2^15, the last one unique."""
+    """Suffix array by prefix doubling, with the ranks of each doubled length. symbols: int64, the last one unique; those below 2^15 start four at once."""
     n = len(symbols)
     if n == 0:
         return np.zeros(0, np.int64), []
     s = np.zeros(n + 3, np.int64)
     s[:n] = symbols + 1
-    rank, h = _dense_sort((s[:n] << 48) | (s[1 : n + 1] << 32) | (s[2 : n + 2] << 16) | s[3:]), 4
-    ranks = [(4, rank)]
+    if int(symbols.max()) >= (1 << 15) - 1:
+        rank, h = _dense_sort(s[:n]), 1
+    else:
+        rank, h = _dense_sort((s[:n] << 48) | (s[1 : n + 1] << 32) | (s[2 : n + 2] << 16) | s[3:]), 4
+    ranks = [(h, rank)]
     if int(rank.max()) == n - 1:
         return np.argsort(rank), ranks
     while True:

@@ -442,39 +442,81 @@ def test_base_score_and_counts(docs, rows):
     assert ppm.score(docs, folds=1, fold=0).filter("train_tokens = 0 and n_known = 0").count() == len(rows)
 
 
-def test_trie_equals_ppm_by_the_book():
-    rng = np.random.default_rng(1)
-    words = ["".join(rng.choice(list("abcé"), rng.integers(1, 7))) for _ in range(60)]
-    counts, order = rng.integers(1, 9, 60), 3
-    t = ppm.Trie.of([(k, n) for _, k, n in ppm.count_contexts(pa.array(words), counts, order)])
+def test_whole_texts_score_as_ppm_by_the_book(docs, rows):
+    order = ppm.ORDER
+    streams = []  # doc_id, class, its tokens as symbols after a start mark, whether it is in training
+    for i, text, lang, *_ in rows:
+        tokens = [[*w.encode(), ppm.WORD_END] for w in re.split(r"[\x20\x09-\x0D]+", lower(text or "")) if w] + [[ppm.DOC_END]]
+        streams.append((i, lang or "", tokens, fold(i, 7) != 2))
     table = defaultdict(Counter)
-    for w, n in zip(words, counts.tolist(), strict=True):
-        s = [ppm.START, *w.encode(), ppm.WORD_END]
-        for j in range(1, len(s)):
-            for k in range(min(order, j) + 1):
-                table[tuple(s[j - k : j])][s[j]] += n
-
-    def by_the_book(w):
-        s, total = [ppm.START, *w.encode(), ppm.WORD_END], 0.0
-        for j in range(1, len(s)):
-            out, p = set(), 1.0
-            for k in range(min(order, j), -1, -1):
-                left = {a: n for a, n in table.get(tuple(s[j - k : j]), {}).items() if a not in out}
-                if not left:
-                    continue
-                total_n, kinds = sum(left.values()), len(left)
-                if s[j] in left:
-                    p *= left[s[j]] / (total_n + kinds)
-                    break
-                p *= kinds / (total_n + kinds)
-                out |= set(left)
-            else:
-                p /= ppm.ALPHABET - len(out)
-            total += math.log10(p)
-        return total
-
-    test = [*words, "zzz", "abcabcabc", "é", "aaaaaaaaaaaa"]
-    assert np.allclose(t.score(pa.array(test)), [by_the_book(w) for w in test])
+    for _, lang, tokens, training in streams:
+        for t in tokens if training else []:
+            s = [("start", lang), *t]
+            for j in range(1, len(s)):
+                for k in range(min(order, j) + 1):
+                    table[tuple(s[j - k : j])][s[j]] += 1
+
+    def cost(s, j):
+        out, p = set(), 1.0
+        for k in range(min(order, j), -1, -1):
+            left = {a: n for a, n in table.get(tuple(s[j - k : j]), {}).items() if a not in out}
+            if not left:
+                continue
+            total, kinds = sum(left.values()), len(left)
+            if s[j] in left:
+                return math.log10(p * left[s[j]] / (total + kinds))
+            p *= kinds / (total + kinds)
+            out |= set(left)
+        return math.log10(p / (ppm.ALPHABET - len(out)))
+
+    texts = Counter(lang for _, lang, _, training in streams if training)
+    want = []
+    for i, lang, tokens, _ in streams:
+        score = math.log10((texts[lang] + 1) / (sum(texts.values()) + ppm.MAX_CLASSES))
+        want.append((i, round(score + sum(cost([("start", lang), *t], j) for t in tokens for j in range(1, len(t) + 1)), 6)))
+    for most in (ppm.MAX_PAIRS, 0):  # in every task, and by a join
+        assert sorted(((r.doc_id, round(r.score, 6)) for r in ppm.score(docs, most=most).collect()), key=key) == sorted(want, key=key)
+
+
+def test_symbols_after_a_context_add_up_to_one():
+    rng = np.random.default_rng(1)
+    words = pa.array(["".join(rng.choice(list("abcé"), rng.integers(1, 7))) for _ in range(60)])
+    pair, _, n = ppm.pairs_of(words, rng.integers(1, 9, 60), np.zeros(60, np.int64), 3)
+    u, where = np.unique(pair, return_inverse=True)
+    n = np.bincount(where, n)
+    for context in np.unique(u >> 9)[:20]:
+        every = np.union1d(u, (context << 9) | np.arange(1, ppm.ALPHABET + 1))
+        c = np.zeros(len(every), np.int64)
+        c[np.searchsorted(every, u)] = n
+        p = ppm.log_probability(every, c, ppm.dense(u, n), 3)
+        assert abs((10 ** p[every >> 9 == context]).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("piece", [3, 400])
+def test_edited_passages_against_brute_force(spark, piece):
+    rng, rows = random.Random(5), []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for _ in range(6):
+        core = some(70)
+        for _ in range(10):
+            edited = list(core)
+            for at in rng.sample(range(70), 2):
+                edited[at] = rng.choice(vocabulary)
+            rows.append(some(rng.randrange(40)) + edited + some(rng.randrange(40)))
+    phrase = some(14)  # many share it, but no passage
+    rows += [some(60) + phrase + some(60) for _ in range(20)]
+    windows = []
+    for words in rows:
+        s = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        windows.append([frozenset(s[i : i + 46]) for i in range(len(s) - 45)])
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if a // 10 == b // 10 and any(len(x & y) >= 0.8 * len(x | y) for x in windows[a] for y in windows[b])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    classes = defaultdict(set)
+    for r in compact_windows.near_duplicate_passages(docs, piece=piece).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert set().union(*classes.values()) <= {x for p in pairs for x in p}
+    assert sum(any({a, b} <= c for c in classes.values()) for a, b in pairs) >= 0.95 * len(pairs)
 
 
 # ---------------------------------------------------------------- all
