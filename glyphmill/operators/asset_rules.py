@@ -156,17 +156,23 @@ def repack_opportunity(atlases: DataFrame, packed: DataFrame, images: DataFrame,
     return p.filter(before - after >= t.repack_saved).select("asset_ref", (before - after).alias("vram_saved"), F.when(after * 2 <= before, "warn").otherwise("info").alias("severity"))
 
 
-def unreferenced_regions(sprites: DataFrame, refs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """refs: asset_ref, kind (name or prefix), value. Regions that no name and no prefix with digits behind it stands for, on
-    sheets where at least a share is matched."""
-    names = refs.filter("kind = 'name'").select("asset_ref", F.col("value").alias("name")).distinct()
-    prefixes = refs.filter("kind = 'prefix'").select("asset_ref", F.regexp_replace("value", r"([\\.\[\]{}()*+?^$|])", r"\\$1").alias("prefix")).distinct()
-    s = sprites.join(refs.select("asset_ref").distinct(), "asset_ref", "left_semi")
-    dead = s.join(names, ["asset_ref", "name"], "left_anti")
-    p = prefixes.withColumnRenamed("asset_ref", "pref")
-    dead = dead.join(p, (F.col("asset_ref") == F.col("pref")) & F.regexp_like("name", F.concat(F.lit("^"), F.col("prefix"), F.lit("[0-9]+$"))), "left_anti")
-    n = s.groupBy("asset_ref").agg(F.count("*").alias("n")).join(dead.groupBy("asset_ref").agg(F.count("*").alias("dead"), F.sum(F.col("w").cast("long") * F.col("h")).alias("area")), "asset_ref")
-    return n.filter((F.col("n") - F.col("dead")) / F.col("n") >= t.matched_share).select("asset_ref", "dead", "area", F.lit("info").alias("severity"))
+def unreferenced_regions(sprites: DataFrame, pages: DataFrame, refs: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """pages: file, asset_ref, the sheets of a skeleton's atlas file. refs: file, kind (name or prefix), value. For each sheet the regions
+    that no name and no prefix with digits behind it stands for: distinct names, and the area of their distinct rectangles; where at
+    least a share of the distinct names of the whole file is matched."""
+    names = sprites.join(pages, "asset_ref").select("file", "name").distinct()
+    exact = names.join(refs.filter("kind = 'name'").select("file", F.col("value").alias("name")), ["file", "name"], "left_semi")
+    digits = F.length(F.regexp_extract("name", "[0-9]+$", 0))
+    cut = names.withColumn("digits", digits).filter("digits > 0").withColumn("drop", F.explode(F.sequence(F.lit(1), F.col("digits"))))
+    cut = cut.withColumn("value", F.expr("left(name, length(name) - drop)"))
+    behind = cut.join(refs.filter("kind = 'prefix'").select("file", "value"), ["file", "value"], "left_semi").select("file", "name")
+    matched = exact.unionByName(behind).distinct()
+    trusted = names.join(matched.withColumn("hit", F.lit(1)), ["file", "name"], "left").groupBy("file").agg((F.count("hit") / F.count("*")).alias("share")).filter(F.col("share") >= t.matched_share).select("file")
+    dead = sprites.join(pages, "asset_ref").join(trusted, "file", "left_semi").join(matched, ["file", "name"], "left_anti")
+    counts = dead.groupBy("file", "asset_ref").agg(F.count_distinct("name").alias("dead"))
+    rects = dead.filter("w > 0 and h > 0").select("file", "asset_ref", "x", "y", "w", "h").distinct()
+    area = rects.groupBy("file", "asset_ref").agg(F.sum(F.col("w").cast("long") * F.col("h")).alias("area"))
+    return counts.join(area, ["file", "asset_ref"], "left").select("asset_ref", "dead", F.coalesce("area", F.lit(0)).alias("area"), F.lit("info").alias("severity"))
 
 
 def dimension_mismatch(atlases: DataFrame, images: DataFrame, sprites: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

@@ -94,17 +94,17 @@ def components(pairs: DataFrame) -> DataFrame:
 def should_atlas(images: DataFrame, features: DataFrame | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """One row if the folder has many small loose images, files and logical images alike."""
     small = images.filter(F.greatest("w", "h") <= t.small)
-    n = small.agg(F.count("*").alias("files"), F.count_distinct(S.stem_of(F.col("path"))).alias("logical"))
+    n = small.agg(F.count("*").alias("files")).crossJoin(variant_groups(small).agg(F.count("*").alias("logical")))
     return n.filter((F.col("files") >= t.small_count) & (F.col("logical") >= t.small_count))
 
 
 def atlas_merge(sprites: DataFrame, atlases: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Sparse sheets of one scale (the largest group, the first among equals) that fit fewer sheets."""
+    """Sparse sheets of one scale (the largest group, the first among equals) that fit fewer sheets as large as the largest edge of them."""
     o = atlas_occupancy(sprites, atlases).filter(F.col("source_kind").isin("texturepacker-hash", "texturepacker-array", "pixi") & (F.col("occ") < t.merge_occupancy))
-    g = o.groupBy("scale").agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.sum("area").alias("area"), F.min("asset_ref").alias("first"))
-    best = g.orderBy(F.desc("n"), "first").limit(1)
-    merged = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("used") / F.lit(t.merge_side * t.merge_side * t.merge_fill)))
-    saved = F.col("area") * 4 - merged * t.merge_side * t.merge_side * 4
+    g = o.groupBy("scale").agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.sum("area").alias("area"), F.min("asset_ref").alias("first"), F.max(F.greatest("decl_w", "decl_h")).cast("long").alias("side"))
+    best = g.orderBy(F.desc("n"), "first").limit(1).filter("n >= 2")
+    merged = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("used") / (F.col("side") * F.col("side") * t.merge_fill)))
+    saved = F.col("area") * 4 - merged * F.col("side") * F.col("side") * 4
     return best.withColumn("merged", merged).filter("merged < n").select("scale", "n", "merged", F.when(saved > 0, saved).alias("vram_saved"))
 
 
@@ -145,10 +145,13 @@ def format_siblings(images: DataFrame) -> DataFrame:
     return s.groupBy("stem", "w", "h").agg(F.count_distinct("mime").alias("mimes"), F.count("*").alias("n")).filter("mimes > 1")
 
 
-def redundant_formats(images: DataFrame, best: str = "image/webp") -> DataFrame:
-    """Images that a sibling in the best format makes redundant."""
-    s = images.filter(~S.has_resolution_token(F.col("path"))).withColumn("stem", S.stem_of(F.col("path")))
-    return s.filter(F.col("mime") != best).join(s.filter(F.col("mime") == best).select("stem", "w", "h"), ["stem", "w", "h"], "left_semi").select("asset_ref", "mime")
+def redundant_formats(images: DataFrame, formats: DataFrame) -> DataFrame:
+    """formats: asset_ref, target_mime, the format findings. Those whose target a sibling of one stem and size has already."""
+    s = images.filter(~S.has_resolution_token(F.col("path"))).select("asset_ref", S.stem_of(F.col("path")).alias("stem"), "w", "h", "mime")
+    clusters = s.select("stem", "w", "h", "mime").distinct()
+    several = clusters.groupBy("stem", "w", "h").count().filter("count > 1").select("stem", "w", "h")
+    asked = formats.select("asset_ref", "target_mime").join(s.drop("mime"), "asset_ref").join(several, ["stem", "w", "h"], "left_semi")
+    return asked.join(clusters.withColumnRenamed("mime", "target_mime"), ["stem", "w", "h", "target_mime"], "left_semi").select("asset_ref", "target_mime")
 
 
 def loose_in_atlas(features: DataFrame, sprites: DataFrame) -> DataFrame:

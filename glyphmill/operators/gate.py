@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 SEVERITY_RANK = "case severity when 'crit' then 0 when 'warn' then 1 when 'info' then 2 else 3 end"
 
 
-def global_metrics(totals: DataFrame, findings: DataFrame) -> DataFrame:
-    """metric, value in long form; a null value isn't measured."""
-    n = findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("crit", "warn", "info")], F.count("*").alias("findings"))
-    t = totals.select(F.col("disk").alias("totalDisk"), F.col("vram").alias("totalVram"), F.col("vram_mipmapped").alias("totalVramMipmapped"), F.col("loaded").alias("loadedVram"), F.col("loaded_textures").alias("loadedTextures")).crossJoin(n)
-    return t.unpivot([], t.columns, "metric", "value")
+# fixed values: rules that have a metric of their own
+RULES = ("occupancy", "wasted-regions", "format", "dimensions-npot", "dimensions-oversize", "duplicate-exact", "duplicate-similar", "should-atlas", "atlas-merge", "integrity-missing-image", "variants")
+
+
+def global_metrics(totals: DataFrame, findings: DataFrame, saved: DataFrame, assets: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
+    """metric, value in long form. saved: one row, potential; assets: a row for each texture, each of which takes a draw call at least."""
+    n = findings.agg(*[F.count_if(F.col("severity") == s).alias(f"findings.{s}") for s in ("crit", "warn", "info")], F.count("*").alias("findings.total"), *[F.count_if(F.col("rule") == r).alias(f"findings.{r}") for r in rules])
+    t = totals.select(F.col("disk").alias("totals.diskBytes"), F.col("vram").alias("totals.vramBytes"), F.col("loaded").alias("totals.loadedVramBytes"))
+    t = t.crossJoin(saved.select(F.col("potential").cast("long").alias("totals.potentialDiskSaved"))).crossJoin(assets.agg(F.count("*").alias("drawCallsLowerBound"))).crossJoin(n)
+    return t.unpivot([], [F.col(f"`{c}`") for c in t.columns], "metric", "value")
 
 
 def asset_metrics(metrics: DataFrame) -> DataFrame:

@@ -53,19 +53,22 @@ def session_reports(frames: DataFrame, warm_up: int = WARM_UP, window: int = WIN
 
 
 def hitches(frames: DataFrame, most: int = 20, warm_up: int = WARM_UP, window: int = WINDOW_FRAMES) -> DataFrame:
-    """Frames over twice the median and 16 ms, with their cause; the first of each session."""
+    """Frames over twice the median (above 0) and 16 ms, with their cause, an upload before a compile; the first of each session."""
     f = window_frames(frames, window).filter(F.col("nth") > warm_up)
-    slow = f.join(session_reports(frames, warm_up, window).select("session", "median"), "session").filter((F.col("dt") > 2 * F.col("median")) & (F.col("dt") > 16))
-    cause = F.when((F.col("uploads") > 0) & (F.col("compiles") > 0), "upload+shader").when(F.col("uploads") > 0, "upload").when(F.col("compiles") > 0, "shader").otherwise("unknown")
+    slow = f.join(session_reports(frames, warm_up, window).select("session", "median"), "session").filter((F.col("median") > 0) & (F.col("dt") > 2 * F.col("median")) & (F.col("dt") > 16))
+    cause = F.when(F.col("uploads") > 0, "texture upload").when(F.col("compiles") > 0, "shader compile").otherwise("cpu/gpu spike")
     w = Window.partitionBy("session").orderBy("seq")
     return slow.withColumns({"cause": cause, "place": F.row_number().over(w)}).filter(F.col("place") <= most).select("session", "seq", "dt", "cause", "place")
 
 
 def batching(static: DataFrame, reports: DataFrame) -> DataFrame:
-    """static: one row with atlases, loose. Sessions that draw far more than the sheets need."""
-    ideal = F.when(F.col("loose") == 0, F.col("atlases") + 1).otherwise(F.greatest(F.lit(2).cast("long"), F.ceil(F.col("atlases") / 2)))
+    """static: one row with atlases, loose (images that should be packed; 0: no such finding) and mergeable (whether sheets should be
+    merged). Sessions of fragmented assets whose most draws of a frame are over 50, or 4 and over three times the ideal."""
+    ideal = F.when(F.col("loose") > 0, F.col("atlases") + 1).otherwise(F.greatest(F.lit(2).cast("long"), F.ceil(F.col("atlases") / 2)))
     s = reports.crossJoin(F.broadcast(static)).withColumn("ideal", ideal)
-    return s.filter((F.col("avg_draws") > 50) | ((F.col("avg_draws") >= 4) & (F.col("avg_draws") > 3 * F.col("ideal")))).select("session", "avg_draws", "ideal")
+    fragmented = (F.col("loose") > 0) | F.col("mergeable") | (F.col("atlases") >= 4)
+    many = (F.col("max_draws") > 50) | ((F.col("max_draws") >= 4) & (F.col("max_draws") > 3 * F.col("ideal")))
+    return s.filter(fragmented & many).select("session", "max_draws", "ideal")
 
 
 def live_vram(totals: DataFrame, live: DataFrame) -> DataFrame:
@@ -78,14 +81,17 @@ def hitch_costs(found: DataFrame) -> DataFrame:
 
 
 def redundant_state(reports: DataFrame) -> DataFrame:
-    per = F.col("redundant") / F.col("play_frames")
+    """Redundant binds of play over all frames of the window, above 5."""
+    per = F.try_divide(F.col("redundant"), F.col("frames"))
     return reports.filter(per > 5).select("session", per.alias("per_frame"))
 
 
 def premultiplied_blend(halo: DataFrame, blends: DataFrame) -> DataFrame:
-    """halo: one row, dark (images with dark fringes). blends: session, blend. What the two say together."""
-    out = F.when(F.col("dark") == 0, "none").when(F.col("blend").isNull() | (F.col("blend") == "mixed"), "inconclusive").when(F.col("blend") == "straight", "halo").otherwise("safe")
-    return blends.crossJoin(F.broadcast(halo)).select("session", out.alias("result"))
+    """halo: n, the images with dark fringes, a row if there is such a finding. blends: session, premultiplied, straight, unpacked (seen in
+    the capture). What the two say together; a session where nothing was seen has no row."""
+    both = F.col("straight") & F.col("premultiplied")
+    out = F.when(both, "inconclusive").when(F.col("straight"), "halo").when(F.col("premultiplied"), "safe").when(F.col("unpacked"), "inconclusive")
+    return blends.crossJoin(F.broadcast(halo.select("n"))).select("session", "n", out.alias("result")).filter("result is not null")
 
 
 def correlate_fix(pairs: DataFrame) -> DataFrame:

@@ -42,6 +42,9 @@ SQL: dict[str, str] = {
     "marking": """SELECT DISTINCT source AS bundle, CASE WHEN length(source) = 4 THEN 'eager' ELSE 'lazy' END AS availability FROM documents WHERE source <> 'src12'""",
     "frames": """SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(8 + event_id * 31 % 17 + CASE WHEN event_id % 41 = 0 THEN 60 ELSE 0 END AS DOUBLE) AS dt,
   event_id * 7 % 90 AS draws, event_id % 30 AS binds, event_id % 13 AS redundant, CASE WHEN event_id % 82 = 0 THEN 1 ELSE 0 END AS uploads, CASE WHEN event_id % 123 = 0 THEN 1 ELSE 0 END AS compiles FROM events""",
+    "siblings": """SELECT p_partkey AS asset_ref, concat('dir/pic', CAST(p_partkey // 4 AS STRING), CASE p_partkey % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.webp' WHEN 2 THEN '.avif' ELSE '_hd.png' END) AS path,
+  64 + p_partkey // 8 % 3 AS w, CASE WHEN p_partkey % 7 = 0 THEN 32 ELSE 64 END AS h, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/avif' ELSE 'image/png' END AS mime FROM part""",
+    "blends": """SELECT DISTINCT user_id AS session, user_id % 3 = 0 AS straight, user_id % 4 = 0 AS premultiplied, user_id % 5 = 0 AS unpacked FROM events""",
     "calls": """SELECT user_id AS session, event_type AS target, event_id AS seq, concat('t', CAST(event_id % 3 AS STRING)) AS texture FROM events""",
     "before": """SELECT concat('f', CAST(o_custkey % 700 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 0""",
     "after": """SELECT concat('f', CAST(o_custkey % 900 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 1""",

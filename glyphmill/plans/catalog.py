@@ -57,14 +57,20 @@ _add("r14_excessive_gutter", lambda s: R.excessive_gutter(s, R.DEFAULT.replace(g
 _add("r15_repack_opportunity", lambda s, a, i: R.repack_opportunity(a, X.packed_sizes(X.pack(s, most_sprites=X.MAX_SPRITES)), i), "sprites atlases atlas_images")
 
 
+def _pages(sprites: DataFrame) -> DataFrame:
+    return sprites.filter("asset_ref % 4 < 2").select(F.expr("asset_ref div 4").alias("file"), "asset_ref").distinct()
+
+
 def _refs(sprites: DataFrame) -> DataFrame:
-    r = sprites.filter("asset_ref % 4 < 2").select("asset_ref", "name").filter("cast(substr(name, 2) as int) % 3 <> 0")
-    return r.select("asset_ref", F.lit("name").alias("kind"), F.col("name").alias("value")).unionByName(r.filter("asset_ref % 4 = 0").select("asset_ref", F.lit("prefix").alias("kind"), F.substring("name", 1, 2).alias("value")))
+    r = sprites.filter("asset_ref % 4 < 2 and cast(substr(name, 2) as int) % 3 <> 0").select(F.expr("asset_ref div 4").alias("file"), "asset_ref", "name")
+    return r.select("file", F.lit("name").alias("kind"), F.col("name").alias("value")).unionByName(r.filter("asset_ref % 8 = 0").select("file", F.lit("prefix").alias("kind"), F.substring("name", 1, 2).alias("value")))
 
 
-_add("r16_unreferenced_regions", lambda s: R.unreferenced_regions(s, _refs(s)), "sprites", """WITH r AS (SELECT asset_ref, name FROM sprites WHERE asset_ref % 4 < 2 AND CAST(substr(name, 2) AS INT) % 3 <> 0),
-s AS (SELECT *, NOT EXISTS (SELECT 1 FROM r WHERE r.asset_ref = s.asset_ref AND r.name = s.name) AND NOT EXISTS (SELECT 1 FROM r WHERE r.asset_ref = s.asset_ref AND r.asset_ref % 4 = 0 AND regexp_matches(s.name, concat('^', substr(r.name, 1, 2), '[0-9]+$'))) AS dead FROM sprites s WHERE asset_ref IN (SELECT asset_ref FROM r))
-SELECT asset_ref, sum(dead::INT)::BIGINT AS dead, sum(CASE WHEN dead THEN w * h END)::BIGINT AS area, 'info' AS severity FROM s GROUP BY 1 HAVING sum(dead::INT) > 0 AND (count(*) - sum(dead::INT)) / count(*) >= 0.5""")
+_add("r16_unreferenced_regions", lambda s: R.unreferenced_regions(s, _pages(s), _refs(s)), "sprites", """WITH p AS (SELECT *, asset_ref // 4 AS file FROM sprites WHERE asset_ref % 4 < 2), r AS (SELECT * FROM p WHERE CAST(substr(name, 2) AS INT) % 3 <> 0),
+n AS (SELECT DISTINCT file, name FROM p), m AS (SELECT file, name, (EXISTS (SELECT 1 FROM r WHERE r.file = n.file AND r.name = n.name) OR EXISTS (SELECT 1 FROM r WHERE r.file = n.file AND r.asset_ref % 8 = 0 AND regexp_matches(n.name, concat('^', substr(r.name, 1, 2), '[0-9]+$')))) AS hit FROM n),
+ok AS (SELECT file FROM m GROUP BY 1 HAVING sum(hit::INT)::DOUBLE / count(*) >= 0.5), d AS (SELECT p.* FROM p JOIN m USING (file, name) WHERE NOT hit AND file IN (SELECT file FROM ok)),
+a AS (SELECT asset_ref, sum(w * h)::BIGINT AS area FROM (SELECT DISTINCT asset_ref, x, y, w, h FROM d WHERE w > 0 AND h > 0) GROUP BY 1)
+SELECT asset_ref, count(DISTINCT name) AS dead, coalesce(any_value(area), 0)::BIGINT AS area, 'info' AS severity FROM d LEFT JOIN a USING (asset_ref) GROUP BY 1""")
 _add("r17_dimension_mismatch", R.dimension_mismatch, "atlases atlas_images sprites", """SELECT a.asset_ref, count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) AS off_edge,
 CASE WHEN (any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h)) AND count(s.asset_ref) FILTER (WHERE s.x + s.w > i.w OR s.y + s.h > i.h) > 0 THEN 'crit' WHEN any_value(i.w) < any_value(decl_w) OR any_value(i.h) < any_value(decl_h) THEN 'warn' ELSE 'info' END AS severity
 FROM atlases a JOIN atlas_images i USING (asset_ref) LEFT JOIN sprites s ON s.asset_ref = a.asset_ref WHERE abs(i.w - decl_w) > 2 OR abs(i.h - decl_h) > 2 GROUP BY 1""")
@@ -91,16 +97,16 @@ _add("a02_duplicate_similar", A.duplicate_similar, "hashes")
 _STEM = r"concat(regexp_extract(path, '^(.*/)?', 0), regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))+$', ''))"
 _RES = r"regexp_matches(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '[_-](?:\d+p|\d+x|hd|sd)(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))*$')"
 _V = f"v AS (SELECT CASE WHEN {_RES} THEN {_STEM} ELSE concat({_STEM}, '|', CAST(floor(w::DOUBLE / h * 50 + 0.5) AS BIGINT)) END AS key, count(*) AS n, sum(w * h * 4)::BIGINT AS vram, min(w * h * 4) AS least, max(w * h * 4) AS most FROM images GROUP BY 1)"
-_add("a03_should_atlas", A.should_atlas, "images", f"SELECT count(*) AS files, count(DISTINCT {_STEM}) AS logical FROM images WHERE greatest(w, h) <= 512 HAVING count(*) >= 8")
-_add("a04_atlas_merge", A.atlas_merge, "sprites atlases", f"WITH {OCC}, m AS (SELECT scale, count(*) AS n, sum(used) AS used, sum(area) AS area, min(asset_ref) AS first FROM occ WHERE source_kind IN ('texturepacker-hash', 'texturepacker-array', 'pixi') AND occ < 0.5 GROUP BY 1 ORDER BY n DESC, first LIMIT 1), k AS (SELECT *, greatest(1, ceil(used / (2048 * 2048 * 0.8::DOUBLE)))::BIGINT AS merged FROM m) SELECT scale, n, merged, CASE WHEN area * 4 - merged * 16777216 > 0 THEN (area * 4 - merged * 16777216)::BIGINT END AS vram_saved FROM k WHERE merged < n")
+_add("a03_should_atlas", A.should_atlas, "images", f"WITH small AS (SELECT * FROM images WHERE greatest(w, h) <= 512), {_V.replace('FROM images', 'FROM small')}, n AS (SELECT (SELECT count(*) FROM small) AS files, (SELECT count(*) FROM v) AS logical) SELECT * FROM n WHERE files >= 8 AND logical >= 8")
+_add("a04_atlas_merge", A.atlas_merge, "sprites atlases", f"WITH {OCC}, m AS (SELECT scale, count(*) AS n, sum(used) AS used, sum(area) AS area, min(asset_ref) AS first, max(greatest(decl_w, decl_h))::BIGINT AS side FROM occ WHERE source_kind IN ('texturepacker-hash', 'texturepacker-array', 'pixi') AND occ < 0.5 GROUP BY 1 ORDER BY n DESC, first LIMIT 1), k AS (SELECT *, greatest(1, ceil(used / (side * side * 0.8::DOUBLE)))::BIGINT AS merged FROM m WHERE n >= 2) SELECT scale, n, merged, CASE WHEN area * 4 - merged * side * side * 4 > 0 THEN (area * 4 - merged * side * side * 4)::BIGINT END AS vram_saved FROM k WHERE merged < n")
 _add("a05_missing_images", lambda a, i: A.missing_images(a.join(i.filter("asset_ref % 6 <> 1"), "asset_ref", "left_anti").select(F.col("asset_ref").alias("manifest"), F.col("image_ref").alias("image"))), "atlases atlas_images", "SELECT asset_ref AS manifest, image_ref AS image, 'crit' AS severity FROM atlases WHERE asset_ref NOT IN (SELECT asset_ref FROM atlas_images WHERE asset_ref % 6 <> 1)")
 _add("a06_format_aggregate", lambda i, f, e: A.aggregate_saving(R.format_candidates(i, f, e)), "images features encode_sizes", f"WITH {_FORMAT} SELECT count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved FROM fm")
 _add("a07_metadata_aggregate", lambda i: A.aggregate_saving(R.strippable_metadata(i)), "images", "SELECT count(*) AS n, sum(strippable_bytes)::BIGINT AS disk_saved FROM images WHERE strippable_bytes >= 4096")
 _add("a08_premultiplied_alpha", A.premultiplied_alpha, "features", "SELECT count(*) AS n, 'info' AS severity FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75")
 _add("a09_variant_groups", A.variant_groups, "images", f"WITH {_V} SELECT * FROM v")
 _add("a10_variants", A.variants, "images", f"WITH {_V} SELECT (sum(vram) - sum(most))::BIGINT AS vram_saved, count(*) AS logical FROM v")
-_add("a11_format_siblings", A.format_siblings, "images", f"SELECT {_STEM} AS stem, w, h, count(DISTINCT mime) AS mimes, count(*) AS n FROM images WHERE NOT {_RES} GROUP BY 1, 2, 3 HAVING count(DISTINCT mime) > 1")
-_add("a11_redundant_formats", lambda i: A.redundant_formats(i.withColumns({"w": F.lit(64), "h": F.lit(64)})), "images", f"WITH s AS (SELECT asset_ref, mime, {_STEM} AS stem FROM images WHERE NOT {_RES}) SELECT asset_ref, mime FROM s WHERE mime <> 'image/webp' AND stem IN (SELECT stem FROM s WHERE mime = 'image/webp')")
+_add("a11_format_siblings", A.format_siblings, "siblings", f"SELECT {_STEM} AS stem, w, h, count(DISTINCT mime) AS mimes, count(*) AS n FROM siblings WHERE NOT {_RES} GROUP BY 1, 2, 3 HAVING count(DISTINCT mime) > 1")
+_add("a11_redundant_formats", lambda s, i, f, e: A.redundant_formats(s, R.format_candidates(i, f, e)), "siblings images features encode_sizes", f"WITH {_FORMAT}, s AS (SELECT asset_ref, mime, concat({_STEM}, '|', w, 'x', h) AS k FROM siblings WHERE NOT {_RES}) SELECT fm.asset_ref, fm.target_mime FROM fm JOIN s USING (asset_ref) WHERE EXISTS (SELECT 1 FROM s AS o WHERE o.k = s.k AND o.mime = fm.target_mime) AND (SELECT count(DISTINCT mime) FROM s AS o WHERE o.k = s.k) > 1")
 _add("a12_loose_in_atlas", A.loose_in_atlas, "features sprites", "WITH f AS (SELECT frame_hash, asset_ref AS atlas_ref, sprite_idx FROM sprites WHERE frame_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_hash ORDER BY asset_ref, sprite_idx) = 1) SELECT asset_ref, atlas_ref, sprite_idx FROM features JOIN f ON pixel_hash = frame_hash")
 _add("a13_gpu_alignment", A.gpu_alignment, "images", "SELECT count(*) AS n, 'info' AS severity FROM images WHERE w % 4 <> 0 OR h % 4 <> 0")
 _add("a14_mipmap_cost", A.mipmap_cost, "images", "SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4)::BIGINT AS extra FROM images")
@@ -108,10 +114,16 @@ _U = "u AS (SELECT frame_hash, asset_ref, sprite_idx, w * h AS area FROM sprites
 _add("a15_cross_atlas_redundancy", A.cross_atlas_redundancy, "sprites atlas_images", f"WITH {_U}, d AS (SELECT asset_ref, count(*) AS dupes, sum(area)::BIGINT AS area FROM u JOIN o USING (frame_hash) WHERE asset_ref <> owner GROUP BY 1), t AS (SELECT asset_ref, sum(w * h)::BIGINT AS total FROM sprites GROUP BY 1) SELECT asset_ref, dupes, area, area * 4 AS vram_saved, floor((byte_size * area)::DOUBLE / total + 0.5)::BIGINT AS disk_saved FROM d JOIN t USING (asset_ref) LEFT JOIN atlas_images USING (asset_ref)")
 _add("a17_merge_shared_atlases", A.merge_shared_atlases, "sprites atlases", "SELECT image_ref, name, asset_ref, sprite_idx FROM sprites JOIN atlases USING (asset_ref) QUALIFY row_number() OVER (PARTITION BY image_ref, name ORDER BY ord, sprite_idx) = 1")
 _add("a18_totals", A.totals, "images", f"WITH {_V} SELECT sum(byte_size)::BIGINT AS disk, sum(w * h * 4)::BIGINT AS vram, sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT)::BIGINT AS vram_mipmapped, count(*) AS textures, (SELECT sum(most) FROM v)::BIGINT AS loaded, ceil((SELECT sum(most) FROM v) * 4 / 3.0::DOUBLE)::BIGINT AS loaded_mipmapped, (SELECT count(*) FROM v) AS loaded_textures FROM images")
-_add("a19_potential_disk_saved", lambda i, f, e: A.potential_disk_saved(R.format_candidates(i, f, e).select("asset_ref", "disk_saved").unionByName(R.strippable_metadata(i).select("asset_ref", "disk_saved")).unionByName(R.wasted_alpha(i, f, e).select("asset_ref", "disk_saved")), i, f), "images features encode_sizes", f"""WITH {_FORMAT}, {_DUP}, wa AS (SELECT i.asset_ref, byte_size - bytes AS disk_saved FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05),
+def _saved(images: DataFrame, features: DataFrame, sizes: DataFrame) -> DataFrame:
+    i, f, e = images, features, sizes
+    return A.potential_disk_saved(R.format_candidates(i, f, e).select("asset_ref", "disk_saved").unionByName(R.strippable_metadata(i).select("asset_ref", "disk_saved")).unionByName(R.wasted_alpha(i, f, e).select("asset_ref", "disk_saved")), i, f)
+
+
+_SAVED = f"""{_FORMAT}, {_DUP}, wa AS (SELECT i.asset_ref, byte_size - bytes AS disk_saved FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05),
 per AS (SELECT asset_ref, max(disk_saved) AS best FROM (SELECT asset_ref, disk_saved FROM fm UNION ALL SELECT asset_ref, strippable_bytes FROM images WHERE strippable_bytes >= 4096 UNION ALL SELECT * FROM wa) GROUP BY 1),
-gone AS (SELECT asset_ref FROM images JOIN features USING (asset_ref) JOIN dup USING (content_hash) WHERE asset_ref <> first), b AS (SELECT coalesce(sum(best), 0)::BIGINT AS best FROM per WHERE asset_ref NOT IN (SELECT asset_ref FROM gone))
-SELECT best, (SELECT coalesce(sum(disk_saved), 0) FROM dup)::BIGINT AS copies, (best + (SELECT coalesce(sum(disk_saved), 0) FROM dup))::BIGINT AS potential FROM b""")
+gone AS (SELECT asset_ref FROM images JOIN features USING (asset_ref) JOIN dup USING (content_hash) WHERE asset_ref <> first), b AS (SELECT coalesce(sum(best), 0)::BIGINT AS best FROM per WHERE asset_ref NOT IN (SELECT asset_ref FROM gone))"""
+_POTENTIAL = "SELECT best, (SELECT coalesce(sum(disk_saved), 0) FROM dup)::BIGINT AS copies, (best + (SELECT coalesce(sum(disk_saved), 0) FROM dup))::BIGINT AS potential FROM b"
+_add("a19_potential_disk_saved", _saved, "images features encode_sizes", f"WITH {_SAVED} {_POTENTIAL}")
 
 
 def _guard(spark: SparkSession) -> DataFrame:
@@ -125,7 +137,9 @@ g AS (SELECT *, count(*) OVER k AS n, min(CASE WHEN availability = 'eager' THEN
 SELECT content_hash, pool, skin, asset_ref, coalesce(eager, local) AS owner, CASE WHEN asset_ref = coalesce(eager, local) THEN NULL WHEN eager IS NULL THEN concat('same-', availability, '-bundle') WHEN bundle = split_part(eager, '/', 1) THEN 'same-eager-bundle' ELSE 'eager-owner-cross-bundle' END AS reason FROM g WHERE n > 1""")
 
 _RANK = "CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END"
-_add("b01_global_metrics", lambda i, f: B.global_metrics(A.totals(i), f), "images found", f"WITH {_V}, n AS (SELECT count(*) FILTER (WHERE severity = 'crit') AS crit, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, count(*) AS findings, (SELECT sum(byte_size) FROM images)::BIGINT AS \"totalDisk\", (SELECT sum(w * h * 4) FROM images)::BIGINT AS \"totalVram\", (SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT) FROM images)::BIGINT AS \"totalVramMipmapped\", (SELECT sum(most) FROM v)::BIGINT AS \"loadedVram\", (SELECT count(*) FROM v) AS \"loadedTextures\" FROM found) UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE value")
+_PER_RULE = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS \"findings.{r}\"" for r in B.RULES)
+_PER_SEVERITY = ", ".join(f"count(*) FILTER (WHERE severity = '{r}') AS \"findings.{r}\"" for r in ("crit", "warn", "info"))
+_add("b01_global_metrics", lambda i, f, e, n: B.global_metrics(A.totals(i), n, _saved(i, f, e), i), "images features encode_sizes found", f"WITH {_V}, {_SAVED}, n AS (SELECT {_PER_SEVERITY}, count(*) AS \"findings.total\", {_PER_RULE}, (SELECT sum(byte_size) FROM images)::BIGINT AS \"totals.diskBytes\", (SELECT sum(w * h * 4) FROM images)::BIGINT AS \"totals.vramBytes\", (SELECT sum(most) FROM v)::BIGINT AS \"totals.loadedVramBytes\", (SELECT potential FROM ({_POTENTIAL}))::BIGINT AS \"totals.potentialDiskSaved\", (SELECT count(*) FROM images) AS \"drawCallsLowerBound\" FROM found) UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE value")
 _METRICS = "SELECT 'asset' AS scope, path AS ref, 'vram' AS metric, (w * h * 4)::DOUBLE AS value FROM images UNION ALL SELECT 'asset', path, 'disk', byte_size::DOUBLE FROM images UNION ALL SELECT 'asset', path, 'oversizePx', greatest(w, h)::DOUBLE FROM images"
 
 
@@ -160,10 +174,24 @@ _add("t01_redundant_binds", T.redundant_binds, "calls", "SELECT session, count(*
 _add("t02_counters", lambda f: f.groupBy("session").agg(F.sum("draws").alias("draws"), F.sum("binds").alias("binds"), F.bool_or(F.col("uploads") > 0).alias("any_upload")), "frames", "SELECT session, sum(draws)::BIGINT AS draws, sum(binds)::BIGINT AS binds, bool_or(uploads > 0) AS any_upload FROM frames GROUP BY 1")
 _add("t03_window_frames", lambda f: T.window_frames(f, 40).filter("nth > 30").select("session", "seq", "nth"), "frames", "SELECT session, seq, seq::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM frames) WHERE back <= 40 AND seq > 30")
 _add("t04_session_reports", T.session_reports, "frames", f"WITH {_REP} SELECT * FROM rp")
-_add("t05_hitches", T.hitches, "frames", f"WITH {_REP} SELECT session, seq, dt, CASE WHEN uploads > 0 AND compiles > 0 THEN 'upload+shader' WHEN uploads > 0 THEN 'upload' WHEN compiles > 0 THEN 'shader' ELSE 'unknown' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20")
-_add("t06_batching", lambda f: T.batching(f.sparkSession.createDataFrame([(9, 0)], "atlases long, loose long"), T.session_reports(f)), "frames", f"WITH {_REP} SELECT session, avg_draws, 10::BIGINT AS ideal FROM rp WHERE avg_draws > 50 OR (avg_draws >= 4 AND avg_draws > 30)")
-_add("t08_hitch_costs", lambda f: T.hitch_costs(T.hitches(f)), "frames", f"WITH {_REP}, h AS (SELECT session, dt, CASE WHEN uploads > 0 AND compiles > 0 THEN 'upload+shader' WHEN uploads > 0 THEN 'upload' WHEN compiles > 0 THEN 'shader' ELSE 'unknown' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq) AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20) SELECT session, cause, count(*) AS n, sum(dt) AS ms FROM h GROUP BY 1, 2")
-_add("t09_redundant_state", lambda f: T.redundant_state(T.session_reports(f)), "frames", f"WITH {_REP} SELECT session, redundant::DOUBLE / play_frames AS per_frame FROM rp WHERE redundant::DOUBLE / play_frames > 5")
+_add("t05_hitches", T.hitches, "frames", f"WITH {_REP} SELECT session, seq, dt, CASE WHEN uploads > 0 THEN 'texture upload' WHEN compiles > 0 THEN 'shader compile' ELSE 'cpu/gpu spike' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND median > 0 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20")
+_STATIC = ((6, 0, False), (2, 5, False), (2, 0, True), (3, 0, False))
+
+
+def _batching(frames: DataFrame) -> DataFrame:
+    """Each of a few static findings against all sessions."""
+    reports, out = T.session_reports(frames), None
+    for i, row in enumerate(_STATIC):
+        static = frames.sparkSession.createDataFrame([row], "atlases long, loose long, mergeable boolean")
+        one = T.batching(static, reports.withColumn("max_draws", F.col("max_draws") - 60 * (F.col("session") % 2))).withColumn("static", F.lit(i))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_add("t06_batching", _batching, "frames", f"WITH {_REP}, st(static, atlases, loose, mergeable) AS (VALUES {', '.join(str((i, *row)) for i, row in enumerate(_STATIC))}), k AS (SELECT *, CASE WHEN loose > 0 THEN atlases + 1 ELSE greatest(2, ceil(atlases / 2.0)) END::BIGINT AS ideal FROM st), m AS (SELECT session, max_draws - 60 * (session % 2) AS max_draws FROM rp) SELECT session, max_draws, ideal, static FROM m, k WHERE (loose > 0 OR mergeable OR atlases >= 4) AND (max_draws > 50 OR (max_draws >= 4 AND max_draws > 3 * ideal))")
+_add("t08_hitch_costs", lambda f: T.hitch_costs(T.hitches(f)), "frames", f"WITH {_REP}, h AS (SELECT session, dt, CASE WHEN uploads > 0 THEN 'texture upload' WHEN compiles > 0 THEN 'shader compile' ELSE 'cpu/gpu spike' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq) AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND median > 0 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20) SELECT session, cause, count(*) AS n, sum(dt) AS ms FROM h GROUP BY 1, 2")
+_add("t09_redundant_state", lambda f: T.redundant_state(T.session_reports(f.withColumn("redundant", F.col("redundant") * 2))), "frames", f"WITH {_REP} SELECT session, 2 * redundant::DOUBLE / frames AS per_frame FROM rp WHERE frames > 0 AND 2 * redundant::DOUBLE / frames > 5")
+_add("t10_premultiplied_blend", lambda f, b: T.premultiplied_blend(A.premultiplied_alpha(f), b), "features blends", "WITH h AS (SELECT count(*) AS n FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75) SELECT session, n, CASE WHEN straight AND premultiplied THEN 'inconclusive' WHEN straight THEN 'halo' WHEN premultiplied THEN 'safe' ELSE 'inconclusive' END AS result FROM blends, h WHERE n >= 2 AND (straight OR premultiplied OR unpacked)")
 _add("t11_correlate_fix", lambda i: T.correlate_fix(i.select(F.col("byte_size").cast("double").alias("before"), (F.col("byte_size") - F.col("strippable_bytes")).cast("double").alias("after"))), "images", "WITH s AS (SELECT sum(byte_size)::DOUBLE AS before, sum(byte_size - strippable_bytes)::DOUBLE AS after FROM images WHERE strippable_bytes IS NOT NULL) SELECT before, after, after / before AS ratio, CASE WHEN after / before <= 0.34 THEN 'crit' WHEN after / before <= 0.67 THEN 'warn' ELSE 'info' END AS severity FROM s")
 _add("t12_compare_sessions", lambda f: T.compare_sessions(T.session_reports(f), T.session_reports(f.filter("seq % 5 <> 0")), least=20), "frames", f"""WITH {_REP}, {_REP.replace("wf", "wg").replace("pl AS", "pm AS").replace("FROM pl", "FROM pm").replace("rp AS", "rq AS").replace("FROM frames", "FROM frames WHERE seq % 5 <> 0")}, j AS (SELECT a.session, a.avg_draws AS a1, b.avg_draws AS b1, a.p95 AS a2, b.p95 AS b2, a.redundant::DOUBLE AS a3, b.redundant::DOUBLE AS b3, abs(b.frames - a.frames)::DOUBLE / greatest(a.frames, b.frames) <= 0.3 AS ok FROM rp a JOIN rq b USING (session) WHERE a.frames >= 20 AND b.frames >= 20)
 SELECT session, 'avg_draws' AS metric, a1 AS before, b1 AS after, b1 - a1 AS delta FROM j UNION ALL SELECT session, 'p95', a2, b2, b2 - a2 FROM j UNION ALL SELECT session, 'redundant', CASE WHEN ok THEN a3 END, CASE WHEN ok THEN b3 END, CASE WHEN ok THEN b3 - a3 END FROM j""")

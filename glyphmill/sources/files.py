@@ -21,7 +21,7 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
 def manifest_kind(text: str = "text") -> F.Column:
     """sheet, skeleton or null of a JSON text, by its shape."""
     get = lambda p: F.get_json_object(F.col(text), p)
-    sheet = get("$.frames").isNotNull() & get("$.meta").isNotNull()
+    sheet = F.coalesce(get("$.frames").rlike(r"^\s*[\[{]"), F.lit(False))
     skeleton = get("$.skeleton").isNotNull() & get("$.bones").isNotNull() & get("$.slots").isNotNull()
     return F.when(sheet, "sheet").when(skeleton & get("$.frames").isNull() & get("$.meta").isNull(), "skeleton")
 

@@ -142,7 +142,7 @@ def test_session_reports(spark):
     f = spark.createDataFrame([(1, i, float(10 + i % 3) if i != 90 else 80.0, 5, 1, 0, int(i == 90), 0) for i in range(1, 101)], "session long, seq long, dt double, draws long, binds long, redundant long, uploads int, compiles int")
     r = T.session_reports(f).first()
     assert (r.frames, r.play_frames, r.median, r.avg_draws) == (100, 70, 11.0, 5.0)
-    assert [(h.seq, h.cause) for h in T.hitches(f).collect()] == [(90, "upload")]
+    assert [(h.seq, h.cause) for h in T.hitches(f).collect()] == [(90, "texture upload")]
     w = T.window_frames(f, 80)
     assert w.count() == 80 and w.agg(F.min("nth")).first()[0] == 21
 
