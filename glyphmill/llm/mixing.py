@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 MAX_COPIES = 3
 #: Membership patterns (and sources) that the network may have; the plan, broadcast, has a row for each.
 MAX_PATTERNS = 20_000
-_SEP = "\x1f"
-_NONE = "\x00"
+_SEP, _NONE = ",", "~"
 
 
 def water_fill(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> dict[str | None, float]:
@@ -98,8 +97,10 @@ def word_count(text: Column) -> Column:
 
 
 def pattern_of(sources: Column) -> Column:
-    """A text that names a set of sources, given as an array (null elements count as a source)."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.coalesce(s.cast("string"), F.lit(_NONE))))), _SEP)
+    """A text that names a set of sources, given as an array, in code point order (a null element counts as a source, the last one; so
+    does an empty array)."""
+    names = F.transform(sources, lambda s: F.coalesce(F.concat(F.lit("s"), F.hex(s.cast("string").cast("binary"))), F.lit(_NONE)))
+    return F.when(F.size(sources) > 0, F.array_join(F.array_sort(F.array_distinct(names)), _SEP)).otherwise(_NONE)
 
 
 def place_of(doc_id: Column, seed: int) -> Column:
@@ -119,7 +120,7 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copi
     sums = [(r[0], r[1]) for r in ranges.groupBy("pattern").agg(F.sum("size")).limit(MAX_PATTERNS + 1).collect()]
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    members = {p: tuple(None if s == _NONE else s for s in p.split(_SEP)) for p, _ in sums}
+    members = {p: tuple(None if s == _NONE else bytes.fromhex(s[1:]).decode() for s in p.split(_SEP)) for p, _ in sums}
     by_source: dict[str | None, int] = {}
     for p, n in sums:
         for s in members[p]:

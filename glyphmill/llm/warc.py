@@ -28,6 +28,11 @@ from glyphmill.llm.common import open_store, shared_path, slices, text_or_empty,
 LEAST = 1000
 #: Lines of an index block.
 LINES = 512
+#: Look-ups of an index file that one task answers at once.
+ASKS = 5000
+#: Bits of the set that spares pages without copies a shuffle, and tasks that copies of one payload go to.
+BITS = 1 << 20
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -103,8 +108,15 @@ def assigned(pages: DataFrame, least: int = LEAST, page_id: str = "page_id", url
     key = F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary")))
     p = p.withColumn("digest", key)
     first = p.filter("digest is not null").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    # pages whose payload is unique need no partner, so they don't move
-    p = p.join(first.select("digest", "first"), "digest", "left")
+    # pages that are short or whose payload is unique need no partner, so they don't move: a bounded set of bits, a broadcast, tells
+    # those that may have one, and a full set lets all through; copies of a very common payload go to SALTS tasks
+    bit = lambda: F.pmod(F.xxhash64("digest"), F.lit(BITS)).cast("int")
+    bits = F.broadcast(first.select(bit().alias("bit")).distinct())
+    salted = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    long_ = p.filter("digest is not null")
+    may = long_.join(bits, bit() == F.col("bit"), "left_semi").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    alone = p.filter("digest is null").unionByName(long_.join(bits, bit() == F.col("bit"), "left_anti")).withColumn("first", F.lit(None).cast("long"))
+    p = may.join(salted, ["digest", "salt"], "left").drop("salt").unionByName(alone)
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("first")))
     return p.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -210,8 +222,9 @@ class Ranges:
             f.close()
 
 
-def look_up(wanted: DataFrame, directory: DataFrame, archives: str, index: str) -> DataFrame:
-    """wanted: url, and page_id or null for all captures of the url. A row for each record found: page_id, url as asked
+def look_up(wanted: DataFrame, directory: DataFrame, archives: str, index: str, exact: bool = False) -> DataFrame:
+    """wanted: url, and page_id or null for all captures of the url. URLs that share a key (scheme, fragment) answer for one another
+    unless `exact`. A row for each record found: page_id, url as asked
     for, payload_bytes, payload_digest (lower-case hex SHA-1), record_type, refers_to, payload (null for revisits).
 
     The first level, one row per index file with its first key, is small and shipped to all tasks; look-ups go to
@@ -219,7 +232,8 @@ def look_up(wanted: DataFrame, directory: DataFrame, archives: str, index: str)
     several files goes to each.
     """
     spark = wanted.sparkSession
-    tops = [(r[0], r[1], r[2]) for r in directory.groupBy("part").agg(F.min("first"), F.max("last")).orderBy("part").collect()]
+    tops = [tuple(r) for r in directory.groupBy("part").agg(F.min("first"), F.max("last"), F.count("*")).orderBy("part").collect()]
+    slices_ = max(4, -(-max((t[3] for t in tops), default=0) * LINES // ASKS))
     firsts, lasts, numbers = [t[1] for t in tops], [t[2] for t in tops], [t[0] for t in tops]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +282,8 @@ def look_up(wanted: DataFrame, directory: DataFrame, archives: str, index: str)
         rows, size = [], 0
         for page, path, offset, length, url in hits:
             r = read_record(pages.read(path, offset, length))
+            if exact and r.headers["WARC-Target-URI"] != _visible(url or "urn:unknown"):
+                continue
             digest = base64.b32decode(r.headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
             refers = r.headers.get("X-Refers-To-Page-ID")
             rows.append((page, url, int(r.http["Content-Length"]), digest, r.kind, int(refers) if refers else None, r.payload if r.kind == "response" else None))
@@ -283,7 +299,7 @@ def look_up(wanted: DataFrame, directory: DataFrame, archives: str, index: str)
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     # an ask that many rows make is answered once and joined back by the caller; asks of a file come in groups of bounded size
-    asked = asked.distinct().withColumn("slice", F.pmod(F.xxhash64("low"), F.lit(4)))
+    asked = asked.distinct().withColumn("slice", F.pmod(F.xxhash64("low"), F.lit(slices_)))
     groups = asked.groupBy("part", "slice").agg(F.collect_list(F.struct("low", "high", "url")).alias("asks"))
     entries = directory.groupBy("part").agg(F.collect_list(F.struct("first", "path", "offset", "length")).alias("entries"))
     return groups.join(entries, "part").select("asks", "entries").mapInArrow(find, schema)
@@ -296,8 +312,8 @@ def archive_and_read(pages: DataFrame, page_id: str = "page_id", url: str = "url
     archives, index = shared_path(spark, "warc"), shared_path(spark, "warc-index")
     directory = write_index(write_archives(pages, archives, page_id=page_id, url=url, html=html), index)
     named = pages.select(F.col(url).cast("string").alias("url"), F.col(page_id).cast("long").alias("page_id"))
-    found = look_up(named.filter("page_id is not null"), directory, archives, index)
+    found = look_up(named.filter("page_id is not null"), directory, archives, index, exact=True)
     unnamed = named.filter("page_id is null")
     if unnamed.isEmpty():
         return found
-    return found.unionByName(look_up(unnamed, directory, archives, index).filter("page_id is null"))
+    return found.unionByName(look_up(unnamed, directory, archives, index, exact=True).filter("page_id is null"))

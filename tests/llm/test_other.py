@@ -135,3 +135,17 @@ def test_look_up_by_url(spark, pages):
 def test_keys_reverse_hosts():
     assert warc.reversed_host_key("http://WWW.a.Example.com:80/P?q#f") == "com,example,a,www)/P?q"
     assert warc.reversed_host_key("https://a.b:8080") == "b,a:8080)/" and warc.reversed_host_key(None) == ""
+
+
+def test_captures_that_share_an_id_and_a_key(spark):
+    rows = [(1, "http://a.example.com/x", "one"), (1, "https://a.example.com/x#f", "two"), (2, None, "three"), (None, "http://a.example.com/x", "four"), (None, "https://a.example.com/x", "five")]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.payload.decode()) for r in got) == sorted((i or 0, u or "", h) for i, u, h in rows)
+
+
+def test_sources_of_any_characters(spark):
+    from glyphmill.llm import mixing
+
+    rows = [(1, "a b", "x\x1fy"), (2, "a", "\x00"), (3, "a b c", None), (4, "a", ""), (5, "a", "~")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.source_size for r in got} == {1: 2, 2: 1, 3: 3, 4: 1, 5: 1}
