@@ -10,7 +10,7 @@ among the contexts (all windows that hold the anchor) of anchors with equal byte
    shards by anchor; a shard's merged contexts form one text whose run-length index streams the matching
    statistics of every position, and matches of at least `length` are marked;
 4. an anchor with very many distinct contexts doesn't go to one shard: its contexts go by the longer ranges, cut to the
-   windows that hold them; where still very many share a range, its windows part by offset, range by range, into those whose
+   windows that hold them; where still very many share a range, its windows part by offset, first as one range, then range by range, into those whose
    common bytes occur once, those whose bytes all agree, and the rest, which part again.
 
 Marks name documents by a 64-bit hash of the text, so copies share them.
@@ -19,7 +19,7 @@ Marks name documents by a 64-bit hash of the text, so copies share them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,37 +209,41 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
     if contexts.isEmpty():
         return marks
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "context", 1 << 20):
-            raw, off = text_bytes(b.column(3))
-            prefix, size = prefix_hash(raw), np.diff(off)
-            t, start, left = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
-            quarter, open_ = b.column(5), b.column(4)
-            row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
-            lo0, hi0 = (open_.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
-            for k in range(parts):
-                n = hi0 - lo0 + 1
-                step = -(-n // parts)
-                lo, hi = lo0 + k * step, np.minimum(lo0 + (k + 1) * step - 1, hi0)
-                a = off[row] + left[row]
-                ok = (lo <= hi) & (lo <= left[row]) & (left[row] + length - hi <= size[row])
-                i = np.flatnonzero(ok)
-                if not len(i):
-                    continue
-                r, a, lo, hi = row[i], a[i], lo[i], hi[i]
-                key = range_hash(prefix, a - lo, a + length - hi) + ((lo << 20) + hi).astype(np.uint64)
-                low, high = np.maximum(lo, left[r] + length - size[r]), np.minimum(hi, left[r])
-                full = range_hash(prefix, a - high, a + length - low) + low.astype(np.uint64)
-                at = start[r] + left[r]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *[pa.array(x) for x in (t[r], start[r].astype(np.int32), left[r].astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), (at - high).astype(np.int32), (at + length - low).astype(np.int32))], quarter.take(pa.array(r))],
-                    names=["key", "full", "t", "start", "left", "lo", "hi", "s", "e", "quarter"],
-                )
-        release()
+    def into(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "context", 1 << 20):
+                raw, off = text_bytes(b.column(3))
+                prefix, size = prefix_hash(raw), np.diff(off)
+                t, start, left = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+                quarter, open_ = b.column(5), b.column(4)
+                row = np.repeat(np.arange(b.num_rows), np.diff(open_.offsets.to_numpy()))
+                lo0, hi0 = (open_.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+                for k in range(parts):
+                    n = hi0 - lo0 + 1
+                    step = -(-n // parts)
+                    lo, hi = lo0 + k * step, np.minimum(lo0 + (k + 1) * step - 1, hi0)
+                    a = off[row] + left[row]
+                    ok = (lo <= hi) & (lo <= left[row]) & (left[row] + length - hi <= size[row])
+                    i = np.flatnonzero(ok)
+                    if not len(i):
+                        continue
+                    r, a, lo, hi = row[i], a[i], lo[i], hi[i]
+                    key = range_hash(prefix, a - lo, a + length - hi) + ((lo << 20) + hi).astype(np.uint64)
+                    low, high = np.maximum(lo, left[r] + length - size[r]), np.minimum(hi, left[r])
+                    full = range_hash(prefix, a - high, a + length - low) + low.astype(np.uint64)
+                    at = start[r] + left[r]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), *[pa.array(x) for x in (t[r], start[r].astype(np.int32), left[r].astype(np.int32), lo.astype(np.int32), hi.astype(np.int32), (at - high).astype(np.int32), (at + length - low).astype(np.int32))], quarter.take(pa.array(r))],
+                        names=["key", "full", "t", "start", "left", "lo", "hi", "s", "e", "quarter"],
+                    )
+            release()
+
+        return split
 
     cuts = F.array(*[F.lit(int(c)) for c in quarters_of(length, gram)])
     open_ = contexts.withColumn("open", F.array(F.struct(F.get(cuts, F.col("quarter")).alias("lo"), F.get(cuts, F.col("quarter") + 1).alias("hi"))))
     own = ["t", "start", "left", "quarter"]
+    split = into(1)  # most contexts agree with another over all their windows: one range tells
     while True:
         rows = open_.select("t", "start", "left", "context", "open", "quarter").mapInArrow(split, "key long, full long, t long, start int, left int, lo int, hi int, s int, e int, quarter int")
         rows = written(rows, "ranges")
@@ -250,6 +254,7 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
         mixed = full.filter("lo < hi").join(several, "key").select("first.*", "lo", "hi")
         if mixed.isEmpty():
             return marks
+        split = into(parts)
         open_ = contexts.join(mixed.groupBy(*own).agg(F.collect_list(F.struct("lo", "hi")).alias("open")), own)
 
 
