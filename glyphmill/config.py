@@ -117,3 +117,29 @@ def parse_budget(config: dict) -> tuple[list[tuple], list[str]]:
     for i, entry in enumerate(config.get("assets", [])):
         add("asset", glob_to_regex(entry["match"]), i, entry.get("budgets", {}), ASSET_METRICS)
     return rows, [glob_to_regex(g) for g in config.get("ignore", [])]
+
+
+_RESOLUTION_SUFFIX = re.compile(r"[_-](\d{2,4}p|@?\d+x|hd|sd)", re.I)
+_FREE_SUFFIX = re.compile(r"[_-][A-Za-z0-9][A-Za-z0-9_-]{0,23}")
+
+
+def is_safe_suffix(suffix: str) -> bool:
+    """A resolution suffix, or a free one that is safe in file names and doesn't spell a format."""
+    if _RESOLUTION_SUFFIX.fullmatch(suffix):
+        return True
+    return bool(_FREE_SUFFIX.fullmatch(suffix)) and suffix[1:].lower() not in {"png", "webp", "avif", "jpg", "jpeg"}
+
+
+def validate_tiers(tiers: list[tuple[float, str]]) -> list[tuple[float, str]]:
+    """(scale, suffix) from the largest scale down; a ladder has a tier of scale 1, scales in (0, 1] and safe suffixes, no two alike."""
+    problems = [] if any(scale == 1 for scale, _ in tiers) else ["no tier of scale 1"]
+    for scale, suffix in tiers:
+        if not 0 < scale <= 1:  # false for NaN too
+            problems.append(f"scale outside (0, 1]: {scale}")
+        if not is_safe_suffix(suffix):
+            problems.append(f"unsafe suffix: {suffix!r}")
+    names = [suffix.lower() for _, suffix in tiers]
+    problems += [f"suffix given twice: {n!r}" for n in sorted({n for n in names if names.count(n) > 1})]
+    if problems:
+        raise ValueError("; ".join(problems))
+    return sorted(tiers, key=lambda t: (-t[0], t[1]))

@@ -161,3 +161,66 @@ def signed_area2(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy:
 
 def luma(r: Column, g: Column, b: Column) -> Column:
     return r * 0.299 + g * 0.587 + b * 0.114
+
+
+def _plain(n: Column) -> Column:
+    """A number as text, without a fraction of nothing."""
+    return F.regexp_replace(n.cast("double").cast("string"), r"\.0$", "")
+
+
+def format_value(unit: str, n: Column) -> Column:
+    """A metric's value as reports print it: bytes, ratio (as a percentage with one digit at most), px or count."""
+    if unit == "bytes":
+        return format_bytes(n)
+    if unit == "ratio":
+        return F.concat(_plain(F.floor(n * 100 * 10 + 0.5) / 10), F.lit("%"))
+    if unit not in ("px", "count"):
+        raise ValueError(f"unknown unit: {unit}")
+    return F.concat(_plain(n), F.lit("px")) if unit == "px" else _plain(n)
+
+
+def saved_percent(saved: Column, disk: Column) -> Column:
+    """Whole per cent of the disk bytes that can go; 0 of nothing."""
+    return F.when(disk > 0, F.floor(saved.cast("double") / disk * 100 + 0.5)).otherwise(F.lit(0)).cast("long")
+
+
+def dominates(owner_bundle: Column, bundle: Column, owner_availability: Column) -> Column:
+    """Whether a bundle may use what another owns: its own, and whatever an eager bundle has."""
+    return (owner_bundle == bundle) | F.coalesce(owner_availability == "eager", F.lit(False))
+
+
+# fixed values: file extensions of image formats
+EXTENSION = {"image/webp": ".webp", "image/avif": ".avif", "image/png": ".png", "image/jpeg": ".jpg"}
+
+
+def renamed_to(path: Column, mime: Column) -> Column:
+    """The path with the extension of a format (of WebP for unknown ones); a name without extension stays."""
+    ext = F.lit(".webp")
+    for name, e in EXTENSION.items():
+        ext = F.when(mime == name, e).otherwise(ext)
+    name = base_name(path)
+    bare = F.regexp_replace(name, r"(?i)\.[a-z0-9]+$", "")
+    return F.when(name == bare, path).otherwise(F.concat(F.substring(path, F.lit(1), F.length(path) - F.length(name)), bare, ext))
+
+
+def convention_root(directory: Column, prefixes: list[str]) -> Column:
+    """The deepest folder right under one of the named folders (`animations/hero`); null if there is none."""
+    parts = F.filter(F.split(directory, "/"), lambda s: s != "")
+    at = F.array_max(F.filter(F.transform(parts, lambda s, i: F.when(s.isin(*prefixes) & (i < F.size(parts) - 1), i)), lambda i: i.isNotNull()))
+    return F.when(at.isNotNull(), F.array_join(F.slice(parts, F.lit(1), at + 2), "/"))
+
+
+def pack_bucket(path: Column, granularity: str) -> Column:
+    """Which sheet a loose image goes to: one-sheet-for-all, per-top-level-bundle (images in the root share one) or per-leaf-folder."""
+    if granularity == "one-sheet-for-all":
+        return F.lit("")
+    if granularity == "per-top-level-bundle":
+        return F.when(F.instr(path, "/") > 0, bundle_of(path)).otherwise(F.lit(""))
+    if granularity != "per-leaf-folder":
+        raise ValueError(f"unknown granularity: {granularity}")
+    return dir_of(path)
+
+
+def key_of(path: Column, name: Column) -> Column:
+    """What a file is known by: its path, or its bare name where it has none."""
+    return normalize_path(F.coalesce(path, name))

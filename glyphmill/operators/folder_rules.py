@@ -233,3 +233,10 @@ def dedup_edges(features: DataFrame, marking: DataFrame, skin_guard: DataFrame)
     reason = F.when(F.col("asset_ref") == owner, None).when(F.col("eager").isNull(), F.concat(F.lit("same-"), "availability", F.lit("-bundle"))).when(F.col("bundle") == S.bundle_of(F.col("eager")), "same-eager-bundle").otherwise("eager-owner-cross-bundle")
     return f.select(*group, "asset_ref", owner.alias("owner"), reason.alias("reason"))
 
+
+def owner_final_names(owners: DataFrame, plan: DataFrame) -> DataFrame:
+    """owners: owner. plan: ref, image_path, manifest_path, target_mime (null: not transcoded). The image and manifest that each owner will
+    have after the repair; owners without a known image are left out."""
+    j = owners.select(F.col("owner").alias("ref")).distinct().join(plan, "ref").filter("image_path is not null")
+    image = F.when(F.col("target_mime").isNull(), F.col("image_path")).otherwise(S.renamed_to(F.col("image_path"), F.col("target_mime")))
+    return j.select(F.col("ref").alias("owner"), image.alias("image"), F.col("manifest_path").alias("manifest"))

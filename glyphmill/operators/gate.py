@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions import scalars as S
+
 SEVERITY_RANK = "case severity when 'crit' then 0 when 'warn' then 1 when 'info' then 2 else 3 end"
 
 
@@ -138,3 +140,51 @@ def rule_rollup(findings: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for kv in RULE_GROUPS.items() for x in kv])
     f = findings.withColumn("rule_group", F.coalesce(F.try_element_at(names, F.col("rule")), F.lit("other")))
     return f.rollup("rule_group", "rule", "severity").agg(F.count("*").alias("n"))
+
+
+def budget_verdicts(model: DataFrame, vram: int | None = None, draws: int | None = None, disk: int | None = None) -> DataFrame:
+    """model: loaded, measured_vram, measured_draws (both null without a probe), draw_floor, disk. A row for each budget that is set, and
+    a second for measured texture bytes: metric, basis, state, budget, value, over_by, ratio, clamp_pct, tone, fill.
+
+    A value at its budget is within it. The draw floor is a lower bound: it can prove that a budget is broken, never that it is kept.
+    """
+    rows = []
+    if vram is not None:
+        rows += [("vram", "declared", vram, "loaded", "overDeclared", "withinDeclared"), ("vram", "measured", vram, "measured_vram", "over", "within")]
+    if draws is not None:
+        rows += [("draw", "measured", draws, "measured_draws", "over", "within"), ("draw", "floor", draws, "draw_floor", "floorOver", "floorUnknown")]
+    if disk is not None:
+        rows += [("disk", "measured", disk, "disk", "over", "within")]
+    kind = "array<struct<metric string, basis string, budget long, value long, over string, under string>>"
+    each = [F.struct(F.lit(m), F.lit(b), F.lit(n).cast("long"), F.col(c).cast("long"), F.lit(over), F.lit(under)) for m, b, n, c, over, under in rows]
+    r = model.select("measured_draws", F.inline((F.array(*each) if each else F.array()).cast(kind)))
+    r = r.filter("value is not null and not (basis = 'floor' and measured_draws is not null)")
+    is_over, ratio = F.col("value") > F.col("budget"), F.when(F.col("budget") > 0, F.col("value").cast("double") / F.col("budget")).otherwise(0.0)
+    return r.select(
+        "metric", "basis", F.when(is_over, F.col("over")).otherwise(F.col("under")).alias("state"), "budget", "value", (F.col("value") - F.col("budget")).alias("over_by"), ratio.alias("ratio"), F.least(F.lit(100), F.floor(ratio * 100 + 0.5)).cast("int").alias("clamp_pct"),
+        F.when(is_over, "crit").otherwise("neutral").alias("tone"), F.when(is_over, "crit").when(F.col("basis") == "floor", "neutral").otherwise("ok").alias("fill"),
+    )
+
+
+# fixed values: metrics that the history shows
+HISTORY_METRICS = ("totals.diskBytes", "totals.vramBytes", "totals.loadedVramBytes", "totals.potentialDiskSaved", "drawCallsLowerBound")
+
+
+def history_rows(diff: DataFrame) -> DataFrame:
+    """Headline metrics of a diff that moved: metric, before, after, delta, bytes."""
+    return diff.filter(F.col("metric").isin(*HISTORY_METRICS) & (F.col("delta") != 0)).select("metric", "before", "after", "delta", (F.col("metric") != "drawCallsLowerBound").alias("bytes"))
+
+
+def totals_rows(model: DataFrame) -> DataFrame:
+    """model: disk, loaded, measured_vram (null without a probe), potential. place, key, value as reports print them."""
+    text = lambda c: S.format_value("bytes", F.col(c))
+    saveable = F.concat(text("potential"), F.lit(" · "), S.saved_percent(F.col("potential"), F.col("disk")).cast("string"), F.lit("%"))
+    rows = [("disk", text("disk")), ("declared", text("loaded")), ("measured", text("measured_vram")), ("saveable", saveable)]
+    return model.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("key"), v.alias("value")) for i, (k, v) in enumerate(rows)]))).filter("value is not null")
+
+
+def budget_scaffold(totals: DataFrame) -> DataFrame:
+    """metric, level, chk, budget: a first gate with a fifth of headroom over what was measured, in whole megabytes, one at least."""
+    mb = lambda c: F.concat(F.greatest(F.lit(1), F.ceil(F.col(c).cast("double") * 1.2 / 1048576)).cast("string"), F.lit("MB"))
+    rows = [("totals.diskBytes", "max", mb("disk")), ("totals.diskBytes", "maxDeltaPct", F.lit("15")), ("totals.loadedVramBytes", "max", mb("loaded")), ("findings.crit", "max", F.lit("0"))]
+    return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("error").alias("level"), F.lit(c).alias("chk"), b.alias("budget")) for m, c, b in rows])))

@@ -125,3 +125,14 @@ def plan_repairs(candidates: DataFrame) -> DataFrame:
 def plan_footprint(plan: DataFrame) -> DataFrame:
     """Predicted savings by operation in pass order; operations without a figure are counted, not guessed."""
     return plan.groupBy("op", "pass").agg(F.count("*").alias("n"), F.sum("disk_saved").alias("disk_saved"), F.sum("vram_saved").alias("vram_saved"), F.count_if(F.col("disk_saved").isNull() & F.col("vram_saved").isNull()).alias("deferred"))
+
+
+# fixed values: kinds of operations in the order of the receipt
+OP_KINDS = ("repack", "merge", "resize", "transcode", "strip", "drop", "pack", "dedup", "tier")
+
+
+def op_counts(ops: DataFrame) -> DataFrame:
+    """ops: kind, n_atlases, owner_ref. kind, place, n: a repack of several sheets is a merge, a drop with an owner a dedup; unknown kinds come last."""
+    kind = F.when((F.col("kind") == "repack") & (F.col("n_atlases") > 1), "merge").when((F.col("kind") == "drop") & F.col("owner_ref").isNotNull(), "dedup").otherwise(F.col("kind"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, OP_KINDS)), F.col("kind")), F.lit(0)), F.lit(len(OP_KINDS) + 1))
+    return ops.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).select("kind", place.cast("long").alias("place"), "n")

@@ -15,6 +15,7 @@ from glyphmill.operators import geometry as G
 from glyphmill.operators import packing as X
 from glyphmill.operators import runtime as T
 from glyphmill.plans.adapters import relation, with_relations
+from glyphmill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -131,10 +132,11 @@ def _guard(spark: SparkSession) -> DataFrame:
 
 
 _QUERIES["d05_dedup_edges"] = lambda spark, d: A.dedup_edges(relation(spark, d, "assets").distinct(), relation(spark, d, "marking"), _guard(spark))
-_SQL["d05_dedup_edges"] = with_relations("""WITH f AS (SELECT DISTINCT asset_ref, content_hash, pool, split_part(asset_ref, '/', 1) AS bundle, CASE WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a7', 'a9') THEN 'key' WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a8', 'a10') THEN 'value' ELSE 'general' END AS skin FROM assets),
+_EDGES = """WITH f AS (SELECT DISTINCT asset_ref, content_hash, pool, split_part(asset_ref, '/', 1) AS bundle, CASE WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a7', 'a9') THEN 'key' WHEN regexp_extract(asset_ref, '([^/]*)\\.png$', 1) IN ('a8', 'a10') THEN 'value' ELSE 'general' END AS skin FROM assets),
 m AS (SELECT f.*, coalesce(availability, 'isolated') AS availability FROM f LEFT JOIN marking USING (bundle)),
 g AS (SELECT *, count(*) OVER k AS n, min(CASE WHEN availability = 'eager' THEN asset_ref END) OVER k AS eager, min(asset_ref) OVER (PARTITION BY content_hash, pool, skin, bundle) AS local FROM m WINDOW k AS (PARTITION BY content_hash, pool, skin))
-SELECT content_hash, pool, skin, asset_ref, coalesce(eager, local) AS owner, CASE WHEN asset_ref = coalesce(eager, local) THEN NULL WHEN eager IS NULL THEN concat('same-', availability, '-bundle') WHEN bundle = split_part(eager, '/', 1) THEN 'same-eager-bundle' ELSE 'eager-owner-cross-bundle' END AS reason FROM g WHERE n > 1""")
+SELECT content_hash, pool, skin, asset_ref, coalesce(eager, local) AS owner, CASE WHEN asset_ref = coalesce(eager, local) THEN NULL WHEN eager IS NULL THEN concat('same-', availability, '-bundle') WHEN bundle = split_part(eager, '/', 1) THEN 'same-eager-bundle' ELSE 'eager-owner-cross-bundle' END AS reason FROM g WHERE n > 1"""
+_SQL["d05_dedup_edges"] = with_relations(_EDGES)
 
 _RANK = "CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2 ELSE 3 END"
 _PER_RULE = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS \"findings.{r}\"" for r in B.RULES)
@@ -247,6 +249,47 @@ UNION ALL SELECT 'solid-fill', CASE WHEN greatest(w, h) >= 1024 THEN 'warn' ELSE
 UNION ALL SELECT 'icc-non-srgb', 'info', NULL, NULL FROM images WHERE icc_bytes IS NOT NULL AND icc_srgb IS NOT TRUE) SELECT rule, severity, count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved, sum(vram_saved)::BIGINT AS vram_saved FROM fs GROUP BY 1, 2""")
 
 
+def _owner_names(assets: DataFrame, marking: DataFrame) -> DataFrame:
+    p = assets.select("asset_ref").distinct()
+    n = F.length("asset_ref") % 4
+    plan = p.select(F.col("asset_ref").alias("ref"), F.col("asset_ref").alias("image_path"), F.when(n == 1, F.concat("asset_ref", F.lit(".json"))).alias("manifest_path"), F.when(n == 0, "image/avif").when(n == 2, "image/jpeg").when(n == 3, "image/other").alias("target_mime"))
+    return A.owner_final_names(A.dedup_edges(assets.distinct(), marking, _guard(assets.sparkSession)), plan)
+
+
+_add("d06_owner_names", _owner_names, "assets marking", f"WITH e AS ({_EDGES}), o AS (SELECT DISTINCT owner, length(owner) % 4 AS n, left(owner, length(owner) - 4) AS bare FROM e) SELECT owner, CASE n WHEN 0 THEN bare || '.avif' WHEN 2 THEN bare || '.jpg' WHEN 3 THEN bare || '.webp' ELSE owner END AS image, CASE WHEN n = 1 THEN owner || '.json' END AS manifest FROM o")
+
+
+def _format_values(images: DataFrame) -> DataFrame:
+    w, h = F.col("w"), F.col("h")
+    return images.select("asset_ref", S.format_value("bytes", F.col("byte_size")).alias("bytes"), S.format_value("ratio", w.cast("double") / (w + h)).alias("ratio"), S.format_value("px", w).alias("px"), S.format_value("count", h).alias("n"), S.saved_percent(F.col("strippable_bytes"), F.col("byte_size")).alias("saved"))
+
+
+_add("f15_format_values", _format_values, "images", r"SELECT asset_ref, CASE WHEN byte_size < 1024 THEN concat(byte_size, ' B') ELSE printf('%.1f KB', floor(byte_size / 1024.0::DOUBLE * 10 + 0.5) / 10) END AS bytes, concat(regexp_replace(CAST(floor(w::DOUBLE / (w + h) * 100 * 10 + 0.5) / 10 AS VARCHAR), '\.0$', ''), '%') AS ratio, concat(w, 'px') AS px, CAST(h AS VARCHAR) AS n, CASE WHEN byte_size > 0 THEN floor(strippable_bytes::DOUBLE / byte_size * 100 + 0.5)::BIGINT ELSE 0 END AS saved FROM images")
+_add("f27_folder_labels", lambda i: files.folder_label(i.withColumn("part", F.expr("asset_ref % 2")).unionByName(i.filter("path like 'dir1/%'").withColumn("part", F.lit(2).cast("long"))), "part"), "images", "SELECT part, CASE WHEN count(DISTINCT split_part(path, '/', 1)) = 1 THEN min(split_part(path, '/', 1)) END AS label FROM (SELECT path, asset_ref % 2 AS part FROM images UNION ALL SELECT path, 2 FROM images WHERE path LIKE 'dir1/%') GROUP BY 1")
+_add("s21_regions", lambda i: files.regions(i.select(S.pack_bucket(F.col("path"), "per-top-level-bundle").alias("group"), S.stem_of(F.col("path")).alias("name"), "path")), "images", f"WITH r AS (SELECT split_part(path, '/', 1) AS \"group\", {_STEM} AS name, path FROM images) SELECT DISTINCT \"group\", name, path, path = min(path) OVER k AS kept, (min(path) OVER k) <> (max(path) OVER k) AS collides FROM r WINDOW k AS (PARTITION BY \"group\", name)")
+_add("s21_common_folders", lambda a: files.common_folders(a.select(F.col("pool").alias("group"), F.col("asset_ref").alias("path")).unionByName(a.select(S.bundle_of(F.col("asset_ref")).alias("group"), F.col("asset_ref").alias("path"))).unionByName(a.select(S.dir_of(F.col("asset_ref")).alias("group"), F.col("asset_ref").alias("path")))), "assets", """WITH p AS (SELECT asset_ref, split_part(asset_ref, '/', 1) AS a, split_part(asset_ref, '/', 2) AS b, pool FROM assets), g AS (SELECT pool AS "group", a, b FROM p UNION ALL SELECT a, a, b FROM p UNION ALL SELECT concat(a, '/', b), a, b FROM p)
+SELECT "group", CASE WHEN count(DISTINCT a) > 1 THEN '' WHEN count(DISTINCT b) > 1 THEN min(a) ELSE concat(min(a), '/', min(b)) END AS folder FROM g GROUP BY 1""")
+
+
+def _model(images: DataFrame) -> DataFrame:
+    return A.totals(images).select("disk", "loaded", F.col("vram").alias("measured_vram"), F.lit(None).cast("long").alias("measured_draws"), F.col("loaded_textures").alias("draw_floor"))
+
+
+_add("u05_budget_verdicts", lambda i: B.budget_verdicts(_model(i), vram=10 << 30, draws=2_000_000, disk=1 << 20), "images", f"""WITH {_V}, m AS (SELECT 'vram' AS metric, 'declared' AS basis, 10737418240::BIGINT AS budget, (SELECT sum(most) FROM v)::BIGINT AS value, 'overDeclared' AS o, 'withinDeclared' AS u UNION ALL SELECT 'vram', 'measured', 10737418240, (SELECT sum(w * h * 4) FROM images)::BIGINT, 'over', 'within' UNION ALL SELECT 'draw', 'floor', 2000000, (SELECT count(*) FROM v), 'floorOver', 'floorUnknown' UNION ALL SELECT 'disk', 'measured', 1048576, (SELECT sum(byte_size) FROM images)::BIGINT, 'over', 'within')
+SELECT metric, basis, CASE WHEN value > budget THEN o ELSE u END AS state, budget, value, value - budget AS over_by, value::DOUBLE / budget AS ratio, least(100, floor(value::DOUBLE / budget * 100 + 0.5))::INT AS clamp_pct, CASE WHEN value > budget THEN 'crit' ELSE 'neutral' END AS tone, CASE WHEN value > budget THEN 'crit' WHEN basis = 'floor' THEN 'neutral' ELSE 'ok' END AS fill FROM m""")
+
+
+def _headline(images: DataFrame) -> DataFrame:
+    t = images.agg(F.sum("byte_size").alias("totals.diskBytes"), F.sum(S.vram_bytes(F.col("w"), F.col("h"))).alias("totals.vramBytes"), F.count("*").alias("drawCallsLowerBound"), F.max(F.lit(5).cast("long")).alias("totals.potentialDiskSaved"), F.count("*").alias("findings.crit"))
+    return t.unpivot([], [F.col(f"`{c}`") for c in t.columns], "metric", "value")
+
+
+_add("u06_history_rows", lambda i: B.history_rows(B.diff_metrics(_headline(i), _headline(i.filter("asset_ref % 3 <> 0")))), "images", "WITH h AS (SELECT sum(byte_size)::BIGINT AS d, sum(byte_size) FILTER (WHERE asset_ref % 3 <> 0)::BIGINT AS d2, sum(w * h * 4)::BIGINT AS v, sum(w * h * 4) FILTER (WHERE asset_ref % 3 <> 0)::BIGINT AS v2, count(*) AS n, count(*) FILTER (WHERE asset_ref % 3 <> 0) AS n2 FROM images) SELECT 'totals.diskBytes' AS metric, d AS before, d2 AS after, d2 - d AS delta, TRUE AS bytes FROM h UNION ALL SELECT 'totals.vramBytes', v, v2, v2 - v, TRUE FROM h UNION ALL SELECT 'drawCallsLowerBound', n, n2, n2 - n, FALSE FROM h")
+_add("u06_totals_rows", lambda i: B.totals_rows(_model(i).withColumn("potential", F.expr("disk div 7"))), "images", f"WITH {_V}, t AS (SELECT sum(byte_size)::BIGINT AS disk, sum(w * h * 4)::BIGINT AS vram, (SELECT sum(most) FROM v)::BIGINT AS loaded FROM images), f AS (SELECT 0 AS place, 'disk' AS key, disk AS n FROM t UNION ALL SELECT 1, 'declared', loaded FROM t UNION ALL SELECT 2, 'measured', vram FROM t UNION ALL SELECT 3, 'saveable', disk // 7 FROM t) SELECT place, key, concat(printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10), CASE WHEN place = 3 THEN ' · 14%' ELSE '' END) AS value FROM f")
+_add("b11_budget_scaffold", lambda i: B.budget_scaffold(A.totals(i)), "images", f"WITH {_V}, t AS (SELECT sum(byte_size)::DOUBLE AS disk, (SELECT sum(most) FROM v)::DOUBLE AS loaded FROM images) SELECT 'totals.diskBytes' AS metric, 'error' AS level, 'max' AS chk, concat(greatest(1, ceil(disk * 1.2::DOUBLE / 1048576))::BIGINT, 'MB') AS budget FROM t UNION ALL SELECT 'totals.diskBytes', 'error', 'maxDeltaPct', '15' UNION ALL SELECT 'totals.loadedVramBytes', 'error', 'max', concat(greatest(1, ceil(loaded * 1.2::DOUBLE / 1048576))::BIGINT, 'MB') FROM t UNION ALL SELECT 'findings.crit', 'error', 'max', '0'")
+_add("x12_op_counts", lambda i: X.op_counts(i.select(F.expr("element_at(array('repack', 'drop', 'resize', 'transcode', 'pack'), cast(asset_ref % 5 + 1 as int))").alias("kind"), F.expr("asset_ref % 3").alias("n_atlases"), F.expr("if(asset_ref % 7 < 3, path, null)").alias("owner_ref"))), "images", "WITH o AS (SELECT CASE asset_ref % 5 WHEN 0 THEN CASE WHEN asset_ref % 3 > 1 THEN 'merge' ELSE 'repack' END WHEN 1 THEN CASE WHEN asset_ref % 7 < 3 THEN 'dedup' ELSE 'drop' END WHEN 2 THEN 'resize' WHEN 3 THEN 'transcode' ELSE 'pack' END AS kind FROM images) SELECT kind, CASE kind WHEN 'repack' THEN 1 WHEN 'merge' THEN 2 WHEN 'resize' THEN 3 WHEN 'transcode' THEN 4 WHEN 'drop' THEN 6 WHEN 'pack' THEN 7 ELSE 8 END::BIGINT AS place, count(*) AS n FROM o GROUP BY 1")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -57,3 +57,34 @@ def pack_groups(images: DataFrame, roots: DataFrame, small: int = 512, least: in
     key = F.when(F.col("root").isNotNull(), F.concat(F.lit("skeleton:"), "root")).when(F.greatest("w", "h") <= small, F.concat(F.lit("folder:"), S.dir_of(F.col("path"))))
     g = one.withColumn("group", key).filter("group is not null")
     return g.join(g.groupBy("group").count().filter(F.col("count") >= least).select("group"), "group").select("group", "path", "w", "h")
+
+
+def regions(images: DataFrame) -> DataFrame:
+    """images: group, name, path. Every path with whether it keeps the region of its name in its group (the first by binary order
+    does) and whether several distinct paths claim that name."""
+    r = images.select("group", "name", "path").distinct()
+    claims = r.groupBy("group", "name").agg(F.min("path").alias("first"), F.count("*").alias("n"))
+    return r.join(claims, ["group", "name"]).select("group", "name", "path", (F.col("path") == F.col("first")).alias("kept"), (F.col("n") > 1).alias("collides"))
+
+
+def common_folders(images: DataFrame) -> DataFrame:
+    """images: group, path. The deepest folder that holds all of a group (empty: the root): what the first and the last of its
+    folders, part by part, have in common."""
+    parts = F.filter(F.split(S.dir_of(F.col("path")), "/"), lambda s: s != "")
+    g = images.groupBy("group").agg(F.min(parts).alias("lo"), F.max(parts).alias("hi"))
+    k = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.size("lo"), F.size("hi"))), lambda i: F.slice("lo", F.lit(1), i) == F.slice("hi", F.lit(1), i)))
+    return g.select("group", F.array_join(F.slice("lo", F.lit(1), k), "/").alias("folder"))
+
+
+def folder_label(paths: DataFrame, by: str) -> DataFrame:
+    """by, label: the first folder that all paths share; null where they don't, or where one lies in the root."""
+    first = F.when(F.instr("path", "/") > 1, S.bundle_of(F.col("path")))
+    g = paths.groupBy(by).agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count(first).alias("n"), F.count("*").alias("all"))
+    return g.select(by, F.when((F.col("lo") == F.col("hi")) & (F.col("n") == F.col("all")), F.col("lo")).alias("label"))
+
+
+def skeleton_pairs(atlases: DataFrame, skeletons: DataFrame, binaries: DataFrame) -> DataFrame:
+    """atlas, skeleton: atlases and skeleton texts (all by path) of one folder; a binary skeleton in it leaves the folder out."""
+    folder = lambda df, name: df.select(S.dir_of(F.col("path")).alias("folder"), F.col("path").alias(name))
+    a = folder(atlases, "atlas").join(folder(binaries, "binary"), "folder", "left_anti")
+    return a.join(folder(skeletons, "skeleton"), "folder").select("atlas", "skeleton")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Chunks that an encoder can drop without changing pixels.
 PNG_METADATA = {b"tEXt", b"zTXt", b"iTXt", b"tIME", b"eXIf", b"iCCP"}
@@ -51,8 +53,70 @@ def image_info(data: bytes) -> tuple[str, int, int] | None:
     return None
 
 
+def icc_description(profile: bytes) -> str | None:
+    """The description of a colour profile, of version 2 or 4; None if it can't be read."""
+    if len(profile) < 132:
+        return None
+    n = int.from_bytes(profile[128:132], "big")
+    if not 0 < n <= (len(profile) - 132) // 12:
+        return None
+    at = next((struct.unpack_from(">I", profile, 136 + 12 * i)[0] for i in range(n) if profile[132 + 12 * i : 136 + 12 * i] == b"desc"), None)
+    if at is None or at + 12 > len(profile):
+        return None
+    kind, count = profile[at : at + 4], int.from_bytes(profile[at + 8 : at + 12], "big")
+    if kind == b"desc":
+        lo, hi, encoding = at + 12, at + 12 + count, "latin-1"
+    elif kind == b"mluc" and at + 28 <= len(profile):
+        size, offset = struct.unpack_from(">II", profile, at + 20)
+        lo, hi, encoding = at + offset, at + offset + size, "utf-16-be"
+    else:
+        return None
+    if not count or hi > len(profile):
+        return None
+    return _label(profile[lo:hi].decode(encoding, "replace"))
+
+
+def _label(text: str) -> str | None:
+    return text.rstrip("\0").strip()[:80] or None
+
+
+def icc_info(data: bytes) -> tuple[int, bool, str | None] | None:
+    """Bytes of an embedded colour profile, whether the header proves that it is sRGB, and its name; None without a profile."""
+    info = image_info(data)
+    mime, size, name, proven = info[0] if info else None, 0, None, False
+    if mime == "image/png":
+        for kind, body in png_chunks(data):
+            proven |= kind == b"sRGB"
+            if kind == b"iCCP":
+                size, name = size + len(body) + 12, _label(body[:80].split(b"\0")[0].decode("latin-1"))
+    elif mime == "image/jpeg":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            n = struct.unpack_from(">H", data, at + 2)[0]
+            if data[at + 1] == 0xE2 and data[at + 4 : at + 16] == b"ICC_PROFILE\0":
+                size += n + 2
+                if data[at + 16] == 1:
+                    name = icc_description(data[at + 18 : at + 2 + n])
+            at += 2 + n
+    elif mime == "image/webp" and data[12:16] == b"VP8X":
+        at = 12
+        while at + 8 <= len(data):
+            n = struct.unpack_from("<I", data, at + 4)[0]
+            if data[at : at + 4] == b"ICCP":
+                size, name = n + 8, icc_description(data[at + 8 : at + 8 + n])
+                break
+            at += 8 + n + (n & 1)
+    return (size, proven or "srgb" in (name or "").lower(), name) if size else None
+
+
 def strippable_bytes(data: bytes) -> int | None:
-    """Bytes of metadata that could go, by format; null for formats that aren't read."""
+    """Bytes of metadata that could go, by format; null for formats that aren't read. A colour profile that isn't proven sRGB stays."""
+    total, icc = metadata_bytes(data), icc_info(data)
+    return total if total is None or icc is None or icc[1] else max(0, total - icc[0])
+
+
+def metadata_bytes(data: bytes) -> int | None:
+    """Bytes of all metadata."""
     info = image_info(data)
     if info is None:
         return None
@@ -71,7 +135,7 @@ def strippable_bytes(data: bytes) -> int | None:
         while at + 8 <= len(data):
             n = struct.unpack_from("<I", data, at + 4)[0]
             if data[at : at + 4] in (b"EXIF", b"XMP ", b"ICCP"):
-                total += 8 + n + (n & 1)
+                total += 8 + n
             at += 8 + n + (n & 1)
         return total
     return None
@@ -153,13 +217,75 @@ def pixel_features(px: np.ndarray) -> dict:
         depth, level = depth + 1, a
     solid_enough, clear = (alpha >= 250).mean(), (alpha <= 8).mean()
     kind = "alpha-art" if solid_enough >= 0.12 and clear >= 0.12 else "flat" if gray.std() < 12 else "photographic"
+    edges, dark = dark_edges(px)
     return {
+        "pixel_hash": hashlib.sha256(px.tobytes()).hexdigest(), "pma_edge_pixels": edges, "pma_fringe_frac": dark, "hf_energy": high_frequency_energy(px),
         "d_hash": None if flat else f"{int(''.join('1' if b else '0' for b in bits), 2):016x}", "solid": bool(gray.std() < 2 and spread <= 8), "opaque": bool((alpha == 255).all()), "mean_r": mean[0], "mean_g": mean[1], "mean_b": mean[2],
         "upscale_depth": depth, "bbox_w": box[0], "bbox_h": box[1], "interior_transparent": int((inside == 0).sum()), "binary_alpha": bool(((alpha == 0) | (alpha == 255)).all()), "opaque_count": int((alpha >= 250).sum()), "content_class": kind,
     }
 
 
-_FEATURES = "path string, mime string, w int, h int, byte_size long, strippable_bytes long, d_hash string, solid boolean, opaque boolean, mean_r double, mean_g double, mean_b double, upscale_depth int, bbox_w int, bbox_h int, interior_transparent long, binary_alpha boolean, opaque_count long, content_class string"
+def dark_edges(px: np.ndarray) -> tuple[int, float]:
+    """Soft pixels next to a bright opaque one, and the share of them whose implied backdrop is near black, as premultiplied files have."""
+    gray = px[..., 0] * 0.299 + px[..., 1] * 0.587 + px[..., 2] * 0.114
+    alpha = px[..., 3].astype(np.float64)
+    rest = 1 - alpha / 255
+    padded_gray, padded_alpha = np.pad(gray, 1), np.pad(alpha, 1)
+    h, w = gray.shape
+    soft = (alpha >= 12) & (alpha <= 200)
+    near = np.full((h, w), -1.0)
+    for dy, dx in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2)):  # in reading order; the first that qualifies counts
+        q, a = padded_gray[dy : dy + h, dx : dx + w], padded_alpha[dy : dy + h, dx : dx + w]
+        near = np.where((near < 0) & (a >= 250) & (q >= 96) & (q * rest >= 24), q, near)
+    edge = soft & (near >= 0)
+    n = int(edge.sum())
+    backdrop = (gray[edge] - near[edge] * alpha[edge] / 255) / rest[edge]
+    return n, float((backdrop <= 40).mean()) if n else 0.0
+
+
+def high_frequency_energy(px: np.ndarray) -> float:
+    """Mean absolute Laplacian of the luma inside the border; 0 for images without an inside."""
+    if min(px.shape[:2]) < 3:
+        return 0.0
+    g = px[..., 0] * 0.299 + px[..., 1] * 0.587 + px[..., 2] * 0.114
+    return float(np.abs(4 * g[1:-1, 1:-1] - g[:-2, 1:-1] - g[2:, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:]).mean())
+
+
+def region_hash(px: np.ndarray, x: int, y: int, w: int, h: int) -> str | None:
+    """SHA-256 of a frame's pixels; None where it is flat or lies outside."""
+    if w <= 0 or h <= 0 or x < 0 or y < 0 or x + w > px.shape[1] or y + h > px.shape[0]:
+        return None
+    region = px[y : y + h, x : x + w]
+    gray = region[..., 0] * 0.299 + region[..., 1] * 0.587 + region[..., 2] * 0.114
+    rows, cols = np.arange(9) * h // 8, np.arange(10) * w // 9
+    ends_r, ends_c = np.maximum(rows[1:], rows[:-1] + 1), np.maximum(cols[1:], cols[:-1] + 1)
+    total = np.pad(gray.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    cell = total[np.ix_(ends_r, ends_c)] - total[np.ix_(rows[:-1], ends_c)] - total[np.ix_(ends_r, cols[:-1])] + total[np.ix_(rows[:-1], cols[:-1])]
+    cell = cell / ((ends_r - rows[:-1])[:, None] * (ends_c - cols[:-1])[None, :])
+    return None if cell.std() < 6 else hashlib.sha256(region.tobytes()).hexdigest()
+
+
+def frame_hashes(files: DataFrame, sprites: DataFrame, most_sprites: int = 4096, most_pixels: int = 25_165_824) -> DataFrame:
+    """files: path, content. sprites: path, sprite_idx, x, y, w, h. path, sprite_idx, frame_hash of the frames that have one. Sheets of over
+    most_sprites frames or most_pixels pixels, and those that aren't decoded, have none."""
+    s = sprites.join(sprites.groupBy("path").count().filter(F.col("count") <= most_sprites).select("path"), "path", "left_semi")
+    rects = s.groupBy("path").agg(F.collect_list(F.struct("sprite_idx", "x", "y", "w", "h")).alias("rects"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data, found in zip(pdf["path"], pdf["content"], pdf["rects"], strict=True):
+                info = image_info(data)
+                px = decode_png(data) if info and info[0] == "image/png" and info[1] * info[2] <= most_pixels else None
+                for r in found if px is not None else ():
+                    if (key := region_hash(px, r["x"], r["y"], r["w"], r["h"])) is not None:
+                        rows.append((path, r["sprite_idx"], key))
+            yield pd.DataFrame(rows, columns=["path", "sprite_idx", "frame_hash"])
+
+    return files.select("path", "content").join(rects, "path").mapInPandas(run, "path string, sprite_idx long, frame_hash string")
+
+
+_FEATURES = "content_hash string, pixel_hash string, icc_bytes long, icc_srgb boolean, icc_label string, pma_edge_pixels long, pma_fringe_frac double, hf_energy double, path string, mime string, w int, h int, byte_size long, strippable_bytes long, d_hash string, solid boolean, opaque boolean, mean_r double, mean_g double, mean_b double, upscale_depth int, bbox_w int, bbox_h int, interior_transparent long, binary_alpha boolean, opaque_count long, content_class string"
 
 
 def image_features(files: DataFrame, most_pixels: int = 25_165_824) -> DataFrame:
@@ -171,7 +297,9 @@ def image_features(files: DataFrame, most_pixels: int = 25_165_824) -> DataFrame
             rows = []
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 info = image_info(data)
-                row = {"path": path, "byte_size": len(data), "strippable_bytes": strippable_bytes(data)}
+                row = {"path": path, "byte_size": len(data), "strippable_bytes": strippable_bytes(data), "content_hash": hashlib.sha256(data).hexdigest()}
+                if (icc := icc_info(data)) is not None:
+                    row |= {"icc_bytes": icc[0], "icc_srgb": icc[1], "icc_label": icc[2]}
                 if info:
                     row |= {"mime": info[0], "w": info[1], "h": info[2]}
                     px = decode_png(data) if info[0] == "image/png" and info[1] * info[2] <= most_pixels else None
