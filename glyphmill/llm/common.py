@@ -259,11 +259,24 @@ def window_min(v: np.ndarray, w: int) -> np.ndarray:
 _AT = np.uint64((1 << 28) - 1)
 
 
+def minimizer_windows(v: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted positions that hold the leftmost minimum of some window of w hashes (by their upper 36 bits), and the first and
+    the last of those windows."""
+    if len(v) < w:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, first = [], []
+    for i in range(0, len(v) - w + 1, 1 << 27):  # positions within a piece fit the lower bits
+        part = v[i : i + (1 << 27) + w - 1]
+        m = window_min((part & ~_AT) | np.arange(len(part), dtype=np.uint64), w)
+        new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))  # the leftmost minimum only moves on
+        at.append(i + (m[new] & _AT).astype(np.int64))
+        first.append(i + new)
+    at, first = np.concatenate(at), np.concatenate(first)
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    at, first = at[new], first[new]
+    return at, first, np.append(first[1:] - 1, len(v) - w)
+
+
 def minimizers(v: np.ndarray, w: int) -> np.ndarray:
     """Sorted positions that hold the leftmost minimum of some window of w hashes (by their upper 36 bits)."""
-    if len(v) < w:
-        return np.zeros(0, np.int64)
-    key = (v & ~_AT) | (np.arange(len(v), dtype=np.uint64) & _AT)
-    m = window_min(key, w)
-    m = m[np.concatenate([[True], m[1:] != m[:-1]])]  # the leftmost minimum only moves on
-    return (m & _AT).astype(np.int64) if len(v) <= int(_AT) else np.flatnonzero(np.isin(key, m))
+    return minimizer_windows(v, w)[0]

@@ -1,8 +1,8 @@
 """Operator 3: removal of long repeated byte strings, by run-length indexes over shards of a corpus.
 
-A string of `length` bytes always holds one of its document's anchors: the smallest-hashed GRAM-byte
-strings of its windows. So equal strings share an anchor at the same offset, and what repeats can be found
-among the contexts (all windows that hold the anchor) of anchors with equal bytes:
+Each window of `length` bytes has one anchor: the smallest-hashed GRAM-byte string in it. So equal windows
+share an anchor at the same offset, and what repeats can be found among the contexts (all windows whose
+anchor it is, which follow one another) of anchors with equal bytes:
 
 1. anchors are counted by hash, and those met once are done with;
 2. an anchor whose whole context occurs twice marks that context; no bytes move;
@@ -10,7 +10,7 @@ among the contexts (all windows that hold the anchor) of anchors with equal byte
    shards by anchor; a shard's merged contexts form one text whose run-length index streams the matching
    statistics of every position, and matches of at least `length` are marked;
 4. an anchor with very many distinct contexts doesn't go to one shard: its contexts go by the longer ranges, cut to the
-   windows that hold them; where still very many share a range, its windows part by offset, first as one range, then range by range, into those whose
+   windows that span them; where still very many share a range, its windows part by offset, first as one range, then range by range, into those whose
    common bytes occur once, those whose bytes all agree, and the rest, which part again.
 
 Marks name documents by a 64-bit hash of the text, so copies share them.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import byte_ranges, minimizers, prefix_hash, range_hash, release, slices, text_bytes, text_or_empty, written
+from glyphmill.llm.common import byte_ranges, minimizer_windows, prefix_hash, range_hash, release, slices, text_bytes, text_or_empty, written
 from glyphmill.llm.run_length_index import RunLengthIndex
 
 LENGTH = 400
@@ -39,43 +39,39 @@ HOT = 1000
 BITS = 1 << 20
 
 
-def anchors_of(texts: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, position, hash, hash of the context, and four 16-bit hashes of longer ranges, of all anchors of texts of at least `length` bytes."""
+def anchors_of(texts: pa.Array, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """row, position, hash, hash of the context, four 16-bit hashes of longer ranges, and the context's start and end, of all anchors
+    of texts of at least `length` bytes."""
     raw, off = text_bytes(texts)
     n = len(raw)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.view(np.uint64), none.view(np.uint64), none
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none, none
     prefix = prefix_hash(raw)
     at = np.arange(n - gram + 1)
     g = range_hash(prefix, at, at + gram)
     for o in off[1:-1].tolist():
         g[max(0, o - gram + 1) : o] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    a = minimizers(g, length - gram + 1)
+    a, first, last = minimizer_windows(g, length - gram + 1)
     row = np.searchsorted(off, a, side="right") - 1
-    begin, end = off[row], off[row + 1]
-    fine = (a + gram <= end) & (end - begin >= length)
-    a, row, begin, end = a[fine], row[fine], begin[fine], end[fine]
-    lo, hi = np.maximum(begin, a + gram - length), np.minimum(end, a + length)
-    context = range_hash(prefix, lo, hi) + (a - lo).astype(np.uint64)
-    cuts = quarters_of(length, gram)
+    first, last = np.maximum(first, off[row]), np.minimum(last, off[row + 1] - length)
+    fine = first <= last
+    a, row, first, last = a[fine], row[fine], first[fine], last[fine]
+    context = range_hash(prefix, first, last + length) + (a - first).astype(np.uint64)
+    edges = quarters_of(length, gram)
     quarters = np.zeros(len(a), np.int64)
     for i in range(4):
-        s, e = a - cuts[i], a + length - cuts[i + 1]
-        ok = (s >= begin) & (e <= end)
-        h = (range_hash(prefix, np.where(ok, s, a), np.where(ok, e, a)) % np.uint64(65535)).astype(np.int64) + 1
+        ok = (a - last < edges[i + 1]) & (a - first >= edges[i])
+        s, e = np.where(ok, a - edges[i], a), np.where(ok, a + length - edges[i + 1] + 1, a)
+        h = (range_hash(prefix, s, e) % np.uint64(65535)).astype(np.int64) + 1
         quarters |= np.where(ok, h, 0) << (16 * i)
-    return row, a - begin, g[a], context, quarters
+    begin = off[row]
+    return row, a - begin, g[a], context, quarters, first - begin, last + length - begin
 
 
 def quarters_of(length: int, gram: int) -> np.ndarray:
-    """Offsets of windows before an anchor, from 0 to the most, in four ranges."""
-    return np.linspace(0, length - gram, 5).astype(np.int64)
-
-
-def context_range(pos: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all windows that hold the anchor at pos, in a text of n bytes."""
-    return np.maximum(0, pos + gram - length), np.minimum(pos, n - length) + length
+    """Offsets of windows before an anchor in four ranges: where each begins, and the end."""
+    return np.linspace(0, length - gram + 1, 5).astype(np.int64)
 
 
 def repeated_in(regions: list[bytes], length: int) -> list[tuple[int, int, int]]:
@@ -115,39 +111,40 @@ def merged_regions(t: np.ndarray, start: np.ndarray, context: list[bytes]) -> tu
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, text, t and marks: for each document, pairs (a, -1), an anchor whose context repeats, or (s, e), bytes that repeat."""
+    """doc_id, text, t and marks: for each document, pairs (s, e) of bytes that repeat."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("t", F.xxhash64("text"))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            row, pos, g, c, q = anchors_of(b.column(1), length, gram)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(q)], names=["t", "pos", "g", "c", "q"])
+            row, pos, g, c, q, s, e = anchors_of(b.column(1), length, gram)
+            columns = [b.column(0).take(pa.array(row)), *[pa.array(x.view(np.int64)) for x in (g, c, q)], *[pa.array(x.astype(np.int32)) for x in (pos, s, e)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "g", "c", "q", "pos", "s", "e"])
         release()
 
-    anchors = written(d.select("t", "text").mapInArrow(anchor_rows, "t long, pos int, g long, c long, q long"), "anchors")
+    anchors = written(d.select("t", "text").mapInArrow(anchor_rows, "t long, g long, c long, q long, pos int, s int, e int"), "anchors")
     buckets = anchors.groupBy("g").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("several")).filter("n > 1").select("g", "several")
     met = written(anchors.join(buckets, "g"), "met")
 
     # whole contexts that occur twice
-    same = met.filter("not several").select("t", "pos")
-    classes = written(met.filter("several").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "pos", "q")).alias("first")), "classes")
-    same = same.unionByName(met.filter("several").join(classes.filter("n > 1").select("g", "c"), ["g", "c"]).select("t", "pos"))
-    whole = same.distinct().select("t", F.col("pos").alias("s"), F.lit(-1).alias("e"))
+    same = met.filter("not several").select("t", "s", "e")
+    classes = written(met.filter("several").groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("t", "pos", "q", "s", "e")).alias("first")), "classes")
+    same = same.unionByName(met.filter("several").join(classes.filter("n > 1").select("g", "c"), ["g", "c"]).select("t", "s", "e"))
+    whole = same.distinct()
 
     # contexts that differ but agree over one of the longer ranges
     each = classes.select("g", "c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("first.q", 16 * i).bitwiseAND(65535).alias("h")) for i in range(4)])).alias("r")).select("g", "c", "r.i", "r.h").filter("h > 0")
     agreed = each.groupBy("g", "i", "h").count().filter("count > 1")
     matched = written(each.join(agreed, ["g", "i", "h"]), "matched")
-    chosen = written(matched.select("g", "c").distinct().join(classes.select("g", "c", "first.t", "first.pos"), ["g", "c"]), "chosen")
+    chosen = written(matched.select("g", "c").distinct().join(classes.select("g", "c", "first.t", "first.pos", "first.s", "first.e"), ["g", "c"]), "chosen")
     sizes = chosen.groupBy("g").count()
-    cold = chosen.join(sizes.filter(F.col("count") <= HOT), "g").select("t", "pos", F.lit(-1).alias("quarter"), F.xxhash64("g").alias("deal"))
+    cold = chosen.join(sizes.filter(F.col("count") <= HOT), "g").select("t", "pos", "s", "e", F.lit(-1).alias("quarter"), F.xxhash64("g").alias("deal"))
     often = matched.join(sizes.filter(F.col("count") > HOT).select("g"), "g").join(chosen, ["g", "c"])
-    often = often.select("t", "pos", F.col("i").alias("quarter"), F.when(F.col("count") <= HOT, F.xxhash64("g", "i", "h")).alias("deal"))
+    often = often.select("t", "pos", "s", "e", F.col("i").alias("quarter"), F.when(F.col("count") <= HOT, F.xxhash64("g", "i", "h")).alias("deal"))
     asked = written(cold.unionByName(often), "asked")
-    shards = max(1, asked.count() * (2 * length - gram) // SHARD)
-    wanted = asked.select("t", F.struct("pos", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "quarter").alias("w"))
+    shards = max(1, asked.count() * (3 * length - gram) // (2 * SHARD))
+    wanted = asked.select("t", F.struct("pos", "s", "e", F.pmod("deal", F.lit(shards)).cast("int").alias("shard"), "quarter").alias("w"))
     wanted = written(wanted.groupBy("t").agg(F.collect_list("w").alias("wanted")), "wanted")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +153,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str =
             w = b.column(2)
             count = np.diff(w.offsets.to_numpy())
             flat = w.flatten()
-            pos, shard, quarter = flat.field(0).to_numpy().astype(np.int64), flat.field(1), flat.field(2)
+            pos, s, e = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
+            shard, quarter = flat.field(3), flat.field(4)
             row = np.repeat(np.arange(len(count)), count)
-            s, e = context_range(pos, np.diff(off)[row], length, gram)
-            cuts, k = quarters_of(length, gram), quarter.to_numpy()
+            edges, k = quarters_of(length, gram), quarter.to_numpy()
             part = k >= 0
-            s = np.where(part, np.maximum(s, pos - cuts[k + 1]), s)
-            e = np.where(part, np.minimum(e, pos + length - cuts[np.maximum(k, 0)]), e)
+            s = np.where(part, np.maximum(s, pos - edges[k + 1] + 1), s)
+            e = np.where(part, np.minimum(e, pos + length - edges[np.maximum(k, 0)]), e)
             yield pa.RecordBatch.from_arrays(
                 [shard, pa.array(b.column(0).to_numpy()[row]), pa.array(s.astype(np.int32)), pa.array((pos - s).astype(np.int32)), quarter, byte_ranges(raw, off[row] + s, off[row] + e)],
                 names=["shard", "t", "start", "left", "quarter", "context"],
@@ -240,8 +237,8 @@ def parted(contexts: DataFrame, length: int, gram: int, parts: int = 5) -> DataF
 
         return split
 
-    cuts = F.array(*[F.lit(int(c)) for c in quarters_of(length, gram)])
-    open_ = contexts.withColumn("open", F.array(F.struct(F.get(cuts, F.col("quarter")).alias("lo"), F.get(cuts, F.col("quarter") + 1).alias("hi"))))
+    edges = F.array(*[F.lit(int(c)) for c in quarters_of(length, gram)])
+    open_ = contexts.withColumn("open", F.array(F.struct(F.get(edges, F.col("quarter")).alias("lo"), (F.get(edges, F.col("quarter") + 1) - 1).alias("hi"))))
     own = ["t", "start", "left", "quarter"]
     split = into(1)  # most contexts agree with another over all their windows: one range tells
     while True:
@@ -265,14 +262,12 @@ def among(docs: DataFrame, keyed: DataFrame, how: str = "left_semi") -> DataFram
     return docs.join(F.broadcast(bits), F.pmod("t", F.lit(BITS)).cast("int") == F.col("bit"), how)
 
 
-def spans_of(n: int, marks: list[dict] | None, length: int, gram: int) -> list[tuple[int, int]]:
+def spans_of(marks: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of marked bytes."""
     if not marks:
         return []
     s = np.array([m["s"] for m in marks], np.int64)
     e = np.array([m["e"] for m in marks], np.int64)
-    lo, hi = context_range(s, n, length, gram)
-    s, e = np.where(e < 0, lo, s), np.where(e < 0, hi, e)
     by = np.argsort(s, kind="stable")
     s, e = s[by], np.maximum.accumulate(e[by])
     new = np.concatenate([[True], s[1:] > e[:-1]])
@@ -295,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
             rows = []
             for i, marks in enumerate(b.column(2).to_pylist()):
                 body = raw[off[i] : off[i + 1]].tobytes()
-                spans = spans_of(len(body), marks, length, gram)
+                spans = spans_of(marks)
                 last, kept = 0, []
                 for s, e in spans:
                     kept.append(body[last:s])
