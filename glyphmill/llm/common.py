@@ -172,12 +172,12 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a text column: hash, byte range, and per row the range of its words.
 
-    starts/ends index the lower-cased bytes in ``raw``; row i has words first[i]:first[i + 1].
+    starts/ends index the bytes in ``raw`` (lower-cased unless told otherwise); row i has words first[i]:first[i + 1].
     """
 
-    def __init__(self, arr: pa.Array, kind: np.ndarray = SPACE_WORDS, hashed: bool = True):
+    def __init__(self, arr: pa.Array, kind: np.ndarray = SPACE_WORDS, hashed: bool = True, lower: bool = True):
         raw, self.off = text_bytes(arr)
-        self.raw = lower_ascii(raw)
+        self.raw = lower_ascii(raw) if lower else raw
         n = len(self.raw)
         is_word = np.zeros(n + 1, bool)
         is_word[:n] = kind[self.raw]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,9 +140,73 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.periodic_runs import collapse_runs, plant_periods
+
+    found = collapse_runs(plant_periods(table(spark, sf_dir, "documents")))
+    best = F.expr("reduce(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.select("doc_id", "runs", "collapsed", best.alias("b")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from glyphmill.llm.merge_encoding import encode_pieces
+
+    got = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.centroid_clustering import cluster_vectors
+
+    got = cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return got.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("centroid", ","), 256).alias("centroid_sha256"))
+
+
+def _op13_sql() -> str:
+    """Clustering in SQL: centroids as rows of components, one step after another."""
+    near = """
+n{k} AS (
+  SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, sum((v - x) * (v - x))::BIGINT AS d FROM e JOIN c{k} USING (i) GROUP BY r, c) GROUP BY r
+)"""
+    step = """
+m{k} AS (
+  SELECT n{k}.c, i, sum(v)::BIGINT AS s, count(*) AS n FROM n{k} JOIN e USING (r) GROUP BY n{k}.c, i
+), c{l} AS (
+  SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, x) AS x FROM c{k} LEFT JOIN m{k} USING (c, i)
+)"""
+    head = """
+WITH a AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), e AS (
+  SELECT r, i, floor(64 * embedding[i]::DOUBLE)::BIGINT AS v FROM a, generate_series(1, 64) AS g(i)
+), f AS (
+  SELECT r, row_number() OVER (ORDER BY sha256(concat('1:', CAST(vec_id AS VARCHAR))), r) - 1 AS c FROM a QUALIFY c < 16
+), c0 AS (
+  SELECT c, i, v AS x FROM f JOIN e USING (r)
+)"""
+    rounds = ",".join(near.format(k=k) + "," + step.format(k=k, l=k + 1) for k in range(3))
+    tail = """
+, h AS (
+  SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c
+)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM n3 JOIN a USING (r) JOIN h USING (c)
+"""
+    return head + "," + rounds + "," + near.format(k=3) + tail
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op4_warc, op5_substring_dedup, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score)}
+    return {f.__name__: f for f in (op1_ann, op2_jaccard_join, op3_repeat_removal, op4_warc, op5_substring_dedup, op6_decontaminate, op7_mixing, op8_token_output, op9_quality, op10_lm_score, op11_periodic_runs, op12_piece_encoding, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op4_warc": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_mixing": OP7_SQL, "op13_centroid_clustering": _op13_sql()}
