@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, fields
 
@@ -62,8 +63,15 @@ class Thresholds:
 
 DEFAULT = Thresholds()
 SEVERITIES = ("crit", "warn", "info", "ok")
-GLOBAL_METRICS = ("totalDisk", "totalVram", "totalVramMipmapped", "loadedVram", "loadedTextures", "crit", "warn", "info", "findings")
-ASSET_METRICS = ("vram", "disk", "occupancy", "oversizePx")
+# fixed values: rules that have a metric of their own, and those of them that only a build with more inputs measures
+RULES = ("occupancy", "wasted-regions", "format", "dimensions-npot", "dimensions-oversize", "duplicate-exact", "duplicate-similar", "should-atlas", "atlas-merge", "integrity-missing-image", "variants")
+NEEDS = {"findings.format": "encoders", "findings.duplicate-similar": "pixels"}
+#: Units of the metrics that a budget may name.
+GLOBAL_METRICS = {
+    **dict.fromkeys(("totals.diskBytes", "totals.vramBytes", "totals.loadedVramBytes", "totals.potentialDiskSaved"), "bytes"), **dict.fromkeys(("findings.crit", "findings.warn", "findings.info", "findings.total", "drawCallsLowerBound"), "count"),
+    **{f"findings.{r}": "count" for r in RULES},
+}
+ASSET_METRICS = {"vramBytes": "bytes", "diskBytes": "bytes", "occupancy": "ratio", "oversizePx": "px"}
 _UNITS = {"b": 1, "kb": 1024, "mb": 1024**2, "gb": 1024**3}
 
 
@@ -72,50 +80,70 @@ def parse_bytes(value: object) -> int:
     m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb)\s*", str(value).lower()) if isinstance(value, str) else None
     if not m:
         raise ValueError(f"bytes need a unit: {value!r}")
-    return round(float(m[1]) * _UNITS[m[2]])
+    return math.floor(float(m[1]) * _UNITS[m[2]] + 0.5)
+
+
+def parse_number(value: object, most: float = math.inf) -> float:
+    """A number from 0 to most, or text that spells one, with or without a sign for percent behind it."""
+    if isinstance(value, str):
+        try:
+            value = float(value.strip().removesuffix("%"))
+        except ValueError:
+            raise ValueError(f"not a number: {value!r}") from None
+    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value) or not 0 <= value <= most:
+        raise ValueError(f"not a number between 0 and {most}: {value!r}")
+    return float(value)
 
 
 def parse_count(value: object) -> int:
-    if isinstance(value, bool) or not isinstance(value, int) or value < 0:
+    n = parse_number(value)
+    if n != int(n):
         raise ValueError(f"a count is a whole number of at least 0: {value!r}")
-    return value
+    return int(n)
 
 
 def parse_ratio(value: object) -> float:
     """0..1, or a percentage."""
-    if isinstance(value, str) and (m := re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*%\s*", value)):
-        value = float(m[1]) / 100
-    if isinstance(value, bool) or not isinstance(value, int | float) or not 0 <= value <= 1:
-        raise ValueError(f"a ratio lies between 0 and 1: {value!r}")
-    return float(value)
+    return parse_number(value, 100) / 100 if isinstance(value, str) and value.strip().endswith("%") else parse_number(value, 1)
+
 
+_PARSE = {"bytes": parse_bytes, "count": parse_count, "ratio": parse_ratio, "px": parse_number}
 
-_PARSE = {"totalDisk": parse_bytes, "totalVram": parse_bytes, "totalVramMipmapped": parse_bytes, "loadedVram": parse_bytes, "vram": parse_bytes, "disk": parse_bytes, "occupancy": parse_ratio}
 
+def parse_budget(config: dict, measures: frozenset[str] = frozenset()) -> tuple[list[tuple], list[str]]:
+    """Rows (ord, scope, match regex or null, metric, level, check, budget) and regexes to ignore.
 
-def parse_budget(config: dict) -> tuple[list[tuple], list[str]]:
-    """Rows (ord, scope, match regex or null, metric, level, check, budget) and regexes to ignore. Unknown keys and metrics are errors."""
-    if set(config) - {"version", "budgets", "thresholds", "assets", "ignore"}:
-        raise ValueError(f"unknown keys: {sorted(set(config) - {'version', 'budgets', 'thresholds', 'assets', 'ignore'})}")
+    Unknown keys, metrics, levels and checks, a level without checks, values of another unit and metrics that need what
+    isn't measured (see NEEDS) are errors: a gate that can't be evaluated as written must not pass.
+    """
+    known = {"version", "budgets", "thresholds", "assets", "ignore", "$schema"}
+    if set(config) - known:
+        raise ValueError(f"unknown keys: {sorted(set(config) - known)}")
     if config.get("version") != 1:
         raise ValueError("version must be 1")
+    if not isinstance(config.get("budgets"), dict):
+        raise ValueError("budgets are missing")
     rows: list[tuple] = []
 
-    def add(scope: str, match: str | None, ord_: int, budgets: dict, known: tuple[str, ...]) -> None:
+    def add(scope: str, match: str | None, ord_: int, budgets: dict, units: dict[str, str]) -> None:
         for metric, levels in budgets.items():
-            if metric not in known:
+            if metric not in units or NEEDS.get(metric, "") not in {"", *measures}:
                 raise ValueError(f"{metric} can't be measured for {scope}")
             if levels == "off":
                 continue
+            if not isinstance(levels, dict) or not levels or set(levels) - {"warn", "error"}:
+                raise ValueError(f"{metric} needs the levels warn or error, or off: {levels!r}")
             for level, checks in levels.items():
-                if level not in ("warn", "error") or set(checks) - {"max", "min", "maxDeltaPct"}:
-                    raise ValueError(f"unknown level or check: {level} {sorted(checks)}")
+                if not isinstance(checks, dict) or not checks or set(checks) - {"max", "min", "maxDeltaPct"}:
+                    raise ValueError(f"{metric}.{level} needs max, min or maxDeltaPct: {checks!r}")
                 for check, value in checks.items():
-                    rows.append((ord_, scope, match, metric, level, check, float(value if check == "maxDeltaPct" else _PARSE.get(metric, parse_count)(value))))
+                    rows.append((ord_, scope, match, metric, level, check, float(parse_number(value) if check == "maxDeltaPct" else _PARSE[units[metric]](value))))
 
-    add("global", None, 0, config.get("budgets", {}), GLOBAL_METRICS)
+    add("global", None, 0, config["budgets"], GLOBAL_METRICS)
     for i, entry in enumerate(config.get("assets", [])):
-        add("asset", glob_to_regex(entry["match"]), i, entry.get("budgets", {}), ASSET_METRICS)
+        if not isinstance(entry.get("match"), str) or not isinstance(entry.get("budgets"), dict):
+            raise ValueError(f"an entry for assets needs a match and budgets: {entry!r}")
+        add("asset", glob_to_regex(entry["match"]), i, entry["budgets"], ASSET_METRICS)
     return rows, [glob_to_regex(g) for g in config.get("ignore", [])]
 
 

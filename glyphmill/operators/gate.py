@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.config import RULES
 from glyphmill.functions import scalars as S
 
 SEVERITY_RANK = "case severity when 'crit' then 0 when 'warn' then 1 when 'info' then 2 else 3 end"
 
 
-# fixed values: rules that have a metric of their own
-RULES = ("occupancy", "wasted-regions", "format", "dimensions-npot", "dimensions-oversize", "duplicate-exact", "duplicate-similar", "should-atlas", "atlas-merge", "integrity-missing-image", "variants")
-
-
 def global_metrics(totals: DataFrame, findings: DataFrame, saved: DataFrame, assets: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
     """metric, value in long form. saved: one row, potential; assets: a row for each texture, each of which takes a draw call at least."""
     n = findings.agg(*[F.count_if(F.col("severity") == s).alias(f"findings.{s}") for s in ("crit", "warn", "info")], F.count("*").alias("findings.total"), *[F.count_if(F.col("rule") == r).alias(f"findings.{r}") for r in rules])
@@ -24,18 +21,21 @@ def global_metrics(totals: DataFrame, findings: DataFrame, saved: DataFrame, ass
 
 def asset_metrics(metrics: DataFrame) -> DataFrame:
     """asset_ref, metric, value of what is measured."""
-    m = metrics.select("asset_ref", *[F.col(c).cast("double").alias(c) for c in ("vram", "disk", "occupancy", "oversizePx")])
-    return m.unpivot(["asset_ref"], ["vram", "disk", "occupancy", "oversizePx"], "metric", "value").filter("value is not null")
+    names = {"vramBytes": "vram", "diskBytes": "disk", "occupancy": "occupancy", "oversizePx": "oversizePx"}
+    m = metrics.select("asset_ref", *[F.col(c).cast("double").alias(k) for k, c in names.items()])
+    return m.unpivot(["asset_ref"], list(names), "metric", "value").filter("value is not null")
 
 
-def evaluate(values: DataFrame, budgets: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+def evaluate(values: DataFrame, budgets: DataFrame, baseline: DataFrame | None = None, ignore: list[str] | None = None) -> DataFrame:
     """values: scope, ref, metric, value. budgets: ord, scope, match, metric, level, chk, budget. A row for each value and check, the passing too:
     scope, ref, metric, level, chk, value, budget, delta_pct, breach.
 
-    An asset has the first entry whose pattern matches it. Growth over a baseline of nothing is infinite, and passes without a baseline.
+    An asset has the first entry whose pattern matches it; what a pattern to ignore matches has none. Growth over a baseline of nothing is infinite, and passes without a baseline.
     """
     w = Window.partitionBy("ref").orderBy("ord")
     refs = values.filter("scope = 'asset'").select("ref").distinct()
+    for pattern in ignore or []:
+        refs = refs.filter(~F.regexp_like("ref", F.lit(pattern)))
     entries = F.broadcast(budgets.filter("scope = 'asset'").select("ord", "match").distinct())
     first = refs.join(entries, F.regexp_like("ref", F.col("match"))).withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("ref", "ord")
     asset = values.filter("scope = 'asset'").join(first, "ref").join(F.broadcast(budgets.filter("scope = 'asset'").drop("match")), ["scope", "ord", "metric"])
@@ -132,12 +132,18 @@ def budget_model(totals: DataFrame, limit: int) -> DataFrame:
     return totals.select("loaded", F.lit(limit).cast("long").alias("limit"), (F.floor(F.col("loaded") * 1000.0 / limit + 0.5) / 10).alias("pct"), (F.col("loaded") > limit).alias("over"), F.greatest(F.lit(limit).cast("long") - F.col("loaded"), F.lit(0).cast("long")).alias("left"))
 
 
-RULE_GROUPS = {"occupancy": "packing", "wasted-regions": "packing", "repack-opportunity": "packing", "dimensions-oversize": "size", "dimensions-npot": "size", "mipmap-cost": "size", "format": "format", "strippable-metadata": "format", "duplicate-exact": "duplicates", "frame-redundancy": "duplicates"}
+# fixed values: the groups of rules in their order, and the rules of each
+RULE_GROUPS = {
+    "integrity": ("integrity-missing-image", "dimension-mismatch", "bleeding", "icc-non-srgb", "premultiplied-alpha", "dimensions-npot", "dimensions-oversize"),
+    "savings": ("format", "strippable-metadata", "solid-fill", "upscaled-source", "wasted-alpha", "binary-alpha", "duplicate-exact", "duplicate-similar", "frame-redundancy", "cross-atlas-redundancy", "loose-in-atlas"),
+    "packing": ("occupancy", "wasted-regions", "trim-margin", "excessive-gutter", "spine-unreferenced-regions", "interior-transparency", "should-atlas", "atlas-merge", "repack-opportunity"),
+    "vram": ("variants", "gpu-compression-alignment", "mipmap-cost", "font-glyph-page"),
+}
 
 
 def rule_rollup(findings: DataFrame) -> DataFrame:
     """Findings by group, rule and severity, with subtotals."""
-    names = F.create_map(*[F.lit(x) for kv in RULE_GROUPS.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for group, rules in RULE_GROUPS.items() for rule in rules for x in (rule, group)])
     f = findings.withColumn("rule_group", F.coalesce(F.try_element_at(names, F.col("rule")), F.lit("other")))
     return f.rollup("rule_group", "rule", "severity").agg(F.count("*").alias("n"))
 
@@ -188,3 +194,11 @@ def budget_scaffold(totals: DataFrame) -> DataFrame:
     mb = lambda c: F.concat(F.greatest(F.lit(1), F.ceil(F.col(c).cast("double") * 1.2 / 1048576)).cast("string"), F.lit("MB"))
     rows = [("totals.diskBytes", "max", mb("disk")), ("totals.diskBytes", "maxDeltaPct", F.lit("15")), ("totals.loadedVramBytes", "max", mb("loaded")), ("findings.crit", "max", F.lit("0"))]
     return totals.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("error").alias("level"), F.lit(c).alias("chk"), b.alias("budget")) for m, c, b in rows])))
+
+
+def scaffold_config(rows: list) -> dict:
+    """The rows of a scaffold (a handful, collected) as the configuration that parse_budget reads."""
+    budgets: dict = {}
+    for r in rows:
+        budgets.setdefault(r["metric"], {}).setdefault(r["level"], {})[r["chk"]] = r["budget"]
+    return {"version": 1, "budgets": budgets}

@@ -102,10 +102,58 @@ def correlate_fix(pairs: DataFrame) -> DataFrame:
     return s.withColumn("ratio", ratio).withColumn("severity", F.when(F.col("ratio") <= 0.34, "crit").when(F.col("ratio") <= 0.67, "warn").otherwise("info"))
 
 
-def compare_sessions(before: DataFrame, after: DataFrame, least: int = 120, skew: float = 0.3) -> DataFrame:
-    """Reports of two captures of a session side by side: metric, before, after, delta; too-short sessions get no rows, and totals
-    none where the frame counts differ by more than skew."""
-    j = before.select("session", *[F.col(c).alias(f"b_{c}") for c in ("frames", "avg_draws", "p95", "redundant")]).join(after, "session").filter((F.col("b_frames") >= least) & (F.col("frames") >= least))
-    close = F.abs(F.col("frames") - F.col("b_frames")) / F.greatest("frames", "b_frames") <= skew
-    rows = [F.struct(F.lit(m).alias("metric"), F.when(ok, F.col(f"b_{m}").cast("double")).alias("before"), F.when(ok, F.col(m).cast("double")).alias("after")) for m, ok in (("avg_draws", F.lit(True)), ("p95", F.lit(True)), ("redundant", close))]
-    return j.select("session", F.explode(F.array(*rows)).alias("r")).select("session", "r.metric", "r.before", "r.after", (F.col("r.after") - F.col("r.before")).alias("delta"))
+def round1(c: Column) -> Column:
+    return F.floor(c * 10 + 0.5) / 10
+
+
+def runtime_reports(frames: DataFrame, live: DataFrame | None = None, warm_up: int = WARM_UP, window: int = WINDOW_FRAMES) -> DataFrame:
+    """The whole report of each session. frames as above; live: session, live_textures, vram, compressed (absent: nothing lives).
+
+    Frames and duration count the whole window, all else play alone; averages of calls take frames that draw, times those above 0. Sessions without
+    such frames have 0. compressed is null where it wasn't recorded.
+    """
+    f = window_frames(frames, window).withColumn("play", F.col("nth") > warm_up)
+    play, timed, drawn = F.col("play"), F.col("play") & (F.col("dt") > 0), F.col("play") & (F.col("draws") > 0)
+    ranked = f.withColumns({"timed": timed, "place": F.row_number().over(Window.partitionBy("session", timed).orderBy("dt", "seq")), "of": F.count("*").over(Window.partitionBy("session", timed))})
+    at = lambda index: F.coalesce(F.max(F.when(F.col("timed") & (F.col("place") - 1 == F.least(F.col("of") - 1, index)), F.col("dt"))), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    mean = lambda c, when: F.coalesce(F.avg(F.when(when, F.col(c))), F.lit(0.0))
+    total = lambda c: zero(F.sum(F.when(play, F.col(c)))).cast("long")
+    r = ranked.groupBy("session").agg(
+        F.count("*").alias("frames"), F.floor(F.sum("dt") + 0.5).alias("duration"), round1(mean("draws", drawn)).alias("draws_avg"), zero(F.max(F.when(play, F.col("draws")))).cast("long").alias("draws_max"),
+        round1(mean("binds", drawn)).alias("binds_avg"), zero(F.max(F.when(play, F.col("binds")))).cast("long").alias("binds_max"), total("redundant").alias("redundant"), total("uploads").alias("uploads"), total("compiles").alias("compiles"),
+        round1(F.coalesce(F.try_divide(F.lit(1000.0), F.nullif(mean("dt", timed), F.lit(0.0))), F.lit(0.0))).alias("fps"), round1(mean("dt", timed)).alias("frame_ms"), round1(at(F.floor(F.col("of") * 95 / 100))).alias("frame_ms_p95"),
+        at(F.floor(F.col("of") / 2)).alias("median"),
+    )
+    slow = ranked.select("session", "play", "dt").join(r.select("session", "median"), "session").filter(play & (F.col("median") > 0) & (F.col("dt") > 2 * F.col("median")) & (F.col("dt") > 16))
+    r = r.drop("median").join(slow.groupBy("session").agg(F.least(F.count("*"), F.lit(20)).alias("hitches")), "session", "left").withColumn("hitches", zero(F.col("hitches")).cast("long"))
+    if live is None:
+        return r.withColumns({"live_textures": F.lit(0).cast("long"), "vram": F.lit(0).cast("long"), "compressed": F.lit(0).cast("long")})
+    return r.join(live.select("session", "live_textures", "vram", "compressed", F.lit(True).alias("seen")), "session", "left").withColumns({"live_textures": zero(F.col("live_textures")), "vram": zero(F.col("vram")), "compressed": F.when(F.col("seen"), F.col("compressed")).otherwise(F.lit(0))}).drop("seen")
+
+
+#: Rows of a comparison: key, class, column of a report.
+COMPARED = (
+    ("drawCalls.avg", "per-frame", "draws_avg"), ("drawCalls.max", "per-frame", "draws_max"), ("textureBinds.avg", "per-frame", "binds_avg"), ("liveTextures", "state", "live_textures"), ("vramBytes", "state", "vram"), ("compressedBytes", "state", "compressed"),
+    ("redundantBinds", "session-total", "redundant"), ("uploadsDuringGameplay", "session-total", "uploads"), ("shaderCompilesDuringGameplay", "session-total", "compiles"), ("timing.fps", "device", "fps"), ("timing.frameTimeMsAvg", "device", "frame_ms"),
+    ("timing.frameTimeMsP95", "device", "frame_ms_p95"),
+)
+
+
+def compare_sessions(before: DataFrame, after: DataFrame, least: int = 120, skew: float = 0.3, same_device: bool = False) -> DataFrame:
+    """Reports of two captures of a session side by side: session, verdict, skew, place, key, class, before, after, delta, pct, comparable.
+
+    All rows are shown; comparable says whether their delta means anything: none if either capture is shorter than `least` frames, totals
+    only if the durations differ by no more than skew of the longer, device rows only if the caller vouches for one device. compressedBytes
+    needs a record on both sides. pct is null where before is 0.
+    """
+    j = before.select("session", *[F.col(c).alias(f"b_{c}") for c in before.columns if c != "session"]).join(after, "session")
+    longest = F.greatest("duration", "b_duration")
+    j = j.withColumn("skew", F.when(longest == 0, 0.0).otherwise(round1(F.abs(F.col("duration") - F.col("b_duration")) / longest * 100) / 100))
+    short = (F.col("frames") < least) | (F.col("b_frames") < least)
+    verdict = F.when(short, "too-short").when(F.col("skew") > skew, "duration-skewed").otherwise("comparable")
+    fair = {"session-total": ~short & (F.col("skew") <= skew), "device": ~short & F.lit(same_device)}
+    rows = [F.struct(F.lit(i).alias("place"), F.lit(k).alias("key"), F.lit(kind).alias("class"), F.col(f"b_{c}").cast("double").alias("before"), F.col(c).cast("double").alias("after"), fair.get(kind, ~short).alias("comparable")) for i, (k, kind, c) in enumerate(COMPARED)]
+    r = j.select("session", verdict.alias("verdict"), "skew", F.inline(F.array(*rows))).filter("before is not null and after is not null")
+    change = F.col("after") - F.col("before")
+    return r.select("session", "verdict", "skew", "place", "key", "class", "before", "after", round1(change).alias("delta"), round1(F.try_divide(change, F.col("before")) * 100).alias("pct"), "comparable")

@@ -46,6 +46,12 @@ SQL: dict[str, str] = {
   64 + p_partkey // 8 % 3 AS w, CASE WHEN p_partkey % 7 = 0 THEN 32 ELSE 64 END AS h, CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' WHEN 2 THEN 'image/avif' ELSE 'image/png' END AS mime FROM part""",
     "blends": """SELECT DISTINCT user_id AS session, user_id % 3 = 0 AS straight, user_id % 4 = 0 AS premultiplied, user_id % 5 = 0 AS unpacked FROM events""",
     "calls": """SELECT user_id AS session, event_type AS target, event_id AS seq, concat('t', CAST(event_id % 3 AS STRING)) AS texture FROM events""",
+    "gl_calls": """SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+  split_part('bindTexture,bindTexture,bindTexture,bindTexture,bindTexture,createTexture,createTexture,createTexture,deleteTexture,texImage2D,texImage2D,texImage2D,compressedTexImage2D,compressedTexImage2D,compressedTexImage2D,generateMipmap,texSubImage2D,compressedTexSubImage2D,useProgram,useProgram,drawElements,drawArraysInstanced,compileShader,linkProgram,blendFunc,pixelStorei,frame', ',', CAST(1 + event_id * 7919 % 10007 % 27 AS INT)) AS call,
+  concat('u', CAST(event_id % 2 AS STRING)) AS target, CASE WHEN event_id * 31 % 101 % 9 = 0 THEN NULL ELSE concat('t', CAST(event_id * 31 % 101 % 3 AS STRING)) END AS object, CASE WHEN event_id * 13 % 103 % 3 = 0 THEN 1 ELSE 0 END AS level,
+  event_id * 17 % 300 AS w, event_id * 19 % 200 AS h, event_id * 23 % 5000 AS bytes, CASE event_id * 11 % 107 % 4 WHEN 0 THEN 1 WHEN 1 THEN 770 WHEN 2 THEN 37441 ELSE 0 END AS value FROM events""",
+    "ruled": """SELECT o_orderkey AS id, split_part('integrity-missing-image,dimension-mismatch,bleeding,icc-non-srgb,premultiplied-alpha,dimensions-npot,dimensions-oversize,format,strippable-metadata,solid-fill,upscaled-source,wasted-alpha,binary-alpha,duplicate-exact,duplicate-similar,frame-redundancy,cross-atlas-redundancy,loose-in-atlas,occupancy,wasted-regions,trim-margin,excessive-gutter,spine-unreferenced-regions,interior-transparency,should-atlas,atlas-merge,repack-opportunity,variants,gpu-compression-alignment,mipmap-cost,font-glyph-page,own-rule', ',', CAST(1 + o_orderkey * 37 % 32 AS INT)) AS rule,
+  CASE o_custkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders""",
     "before": """SELECT concat('f', CAST(o_custkey % 700 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 0""",
     "after": """SELECT concat('f', CAST(o_custkey % 900 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 1""",
     "found": """SELECT concat('f', CAST(o_orderkey AS STRING)) AS id, CAST(o_custkey % 400 AS BIGINT) AS asset_ref, CASE o_orderkey % 4 WHEN 0 THEN 'occupancy' WHEN 1 THEN 'dimensions-npot' WHEN 2 THEN 'format' ELSE 'duplicate-exact' END AS rule,

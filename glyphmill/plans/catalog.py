@@ -12,6 +12,7 @@ from glyphmill.operators import asset_rules as R
 from glyphmill.operators import folder_rules as A
 from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
+from glyphmill.operators import gl_calls as GL
 from glyphmill.operators import packing as X
 from glyphmill.operators import runtime as T
 from glyphmill.plans.adapters import relation, with_relations
@@ -142,21 +143,21 @@ _RANK = "CASE severity WHEN 'crit' THEN 0 WHEN 'warn' THEN 1 WHEN 'info' THEN 2
 _PER_RULE = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS \"findings.{r}\"" for r in B.RULES)
 _PER_SEVERITY = ", ".join(f"count(*) FILTER (WHERE severity = '{r}') AS \"findings.{r}\"" for r in ("crit", "warn", "info"))
 _add("b01_global_metrics", lambda i, f, e, n: B.global_metrics(A.totals(i), n, _saved(i, f, e), i), "images features encode_sizes found", f"WITH {_V}, {_SAVED}, n AS (SELECT {_PER_SEVERITY}, count(*) AS \"findings.total\", {_PER_RULE}, (SELECT sum(byte_size) FROM images)::BIGINT AS \"totals.diskBytes\", (SELECT sum(w * h * 4) FROM images)::BIGINT AS \"totals.vramBytes\", (SELECT sum(most) FROM v)::BIGINT AS \"totals.loadedVramBytes\", (SELECT potential FROM ({_POTENTIAL}))::BIGINT AS \"totals.potentialDiskSaved\", (SELECT count(*) FROM images) AS \"drawCallsLowerBound\" FROM found) UNPIVOT n ON COLUMNS(*) INTO NAME metric VALUE value")
-_METRICS = "SELECT 'asset' AS scope, path AS ref, 'vram' AS metric, (w * h * 4)::DOUBLE AS value FROM images UNION ALL SELECT 'asset', path, 'disk', byte_size::DOUBLE FROM images UNION ALL SELECT 'asset', path, 'oversizePx', greatest(w, h)::DOUBLE FROM images"
+_METRICS = "SELECT 'asset' AS scope, path AS ref, 'vramBytes' AS metric, (w * h * 4)::DOUBLE AS value FROM images UNION ALL SELECT 'asset', path, 'diskBytes', byte_size::DOUBLE FROM images UNION ALL SELECT 'asset', path, 'oversizePx', greatest(w, h)::DOUBLE FROM images"
 
 
 def _gate(images: DataFrame) -> DataFrame:
     from glyphmill.config import parse_budget
 
     m = B.asset_metrics(images.select(F.col("path").alias("asset_ref"), S.vram_bytes(F.col("w"), F.col("h")).alias("vram"), F.col("byte_size").alias("disk"), F.lit(None).alias("occupancy"), F.greatest("w", "h").alias("oversizePx")))
-    rows, _ = parse_budget({"version": 1, "assets": [{"match": "dir1/**", "budgets": {"vram": {"error": {"max": "8 MB"}}, "disk": {"warn": {"max": "100 KB"}}}}, {"match": "**/*.png", "budgets": {"oversizePx": {"warn": {"max": 2000}}}}]})
+    rows, _ = parse_budget({"version": 1, "budgets": {}, "assets": [{"match": "dir1/**", "budgets": {"vramBytes": {"error": {"max": "8 MB"}}, "diskBytes": {"warn": {"max": "100 KB"}}}}, {"match": "**/*.png", "budgets": {"oversizePx": {"warn": {"max": 2000}}}}]})
     budgets = images.sparkSession.createDataFrame(rows, "ord int, scope string, match string, metric string, level string, chk string, budget double")
     return B.evaluate(m.select(F.lit("asset").alias("scope"), F.col("asset_ref").alias("ref"), "metric", "value"), budgets).drop("delta_pct")
 
 
-_add("b05_gate", _gate, "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vram' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'disk', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach FROM c JOIN b USING (ord, metric)")
-_add("b06_verdict", lambda i: B.verdict(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), n AS (SELECT count(*) FILTER (WHERE ord = 0 AND metric = 'vram' AND value > 8388608) AS errors, count(*) FILTER (WHERE (ord = 0 AND metric = 'disk' AND value > 102400) OR (ord = 1 AND metric = 'oversizePx' AND value > 2000)) AS warnings FROM c) SELECT errors, warnings, CASE WHEN errors > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN errors > 0 THEN 1 ELSE 0 END AS exit_code FROM n")
-_add("k03_worst_first", lambda i: B.worst_first(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vram' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'disk', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach, abs((value - budget) / budget) AS over FROM c JOIN b USING (ord, metric) WHERE value > budget ORDER BY CASE WHEN level = 'error' THEN 0 ELSE 1 END, over DESC, ref, metric LIMIT 10")
+_add("b05_gate", _gate, "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vramBytes' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'diskBytes', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach FROM c JOIN b USING (ord, metric)")
+_add("b06_verdict", lambda i: B.verdict(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), n AS (SELECT count(*) FILTER (WHERE ord = 0 AND metric = 'vramBytes' AND value > 8388608) AS errors, count(*) FILTER (WHERE (ord = 0 AND metric = 'diskBytes' AND value > 102400) OR (ord = 1 AND metric = 'oversizePx' AND value > 2000)) AS warnings FROM c) SELECT errors, warnings, CASE WHEN errors > 0 THEN 'fail' WHEN warnings > 0 THEN 'warn' ELSE 'pass' END AS verdict, CASE WHEN errors > 0 THEN 1 ELSE 0 END AS exit_code FROM n")
+_add("k03_worst_first", lambda i: B.worst_first(_gate(i)), "images", f"WITH m AS ({_METRICS}), c AS (SELECT *, CASE WHEN ref LIKE 'dir1/%' THEN 0 WHEN ref LIKE '%.png' THEN 1 END AS ord FROM m), b AS (SELECT 0 AS ord, 'vramBytes' AS metric, 'error' AS level, 'max' AS chk, 8388608::DOUBLE AS budget UNION ALL SELECT 0, 'diskBytes', 'warn', 'max', 102400 UNION ALL SELECT 1, 'oversizePx', 'warn', 'max', 2000) SELECT scope, ref, metric, level, chk, value, budget, value > budget AS breach, abs((value - budget) / budget) AS over FROM c JOIN b USING (ord, metric) WHERE value > budget ORDER BY CASE WHEN level = 'error' THEN 0 ELSE 1 END, over DESC, ref, metric LIMIT 10")
 _add("b07_diff_metrics", lambda b, a: B.diff_metrics(b.groupBy(F.col("severity").alias("metric")).agg(F.count("*").alias("value")), a.groupBy(F.col("severity").alias("metric")).agg(F.count("*").alias("value"))), "before after", "WITH b AS (SELECT severity AS metric, count(*) AS before FROM before GROUP BY 1), a AS (SELECT severity AS metric, count(*) AS after FROM after GROUP BY 1) SELECT metric, b.before, a.after, a.after - b.before AS delta, (a.after - b.before)::DOUBLE * 100 / b.before AS pct FROM b JOIN a USING (metric)")
 _DIFF = "x AS (SELECT id, arg_max(severity, ord) AS before FROM before GROUP BY 1), y AS (SELECT id, arg_max(severity, ord) AS after FROM after GROUP BY 1), df AS (SELECT id, x.before, y.after, CASE WHEN x.before IS NULL THEN 'added' WHEN y.after IS NULL THEN 'resolved' WHEN x.before <> y.after THEN 'changed' END AS status FROM x FULL JOIN y USING (id))"
 _add("b08_diff_findings", B.diff_findings, "before after", f"WITH {_DIFF} SELECT id, before, after, status FROM df WHERE status IS NOT NULL")
@@ -168,7 +169,9 @@ _add("u01_triage", lambda f: B.triage(f, f.select("asset_ref").distinct()), "fou
 _add("u02_worst_per_asset", B.worst_per_asset, "found", f"SELECT asset_ref, id, rule, severity FROM found QUALIFY row_number() OVER (PARTITION BY asset_ref ORDER BY {_RANK}, id) = 1")
 _add("u03_loose_dominated", B.loose_dominated, "found images", "WITH s AS (SELECT count(*) FILTER (WHERE loose)::DOUBLE / count(*) AS share FROM images) SELECT rule, count(*) AS n, any_value(share) AS share FROM found, s WHERE share >= 0.5 AND rule IN ('dimensions-npot', 'format') AND severity <> 'crit' GROUP BY 1")
 _add("u04_budget_model", lambda i: B.budget_model(A.totals(i), 256 << 20), "images", f"WITH {_V}, l AS (SELECT sum(most)::BIGINT AS loaded FROM v) SELECT loaded, 268435456::BIGINT AS \"limit\", floor(loaded * 1000.0::DOUBLE / 268435456 + 0.5) / 10 AS pct, loaded > 268435456 AS over, greatest(268435456 - loaded, 0) AS left FROM l".replace("AS left FROM", 'AS "left" FROM'))
-_add("u07_rule_rollup", B.rule_rollup, "found", "WITH f AS (SELECT *, CASE rule WHEN 'occupancy' THEN 'packing' WHEN 'dimensions-npot' THEN 'size' WHEN 'format' THEN 'format' ELSE 'duplicates' END AS rule_group FROM found) SELECT rule_group, rule, severity, count(*) AS n FROM f GROUP BY ROLLUP (rule_group, rule, severity)")
+_add("u07_rule_rollup", B.rule_rollup, "ruled", """WITH f AS (SELECT *, CASE WHEN rule IN ('integrity-missing-image', 'dimension-mismatch', 'bleeding', 'icc-non-srgb', 'premultiplied-alpha', 'dimensions-npot', 'dimensions-oversize') THEN 'integrity'
+WHEN rule IN ('variants', 'gpu-compression-alignment', 'mipmap-cost', 'font-glyph-page') THEN 'vram' WHEN rule IN ('occupancy', 'wasted-regions', 'trim-margin', 'excessive-gutter', 'spine-unreferenced-regions', 'interior-transparency', 'should-atlas', 'atlas-merge', 'repack-opportunity') THEN 'packing'
+WHEN rule = 'own-rule' THEN 'other' ELSE 'savings' END AS rule_group FROM ruled) SELECT rule_group, rule, severity, count(*) AS n FROM f GROUP BY ROLLUP (rule_group, rule, severity)""")
 
 _WIN = "wf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS nth, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM frames) WHERE back <= 1800), pl AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY dt, seq) AS k, count(*) OVER (PARTITION BY session) AS n FROM wf WHERE nth > 30)"
 _REP = f"{_WIN}, rp AS (SELECT session, a.frames, a.duration, play_frames, avg_draws, max_draws, p95, median, redundant FROM (SELECT session, count(*) AS frames, sum(dt) AS duration FROM wf GROUP BY 1) a LEFT JOIN (SELECT session, count(*) AS play_frames, avg(CASE WHEN draws > 0 THEN draws END) AS avg_draws, max(draws) AS max_draws, max(CASE WHEN k - 1 = least(n - 1, n * 95 // 100) THEN dt END) AS p95, max(CASE WHEN k - 1 = least(n - 1, n // 2) THEN dt END) AS median, sum(redundant)::BIGINT AS redundant FROM pl GROUP BY 1) b USING (session))"
@@ -177,6 +180,22 @@ _add("t02_counters", lambda f: f.groupBy("session").agg(F.sum("draws").alias("dr
 _add("t03_window_frames", lambda f: T.window_frames(f, 40).filter("nth > 30").select("session", "seq", "nth"), "frames", "SELECT session, seq, seq::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM frames) WHERE back <= 40 AND seq > 30")
 _add("t04_session_reports", T.session_reports, "frames", f"WITH {_REP} SELECT * FROM rp")
 _add("t05_hitches", T.hitches, "frames", f"WITH {_REP} SELECT session, seq, dt, CASE WHEN uploads > 0 THEN 'texture upload' WHEN compiles > 0 THEN 'shader compile' ELSE 'cpu/gpu spike' END AS cause, row_number() OVER (PARTITION BY session ORDER BY seq)::INT AS place FROM wf JOIN rp USING (session) WHERE nth > 30 AND median > 0 AND dt > 2 * median AND dt > 16 QUALIFY place <= 20")
+GL_SQL = """gb AS (SELECT *, last_value(CASE WHEN call = 'bindTexture' THEN {'o': object} END IGNORE NULLS) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS b FROM gl_calls),
+ge AS (SELECT session, seq, call, level, w, h, bytes, CASE WHEN call IN ('createTexture', 'deleteTexture') THEN object ELSE b.o END AS texture FROM gb WHERE call IN ('createTexture', 'deleteTexture', 'texImage2D', 'compressedTexImage2D', 'generateMipmap')),
+gx AS (SELECT *, count(*) FILTER (WHERE call = 'createTexture') OVER k AS gen, last_value(CASE WHEN call IN ('createTexture', 'deleteTexture') THEN call END IGNORE NULLS) OVER k = 'createTexture' AS alive FROM ge WHERE texture IS NOT NULL WINDOW k AS (PARTITION BY session, texture ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+gy AS (SELECT *, max(gen) OVER p AS gens, arg_max(alive, seq) OVER p AS lives, max(CASE WHEN call = 'compressedTexImage2D' AND level = 0 AND alive THEN seq END) OVER (PARTITION BY session, texture, gen) AS chain FROM gx WINDOW p AS (PARTITION BY session, texture)),
+gz AS (SELECT * FROM gy WHERE lives AND alive AND gen = gens),
+gl AS (SELECT session, texture, sum(bytes)::BIGINT AS compressed FROM (SELECT session, texture, level, arg_max(bytes, seq) AS bytes FROM gz WHERE call = 'compressedTexImage2D' AND seq >= coalesce(chain, 0) GROUP BY ALL) GROUP BY ALL),
+gt AS (SELECT session, texture, coalesce(arg_max(w, seq) FILTER (WHERE call IN ('texImage2D', 'compressedTexImage2D') AND level = 0 AND w > 0 AND h > 0), 0)::BIGINT AS w, coalesce(arg_max(h, seq) FILTER (WHERE call IN ('texImage2D', 'compressedTexImage2D') AND level = 0 AND w > 0 AND h > 0), 0)::BIGINT AS h, bool_or(call = 'generateMipmap') AS mipmapped FROM gz GROUP BY ALL),
+tx AS (SELECT session, texture, w, h, mipmapped, coalesce(compressed, 0)::BIGINT AS compressed FROM gt LEFT JOIN gl USING (session, texture)),
+lv AS (SELECT session, count(*) AS live_textures, floor(sum(CASE WHEN compressed > 0 THEN compressed::DOUBLE WHEN mipmapped THEN w * h * 4 * 4 / 3.0::DOUBLE ELSE (w * h * 4)::DOUBLE END) + 0.5)::BIGINT AS vram, sum(compressed)::BIGINT AS compressed FROM tx GROUP BY 1)"""
+_add("t01_textures", GL.textures, "gl_calls", f"WITH {GL_SQL} SELECT * FROM tx")
+_add("t01_gl_counters", GL.session_counters, "gl_calls", f"""WITH {GL_SQL}, bt AS (SELECT session, count(*) AS texture_binds, count(*) FILTER (WHERE prior IS NOT NULL AND object IS NOT DISTINCT FROM was) AS redundant_texture_binds FROM (SELECT session, object, lag(seq) OVER k AS prior, lag(object) OVER k AS was FROM gl_calls WHERE call = 'bindTexture' WINDOW k AS (PARTITION BY session, target ORDER BY seq)) GROUP BY 1),
+bp AS (SELECT session, count(*) AS program_binds, count(*) FILTER (WHERE prior IS NOT NULL AND object IS NOT DISTINCT FROM was) AS redundant_program_binds FROM (SELECT session, object, lag(seq) OVER k AS prior, lag(object) OVER k AS was FROM gl_calls WHERE call = 'useProgram' WINDOW k AS (PARTITION BY session ORDER BY seq)) GROUP BY 1),
+n AS (SELECT session, count(*) FILTER (WHERE call IN ('drawElements', 'drawElementsInstanced')) AS draw_elements, count(*) FILTER (WHERE call IN ('drawArrays', 'drawArraysInstanced')) AS draw_arrays, count(*) FILTER (WHERE call IN ('texImage2D', 'texSubImage2D', 'compressedTexImage2D', 'compressedTexSubImage2D')) AS uploads,
+count(*) FILTER (WHERE call = 'compileShader') AS compiles, count(*) FILTER (WHERE call = 'linkProgram') AS links, count(*) FILTER (WHERE call = 'frame') AS frames, coalesce(bool_or(call = 'blendFunc' AND value = 1), FALSE) AS premultiplied, bool_or(call = 'blendFunc' AND value = 770) AS straight, bool_or(call = 'pixelStorei' AND value = 37441 AND level <> 0) AS unpack_premultiply FROM gl_calls GROUP BY 1)
+SELECT n.*, coalesce(texture_binds, 0) AS texture_binds, coalesce(redundant_texture_binds, 0) AS redundant_texture_binds, coalesce(program_binds, 0) AS program_binds, coalesce(redundant_program_binds, 0) AS redundant_program_binds, coalesce(live_textures, 0) AS live_textures, coalesce(vram, 0) AS vram, coalesce(compressed, 0) AS compressed
+FROM n LEFT JOIN bt USING (session) LEFT JOIN bp USING (session) LEFT JOIN lv USING (session)""")
 _STATIC = ((6, 0, False), (2, 5, False), (2, 0, True), (3, 0, False))
 
 
@@ -195,8 +214,28 @@ _add("t08_hitch_costs", lambda f: T.hitch_costs(T.hitches(f)), "frames", f"WITH
 _add("t09_redundant_state", lambda f: T.redundant_state(T.session_reports(f.withColumn("redundant", F.col("redundant") * 2))), "frames", f"WITH {_REP} SELECT session, 2 * redundant::DOUBLE / frames AS per_frame FROM rp WHERE frames > 0 AND 2 * redundant::DOUBLE / frames > 5")
 _add("t10_premultiplied_blend", lambda f, b: T.premultiplied_blend(A.premultiplied_alpha(f), b), "features blends", "WITH h AS (SELECT count(*) AS n FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75) SELECT session, n, CASE WHEN straight AND premultiplied THEN 'inconclusive' WHEN straight THEN 'halo' WHEN premultiplied THEN 'safe' ELSE 'inconclusive' END AS result FROM blends, h WHERE n >= 2 AND (straight OR premultiplied OR unpacked)")
 _add("t11_correlate_fix", lambda i: T.correlate_fix(i.select(F.col("byte_size").cast("double").alias("before"), (F.col("byte_size") - F.col("strippable_bytes")).cast("double").alias("after"))), "images", "WITH s AS (SELECT sum(byte_size)::DOUBLE AS before, sum(byte_size - strippable_bytes)::DOUBLE AS after FROM images WHERE strippable_bytes IS NOT NULL) SELECT before, after, after / before AS ratio, CASE WHEN after / before <= 0.34 THEN 'crit' WHEN after / before <= 0.67 THEN 'warn' ELSE 'info' END AS severity FROM s")
-_add("t12_compare_sessions", lambda f: T.compare_sessions(T.session_reports(f), T.session_reports(f.filter("seq % 5 <> 0")), least=20), "frames", f"""WITH {_REP}, {_REP.replace("wf", "wg").replace("pl AS", "pm AS").replace("FROM pl", "FROM pm").replace("rp AS", "rq AS").replace("FROM frames", "FROM frames WHERE seq % 5 <> 0")}, j AS (SELECT a.session, a.avg_draws AS a1, b.avg_draws AS b1, a.p95 AS a2, b.p95 AS b2, a.redundant::DOUBLE AS a3, b.redundant::DOUBLE AS b3, abs(b.frames - a.frames)::DOUBLE / greatest(a.frames, b.frames) <= 0.3 AS ok FROM rp a JOIN rq b USING (session) WHERE a.frames >= 20 AND b.frames >= 20)
-SELECT session, 'avg_draws' AS metric, a1 AS before, b1 AS after, b1 - a1 AS delta FROM j UNION ALL SELECT session, 'p95', a2, b2, b2 - a2 FROM j UNION ALL SELECT session, 'redundant', CASE WHEN ok THEN a3 END, CASE WHEN ok THEN b3 END, CASE WHEN ok THEN b3 - a3 END FROM j""")
+_REPORT = """{w} AS (SELECT *, nth > 30 AS play, nth > 30 AND dt > 0 AS timed FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS nth, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS back FROM {src}) WHERE back <= 1800),
+{w}k AS (SELECT *, row_number() OVER (PARTITION BY session, timed ORDER BY dt, seq) - 1 AS k, count(*) OVER (PARTITION BY session, timed) AS n FROM {w}),
+{w}r AS (SELECT session, count(*) AS frames, floor(sum(dt) + 0.5)::BIGINT AS duration, floor(coalesce(avg(draws) FILTER (WHERE play AND draws > 0), 0) * 10 + 0.5) / 10 AS draws_avg, coalesce(max(draws) FILTER (WHERE play), 0)::BIGINT AS draws_max,
+floor(coalesce(avg(binds) FILTER (WHERE play AND draws > 0), 0) * 10 + 0.5) / 10 AS binds_avg, coalesce(max(binds) FILTER (WHERE play), 0)::BIGINT AS binds_max, coalesce(sum(redundant) FILTER (WHERE play), 0)::BIGINT AS redundant, coalesce(sum(uploads) FILTER (WHERE play), 0)::BIGINT AS uploads,
+coalesce(sum(compiles) FILTER (WHERE play), 0)::BIGINT AS compiles, floor(coalesce(1000.0::DOUBLE / avg(dt) FILTER (WHERE timed), 0) * 10 + 0.5) / 10 AS fps, floor(coalesce(avg(dt) FILTER (WHERE timed), 0) * 10 + 0.5) / 10 AS frame_ms,
+floor(coalesce(max(dt) FILTER (WHERE timed AND k = least(n - 1, n * 95 // 100)), 0) * 10 + 0.5) / 10 AS frame_ms_p95, coalesce(max(dt) FILTER (WHERE timed AND k = least(n - 1, n // 2)), 0) AS median FROM {w}k GROUP BY 1),
+{w}h AS (SELECT session, count(*) FILTER (WHERE play AND median > 0 AND dt > 2 * median AND dt > 16) AS hitches FROM {w} JOIN {w}r USING (session) GROUP BY 1),
+{w}f AS (SELECT session, frames, duration, draws_avg, draws_max, binds_avg, binds_max, redundant, uploads, compiles, fps, frame_ms, frame_ms_p95, least(hitches, 20)::BIGINT AS hitches FROM {w}r JOIN {w}h USING (session))"""
+_add("t04_runtime_reports", lambda f, g: T.runtime_reports(f, GL.live_textures(g)), "frames gl_calls", f"WITH {GL_SQL}, {_REPORT.format(w='wf', src='frames')} SELECT wff.*, coalesce(live_textures, 0) AS live_textures, coalesce(vram, 0) AS vram, coalesce(compressed, 0) AS compressed FROM wff LEFT JOIN lv USING (session)")
+
+
+def _compare(frames: DataFrame, calls: DataFrame) -> DataFrame:
+    live = GL.live_textures(calls)
+    return T.compare_sessions(T.runtime_reports(frames, live), T.runtime_reports(frames.filter("seq % 5 <> 0 and not (session % 4 = 0 and seq % 2 = 0)"), live.withColumn("compressed", F.when(F.col("session") % 3 > 0, F.col("compressed") + 10))), least=24)
+
+
+_KEYS = ", ".join(f"({i}, '{k}', '{kind}', a.{c}::DOUBLE, b.{c}::DOUBLE)" for i, (k, kind, c) in enumerate(T.COMPARED))
+_add("t12_compare_sessions", _compare, "frames gl_calls", f"""WITH {GL_SQL}, g AS (SELECT * FROM frames WHERE seq % 5 <> 0 AND NOT (session % 4 = 0 AND seq % 2 = 0)), {_REPORT.format(w='wf', src='frames')}, {_REPORT.format(w='wg', src='g')},
+x AS (SELECT wff.*, coalesce(live_textures, 0) AS live_textures, coalesce(vram, 0) AS vram, coalesce(compressed, 0) AS compressed FROM wff LEFT JOIN lv USING (session)), y AS (SELECT wgf.*, coalesce(live_textures, 0) AS live_textures, coalesce(vram, 0) AS vram, CASE WHEN lv.session IS NULL THEN 0 WHEN session % 3 > 0 THEN compressed + 10 END AS compressed FROM wgf LEFT JOIN lv USING (session)),
+j AS (SELECT a.session, (floor(abs(a.duration - b.duration)::DOUBLE / greatest(a.duration, b.duration) * 100 * 10 + 0.5) / 10) / 100 AS skew, a.frames < 24 OR b.frames < 24 AS short, t.* FROM x a JOIN y b USING (session), LATERAL (VALUES {_KEYS}) AS t(place, key, class, before, after))
+SELECT session, CASE WHEN short THEN 'too-short' WHEN skew > 0.3 THEN 'duration-skewed' ELSE 'comparable' END AS verdict, skew, place, key, class, before, after, floor((after - before) * 10 + 0.5) / 10 AS delta, CASE WHEN before <> 0 THEN floor((after - before) / before * 100 * 10 + 0.5) / 10 END AS pct,
+CASE class WHEN 'device' THEN FALSE WHEN 'session-total' THEN NOT short AND skew <= 0.3 ELSE NOT short END AS comparable FROM j WHERE before IS NOT NULL AND after IS NOT NULL""")
 
 _add("x03_pack", lambda s: X.packed_sizes(X.pack(s)), "sprites")
 _add("x04_scale_atlas", lambda s: X.scale_atlas(s, 0.5), "sprites", "SELECT asset_ref, sprite_idx, floor(x * 0.5::DOUBLE)::BIGINT AS x, floor(y * 0.5::DOUBLE)::BIGINT AS y, greatest(1, ceil((x + w) * 0.5::DOUBLE)::BIGINT - floor(x * 0.5::DOUBLE)::BIGINT) AS w, greatest(1, ceil((y + h) * 0.5::DOUBLE)::BIGINT - floor(y * 0.5::DOUBLE)::BIGINT) AS h FROM sprites")
@@ -287,6 +326,24 @@ def _headline(images: DataFrame) -> DataFrame:
 _add("u06_history_rows", lambda i: B.history_rows(B.diff_metrics(_headline(i), _headline(i.filter("asset_ref % 3 <> 0")))), "images", "WITH h AS (SELECT sum(byte_size)::BIGINT AS d, sum(byte_size) FILTER (WHERE asset_ref % 3 <> 0)::BIGINT AS d2, sum(w * h * 4)::BIGINT AS v, sum(w * h * 4) FILTER (WHERE asset_ref % 3 <> 0)::BIGINT AS v2, count(*) AS n, count(*) FILTER (WHERE asset_ref % 3 <> 0) AS n2 FROM images) SELECT 'totals.diskBytes' AS metric, d AS before, d2 AS after, d2 - d AS delta, TRUE AS bytes FROM h UNION ALL SELECT 'totals.vramBytes', v, v2, v2 - v, TRUE FROM h UNION ALL SELECT 'drawCallsLowerBound', n, n2, n2 - n, FALSE FROM h")
 _add("u06_totals_rows", lambda i: B.totals_rows(_model(i).withColumn("potential", F.expr("disk div 7"))), "images", f"WITH {_V}, t AS (SELECT sum(byte_size)::BIGINT AS disk, sum(w * h * 4)::BIGINT AS vram, (SELECT sum(most) FROM v)::BIGINT AS loaded FROM images), f AS (SELECT 0 AS place, 'disk' AS key, disk AS n FROM t UNION ALL SELECT 1, 'declared', loaded FROM t UNION ALL SELECT 2, 'measured', vram FROM t UNION ALL SELECT 3, 'saveable', disk // 7 FROM t) SELECT place, key, concat(printf('%.1f MB', floor(n / 1048576.0::DOUBLE * 10 + 0.5) / 10), CASE WHEN place = 3 THEN ' · 14%' ELSE '' END) AS value FROM f")
 _add("b11_budget_scaffold", lambda i: B.budget_scaffold(A.totals(i)), "images", f"WITH {_V}, t AS (SELECT sum(byte_size)::DOUBLE AS disk, (SELECT sum(most) FROM v)::DOUBLE AS loaded FROM images) SELECT 'totals.diskBytes' AS metric, 'error' AS level, 'max' AS chk, concat(greatest(1, ceil(disk * 1.2::DOUBLE / 1048576))::BIGINT, 'MB') AS budget FROM t UNION ALL SELECT 'totals.diskBytes', 'error', 'maxDeltaPct', '15' UNION ALL SELECT 'totals.loadedVramBytes', 'error', 'max', concat(greatest(1, ceil(loaded * 1.2::DOUBLE / 1048576))::BIGINT, 'MB') FROM t UNION ALL SELECT 'findings.crit', 'error', 'max', '0'")
+
+
+def _scaffold_gate(images: DataFrame, features: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """The scaffold of an audit of half the images, parsed and evaluated over all of them, with that half as the baseline."""
+    from glyphmill.config import parse_budget
+
+    half = images.filter("asset_ref % 2 = 0")
+    values = lambda i, n: B.global_metrics(A.totals(i), n, _saved(i, features, sizes), i).select(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("ref"), "metric", F.col("value").cast("double").alias("value"))
+    rows, _ = parse_budget(B.scaffold_config(B.budget_scaffold(A.totals(half)).collect()))  # four rows
+    budgets = images.sparkSession.createDataFrame(rows, "ord int, scope string, match string, metric string, level string, chk string, budget double")
+    return B.evaluate(values(images, found), budgets, values(half, found)).drop("ref")
+
+
+_HALF = "(SELECT * FROM images WHERE asset_ref % 2 = 0)"
+_add("b03_scaffold_gate", _scaffold_gate, "images features encode_sizes found", f"""WITH {_V}, hv AS (SELECT max(w * h * 4) AS most FROM {_HALF} GROUP BY CASE WHEN {_RES} THEN {_STEM} ELSE concat({_STEM}, '|', CAST(floor(w::DOUBLE / h * 50 + 0.5) AS BIGINT)) END),
+m AS (SELECT 'totals.diskBytes' AS metric, (SELECT sum(byte_size) FROM images)::DOUBLE AS value, (SELECT sum(byte_size) FROM {_HALF})::DOUBLE AS base UNION ALL SELECT 'totals.loadedVramBytes', (SELECT sum(most) FROM v)::DOUBLE, (SELECT sum(most) FROM hv)::DOUBLE UNION ALL SELECT 'findings.crit', count(*)::DOUBLE, count(*)::DOUBLE FROM found WHERE severity = 'crit'),
+c AS (SELECT *, 'max' AS chk, CASE metric WHEN 'findings.crit' THEN 0 ELSE greatest(1, ceil(base * 1.2::DOUBLE / 1048576)) * 1048576 END::DOUBLE AS budget FROM m UNION ALL SELECT *, 'maxDeltaPct', 15 FROM m WHERE metric = 'totals.diskBytes')
+SELECT 'global' AS scope, metric, 'error' AS level, chk, value, budget, (value - base) / base * 100 AS delta_pct, CASE chk WHEN 'max' THEN value > budget ELSE (value - base) / base * 100 > budget END AS breach FROM c""")
 _add("x12_op_counts", lambda i: X.op_counts(i.select(F.expr("element_at(array('repack', 'drop', 'resize', 'transcode', 'pack'), cast(asset_ref % 5 + 1 as int))").alias("kind"), F.expr("asset_ref % 3").alias("n_atlases"), F.expr("if(asset_ref % 7 < 3, path, null)").alias("owner_ref"))), "images", "WITH o AS (SELECT CASE asset_ref % 5 WHEN 0 THEN CASE WHEN asset_ref % 3 > 1 THEN 'merge' ELSE 'repack' END WHEN 1 THEN CASE WHEN asset_ref % 7 < 3 THEN 'dedup' ELSE 'drop' END WHEN 2 THEN 'resize' WHEN 3 THEN 'transcode' ELSE 'pack' END AS kind FROM images) SELECT kind, CASE kind WHEN 'repack' THEN 1 WHEN 'merge' THEN 2 WHEN 'resize' THEN 3 WHEN 'transcode' THEN 4 WHEN 'drop' THEN 6 WHEN 'pack' THEN 7 ELSE 8 END::BIGINT AS place, count(*) AS n FROM o GROUP BY 1")
 
 

@@ -116,17 +116,23 @@ def test_owners(spark):
 
 
 def test_gate(spark):
-    rows, ignore = parse_budget({"version": 1, "budgets": {"crit": {"error": {"max": 0}}, "totalDisk": {"warn": {"maxDeltaPct": 10}}}, "assets": [{"match": "a/**", "budgets": {"disk": {"error": {"max": "1 KB"}}}}, {"match": "**", "budgets": {"disk": {"error": {"max": "2 KB"}}}}], "ignore": ["tmp/**"]})
+    rows, ignore = parse_budget({"version": 1, "budgets": {"findings.crit": {"error": {"max": 0}}, "totals.diskBytes": {"warn": {"maxDeltaPct": 10}}}, "assets": [{"match": "a/**", "budgets": {"diskBytes": {"error": {"max": "1 KB"}}}}, {"match": "**", "budgets": {"diskBytes": {"error": {"max": "2 KB"}}}}], "ignore": ["tmp/**"]})
     b = spark.createDataFrame(rows, "ord int, scope string, match string, metric string, level string, chk string, budget double")
-    v = spark.createDataFrame([("global", None, "crit", 1.0), ("global", None, "totalDisk", 5.0), ("asset", "a/x", "disk", 1500.0), ("asset", "b/x", "disk", 1500.0)], "scope string, ref string, metric string, value double")
-    base = spark.createDataFrame([("global", None, "totalDisk", 0.0)], "scope string, ref string, metric string, value double")
-    got = {(r.ref, r.metric): (r.breach, r.delta_pct) for r in B.evaluate(v, b, base).collect()}
-    assert got == {(None, "crit"): (True, None), (None, "totalDisk"): (True, float("inf")), ("a/x", "disk"): (True, None), ("b/x", "disk"): (False, None)}
-    assert not any(r.breach for r in B.evaluate(v.filter("metric = 'totalDisk'"), b).collect())
+    v = spark.createDataFrame([("global", None, "findings.crit", 1.0), ("global", None, "totals.diskBytes", 5.0), ("asset", "a/x", "diskBytes", 1500.0), ("asset", "b/x", "diskBytes", 1500.0), ("asset", "tmp/x", "diskBytes", 9e9)], "scope string, ref string, metric string, value double")
+    base = spark.createDataFrame([("global", None, "totals.diskBytes", 0.0)], "scope string, ref string, metric string, value double")
+    got = {(r.ref, r.metric): (r.breach, r.delta_pct) for r in B.evaluate(v, b, base, ignore).collect()}
+    assert got == {(None, "findings.crit"): (True, None), (None, "totals.diskBytes"): (True, float("inf")), ("a/x", "diskBytes"): (True, None), ("b/x", "diskBytes"): (False, None)}
+    assert not any(r.breach for r in B.evaluate(v.filter("metric = 'totals.diskBytes'"), b).collect())
     assert B.verdict(B.evaluate(v, b, base)).first().verdict == "fail" and ignore == ["^tmp/.*$"]
 
 
-@pytest.mark.parametrize("bad", [{"version": 2}, {"version": 1, "x": 1}, {"version": 1, "budgets": {"nope": {}}}, {"version": 1, "budgets": {"crit": {"error": {"most": 1}}}}, {"version": 1, "budgets": {"totalDisk": {"error": {"max": 5}}}}])
+def test_scaffold_parses_and_gates(spark):
+    totals = spark.createDataFrame([(10 << 20, 5)], "disk long, loaded long")
+    rows, _ = parse_budget(B.scaffold_config(B.budget_scaffold(totals).collect()))
+    assert {(r[3], r[5]): r[6] for r in rows} == {("totals.diskBytes", "max"): 12 << 20, ("totals.diskBytes", "maxDeltaPct"): 15, ("totals.loadedVramBytes", "max"): 1 << 20, ("findings.crit", "max"): 0}
+
+
+@pytest.mark.parametrize("bad", [{"version": 2}, {"version": 1, "x": 1}, {"version": 1, "budgets": {"nope": {"error": {"max": 1}}}}, {"version": 1, "budgets": {"findings.crit": {"error": {"most": 1}}}}, {"version": 1, "budgets": {"totals.diskBytes": {"error": {"max": 5}}}}, {"version": 1}, {"version": 1, "budgets": {"findings.crit": {"error": {}}}}, {"version": 1, "budgets": {"findings.format": {"error": {"max": 1}}}}, {"version": 1, "budgets": {"findings.crit": {"error": {"max": 1.5}}}}])
 def test_bad_budgets_are_refused(bad):
     with pytest.raises(ValueError):
         parse_budget(bad)
