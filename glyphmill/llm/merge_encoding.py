@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import release, slices, text_bytes, text_or_empty
 
 SPACE = "▁"
-#: Distinct words that a worker remembers.
-WORDS = 500_000
+#: Distinct words that a worker remembers, over all of its tasks; beyond, it forgets those that came up once.
+WORDS = 600_000
 #: Segments of more symbols take merges from a heap.
 MATRIX = 32
 _NONE = np.int32(1 << 30)
@@ -140,8 +140,22 @@ class MergeEncoder:
         self.ids = np.zeros(1 << 16, np.int32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int32)
         self.used = 0
 
+    def forget(self) -> None:
+        """Keep the words that came up in several slices since the last time; all go if these are too many as well."""
+        n = len(self.known)
+        stay = self.hits[:n] > 1
+        if 2 * int(stay.sum()) > WORDS:
+            return self.clear()
+        at = np.flatnonzero(stay)
+        size = self.size[at]
+        ids = self.ids[np.arange(size.sum()) + np.repeat(self.first[at] - np.cumsum(size) + size, size)]
+        words = [w for w, k in zip(self.known, stay.tolist(), strict=True) if k]  # in order of their places
+        self.clear()
+        self._keep(words, ids, size)
+
     def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words, one after another, and the number of ids of each."""
         v = self.vocabulary
@@ -184,17 +198,20 @@ class MergeEncoder:
         ids, size = self.words_ids(words)
         # every word starts with U+2581, which the library puts before a text itself, unless the text is empty
         sp = self.processor
-        theirs = sp.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+        theirs = sp.encode([w[1:] for w in words], num_threads=1)
         if SPACE in words:
             theirs[words.index(SPACE)] = sp.encode("a ")[len(sp.encode("a")) :]
         want = np.fromiter(chain.from_iterable(theirs), np.int32)
         if not np.array_equal(want, ids) or list(map(len, theirs)) != size.tolist():
             raise ValueError("the library encodes these words otherwise: the model isn't of a supported kind")
+        self._keep(words, ids, size)
+
+    def _keep(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         n = len(self.known)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(size) > len(self.size):
-            self.size, self.first = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.first, np.zeros_like(self.first)])
+            self.size, self.first, self.hits = (np.concatenate([a, np.zeros_like(a)]) for a in (self.size, self.first, self.hits))
         self.ids[self.used : self.used + len(ids)] = ids
         self.size[n : n + len(size)] = size
         self.first[n : n + len(size)] = self.used + np.cumsum(size) - size
@@ -213,12 +230,15 @@ class MergeEncoder:
         begins[off] = True
         at = np.flatnonzero(begins)
         coded = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)]).dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > WORDS:
-            self.clear()
-        if fresh := [w for w in words if w not in self.known]:
-            self._learn(fresh)
-        place = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+            self.forget()
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if (fresh := np.flatnonzero(place < 0)).size:
+            place[fresh] = len(self.known) + np.arange(len(fresh))
+            self._learn([words[i] for i in fresh.tolist()])
+        self.hits[place] += 1
+        place = place[coded.indices.to_numpy()]
         size = self.size[place]
         ends = np.cumsum(size)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[place] - ends + size, size)]
@@ -236,14 +256,14 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", doc_id:
 
     Null and empty texts have the end id alone and decode to "". Every row is encoded by itself, so ties, repeated rows
     and null ids need no rule; an empty table gives no rows; other columns are ignored. No shuffle. A long text is held whole by
-    its task; texts of many rows come in slices of half a megabyte.
+    its task; texts of many rows come in slices of two megabytes.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_path)
         end = enc.processor.eos_id()
-        for b in slices(batches, "text", 1 << 19):
+        for b in slices(batches, "text"):
             ids, size = enc.encode(b.column(1).to_pylist())
             off = np.concatenate([[0], np.cumsum(size + 1)])
             flat = np.full(off[-1], end, np.int32)
@@ -252,7 +272,6 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", doc_id:
             flat[keep] = ids
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(enc.processor.decode(lists.to_pylist(), num_threads=1), pa.string())], names=["doc_id", "ids", "decoded"])
-        enc.clear()
         release()
 
     return d.mapInArrow(run, "doc_id long, ids array<int>, decoded string")

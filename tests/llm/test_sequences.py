@@ -150,6 +150,16 @@ def test_heap_and_matrix_agree(encoder):
         assert got[0].tolist() == v.merge_long(list(s))
 
 
+def test_forgotten_words_are_learned_again(monkeypatch):
+    enc = merge_encoding.MergeEncoder(MODEL)
+    monkeypatch.setattr(merge_encoding, "WORDS", 40)
+    r = random.Random(1)
+    for k in range(60):
+        texts = [" ".join(f"common{r.randint(0, 9)} rare{k}x{r.randint(0, 99)}" for _ in range(8)), "no words are lost"]
+        assert ids_of(enc, texts) == enc.processor.encode(texts)
+        assert len(enc.known) < 70
+
+
 def test_a_wrong_id_is_an_error():
     enc = merge_encoding.MergeEncoder(MODEL)
     enc.vocabulary.rank[:-1] = 32_000 - enc.vocabulary.rank[:-1]
