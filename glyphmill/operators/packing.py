@@ -5,77 +5,23 @@ Packing is sequential within a sheet, however large, and parallel over sheets; t
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from glyphmill.operators.maxrects import over_groups, pack_items
+
 #: Sprites beyond which a sheet isn't packed for trial.
 MAX_SPRITES = 2000
 
 
-def candidate_bins(most: int = 4096) -> list[tuple[int, int]]:
-    """Sizes of powers of two by area, then width."""
-    sides = [1 << k for k in range(most.bit_length()) if 1 << k <= most]
-    return sorted(((w, h) for w in sides for h in sides), key=lambda b: (b[0] * b[1], b[0]))
-
-
-def place_all(sizes: list[tuple[int, int]], width: int, height: int) -> tuple[list[tuple[int, int] | None], int]:
-    """Best short-side fit into free maximal rectangles, in the given order. Positions (None: no room) and how many fit."""
-    free = np.array([(0, 0, width, height)], np.int64)
-    out: list[tuple[int, int] | None] = []
-    for w, h in sizes:
-        room = free[(free[:, 2] >= w) & (free[:, 3] >= h)]
-        if not len(room):
-            out.append(None)
-            continue
-        spare_w, spare_h = room[:, 2] - w, room[:, 3] - h
-        x, y = room[np.lexsort((room[:, 0], room[:, 1], np.maximum(spare_w, spare_h), np.minimum(spare_w, spare_h)))[0], :2].tolist()
-        out.append((x, y))
-        fx, fy, fw, fh = free.T
-        met = (x < fx + fw) & (x + w > fx) & (y < fy + fh) & (y + h > fy)
-        fx, fy, fw, fh = free[met].T
-        parts = [(fx, fy, x - fx, fh), (0 * fx + x + w, fy, fx + fw - x - w, fh), (fx, fy, fw, y - fy), (fx, 0 * fy + y + h, fw, fy + fh - y - h)]
-        new = np.concatenate([np.stack(p, axis=1) for p in parts])
-        new = np.unique(new[(new[:, 2] > 0) & (new[:, 3] > 0)], axis=0)
-        free = np.concatenate([free[~met], new])
-        # only new rectangles can lie in others
-        a, b = new[:, None, :], free[None, :, :]
-        inside = (a[..., 0] >= b[..., 0]) & (a[..., 1] >= b[..., 1]) & (a[..., 0] + a[..., 2] <= b[..., 0] + b[..., 2]) & (a[..., 1] + a[..., 3] <= b[..., 1] + b[..., 3]) & (a != b).any(axis=2)
-        free = np.concatenate([free[: len(free) - len(new)], new[~inside.any(axis=1)]])
-    return out, sum(p is not None for p in out)
-
-
 def pack(sprites: DataFrame, most: int = 4096, most_sprites: int | None = None) -> DataFrame:
-    """asset_ref, sprite_idx, bin, bin_w, bin_h, x, y: each sheet's sprites, largest first, in its smallest bin; what doesn't fit the
-    largest goes on to further ones, and an item larger than that gets a bin of its own. Sheets of over most_sprites, if given, are left out."""
-    bins = candidate_bins(most)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = sorted(zip(pdf["w"].tolist(), pdf["h"].tolist(), pdf["sprite_idx"].tolist(), strict=True), key=lambda s: (-s[0] * s[1], -max(s[0], s[1]), s[2]))
-        ref, rows, number = pdf["asset_ref"].iloc[0], [], 0
-        for w, h, i in [s for s in items if max(s[0], s[1]) > most]:
-            rows.append((ref, i, number, w, h, 0, 0))
-            number += 1
-        left = [s for s in items if max(s[0], s[1]) <= most]
-        while left:
-            sizes, area = [(w, h) for w, h, _ in left], sum(w * h for w, h, _ in left)
-            wide, tall = max(w for w, _ in sizes), max(h for _, h in sizes)
-            chosen = None
-            for bw, bh in bins:
-                if bw * bh >= area and bw >= wide and bh >= tall:
-                    at, n = place_all(sizes, bw, bh)
-                    if n == len(left):
-                        chosen = bw, bh, at
-                        break
-            if chosen is None:
-                chosen = most, most, place_all(sizes, most, most)[0]
-            bw, bh, at = chosen
-            rows += [(ref, s[2], number, bw, bh, *p) for s, p in zip(left, at, strict=True) if p is not None]
-            left = [s for s, p in zip(left, at, strict=True) if p is None]
-            number += 1
-        return pd.DataFrame(rows, columns=["asset_ref", "sprite_idx", "bin", "bin_w", "bin_h", "x", "y"])
+    """asset_ref, sprite_idx, bin, bin_w, bin_h, x, y: each sheet's sprites, largest first, in the smallest bin that holds them all, otherwise in bins
+    of the largest size. Sheets of over most_sprites, if given, are left out."""
+
+    def one(g: dict[str, list]) -> list[tuple]:
+        bins = pack_items(list(zip(g["w"], g["h"], strict=True)), most)
+        return [(g["asset_ref"][i], g["sprite_idx"][i], k, w, h, x, y) for k, (w, h, places) in enumerate(bins) for i, (x, y, _) in places.items()]
 
     s = sprites
     if most_sprites is not None:
@@ -84,7 +30,7 @@ def pack(sprites: DataFrame, most: int = 4096, most_sprites: int | None = None)
     for c in ("sprite_idx", "bin", "bin_w", "bin_h", "x", "y"):
         schema = schema.add(c, "long")
     s = s.filter("w > 0 and h > 0").select("asset_ref", "sprite_idx", "w", "h")
-    return s.groupBy("asset_ref").applyInPandas(one, schema)
+    return over_groups(s, "asset_ref", ["sprite_idx"], one, ["asset_ref", "sprite_idx", "bin", "bin_w", "bin_h", "x", "y"], schema)
 
 
 def packed_sizes(packed: DataFrame) -> DataFrame:
@@ -92,11 +38,14 @@ def packed_sizes(packed: DataFrame) -> DataFrame:
     return packed.groupBy("asset_ref").agg(F.count_distinct("bin").alias("bins"), F.count("*").alias("n"), F.max("bin_w").alias("bin_w"), F.max("bin_h").alias("bin_h"))
 
 
-def scale_atlas(sprites: DataFrame, scale: float) -> DataFrame:
-    """Rectangles at another scale: corners round down and up, sizes are at least 1."""
-    lo = lambda c: F.floor(F.col(c) * scale).cast("long")
-    size = lambda at, n: F.greatest(F.lit(1).cast("long"), F.ceil((F.col(at) + F.col(n)) * scale).cast("long") - F.floor(F.col(at) * scale).cast("long"))
-    return sprites.select("asset_ref", "sprite_idx", lo("x").alias("x"), lo("y").alias("y"), size("x", "w").alias("w"), size("y", "h").alias("h"))
+def scale_atlas(sprites: DataFrame, atlases: DataFrame, scale: float) -> DataFrame:
+    """Sheets and their rectangles at another scale. Sizes and places round by themselves, so frames are held inside the new sheet; nothing is
+    smaller than 1. Adds the sheet's new size as sheet_w, sheet_h."""
+    near = lambda c: F.floor(F.col(c) * scale + 0.5).cast("long")
+    size = lambda c: F.greatest(F.lit(1).cast("long"), near(c))
+    a = atlases.select("asset_ref", size("decl_w").alias("sheet_w"), size("decl_h").alias("sheet_h"))
+    s = sprites.join(a, "asset_ref").withColumns({"nx": F.least(near("x"), F.col("sheet_w") - 1), "ny": F.least(near("y"), F.col("sheet_h") - 1)})
+    return s.select("asset_ref", "sprite_idx", "sheet_w", "sheet_h", F.col("nx").alias("x"), F.col("ny").alias("y"), F.least(size("w"), F.col("sheet_w") - F.col("nx")).alias("w"), F.least(size("h"), F.col("sheet_h") - F.col("ny")).alias("h"))
 
 
 def alias_map(sprites: DataFrame, least: int = 2) -> DataFrame:
@@ -110,21 +59,17 @@ def source_rects(trims: DataFrame) -> DataFrame:
     return trims.select("asset_ref", "sprite_idx", "trim_x", "trim_y", (F.col("src_h") - F.col("trim_y") - F.col("trim_h")).alias("bottom_y"))
 
 
-#: Repair passes in order; a ref that an earlier pass claims is left alone by later ones.
-PASSES = ("dedup", "pack", "merge", "repack", "resize", "drop", "transcode", "opaque", "strip")
-
-
-def plan_repairs(candidates: DataFrame) -> DataFrame:
-    """candidates: asset_ref, op, ord, disk_saved, vram_saved. The operation that claims each ref: the earliest pass, then finding order."""
-    order = F.create_map(*[F.lit(x) for k, op in enumerate(PASSES) for x in (op, k)])
-    c = candidates.withColumn("pass", F.try_element_at(order, F.col("op"))).filter("pass is not null")
-    w = Window.partitionBy("asset_ref").orderBy("pass", "ord")
-    return c.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("asset_ref", "op", "pass", "disk_saved", "vram_saved")
+#: Operations that change how much memory textures take; those that only change files have disk figures alone, and a pack has none before it is done.
+_TEXTURE_OPS = ("repack", "resize", "drop")
 
 
-def plan_footprint(plan: DataFrame) -> DataFrame:
-    """Predicted savings by operation in pass order; operations without a figure are counted, not guessed."""
-    return plan.groupBy("op", "pass").agg(F.count("*").alias("n"), F.sum("disk_saved").alias("disk_saved"), F.sum("vram_saved").alias("vram_saved"), F.count_if(F.col("disk_saved").isNull() & F.col("vram_saved").isNull()).alias("deferred"))
+def plan_footprint(plan: DataFrame, figures: DataFrame) -> DataFrame:
+    """plan: as `repair_plan.plan` gives it. figures: report, ref, disk_saved, vram_saved (null: not measured). By report and operation: operations, refs, what is
+    predicted for disk and for textures, and refs without any figure, which are counted, not guessed."""
+    p = plan.join(figures, ["report", "ref"], "left")
+    disk = F.when(F.col("op") != "pack", F.col("disk_saved"))
+    vram = F.when(F.col("op").isin(*_TEXTURE_OPS), F.col("vram_saved"))
+    return p.groupBy("report", "op").agg(F.count_distinct("pass", "ord").alias("ops"), F.count("*").alias("refs"), F.sum(disk).alias("disk_saved"), F.sum(vram).alias("vram_saved"), F.count_if(disk.isNull() & vram.isNull()).alias("deferred"))
 
 
 # fixed values: kinds of operations in the order of the receipt

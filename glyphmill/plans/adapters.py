@@ -52,6 +52,13 @@ SQL: dict[str, str] = {
   event_id * 17 % 300 AS w, event_id * 19 % 200 AS h, event_id * 23 % 5000 AS bytes, CASE event_id * 11 % 107 % 4 WHEN 0 THEN 1 WHEN 1 THEN 770 WHEN 2 THEN 37441 ELSE 0 END AS value FROM events""",
     "ruled": """SELECT o_orderkey AS id, split_part('integrity-missing-image,dimension-mismatch,bleeding,icc-non-srgb,premultiplied-alpha,dimensions-npot,dimensions-oversize,format,strippable-metadata,solid-fill,upscaled-source,wasted-alpha,binary-alpha,duplicate-exact,duplicate-similar,frame-redundancy,cross-atlas-redundancy,loose-in-atlas,occupancy,wasted-regions,trim-margin,excessive-gutter,spine-unreferenced-regions,interior-transparency,should-atlas,atlas-merge,repack-opportunity,variants,gpu-compression-alignment,mipmap-cost,font-glyph-page,own-rule', ',', CAST(1 + o_orderkey * 37 % 32 AS INT)) AS rule,
   CASE o_custkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders""",
+    "plan_findings": """SELECT o_custkey AS report, o_orderkey AS ord, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN 'atlas-merge' ELSE split_part('occupancy,dimensions-oversize,format,format,wasted-alpha,strippable-metadata,strippable-metadata,frame-redundancy,trim-margin,duplicate-similar,duplicate-exact,wasted-regions,dimensions-oversize,bleeding', ',', CAST(1 + o_orderkey * 37 % 101 % 14 AS INT)) END AS rule,
+  o_orderkey % 19 = 0 AS folder, concat('a', CAST(o_orderkey * 7 % 103 % 12 AS STRING)) AS ref, 100 + o_orderkey * 31 % 5000 AS w, 100 + o_orderkey * 17 % 3000 AS h, CASE o_orderkey % 4 WHEN 0 THEN 'image/avif' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/none' END AS best_mime,
+  CASE o_orderkey % 3 WHEN 0 THEN 'flat' WHEN 1 THEN 'photographic' END AS content_class FROM orders""",
+    "plan_related": """SELECT o_custkey AS report, o_orderkey AS ord, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS place, concat('a', CAST(l_partkey % 12 AS STRING)) AS ref FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
+    "plan_owners": """SELECT o_custkey AS report, o_orderkey AS grp, concat('a', CAST(o_orderkey * 13 % 107 % 12 AS STRING)) AS owner, CASE WHEN o_orderkey % 2 = 0 THEN concat('a', CAST(o_orderkey * 5 % 109 % 12 AS STRING)) END AS consumer FROM orders WHERE o_orderkey % 7 = 3""",
+    "plan_figures": """SELECT DISTINCT o_custkey AS report, concat('a', CAST(o_orderkey * 7 % 103 % 12 AS STRING)) AS ref, CASE WHEN o_orderkey * 7 % 103 % 12 % 3 > 0 THEN o_custkey * 3 + o_orderkey * 7 % 103 % 12 END AS disk_saved, CASE WHEN o_orderkey * 7 % 103 % 12 % 4 > 1 THEN o_custkey * 5 END AS vram_saved FROM orders""",
+    "plan_packs": """SELECT DISTINCT o_custkey AS report, o_orderkey % 2 AS pack, concat('a', CAST(o_orderkey % 2 + 2 * (o_orderkey * 3 % 113 % 6) AS STRING)) AS ref FROM orders WHERE o_orderkey % 5 = 1""",
     "before": """SELECT concat('f', CAST(o_custkey % 700 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 0""",
     "after": """SELECT concat('f', CAST(o_custkey % 900 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 1""",
     "found": """SELECT concat('f', CAST(o_orderkey AS STRING)) AS id, CAST(o_custkey % 400 AS BIGINT) AS asset_ref, CASE o_orderkey % 4 WHEN 0 THEN 'occupancy' WHEN 1 THEN 'dimensions-npot' WHEN 2 THEN 'format' ELSE 'duplicate-exact' END AS rule,

@@ -14,6 +14,8 @@ from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
 from glyphmill.operators import gl_calls as GL
 from glyphmill.operators import packing as X
+from glyphmill.operators import repack as RP
+from glyphmill.operators import repair_plan as PL
 from glyphmill.operators import runtime as T
 from glyphmill.plans.adapters import relation, with_relations
 from glyphmill.sources import files
@@ -238,29 +240,65 @@ SELECT session, CASE WHEN short THEN 'too-short' WHEN skew > 0.3 THEN 'duration-
 CASE class WHEN 'device' THEN FALSE WHEN 'session-total' THEN NOT short AND skew <= 0.3 ELSE NOT short END AS comparable FROM j WHERE before IS NOT NULL AND after IS NOT NULL""")
 
 _add("x03_pack", lambda s: X.packed_sizes(X.pack(s)), "sprites")
-_add("x04_scale_atlas", lambda s: X.scale_atlas(s, 0.5), "sprites", "SELECT asset_ref, sprite_idx, floor(x * 0.5::DOUBLE)::BIGINT AS x, floor(y * 0.5::DOUBLE)::BIGINT AS y, greatest(1, ceil((x + w) * 0.5::DOUBLE)::BIGINT - floor(x * 0.5::DOUBLE)::BIGINT) AS w, greatest(1, ceil((y + h) * 0.5::DOUBLE)::BIGINT - floor(y * 0.5::DOUBLE)::BIGINT) AS h FROM sprites")
-_add("x07_alias_map", X.alias_map, "sprites", "WITH g AS (SELECT asset_ref, frame_hash, min(sprite_idx) AS alias_of FROM sprites WHERE frame_hash IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT (x, y, w, h)) >= 2) SELECT asset_ref, sprite_idx, alias_of FROM sprites JOIN g USING (asset_ref, frame_hash) WHERE sprite_idx <> alias_of")
-_add("x09_source_rects", lambda s: X.source_rects(s.filter("trim_w is not null")), "sprites", "SELECT asset_ref, sprite_idx, trim_x, trim_y, src_h - trim_y - trim_h AS bottom_y FROM sprites WHERE trim_w IS NOT NULL")
+_add("x04_scale_atlas", lambda s, a: X.scale_atlas(s, a, 0.5), "sprites atlases", """WITH j AS (SELECT asset_ref, sprite_idx, greatest(1, floor(decl_w * 0.5::DOUBLE + 0.5))::BIGINT AS sheet_w, greatest(1, floor(decl_h * 0.5::DOUBLE + 0.5))::BIGINT AS sheet_h, x, y, w, h FROM sprites JOIN atlases USING (asset_ref)),
+n AS (SELECT asset_ref, sprite_idx, sheet_w, sheet_h, least(floor(x * 0.5::DOUBLE + 0.5)::BIGINT, sheet_w - 1) AS x, least(floor(y * 0.5::DOUBLE + 0.5)::BIGINT, sheet_h - 1) AS y, greatest(1, floor(w * 0.5::DOUBLE + 0.5)::BIGINT) AS w, greatest(1, floor(h * 0.5::DOUBLE + 0.5)::BIGINT) AS h FROM j)
+SELECT asset_ref, sprite_idx, sheet_w, sheet_h, x, y, least(w, sheet_w - x) AS w, least(h, sheet_h - y) AS h FROM n""")
 
 
-def _candidates(images: DataFrame, features: DataFrame, sizes: DataFrame) -> DataFrame:
-    none = F.lit(None).cast("long")
-    rows = [
-        (R.format_candidates(images, features, sizes).select("asset_ref", "disk_saved", none.alias("vram_saved")), "transcode"), (R.npot(images).select("asset_ref", none.alias("disk_saved"), "vram_saved"), "resize"),
-        (R.strippable_metadata(images).select("asset_ref", "disk_saved", none.alias("vram_saved")), "strip"), (R.wasted_alpha(images, features, sizes).select("asset_ref", "disk_saved", none.alias("vram_saved")), "opaque"),
-    ]
-    out = None
-    for df, op in rows:
-        df = df.withColumns({"op": F.lit(op), "ord": F.col("asset_ref")})
-        out = df if out is None else out.unionByName(df)
-    return out
+def _to_repack(sprites: DataFrame) -> DataFrame:
+    return sprites.withColumns({"off_x": F.when(F.col("trimmed"), F.col("trim_x")), "off_y": F.when(F.col("trimmed"), F.col("trim_y"))})
+
+
+def _merges(atlases: DataFrame) -> DataFrame:
+    return atlases.select(F.expr("asset_ref div 12").alias("group"), "asset_ref", F.col("asset_ref").alias("ord"))
+
+
+_ITEMS = """i AS (SELECT *, asset_ref // 12 AS grp FROM sprites WHERE asset_ref IN (SELECT asset_ref FROM atlases)),
+c AS (SELECT grp, frame_hash, count(DISTINCT (asset_ref, x, y, w, h)) AS places, min({'a': asset_ref, 'i': sprite_idx}) AS rep FROM i WHERE frame_hash IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (asset_ref, x, y, w, h)) >= 2),
+r AS (SELECT i.*, coalesce(places, 1) AS places, coalesce(rep.a, asset_ref) AS rep_ref, coalesce(rep.i, sprite_idx) AS rep_idx FROM i LEFT JOIN c USING (grp, frame_hash)),
+b AS (SELECT grp, rep_ref, rep_idx, bool_or((asset_ref, sprite_idx) <> (rep_ref, rep_idx) AND (trimmed OR rotated)) AS blocked FROM r GROUP BY ALL),
+t AS (SELECT r.grp, r.rep_ref, r.rep_idx, w, h, trim_w, trim_h, coalesce(NOT blocked AND NOT trimmed AND NOT rotated AND trim_w > 0 AND trim_h > 0 AND (trim_x > 0 OR trim_y > 0 OR trim_w < w OR trim_h < h), FALSE) AS tight FROM r JOIN b USING (grp, rep_ref, rep_idx) WHERE asset_ref = rep_ref AND sprite_idx = rep_idx),
+g AS (SELECT grp, bool_or(rotated) AS turned FROM r GROUP BY 1), q AS (SELECT grp, bool_or(tight) AS any_tight FROM t GROUP BY 1)"""
+_add("x03_repack_items", lambda s, a: RP.repack_items(_to_repack(s), _merges(a)).select("group", "asset_ref", "sprite_idx", "rep_ref", "rep_idx", "pack_w", "pack_h", "tight", "turnable"), "sprites atlases", f"""WITH {_ITEMS}
+SELECT grp AS "group", asset_ref, sprite_idx, rep_ref, rep_idx, CASE WHEN tight THEN t.trim_w ELSE t.w END AS pack_w, CASE WHEN tight THEN t.trim_h ELSE t.h END AS pack_h, tight, NOT turned AND NOT any_tight AS turnable FROM r JOIN t USING (grp, rep_ref, rep_idx) JOIN g USING (grp) JOIN q USING (grp)""")
+_add("x03_repack", lambda s, a: RP.repack(_to_repack(s), a), "sprites atlases")
+_add("x07_alias_map", X.alias_map, "sprites", "WITH g AS (SELECT asset_ref, frame_hash, min(sprite_idx) AS alias_of FROM sprites WHERE frame_hash IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT (x, y, w, h)) >= 2) SELECT asset_ref, sprite_idx, alias_of FROM sprites JOIN g USING (asset_ref, frame_hash) WHERE sprite_idx <> alias_of")
+_add("x09_source_rects", lambda s: X.source_rects(s.filter("trim_w is not null")), "sprites", "SELECT asset_ref, sprite_idx, trim_x, trim_y, src_h - trim_y - trim_h AS bottom_y FROM sprites WHERE trim_w IS NOT NULL")
 
 
-_PLAN = f"""{_FORMAT}, {POT}, c AS (SELECT asset_ref, 'transcode' AS op, 6 AS pass, disk_saved, NULL::BIGINT AS vram_saved FROM fm UNION ALL SELECT asset_ref, 'resize', 4, NULL, pw * ph * 4 - w * h * 4 FROM i WHERE NOT (w = pw AND h = ph) AND 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE > 0.25
-UNION ALL SELECT asset_ref, 'strip', 8, strippable_bytes, NULL FROM images WHERE strippable_bytes >= 4096 UNION ALL SELECT i.asset_ref, 'opaque', 7, byte_size - bytes, NULL FROM images i JOIN features USING (asset_ref) JOIN encode_sizes e ON e.asset_ref = i.asset_ref AND e.target_mime = i.mime AND e.opaque WHERE features.opaque AND i.mime IN ('image/png', 'image/webp') AND least(w, h) >= 64 AND byte_size - bytes > 0 AND (byte_size - bytes)::DOUBLE / byte_size >= 0.05),
-pn AS (SELECT asset_ref, op, pass, disk_saved, vram_saved FROM c QUALIFY row_number() OVER (PARTITION BY asset_ref ORDER BY pass) = 1)"""
-_add("x10_plan_repairs", lambda i, f, e: X.plan_repairs(_candidates(i, f, e)), "images features encode_sizes", f"WITH {_PLAN} SELECT * FROM pn")
-_add("x11_plan_footprint", lambda i, f, e: X.plan_footprint(X.plan_repairs(_candidates(i, f, e))), "images features encode_sizes", f"WITH {_PLAN} SELECT op, pass, count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved, sum(vram_saved)::BIGINT AS vram_saved, count(*) FILTER (WHERE disk_saved IS NULL AND vram_saved IS NULL) AS deferred FROM pn GROUP BY 1, 2")
+def _plan(findings: DataFrame, related: DataFrame, owners: DataFrame, packs: DataFrame) -> DataFrame:
+    sheets = findings.filter("rule in ('occupancy', 'wasted-regions', 'trim-margin', 'frame-redundancy')").select("report", "ref")
+    return PL.plan(findings, related, owners, packs, sheets, o=PL.PlanOptions(aggressive=True, opaque=True, strip=True, best_format=True, extrude=2))
+
+
+_PLAN = """ow AS (SELECT DISTINCT report, owner AS ref FROM plan_owners), sh AS (SELECT DISTINCT report, ref FROM plan_findings WHERE rule IN ('occupancy', 'wasted-regions', 'trim-margin', 'frame-redundancy')),
+dr AS (SELECT report, consumer AS ref, min((grp, owner)) AS g FROM plan_owners WHERE consumer IS NOT NULL AND (report, consumer) NOT IN (SELECT report, ref FROM ow) GROUP BY ALL),
+pk AS (SELECT * FROM plan_packs WHERE (report, ref) NOT IN (SELECT report, ref FROM dr)),
+mm AS (SELECT DISTINCT report, ord, ref FROM plan_related SEMI JOIN (SELECT report, ord FROM plan_findings WHERE rule = 'atlas-merge') USING (report, ord) WHERE (report, ref) NOT IN (SELECT report, ref FROM ow) AND (report, ref) NOT IN (SELECT report, ref FROM dr)),
+mg AS (SELECT report, ord, ref FROM mm QUALIFY count(*) OVER (PARTITION BY report, ord) > 1),
+base AS (SELECT report, ref FROM plan_findings UNION SELECT report, ref FROM plan_related),
+fl AS (SELECT base.*, ow.ref IS NOT NULL AS owns, dr.ref IS NOT NULL AS dropped, pk.ref IS NOT NULL AS packed, mg.ref IS NOT NULL AS merged FROM base LEFT JOIN ow USING (report, ref) LEFT JOIN dr USING (report, ref) LEFT JOIN (SELECT DISTINCT report, ref FROM pk) pk USING (report, ref) LEFT JOIN (SELECT DISTINCT report, ref FROM mg) mg USING (report, ref)),
+rp AS (SELECT report, ref, min(ord) AS "at" FROM plan_findings JOIN fl USING (report, ref) WHERE (rule IN ('occupancy', 'wasted-regions') OR (rule IN ('frame-redundancy', 'trim-margin') AND NOT folder)) AND NOT owns AND NOT merged GROUP BY ALL),
+rs AS (SELECT report, ref, arg_min((w, h), ord) AS s, min(ord) AS ord FROM plan_findings WHERE rule = 'dimensions-oversize' AND NOT folder AND greatest(w, h) > 2048 GROUP BY ALL),
+rz AS (SELECT rs.* FROM rs JOIN fl USING (report, ref) LEFT JOIN rp USING (report, ref) WHERE NOT owns AND NOT merged AND (rp."at" IS NULL OR rs.ord < rp."at")),
+cp AS (SELECT report, r.ref, min(ord) AS ord FROM plan_related r SEMI JOIN (SELECT report, ord FROM plan_findings WHERE rule = 'duplicate-similar') USING (report, ord) WHERE place > 0 GROUP BY ALL),
+cd AS (SELECT cp.* FROM cp JOIN fl USING (report, ref) LEFT JOIN rp USING (report, ref) WHERE NOT owns AND NOT merged AND NOT dropped AND (rp."at" IS NULL OR cp.ord < rp."at")),
+tk AS (SELECT fl.*, dropped OR packed OR rz.ref IS NOT NULL OR cd.ref IS NOT NULL AS taken, merged OR rp.ref IS NOT NULL AS again FROM fl LEFT JOIN rz USING (report, ref) LEFT JOIN cd USING (report, ref) LEFT JOIN rp USING (report, ref)),
+wo AS (SELECT report, ref, min(ord) AS ord FROM plan_findings WHERE rule = 'wasted-alpha' AND NOT folder GROUP BY ALL),
+ft AS (SELECT report, ref, min(ord) AS ord, arg_min({'m': best_mime, 'c': content_class}, ord) AS f FROM plan_findings WHERE rule = 'format' AND NOT folder GROUP BY ALL),
+tc AS (SELECT ft.*, wo.ref IS NOT NULL AS opaque FROM ft JOIN tk USING (report, ref) LEFT JOIN wo USING (report, ref) WHERE NOT taken AND NOT again),
+oq AS (SELECT wo.* FROM wo JOIN tk USING (report, ref) WHERE NOT taken AND (report, ref) NOT IN (SELECT report, ref FROM tc)),
+sp AS (SELECT report, ref, min(ord) AS ord FROM plan_findings JOIN tk USING (report, ref) WHERE rule = 'strippable-metadata' AND NOT folder AND NOT taken AND NOT again AND NOT owns AND (report, ref) NOT IN (SELECT report, ref FROM tc) AND (report, ref) NOT IN (SELECT report, ref FROM oq) GROUP BY ALL),
+pl AS (SELECT report, 1 AS pass, g[1] AS ord, 'drop' AS op, ref, g[2] AS owner, NULL::BIGINT AS to_w, NULL::BIGINT AS to_h, NULL AS target_mime, NULL::BOOLEAN AS lossless, NULL::BOOLEAN AS opaque, (report, ref) IN (SELECT report, ref FROM sh) AS repoint, FALSE AS keep_consumer, NULL::BIGINT AS extrude FROM dr
+UNION ALL SELECT report, 2, pack, 'pack', ref, NULL, NULL, NULL, 'image/webp', NULL, NULL, NULL, NULL, 2 FROM pk UNION ALL SELECT report, 3, ord, 'repack', ref, NULL, NULL, NULL, 'image/webp', NULL, NULL, NULL, NULL, 2 FROM mg
+UNION ALL SELECT report, 4, "at", 'repack', ref, NULL, NULL, NULL, 'image/webp', NULL, NULL, NULL, NULL, 2 FROM rp
+UNION ALL SELECT report, 4, ord, 'resize', ref, NULL, floor(s[1] * (2048.0::DOUBLE / greatest(s[1], s[2])) + 0.5)::BIGINT, floor(s[2] * (2048.0::DOUBLE / greatest(s[1], s[2])) + 0.5)::BIGINT, 'image/webp', NULL, NULL, NULL, NULL, NULL FROM rz
+UNION ALL SELECT report, 4, ord, 'drop', ref, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM cd
+UNION ALL SELECT report, 5, ord, 'transcode', ref, NULL, NULL, NULL, CASE WHEN f.m IN ('image/avif', 'image/png') THEN f.m ELSE 'image/webp' END, coalesce(f.c = 'flat', FALSE), opaque, NULL, NULL, NULL FROM tc
+UNION ALL SELECT report, 6, ord, 'transcode', ref, NULL, NULL, NULL, 'image/webp', FALSE, TRUE, NULL, NULL, NULL FROM oq UNION ALL SELECT report, 7, ord, 'strip', ref, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM sp)"""
+_add("x10_plan_repairs", _plan, "plan_findings plan_related plan_owners plan_packs", f"WITH {_PLAN} SELECT * FROM pl")
+_add("x11_plan_footprint", lambda f, r, w, p, i: X.plan_footprint(_plan(f, r, w, p), i.select("report", "ref", "disk_saved", "vram_saved")), "plan_findings plan_related plan_owners plan_packs plan_figures", f"""WITH {_PLAN}, q AS (SELECT pl.*, disk_saved, vram_saved FROM pl LEFT JOIN plan_figures USING (report, ref))
+SELECT report, op, count(DISTINCT (pass, ord)) AS ops, count(*) AS refs, sum(CASE WHEN op <> 'pack' THEN disk_saved END)::BIGINT AS disk_saved, sum(CASE WHEN op IN ('repack', 'resize', 'drop') THEN vram_saved END)::BIGINT AS vram_saved, count(*) FILTER (WHERE op = 'pack' OR (disk_saved IS NULL AND (op NOT IN ('repack', 'resize', 'drop') OR vram_saved IS NULL))) AS deferred FROM q GROUP BY 1, 2""")
 
 
 def _scalars(images: DataFrame) -> DataFrame:

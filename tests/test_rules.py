@@ -172,9 +172,3 @@ def test_a_sheet_of_any_size_is_packed(spark):
     s = sprites(spark, [(0, 0, 3 + i % 7, 2 + i % 5) for i in range(2100)])
     assert X.packed_sizes(X.pack(s)).first().n == 2100
     assert X.pack(s, most_sprites=X.MAX_SPRITES).count() == 0
-
-
-def test_plan_claims_once(spark):
-    c = spark.createDataFrame([(1, "strip", 1, 5, None), (1, "transcode", 2, 9, None), (2, "strip", 1, None, None)], "asset_ref long, op string, ord long, disk_saved long, vram_saved long")
-    assert sorted((r.asset_ref, r.op) for r in X.plan_repairs(c).collect()) == [(1, "transcode"), (2, "strip")]
-    assert {r.op: r.deferred for r in X.plan_footprint(X.plan_repairs(c)).collect()} == {"transcode": 0, "strip": 1}
