@@ -5,11 +5,16 @@ A null means "not measured", and a rule is silent where an input is null; it nev
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glyphmill.config import DEFAULT, Thresholds
 from glyphmill.functions import scalars as S
+from glyphmill.operators.groups import over_chunks
+from glyphmill.operators.sweep import gaps_ahead
 
 
 def severity(crit: Column | None, warn: Column | None, otherwise: str | None = None) -> Column:
@@ -132,15 +137,20 @@ def bleeding(sprites: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
 
 
 def neighbour_gaps(sprites: DataFrame) -> DataFrame:
-    """asset_ref, p, gap: the smaller distance of a place to its nearest neighbour to the right and below, among those that overlap it sideways."""
-    a = _places(sprites)
-    b = a.select("asset_ref", *[F.col(c).alias(f"b{c}") for c in ("x", "y", "w", "h", "p")])
-    pair = a.join(b, "asset_ref").filter("p <> bp")
-    over_y = (F.col("by") < F.col("y") + F.col("h")) & (F.col("y") < F.col("by") + F.col("bh"))
-    over_x = (F.col("bx") < F.col("x") + F.col("w")) & (F.col("x") < F.col("bx") + F.col("bw"))
-    right, below = F.col("bx") - F.col("x") - F.col("w"), F.col("by") - F.col("y") - F.col("h")
-    gap = F.least(F.when(over_y & (right >= 0), right), F.when(over_x & (below >= 0), below))
-    return pair.groupBy("asset_ref", "p").agg(F.min(gap).alias("gap")).filter("gap is not null")
+    """asset_ref, p, gap: the smaller distance of a place to its nearest neighbour to the right and below, among those that overlap it sideways. Places are
+    distinct rectangles as they lie on the sheet, rotated ones too; p is the first sprite there. By `sweep`, in time near-linear in a sheet's places."""
+    places = sprites.filter("w > 0 and h > 0").groupBy("asset_ref", "x", "y", "w", "h").agg(F.min("sprite_idx").alias("p"))
+    places = places.select("asset_ref", *[F.col(c).cast("long").alias(c) for c in ("p", "x", "y", "w", "h")])
+
+    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+        sheet = (pdf["asset_ref"] != pdf["asset_ref"].shift()).cumsum().to_numpy() - 1
+        x, y, w, h = (pdf[c].to_numpy() for c in ("x", "y", "w", "h"))
+        right, below = gaps_ahead(sheet, x, w, y, y + h), gaps_ahead(sheet, y, h, x, x + w)
+        gap = np.where(right < 0, below, np.where(below < 0, right, np.minimum(right, below)))
+        return pd.DataFrame({"asset_ref": pdf["asset_ref"], "p": pdf["p"], "gap": gap})[gap >= 0]
+
+    schema = StructType().add("asset_ref", sprites.schema["asset_ref"].dataType).add("p", "long").add("gap", "long")
+    return over_chunks(places, "asset_ref", ["p"], gaps, schema)
 
 
 def excessive_gutter(sprites: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:

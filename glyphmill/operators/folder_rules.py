@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,79 +17,6 @@ def duplicate_exact(images: DataFrame, features: DataFrame) -> DataFrame:
     return g.filter("n > 1").select("content_hash", "n", "first", (F.col("each") * (F.col("n") - 1)).alias("disk_saved"))
 
 
-def similar_candidates(features: DataFrame, most: int = 6) -> DataFrame:
-    """Pairs of distinct difference hashes within `most` bits: most + 1 bands, of which such a pair shares one, are joined, so no
-    pair is missed and none beyond a band's bucket is looked at. Equal hashes are one row with their members counted."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring("d_hash", k, 8), 16, 2), 32, "0") for k in (1, 9)])
-    h = features.filter("d_hash is not null").groupBy("d_hash").agg(F.count("*").alias("n")).withColumn("bits", bits)
-    bands = most + 1
-    cuts = [round(64 * k / bands) for k in range(bands + 1)]
-    e = h.select("d_hash", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("bits", cuts[k] + 1, cuts[k + 1] - cuts[k])) for k in range(bands)])).alias("band"))
-    pair = e.join(e.select("band", F.col("d_hash").alias("other")), "band").filter("d_hash < other").select("d_hash", "other").distinct()
-    return pair.withColumn("distance", S.hamming(F.col("d_hash"), F.col("other"))).filter(F.col("distance") <= most)
-
-
-def duplicate_similar(features: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    """Greedy complete linkage in input order (`ord`) over difference hashes and mean colours; groups of one content are left
-    out, and their members stay used. Components of the candidate pairs are clustered side by side.
-
-    Returns group (its first ref), asset_ref. A component is as large as a chain of near hashes; hashes that equal one another enter it by
-    their members, since their colours may differ.
-    """
-    from pyspark.sql.types import StructType
-
-    f = features.filter("d_hash is not null").select("asset_ref", "ord", "content_hash", "d_hash", "mean_r", "mean_g", "mean_b")
-    pairs = similar_candidates(features, t.hamming).select("d_hash", "other")
-    label = components(pairs)
-    f = f.join(label, "d_hash", "left").withColumn("label", F.coalesce("label", "d_hash"))
-    several = f.groupBy("label").count().filter("count > 1").select("label")
-    f = f.join(several, "label")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        bits = [int(x, 16) for x in pdf["d_hash"]]
-        color = pdf[["mean_r", "mean_g", "mean_b"]].to_numpy(dtype=float)
-        refs, content, used, rows = pdf["asset_ref"].tolist(), pdf["content_hash"].tolist(), [False] * len(pdf), []
-
-        def near(i: int, j: int) -> bool:
-            d = abs(color[i] - color[j]).max()
-            return (bits[i] ^ bits[j]).bit_count() <= t.hamming and not d > t.color  # unknown colours never part
-
-        for i in range(len(refs)):
-            if used[i]:
-                continue
-            group = [i]
-            for j in range(i + 1, len(refs)):
-                if not used[j] and all(near(k, j) for k in group):
-                    group.append(j)
-            if len(group) > 1:
-                for k in group:
-                    used[k] = True
-                if len({content[k] for k in group}) > 1:
-                    rows += [(refs[i], refs[k]) for k in group]
-        return pd.DataFrame(rows, columns=["group", "asset_ref"])
-
-    kind = features.schema["asset_ref"].dataType
-    return f.groupBy("label").applyInPandas(cluster, StructType().add("group", kind).add("asset_ref", kind))
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """d_hash, label: the smallest hash of each connected set, by label passing with pointers halved each round."""
-    from glyphmill.plans.storage import written
-
-    both = pairs.unionByName(pairs.select(F.col("other").alias("d_hash"), F.col("d_hash").alias("other")))
-    both = written(both, "pairs")
-    label = written(both.groupBy("d_hash").agg(F.least(F.min("other"), F.col("d_hash")).alias("label")), "labels")
-    while True:
-        near = both.join(label.select(F.col("d_hash").alias("other"), "label"), "other").groupBy("d_hash").agg(F.min("label").alias("low"))
-        low = label.join(near, "d_hash").select("d_hash", F.least("label", "low").alias("label"))
-        up = low.select(F.col("d_hash").alias("label"), F.col("label").alias("up"))
-        new = written(low.join(up, "label").select("d_hash", F.col("up").alias("label")), "labels")
-        if new.join(label, ["d_hash", "label"], "left_anti").isEmpty():
-            return new
-        label = new
-
-
 def should_atlas(images: DataFrame, features: DataFrame | None = None, t: Thresholds = DEFAULT) -> DataFrame:
     """One row if the folder has many small loose images, files and logical images alike."""
     small = images.filter(F.greatest("w", "h") <= t.small)

@@ -6,11 +6,7 @@ Free space is kept as the set of maximal free rectangles; an item goes where the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 
 class FreeSpace:
@@ -86,35 +82,3 @@ def pack_items(items: list[tuple[int, int]], most: int, padding: int = 0, gutter
         bins.append((most, most, placed))
         order = [i for i in order if i not in placed]
     return bins
-
-
-def over_groups(df: DataFrame, key: str, order: list[str], kernel: Callable[[dict[str, list]], list[tuple]], names: list[str], schema) -> DataFrame:
-    """Run a kernel over each group's rows (as lists by column, in order) side by side. Groups reach a task sorted, so it holds one batch and the group at hand,
-    and many small groups share a batch."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-            ids = pdf[key].to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(pdf)]
-            cols = {c: pdf[c].tolist() for c in pdf.columns}
-            rows = [r for a, b in zip(cuts, cuts[1:], strict=False) for r in kernel({c: v[a:b] for c, v in cols.items()})]
-            return pd.DataFrame(rows, columns=names)
-
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if held and held[-1][key].iloc[-1] != pdf[key].iloc[0]:
-                yield settle(pd.concat(held))
-                held = []
-            last = int((pdf[key] == pdf[key].iloc[-1]).to_numpy().argmax())  # where the last group begins
-            if last:
-                yield settle(pd.concat([*held, pdf.iloc[:last]]))
-                held = []
-            held.append(pdf.iloc[last:])
-        if held:
-            yield settle(pd.concat(held))
-
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

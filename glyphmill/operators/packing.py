@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from glyphmill.operators.maxrects import over_groups, pack_items
+from glyphmill.operators.groups import over_groups
+from glyphmill.operators.maxrects import pack_items
 
 #: Sprites beyond which a sheet isn't packed for trial.
 MAX_SPRITES = 2000

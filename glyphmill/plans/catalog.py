@@ -13,6 +13,7 @@ from glyphmill.operators import folder_rules as A
 from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
 from glyphmill.operators import gl_calls as GL
+from glyphmill.operators import near_duplicates as ND
 from glyphmill.operators import packing as X
 from glyphmill.operators import repack as RP
 from glyphmill.operators import repair_plan as PL
@@ -55,8 +56,9 @@ PLACES = "p AS (SELECT asset_ref, x, y, w, h, min(sprite_idx) AS p FROM grid_spr
 TOUCH = f"{PLACES}, t AS (SELECT DISTINCT a.asset_ref, least(a.p, b.p) AS a, greatest(a.p, b.p) AS b FROM p a JOIN p b ON a.asset_ref = b.asset_ref AND a.p <> b.p AND ((b.x + b.w = a.x AND b.y < a.y + a.h AND a.y < b.y + b.h) OR (b.y + b.h = a.y AND b.x < a.x + a.w AND a.x < b.x + b.w)))"
 _add("r13_touching_pairs", R.touching_pairs, "grid_sprites", f"WITH {TOUCH} SELECT * FROM t")
 _add("r13_bleeding", lambda s: R.bleeding(s, R.DEFAULT.replace(bleed_info=1, bleed_warn=2)), "grid_sprites", f"WITH {TOUCH} SELECT asset_ref, count(*) AS pairs, CASE WHEN count(*) >= 2 THEN 'warn' ELSE 'info' END AS severity FROM t GROUP BY 1")
-GAPS = f"""{PLACES}, g AS (SELECT a.asset_ref, a.p, min(least(CASE WHEN b.y < a.y + a.h AND a.y < b.y + b.h AND b.x - a.x - a.w >= 0 THEN b.x - a.x - a.w END, CASE WHEN b.x < a.x + a.w AND a.x < b.x + b.w AND b.y - a.y - a.h >= 0 THEN b.y - a.y - a.h END)) AS gap
+GAPS = f"""{PLACES.replace('WHERE NOT rotated', 'WHERE w > 0 AND h > 0')}, g AS (SELECT a.asset_ref, a.p, min(least(CASE WHEN b.y < a.y + a.h AND a.y < b.y + b.h AND b.x - a.x - a.w >= 0 THEN b.x - a.x - a.w END, CASE WHEN b.x < a.x + a.w AND a.x < b.x + b.w AND b.y - a.y - a.h >= 0 THEN b.y - a.y - a.h END)) AS gap
 FROM p a JOIN p b ON a.asset_ref = b.asset_ref AND a.p <> b.p GROUP BY 1, 2)"""
+_add("r14_neighbour_gaps", R.neighbour_gaps, "grid_sprites", f"WITH {GAPS} SELECT asset_ref, p, gap FROM g WHERE gap IS NOT NULL")
 _add("r14_excessive_gutter", lambda s: R.excessive_gutter(s, R.DEFAULT.replace(gutter_gaps=2)), "grid_sprites", f"WITH {GAPS} SELECT asset_ref, count(*) AS gaps, quantile_disc(gap, 0.5)::BIGINT AS median, 'info' AS severity FROM g WHERE gap IS NOT NULL GROUP BY 1 HAVING count(*) >= 2 AND quantile_disc(gap, 0.5) >= 8")
 _add("r15_repack_opportunity", lambda s, a, i: R.repack_opportunity(a, X.packed_sizes(X.pack(s, most_sprites=X.MAX_SPRITES)), i), "sprites atlases atlas_images")
 
@@ -96,8 +98,8 @@ _DUP = "dup AS (SELECT content_hash, count(*) AS n, min(asset_ref) AS first, arg
 _add("a01_duplicate_exact", A.duplicate_exact, "images features", f"WITH {_DUP} SELECT * FROM dup")
 _add("a01_duplicate_documents", lambda h: A.duplicate_exact(h.select("asset_ref", "byte_size"), h), "hashes", "SELECT content_hash, count(*) AS n, min(asset_ref) AS first, arg_min(byte_size, asset_ref) * (count(*) - 1) AS disk_saved FROM hashes GROUP BY 1 HAVING count(*) > 1")
 _XOR = "bit_count(xor(CAST(('0x' || substr(a.d_hash, 1, 8)) AS BIGINT), CAST(('0x' || substr(b.d_hash, 1, 8)) AS BIGINT))) + bit_count(xor(CAST(('0x' || substr(a.d_hash, 9, 8)) AS BIGINT), CAST(('0x' || substr(b.d_hash, 9, 8)) AS BIGINT)))"
-_add("a02_similar_candidates", A.similar_candidates, "hashes", f"SELECT a.d_hash, b.d_hash AS other, ({_XOR})::INT AS distance FROM (SELECT DISTINCT d_hash FROM hashes) a JOIN (SELECT DISTINCT d_hash FROM hashes) b ON a.d_hash < b.d_hash AND {_XOR} <= 6")
-_add("a02_duplicate_similar", A.duplicate_similar, "hashes")
+_add("a02_similar_candidates", ND.similar_candidates, "hashes", f"SELECT a.d_hash, b.d_hash AS other, ({_XOR})::INT AS distance FROM (SELECT DISTINCT d_hash FROM hashes) a JOIN (SELECT DISTINCT d_hash FROM hashes) b ON a.d_hash < b.d_hash AND {_XOR} <= 6")
+_add("a02_duplicate_similar", ND.duplicate_similar, "hashes")
 _STEM = r"concat(regexp_extract(path, '^(.*/)?', 0), regexp_replace(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))+$', ''))"
 _RES = r"regexp_matches(regexp_replace(lower(regexp_extract(path, '[^/]*$', 0)), '\.[^.]*$', ''), '[_-](?:\d+p|\d+x|hd|sd)(?:[_-](?:\d+p|\d+x|hd|sd|png|webp|avif|jpe?g))*$')"
 _V = f"v AS (SELECT CASE WHEN {_RES} THEN {_STEM} ELSE concat({_STEM}, '|', CAST(floor(w::DOUBLE / h * 50 + 0.5) AS BIGINT)) END AS key, count(*) AS n, sum(w * h * 4)::BIGINT AS vram, min(w * h * 4) AS least, max(w * h * 4) AS most FROM images GROUP BY 1)"

@@ -9,6 +9,7 @@ from glyphmill.operators import asset_rules as R
 from glyphmill.operators import folder_rules as A
 from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
+from glyphmill.operators import near_duplicates as ND
 from glyphmill.operators import packing as X
 from glyphmill.operators import runtime as T
 
@@ -99,9 +100,9 @@ def test_null_inputs_are_silent(spark):
 def test_similar_groups_are_complete_linkage(spark):
     rows = [(i, i, f"c{i}", h, 1.0, 1.0, 1.0) for i, h in enumerate(["0000000000000000", "000000000000003f", "0000000000000fff", "0000000000000fc0"])] + [(9, 9, "z", "ffffffffffffffff", 0.0, 0.0, 0.0), (10, 10, "z", "ffffffffffffffff", 0.0, 0.0, 0.0)]
     f = spark.createDataFrame(rows, "asset_ref long, ord long, content_hash string, d_hash string, mean_r double, mean_g double, mean_b double")
-    got = sorted(map(tuple, A.duplicate_similar(f).collect()))
+    got = sorted(map(tuple, ND.duplicate_similar(f).collect()))
     assert got == [(0, 0), (0, 1), (2, 2), (2, 3)]
-    assert sorted(map(tuple, A.duplicate_similar(f.repartition(4)).collect())) == got
+    assert sorted(map(tuple, ND.duplicate_similar(f.repartition(4)).collect())) == got
 
 
 def test_owners(spark):
