@@ -103,15 +103,17 @@ def pattern_of(sources: Column) -> Column:
     return F.when(F.size(sources) > 0, F.array_join(F.array_sort(F.array_distinct(names)), _SEP)).otherwise(_NONE)
 
 
-def place_of(doc_id: Column, seed: int) -> Column:
-    """A document's place in the seeded order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def place_of(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's place in the seeded order: by its id and its text, so rows that share an id spread."""
+    words = F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), words))
 
 
 def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
-    """sized: pattern, place, size. The plan: pattern, pattern_size, source_size, target (both of the pattern's first source), copies, cut.
+    """sized: pattern, place, size. The plan: pattern, pattern_size, source_size, target (both of the pattern's first source), copies, cut, ties.
 
-    A document is taken `copies` times, and once more if its place is at most `cut`. Patterns are summed by
+    A document is taken `copies` times, and once more if its place is below `cut`, or is the cut and the row is one of the first `ties` there:
+    only rows that are the same in id and text share a place. Patterns are summed by
     Spark; their small table is solved on the driver. The cut comes from sums over 4096 ranges of places and
     a running sum within one range, so no task sorts a whole source.
     """
@@ -133,18 +135,32 @@ def mixing_plan(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copi
     before = ranges.withColumn("before", F.sum("size").over(w) - F.col("size")).join(solved, "pattern").filter("before <= rest")
     edge = before.groupBy("pattern").agg(F.max(F.struct("range", "before")).alias("e")).select("pattern", "e.range", "e.before")
     inside = sized.withColumn("range", F.substring("place", 1, 3)).join(F.broadcast(edge), ["pattern", "range"]).join(solved.select("pattern", "rest"), "pattern")
-    cum = F.col("before") + F.sum("size").over(Window.partitionBy("pattern", "range").orderBy("place"))
-    cut = inside.withColumn("cum", cum).filter(2 * F.col("cum") - F.col("size") <= 2 * F.col("rest")).groupBy("pattern").agg(F.max("place").alias("cut"))
+    inside = inside.groupBy("pattern", "range", "place").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    room = F.col("rest") - F.col("before") - F.sum(F.col("n") * F.col("size")).over(Window.partitionBy("pattern", "range").orderBy("place")) + F.col("n") * F.col("size")
+    fits = F.when((F.col("size") > 0) & (2 * F.col("room") + F.col("size") >= 0), F.least(F.col("n"), F.expr("(2 * room + size) div (2 * greatest(size, 1))"))).when((F.col("size") == 0) & (F.col("room") >= 0), F.col("n")).otherwise(0)
+    cut = inside.withColumn("room", room).withColumn("ties", fits.cast("long")).filter("ties > 0").groupBy("pattern").agg(F.max(F.struct("place", "ties")).alias("c"))
     plan = solved.join(edge.select("pattern", "range"), "pattern", "left").join(cut, "pattern", "left")
-    return plan.select("pattern", "pattern_size", "source_size", "target", "copies", F.coalesce("cut", "range", F.lit("")).alias("cut"))
+    return plan.select("pattern", "pattern_size", "source_size", "target", "copies", F.coalesce("c.place", "range", F.lit("")).alias("cut"), F.coalesce("c.ties", F.lit(0).cast("long")).alias("ties"))
 
 
-def copies_taken() -> Column:
-    return F.col("copies") + F.when(F.col("place") <= F.col("cut"), 1).otherwise(0)
+def with_extra(placed: DataFrame, keep: list[str]) -> DataFrame:
+    """placed: columns to keep, and pattern, place, cut, ties under `_mix_`. Adds _mix_extra: 1 for rows that are taken once more.
+
+    Rows at the cut are alike but for columns that no choice looks at; they are numbered over salts, so very many repeats of a row spread.
+    """
+    from glyphmill.llm.common import written
+
+    rest = placed.filter("_mix_place <> _mix_cut").select(*keep, F.when(F.col("_mix_place") < F.col("_mix_cut"), 1).otherwise(0).alias("_mix_extra"))
+    ties = written(placed.filter("_mix_place = _mix_cut").withColumn("_mix_salt", F.monotonically_increasing_id() % 1024), "mix-ties")
+    w = Window.partitionBy("_mix_pattern").orderBy("_mix_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = ties.groupBy("_mix_pattern", "_mix_salt").agg(F.count("*").alias("n")).select("_mix_pattern", "_mix_salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_mix_before"))
+    nth = F.row_number().over(Window.partitionBy("_mix_pattern", "_mix_salt").orderBy("_mix_place"))
+    ties = ties.join(before, ["_mix_pattern", "_mix_salt"]).withColumn("_mix_nth", nth)
+    return rest.unionByName(ties.select(*keep, F.when(F.col("_mix_before") + F.col("_mix_nth") <= F.col("_mix_ties"), 1).otherwise(0).alias("_mix_extra")))
 
 
 def sized_documents(docs: DataFrame, sources: Column, text: str = "text", doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), pattern_of(sources).alias("pattern"), place_of(F.col(doc_id), seed).alias("place"), word_count(F.col(text)).alias("size"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), pattern_of(sources).alias("pattern"), place_of(F.col(doc_id), F.col(text), seed).alias("place"), word_count(F.col(text)).alias("size"))
 
 
 def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -152,13 +168,15 @@ def mix(docs: DataFrame, sources: Column | None = None, weights: tuple[int, ...]
 
     sources: an array column of the sources a document counts for; by default the column `source` alone. A null
     source is a source of its own. Null or empty texts have size 0 and nothing is taken of them. Rows that share a
-    doc_id share a place, so they are taken together. An empty table gives no rows.
+    doc_id spread by their texts, and repeated rows are taken one by one. An empty table gives no rows.
     """
     from glyphmill.llm.common import written
 
     sized = written(sized_documents(docs, F.array("source") if sources is None else sources, text, doc_id, seed), "sizes")
-    plan = F.broadcast(mixing_plan(sized, weights))
-    return sized.join(plan, "pattern").select("doc_id", "size", "source_size", "target", (F.col("size") * copies_taken()).alias("taken"))
+    plan = mixing_plan(sized, weights).withColumnsRenamed({c: f"_mix_{c}" for c in ("pattern", "copies", "cut", "ties")})
+    placed = sized.withColumnsRenamed({"pattern": "_mix_pattern", "place": "_mix_place"}).join(F.broadcast(plan), "_mix_pattern")
+    keep = ["doc_id", "size", "source_size", "target", "_mix_copies"]
+    return with_extra(placed, keep).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_mix_copies") + F.col("_mix_extra"))).alias("taken"))
 
 
 def take_mix(docs: DataFrame, sources: Column | None = None, weights: tuple[int, ...] = (1, 2, 3), seed: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -167,8 +185,9 @@ def take_mix(docs: DataFrame, sources: Column | None = None, weights: tuple[int,
 
     sources = F.array("source") if sources is None else sources
     plan = mixing_plan(written(sized_documents(docs, sources, text, doc_id, seed), "sizes"), weights)
-    plan = F.broadcast(plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("pattern", "copies", "cut")]))
-    d = docs.withColumns({"_mix_pattern": pattern_of(sources), "_mix_place": place_of(F.col(doc_id), seed)}).join(plan, "_mix_pattern")
-    n = F.col("_mix_copies") + F.when(F.col("_mix_place") <= F.col("_mix_cut"), 1).otherwise(0)
+    plan = F.broadcast(plan.select(*[F.col(c).alias(f"_mix_{c}") for c in ("pattern", "copies", "cut", "ties")]))
+    d = docs.withColumns({"_mix_pattern": pattern_of(sources), "_mix_place": place_of(F.col(doc_id), F.col(text), seed)}).join(plan, "_mix_pattern")
+    d = with_extra(d, [*docs.columns, "_mix_copies"])
+    n = F.col("_mix_copies") + F.col("_mix_extra")
     n = F.when(F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"), n).otherwise(0)
     return d.withColumn("_mix_n", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[F.col(c) for c in docs.columns])

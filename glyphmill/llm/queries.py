@@ -92,7 +92,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS place FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS place FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM d GROUP BY source
 ), o AS (
@@ -107,11 +107,11 @@ WITH d AS (
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT // source_size ELSE 0 END AS copies, CASE WHEN source_size > 0 THEN floor(target + 0.5)::BIGINT % source_size ELSE 0 END AS rest FROM t
 ), c AS (
-  SELECT d.*, source_size, target, copies, rest, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS cum FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT d.*, source_size, target, copies, rest, sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 ), m AS (
-  SELECT *, max(CASE WHEN 2 * cum - size <= 2 * rest THEN place END) OVER (PARTITION BY source) AS cut FROM c
+  SELECT *, coalesce(2 * cum - size <= 2 * rest, FALSE) AS more FROM c
 )
-SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN place <= cut THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken FROM m
 """
 
 

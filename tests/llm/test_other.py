@@ -149,3 +149,22 @@ def test_sources_of_any_characters(spark):
     rows = [(1, "a b", "x\x1fy"), (2, "a", "\x00"), (3, "a b c", None), (4, "a", ""), (5, "a", "~")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {r.doc_id: r.source_size for r in got} == {1: 2, 2: 1, 3: 3, 4: 1, 5: 1}
+
+
+def test_rows_that_share_an_id_meet_the_target(spark):
+    from glyphmill.llm import mixing
+
+    rows = [(None, f"word{i} a b c d", "a") for i in range(300)] + [(7, "one two three four five", "b")] * 300 + [(i, "x y z", "c") for i in range(1000)] + [(None, None, "a"), (7, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    taken, target, size = {}, {}, {}
+    for r in got:
+        key = r.source_size, r.target
+        taken[key] = taken.get(key, 0) + r.taken
+        assert r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+    assert len(got) == len(rows) and len(taken) == 3
+    assert all(abs(n - t) <= 3 for (_, t), n in taken.items())
+    again = mixing.mix(df.repartition(2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    words = lambda rows: sum(len((r.text or "").split()) for r in rows)
+    assert words(mixing.take_mix(df).collect()) == sum(r.taken for r in got)
