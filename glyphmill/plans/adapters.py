@@ -59,6 +59,13 @@ SQL: dict[str, str] = {
     "plan_owners": """SELECT o_custkey AS report, o_orderkey AS grp, concat('a', CAST(o_orderkey * 13 % 107 % 12 AS STRING)) AS owner, CASE WHEN o_orderkey % 2 = 0 THEN concat('a', CAST(o_orderkey * 5 % 109 % 12 AS STRING)) END AS consumer FROM orders WHERE o_orderkey % 7 = 3""",
     "plan_figures": """SELECT DISTINCT o_custkey AS report, concat('a', CAST(o_orderkey * 7 % 103 % 12 AS STRING)) AS ref, CASE WHEN o_orderkey * 7 % 103 % 12 % 3 > 0 THEN o_custkey * 3 + o_orderkey * 7 % 103 % 12 END AS disk_saved, CASE WHEN o_orderkey * 7 % 103 % 12 % 4 > 1 THEN o_custkey * 5 END AS vram_saved FROM orders""",
     "plan_packs": """SELECT DISTINCT o_custkey AS report, o_orderkey % 2 AS pack, concat('a', CAST(o_orderkey % 2 + 2 * (o_orderkey * 3 % 113 % 6) AS STRING)) AS ref FROM orders WHERE o_orderkey % 5 = 1""",
+    "attachments": """SELECT path, skin, slot, attachment, type, region_path, parent, parent_skin FROM (SELECT concat('k', CAST(l_orderkey AS STRING), '.json') AS path, concat('skin', CAST(l_suppkey % 3 AS STRING)) AS skin, concat('s', CAST(l_linenumber % 3 AS STRING)) AS slot, concat('n', CAST(l_partkey % 4 AS STRING)) AS attachment,
+  split_part('region,mesh,linkedmesh,linkedmesh,clipping,point,weightedlinkedmesh', ',', CAST(1 + l_partkey * 7 % 101 % 7 AS INT)) AS type, CASE WHEN l_partkey % 5 = 0 THEN concat('dir/p', CAST(l_partkey % 6 AS STRING)) END AS region_path, CASE WHEN l_partkey % 11 > 0 THEN concat('n', CAST(l_partkey * 3 % 7 % 4 AS STRING)) END AS parent,
+  CASE WHEN l_partkey % 3 = 0 THEN concat('skin', CAST(l_suppkey % 4 AS STRING)) END AS parent_skin, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 3, l_linenumber % 3, l_partkey % 4 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth FROM lineitem) t WHERE nth = 1""",
+    "packed_names": """SELECT DISTINCT concat('k', CAST(l_orderkey AS STRING), '.json') AS path, concat(CASE WHEN l_linenumber % 2 = 0 THEN 'dir/p' ELSE 'n' END, CAST(l_partkey % 4 AS STRING)) AS name FROM lineitem WHERE l_partkey % 3 > 0""",
+    "audits": """SELECT concat('folder', CAST(o_custkey % 40 AS STRING)) AS label, CAST(o_custkey AS BIGINT) * 86400000 AS at_ms, o_orderpriority AS metric, CAST(floor(sum(o_totalprice)) AS DOUBLE) AS value FROM orders GROUP BY o_custkey, o_orderpriority""",
+    "configs": """SELECT concat(source, CASE WHEN length(source) = 4 THEN '' ELSE '/en' END, CASE WHEN doc_id % 2 = 0 THEN '/budget.json' ELSE '/package.json' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'file' ELSE 'package' END AS kind FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT 'package.json', 'package'""",
     "before": """SELECT concat('f', CAST(o_custkey % 700 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 0""",
     "after": """SELECT concat('f', CAST(o_custkey % 900 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 1""",
     "found": """SELECT concat('f', CAST(o_orderkey AS STRING)) AS id, CAST(o_custkey % 400 AS BIGINT) AS asset_ref, CASE o_orderkey % 4 WHEN 0 THEN 'occupancy' WHEN 1 THEN 'dimensions-npot' WHEN 2 THEN 'format' ELSE 'duplicate-exact' END AS rule,

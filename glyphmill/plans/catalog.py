@@ -13,6 +13,7 @@ from glyphmill.operators import folder_rules as A
 from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
 from glyphmill.operators import gl_calls as GL
+from glyphmill.operators import history as H
 from glyphmill.operators import near_duplicates as ND
 from glyphmill.operators import packing as X
 from glyphmill.operators import repack as RP
@@ -20,6 +21,7 @@ from glyphmill.operators import repair_plan as PL
 from glyphmill.operators import runtime as T
 from glyphmill.plans.adapters import relation, with_relations
 from glyphmill.sources import files
+from glyphmill.sources import skeletons as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -387,6 +389,33 @@ SELECT 'global' AS scope, metric, 'error' AS level, chk, value, budget, (value -
 _add("x12_op_counts", lambda i: X.op_counts(i.select(F.expr("element_at(array('repack', 'drop', 'resize', 'transcode', 'pack'), cast(asset_ref % 5 + 1 as int))").alias("kind"), F.expr("asset_ref % 3").alias("n_atlases"), F.expr("if(asset_ref % 7 < 3, path, null)").alias("owner_ref"))), "images", "WITH o AS (SELECT CASE asset_ref % 5 WHEN 0 THEN CASE WHEN asset_ref % 3 > 1 THEN 'merge' ELSE 'repack' END WHEN 1 THEN CASE WHEN asset_ref % 7 < 3 THEN 'dedup' ELSE 'drop' END WHEN 2 THEN 'resize' WHEN 3 THEN 'transcode' ELSE 'pack' END AS kind FROM images) SELECT kind, CASE kind WHEN 'repack' THEN 1 WHEN 'merge' THEN 2 WHEN 'resize' THEN 3 WHEN 'transcode' THEN 4 WHEN 'drop' THEN 6 WHEN 'pack' THEN 7 ELSE 8 END::BIGINT AS place, count(*) AS n FROM o GROUP BY 1")
 
 
+def _skeleton_texts(parts: DataFrame) -> DataFrame:
+    """Attachments as the JSON texts of skeletons."""
+    body = F.struct("type", F.col("region_path").alias("path"), "parent", F.col("parent_skin").alias("skin"))
+    held = parts.groupBy("path", "skin", "slot").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("attachment").alias("name"), F.to_json(body).alias("body"))))).alias("held"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("held"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}"))
+    slots = held.select("path", "skin", F.struct("slot", F.concat(F.lit('"'), "slot", F.lit('":'), text).alias("text")).alias("s")).groupBy("path", "skin").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), ",").alias("slots"))
+    skin = F.concat(F.lit('{"name":"'), "skin", F.lit('","attachments":{'), "slots", F.lit("}}"))
+    skins = slots.select("path", F.struct("skin", skin.alias("text")).alias("s")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), ",").alias("skins"))
+    return skins.select("path", F.concat(F.lit('{"skins":['), "skins", F.lit("]}")).alias("text"))
+
+
+_NEED = """ac AS (SELECT * FROM attachments), pa AS (SELECT path, skin, attachment, arg_min(coalesce(region_path, attachment), slot) AS region FROM ac GROUP BY ALL), sk AS (SELECT DISTINCT path, skin FROM ac),
+nd AS (SELECT path, skin, slot, attachment, coalesce(region_path, attachment) AS region FROM ac WHERE type IN ('region', 'mesh') UNION ALL
+SELECT a.path, a.skin, a.slot, a.attachment, pa.region FROM ac a LEFT JOIN sk ON sk.path = a.path AND sk.skin = a.parent_skin JOIN pa ON pa.path = a.path AND pa.skin = coalesce(sk.skin, a.skin) AND pa.attachment = a.parent WHERE a.type IN ('linkedmesh', 'weightedlinkedmesh'))"""
+_add("x13_required_regions", lambda a: SK.required_regions(SK.attachments(_skeleton_texts(a))), "attachments", f"WITH {_NEED} SELECT * FROM nd")
+_add("x13_verified_skeletons", lambda a, n: SK.verify_skeletons(SK.attachments(_skeleton_texts(a)), n)[0], "attachments packed_names", f"WITH {_NEED}, j AS (SELECT nd.path, p.name IS NOT NULL AS hit FROM nd LEFT JOIN packed_names p ON p.path = nd.path AND p.name = nd.region), f AS (SELECT DISTINCT path FROM ac) SELECT f.path, count(*) FILTER (WHERE hit) AS verified, count(*) FILTER (WHERE NOT hit) AS unmatched, FALSE AS unverified FROM f LEFT JOIN j ON j.path = f.path GROUP BY 1")
+_add("s26_changes_since_last_audit", lambda a: H.changes(H.previous(H.snapshots(a), H.snapshots(a.filter("at_ms div 86400000 % 3 <> 0")))), "audits", """WITH h AS (SELECT label, at_ms, lead(at_ms) OVER (PARTITION BY label ORDER BY at_ms) AS nxt FROM (SELECT DISTINCT label, at_ms FROM audits WHERE at_ms // 86400000 % 3 <> 0)),
+p AS (SELECT DISTINCT a.label, a.at_ms, h.at_ms AS before_at FROM audits a JOIN h ON h.label = a.label AND h.at_ms < a.at_ms AND (h.nxt IS NULL OR h.nxt >= a.at_ms)),
+j AS (SELECT p.label, p.at_ms, before_at, a.metric, b.value AS before, a.value AS after FROM p JOIN audits a ON a.label = p.label AND a.at_ms = p.at_ms JOIN audits b ON b.label = p.label AND b.at_ms = p.before_at AND b.metric = a.metric)
+SELECT *, after - before AS delta, CASE WHEN before <> 0 THEN (after - before) * 100 / before END AS pct FROM j WHERE before <> after""")
+_add("s23_config_of_folders", lambda a, c: files.discover_configs(a.select(S.dir_of(F.col("asset_ref")).alias("folder")).unionByName(a.select(F.lit("").alias("folder"))), c), "assets configs", """WITH f AS (SELECT DISTINCT concat(split_part(asset_ref, '/', 1), '/', split_part(asset_ref, '/', 2)) AS folder FROM assets UNION SELECT ''), c AS (SELECT path, kind, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS d FROM configs)
+SELECT folder, path, kind FROM f LEFT JOIN c ON d = '' OR d = folder OR starts_with(folder, concat(d, '/')) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(d) DESC, kind, path) = 1""")
+_add("s20_pack_groups", lambda i, a: files.pack_groups(i.select("path", "w", "h").unionByName(a.select(F.col("asset_ref").alias("path"), F.lit(900).cast("long").alias("w"), F.lit(9).cast("long").alias("h")).distinct()), a.filter("pool = 'spine'").select(S.dir_of(F.col("asset_ref")).alias("root")).unionByName(a.filter("asset_ref like 'src1/%'").select(F.lit("src1").alias("root"))), small=1200, least=3), "images assets", """WITH i AS (SELECT DISTINCT path, w, h FROM (SELECT path, w, h FROM images UNION ALL SELECT asset_ref, 900, 9 FROM assets)), r AS (SELECT DISTINCT regexp_replace(asset_ref, '/[^/]*$', '') AS root FROM assets WHERE pool = 'spine' UNION SELECT 'src1'),
+u AS (SELECT i.*, root FROM i LEFT JOIN r ON starts_with(path, concat(root, '/')) QUALIFY row_number() OVER (PARTITION BY path, w, h ORDER BY length(root) DESC NULLS LAST) = 1),
+g AS (SELECT CASE WHEN root IS NOT NULL THEN concat('skeleton:', root) WHEN greatest(w, h) <= 1200 THEN concat('folder:', regexp_replace(path, '/[^/]*$', '')) END AS "group", path, w, h FROM u) SELECT * FROM g WHERE "group" IS NOT NULL QUALIFY starts_with("group", 'skeleton:') OR count(*) OVER (PARTITION BY "group") >= 3""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -47,16 +47,40 @@ def loose(images: DataFrame, resolved: DataFrame) -> DataFrame:
     return images.join(resolved.select(F.col("image_ref").alias("path")), "path", "left_anti")
 
 
-def pack_groups(images: DataFrame, roots: DataFrame, small: int = 512, least: int = 2) -> DataFrame:
-    """Loose images by group for packing: under a skeleton's folder, the deepest that holds them, whatever their size; others,
-    if small, by their own folder. Groups of fewer than `least` are left out."""
-    r = roots.select(F.col("root")).distinct()
-    under = images.join(r, (F.col("root") == "") | F.startswith(F.col("path"), F.concat(F.col("root"), F.lit("/"))), "left")
-    w = Window.partitionBy("path").orderBy(F.desc_nulls_last(F.length("root")))
-    one = under.withColumn("nth", F.row_number().over(w)).filter("nth = 1")
-    key = F.when(F.col("root").isNotNull(), F.concat(F.lit("skeleton:"), "root")).when(F.greatest("w", "h") <= small, F.concat(F.lit("folder:"), S.dir_of(F.col("path"))))
-    g = one.withColumn("group", key).filter("group is not null")
-    return g.join(g.groupBy("group").count().filter(F.col("count") >= least).select("group"), "group").select("group", "path", "w", "h")
+def ancestors(folder: F.Column) -> F.Column:
+    """A folder and all above it, the deepest first; the root is empty text."""
+    parts = F.filter(F.split(folder, "/"), lambda s: s != "")
+    return F.reverse(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+
+
+def nearest_above(items: DataFrame, key: str, folder: F.Column, places: DataFrame) -> DataFrame:
+    """items: with a unique key. places: folder, rank and other columns. Each item with the place of the nearest folder above it, of several in one folder the least
+    by rank and then by their columns; an equi-join by exploded folders. Items without a place are left out."""
+    names = [c for c in places.columns if c != "folder"]
+    up = items.select(key, F.posexplode(ancestors(folder)).alias("up", "folder"))
+    best = up.join(places, "folder").groupBy(key).agg(F.min(F.struct("up", *names, "folder")).alias("b"))
+    return best.select(key, *[F.col(f"b.{c}").alias(c) for c in names if c != "rank"], F.col("b.folder").alias("above"))
+
+
+def discover_configs(folders: DataFrame, configs: DataFrame) -> DataFrame:
+    """folders: folder. configs: path, kind (file, or package for one with a field that holds a configuration; other packages aren't rows). folder, path, kind: the
+    configuration that holds for each folder: the nearest above, a file before a package. null where there is none."""
+    rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "package", 1)
+    c = configs.select(S.dir_of(F.col("path")).alias("folder"), rank.alias("rank"), "path", "kind").filter("rank is not null")
+    f = folders.select("folder").distinct()
+    return f.join(nearest_above(f.withColumnRenamed("folder", "of"), "of", F.col("of"), c).withColumnRenamed("of", "folder").drop("above"), "folder", "left")
+
+
+def pack_groups(images: DataFrame, roots: DataFrame, small: int = 512, least: int = 2, granularity: str = "per-leaf-folder") -> DataFrame:
+    """Loose images by group for packing: under a skeleton's folder, the deepest that holds them, whatever their size and number; others,
+    if small, by bucket (see `scalars.pack_bucket`), which needs `least` of them."""
+    r = roots.select(F.col("root").alias("folder")).distinct().withColumn("rank", F.lit(0))
+    i = images.select("path", "w", "h").distinct()
+    under = i.join(nearest_above(i, "path", S.dir_of(F.col("path")), r), "path", "left")
+    key = F.when(F.col("above").isNotNull(), F.concat(F.lit("skeleton:"), "above")).when(F.greatest("w", "h") <= small, F.concat(F.lit("folder:"), S.pack_bucket(F.col("path"), granularity)))
+    g = under.withColumn("group", key).filter("group is not null")
+    enough = g.groupBy("group").count().filter((F.col("count") >= least) | F.col("group").startswith("skeleton:"))
+    return g.join(enough.select("group"), "group").select("group", "path", "w", "h")
 
 
 def regions(images: DataFrame) -> DataFrame:

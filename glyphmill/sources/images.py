@@ -221,10 +221,35 @@ def pixel_features(px: np.ndarray) -> dict:
     return {
         "pixel_hash": hashlib.sha256(px.tobytes()).hexdigest(), "pma_edge_pixels": edges, "pma_fringe_frac": dark, "hf_energy": high_frequency_energy(px),
         "d_hash": None if flat else f"{int(''.join('1' if b else '0' for b in bits), 2):016x}", "solid": bool(gray.std() < 2 and spread <= 8), "opaque": bool((alpha == 255).all()), "mean_r": mean[0], "mean_g": mean[1], "mean_b": mean[2],
-        "upscale_depth": depth, "bbox_w": box[0], "bbox_h": box[1], "interior_transparent": int((inside == 0).sum()), "binary_alpha": bool(((alpha == 0) | (alpha == 255)).all()), "opaque_count": int((alpha >= 250).sum()), "content_class": kind,
+        "holes": hole_rects(alpha), "upscale_depth": depth, "bbox_w": box[0], "bbox_h": box[1], "interior_transparent": int((inside == 0).sum()), "binary_alpha": bool(((alpha == 0) | (alpha == 255)).all()), "opaque_count": int((alpha == 255).sum()), "content_class": kind,
     }
 
 
+def hole_rects(alpha: np.ndarray, most: int = 64) -> list[list[int]] | None:
+    """Rectangles (x, y, w, h) of grid cells that lie whole inside the box of visible pixels and have none, by row; cells of one row join, and rows of one
+    extent that follow each other. None if there are none or over `most`: a cut list would hide the rest."""
+    ys, xs = np.nonzero(alpha)
+    if not len(xs):
+        return None
+    h, w = alpha.shape
+    cell = max(8, int(max(w, h) / 64 + 0.5))
+    at_y, at_x = np.arange(0, h, cell), np.arange(0, w, cell)
+    seen = np.add.reduceat(np.add.reduceat((alpha > 0).astype(np.int64), at_y, axis=0), at_x, axis=1)
+    end_y, end_x = np.minimum(at_y + cell, h), np.minimum(at_x + cell, w)
+    clear = (seen == 0) & ((at_y >= ys.min()) & (end_y - 1 <= ys.max()))[:, None] & ((at_x >= xs.min()) & (end_x - 1 <= xs.max()))[None]
+    out, open_ = [], {}
+    for r in range(len(at_y) + 1):
+        row = np.concatenate([[False], clear[r], [False]]) if r < len(at_y) else np.zeros(2, bool)
+        turn = np.flatnonzero(row[1:] != row[:-1])
+        runs = set(zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True))
+        for run in [k for k in open_ if k not in runs]:
+            top = open_.pop(run)
+            out.append([int(at_x[run[0]]), int(at_y[top]), int(end_x[run[1] - 1] - at_x[run[0]]), int(end_y[r - 1] - at_y[top])])
+        for run in runs:
+            open_.setdefault(run, r)
+    return sorted(out, key=lambda b: (b[1], b[0])) if 0 < len(out) <= most else None
+
+
 def dark_edges(px: np.ndarray) -> tuple[int, float]:
     """Soft pixels next to a bright opaque one, and the share of them whose implied backdrop is near black, as premultiplied files have."""
     gray = px[..., 0] * 0.299 + px[..., 1] * 0.587 + px[..., 2] * 0.114
@@ -285,7 +310,7 @@ def frame_hashes(files: DataFrame, sprites: DataFrame, most_sprites: int = 4096,
     return files.select("path", "content").join(rects, "path").mapInPandas(run, "path string, sprite_idx long, frame_hash string")
 
 
-_FEATURES = "content_hash string, pixel_hash string, icc_bytes long, icc_srgb boolean, icc_label string, pma_edge_pixels long, pma_fringe_frac double, hf_energy double, path string, mime string, w int, h int, byte_size long, strippable_bytes long, d_hash string, solid boolean, opaque boolean, mean_r double, mean_g double, mean_b double, upscale_depth int, bbox_w int, bbox_h int, interior_transparent long, binary_alpha boolean, opaque_count long, content_class string"
+_FEATURES = "content_hash string, pixel_hash string, icc_bytes long, icc_srgb boolean, icc_label string, pma_edge_pixels long, pma_fringe_frac double, hf_energy double, path string, mime string, w int, h int, byte_size long, strippable_bytes long, d_hash string, solid boolean, opaque boolean, mean_r double, mean_g double, mean_b double, upscale_depth int, bbox_w int, bbox_h int, interior_transparent long, binary_alpha boolean, opaque_count long, content_class string, holes array<array<int>>"
 
 
 def image_features(files: DataFrame, most_pixels: int = 25_165_824) -> DataFrame:
@@ -297,7 +322,7 @@ def image_features(files: DataFrame, most_pixels: int = 25_165_824) -> DataFrame
             rows = []
             for path, data in zip(pdf["path"], pdf["content"], strict=True):
                 info = image_info(data)
-                row = {"path": path, "byte_size": len(data), "strippable_bytes": strippable_bytes(data), "content_hash": hashlib.sha256(data).hexdigest()}
+                row = {"path": path, "holes": None, "byte_size": len(data), "strippable_bytes": strippable_bytes(data), "content_hash": hashlib.sha256(data).hexdigest()}
                 if (icc := icc_info(data)) is not None:
                     row |= {"icc_bytes": icc[0], "icc_srgb": icc[1], "icc_label": icc[2]}
                 if info:
@@ -306,7 +331,7 @@ def image_features(files: DataFrame, most_pixels: int = 25_165_824) -> DataFrame
                     row |= pixel_features(px) if px is not None and px.size else {}
                 rows.append(row)
             kinds = {c: k for c, k in (x.split() for x in _FEATURES.split(", "))}
-            cast = {"int": "Int32", "long": "Int64", "boolean": "boolean", "double": "float64", "string": "object"}
+            cast = {"int": "Int32", "long": "Int64", "boolean": "boolean", "double": "float64", "string": "object", "array<array<int>>": "object"}
             yield pd.DataFrame(rows, columns=names).astype({c: cast[k] for c, k in kinds.items()})
 
     return files.select("path", "content").mapInPandas(run, _FEATURES)
