@@ -14,6 +14,7 @@ from glyphmill.operators import gate as B
 from glyphmill.operators import geometry as G
 from glyphmill.operators import gl_calls as GL
 from glyphmill.operators import history as H
+from glyphmill.operators import messages as M
 from glyphmill.operators import near_duplicates as ND
 from glyphmill.operators import packing as X
 from glyphmill.operators import repack as RP
@@ -416,6 +417,56 @@ u AS (SELECT i.*, root FROM i LEFT JOIN r ON starts_with(path, concat(root, '/')
 g AS (SELECT CASE WHEN root IS NOT NULL THEN concat('skeleton:', root) WHEN greatest(w, h) <= 1200 THEN concat('folder:', regexp_replace(path, '/[^/]*$', '')) END AS "group", path, w, h FROM u) SELECT * FROM g WHERE "group" IS NOT NULL QUALIFY starts_with("group", 'skeleton:') OR count(*) OVER (PARTITION BY "group") >= 3""")
 
 
+def _told(sprites: DataFrame, atlases: DataFrame, images: DataFrame, features: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Findings of several rules, each with its texts."""
+    parts = [
+        ("occupancy", R.occupancy(sprites, atlases), "asset_ref"), ("dimensions-oversize", R.oversize(images), "asset_ref"), ("dimensions-npot", R.npot(images), "asset_ref"), ("strippable-metadata", R.strippable_metadata(images), "asset_ref"),
+        ("format", R.format_candidates(images, features, sizes), "asset_ref"), ("duplicate-exact", A.duplicate_exact(images, features), "first"), ("trim-margin", R.trim_margin(sprites, atlases), "asset_ref"), ("dimension-mismatch", R.dimension_mismatch(atlases, _as_images(atlases), sprites), "asset_ref"),
+    ]
+    out = None
+    for rule, df, ref in parts:
+        one = M.as_findings(df, rule, ref)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _as_images(atlases: DataFrame) -> DataFrame:
+    return atlases.select("asset_ref", (F.col("decl_w") - F.col("asset_ref") % 9).alias("w"), F.col("decl_h").alias("h"))
+
+
+_B = lambda c: f"CASE WHEN {c} < 1024 THEN concat({c}, ' B') WHEN {c} < 1048576 THEN printf('%.1f KB', floor({c} / 1024.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor({c} / 1048576.0::DOUBLE * 10 + 0.5) / 10) END"
+_P = lambda c: f"concat(regexp_replace(CAST(floor({c} * 100 * 10 + 0.5) / 10 AS VARCHAR), '\\.0$', ''), '%')"
+_ONE = lambda c, one, other: f"CASE WHEN {c} = 1 THEN '{one}' ELSE concat({c}, '{other}') END"
+_TOLD = f"""{OCC}, {_FORMAT}, {_DUP}, {POT.replace("i AS", "ip AS")}, oc AS (SELECT asset_ref, occ, greatest(area - used, 0) * 4 AS wasted FROM occ WHERE occ < 0.8), np AS (SELECT asset_ref, 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE AS waste, pw * ph * 4 - w * h * 4 AS saved FROM ip WHERE NOT (w = pw AND h = ph) AND 1 - (w * h)::DOUBLE / (pw * ph)::DOUBLE > 0.25),
+tm AS (WITH m AS (SELECT *, CASE WHEN trim_w IS NULL THEN greatest(w, h) ELSE greatest(trim_x, trim_y, w - trim_x - trim_w, h - trim_y - trim_h) END AS margin, w * h - CASE WHEN trim_w IS NULL THEN 0 ELSE trim_w * trim_h END AS freed FROM sprites WHERE NOT trimmed),
+f AS (SELECT *, row_number() OVER (PARTITION BY asset_ref, x, y, w, h ORDER BY sprite_idx) AS k FROM m WHERE margin >= 4), g AS (SELECT asset_ref, count(*) AS frames, sum(freed)::BIGINT AS freed FROM f WHERE k = 1 GROUP BY 1) SELECT asset_ref, frames, freed::DOUBLE / (decl_w * decl_h) AS share FROM g JOIN atlases USING (asset_ref) WHERE freed::DOUBLE / (decl_w * decl_h) >= 0.05),
+dm AS (SELECT a.asset_ref, count(s.asset_ref) FILTER (WHERE s.x + s.w > decl_w - a.asset_ref % 9 OR s.y + s.h > decl_h) AS off FROM atlases a LEFT JOIN sprites s ON s.asset_ref = a.asset_ref WHERE a.asset_ref % 9 > 2 GROUP BY 1),
+td AS (SELECT 'occupancy' AS rule, asset_ref AS ref, CASE WHEN wasted < 262144 THEN 'info' WHEN occ < 0.6 THEN 'crit' ELSE 'warn' END AS severity, NULL::BIGINT AS disk_saved, NULL::BIGINT AS vram_saved, concat('Sheet is ', {_P("occ")}, ' full') AS title, concat({_B("wasted")}, ' of texture memory hold no frame.') AS detail, 'Pack the sheet anew.' AS fix FROM oc
+UNION ALL SELECT 'dimensions-oversize', asset_ref, CASE WHEN greatest(w, h) > 2730 THEN 'crit' ELSE 'warn' END, NULL, NULL, concat('Longest edge is ', greatest(w, h), 'px'), 'Devices with smaller limits scale or refuse such textures.', 'Scale it down or split it.' FROM images WHERE greatest(w, h) > 2048
+UNION ALL SELECT 'dimensions-npot', asset_ref, 'info', NULL, saved, concat('Padding to powers of two would waste ', {_P("waste")}), concat({_B("saved")}, ' of texture memory where sizes are padded.'), 'Choose sizes near a power of two.' FROM np
+UNION ALL SELECT 'strippable-metadata', asset_ref, CASE WHEN strippable_bytes >= 65536 THEN 'warn' ELSE 'info' END, strippable_bytes, NULL, concat({_B("strippable_bytes")}, ' of metadata'), 'Readers of the picture don''t need it.', 'Strip it; pixels stay the same.' FROM images WHERE strippable_bytes >= 4096
+UNION ALL SELECT 'format', asset_ref, 'warn', disk_saved, NULL, concat({_B("disk_saved")}, ' smaller as ', target_mime), CASE rule WHEN 'format' THEN 'Measured by a trial encoding.' ELSE 'Flat art and hard edges stay crisp without loss.' END, CASE rule WHEN 'format' THEN 'Encode it so.' ELSE 'Encode it so, without loss.' END FROM fm
+UNION ALL SELECT 'duplicate-exact', first, 'warn', disk_saved, NULL, concat(n, ' files of one content'), concat('All but one take ', {_B("disk_saved")}, '.'), 'Keep one and refer to it.' FROM dup
+UNION ALL SELECT 'trim-margin', asset_ref, 'info', NULL, NULL, {_ONE("frames", "One frame has wide clear margins", " frames have wide clear margins")}, concat('Up to ', {_P("share")}, ' of the sheet.'), 'Trim frames when packing.' FROM tm
+UNION ALL SELECT 'dimension-mismatch', asset_ref, CASE WHEN off > 0 THEN 'crit' ELSE 'warn' END, NULL, NULL, 'Image isn''t as large as its manifest says', {_ONE("off", "One frame reaches over its edge.", " frames reach over its edge.")}, 'Export both together.' FROM dm)"""
+_add("f28_messages", lambda *r: _told(*r).select("rule", "ref", "severity", "disk_saved", "vram_saved", "title", "detail", "fix"), "sprites atlases images features encode_sizes", f"WITH {_TOLD} SELECT rule, CAST(ref AS VARCHAR) AS ref, severity, disk_saved, vram_saved, title, detail, fix FROM td")
+_add("k07_findings_markdown", lambda i: M.findings_markdown(M.as_findings(R.oversize(i), "dimensions-oversize").unionByName(M.as_findings(R.strippable_metadata(i), "strippable-metadata"))), "images", f"""WITH td AS (SELECT 'dimensions-oversize' AS rule, CAST(asset_ref AS VARCHAR) AS ref, CASE WHEN greatest(w, h) > 2730 THEN 'crit' ELSE 'warn' END AS severity, NULL AS disk, concat('Longest edge is ', greatest(w, h), 'px') AS title, 'Devices with smaller limits scale or refuse such textures.' AS detail FROM images WHERE greatest(w, h) > 2048
+UNION ALL SELECT 'strippable-metadata', CAST(asset_ref AS VARCHAR), CASE WHEN strippable_bytes >= 65536 THEN 'warn' ELSE 'info' END, {_B("strippable_bytes")}, concat({_B("strippable_bytes")}, ' of metadata'), 'Readers of the picture don''t need it.' FROM images WHERE strippable_bytes >= 4096)
+SELECT 1 AS section, {_RANK} AS rank, ref, rule, concat(rule, ':', ref) AS id, concat('| ', severity, ' | ', ref, ' | ', title, ' | ', detail, ' | ', coalesce(disk, ''), ' |  |') AS line FROM td UNION ALL SELECT 0, NULL, NULL, NULL, NULL, '| Severity | Asset | Finding | Detail | Disk saved (est.) | Texture bytes saved (est.) |' UNION ALL SELECT 0, NULL, NULL, NULL, NULL, '| --- | --- | --- | --- | --- | --- |'""")
+
+
+def _gate_lines(images: DataFrame, features: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFrame:
+    from glyphmill.config import GLOBAL_METRICS
+
+    return M.gate_markdown(_scaffold_gate(images, features, sizes, found).withColumn("ref", F.lit(None).cast("string")), GLOBAL_METRICS)
+
+
+_add("k04_gate_markdown", _gate_lines, "images features encode_sizes found", f"""WITH g AS ({_SQL["b03_scaffold_gate"]}), v AS (SELECT *, CASE WHEN metric = 'findings.crit' THEN CAST(value::BIGINT AS VARCHAR) ELSE {_B("value::BIGINT")} END AS shown, CASE WHEN chk = 'maxDeltaPct' THEN concat(budget::BIGINT, '%') WHEN metric = 'findings.crit' THEN CAST(budget::BIGINT AS VARCHAR) ELSE {_B("budget::BIGINT")} END AS most, floor(delta_pct * 10 + 0.5) / 10 AS d FROM g)
+SELECT 1 AS section, metric, NULL::VARCHAR AS ref, level, chk, concat('| ', CASE WHEN breach THEN 'error' ELSE 'pass' END, ' | `', metric, '` | global | ', chk, ' ', most, ' | ', shown, ' | ', CASE WHEN d >= 0 THEN '+' ELSE '' END, regexp_replace(CAST(d AS VARCHAR), '\\.0$', ''), '% |') AS line FROM v UNION ALL SELECT 0, NULL, NULL, NULL, NULL, '| | Metric | Scope | Budget | Value | Δ |' UNION ALL SELECT 0, NULL, NULL, NULL, NULL, '| --- | --- | --- | --- | --- | --- |'""")
+_add("k08_diff_markdown", lambda b, a: M.diff_markdown(B.diff_findings(b, a), a.unionByName(b).select("id").distinct().withColumns({"title": F.concat(F.lit("about | "), "id"), "ref": F.lit("x")})), "before after", f"""WITH {_DIFF}, r AS (SELECT *, {_RANK.replace("severity", "before")} AS rb, {_RANK.replace("severity", "after")} AS ra, CASE status WHEN 'added' THEN 1 WHEN 'resolved' THEN 2 ELSE 3 END AS section FROM df WHERE status IS NOT NULL)
+SELECT section, CASE WHEN after IS NULL THEN rb ELSE ra END AS rank, id, concat(CASE section WHEN 1 THEN concat('- **added** `', after, '` ') WHEN 2 THEN concat('- **resolved** `', before, '` ') ELSE concat(CASE WHEN ra < rb THEN '- **worse** `' ELSE '- **better** `' END, before, '`→`', after, '` ') END, 'about \\| ', id, ' — `x`') AS line FROM r""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
