@@ -66,6 +66,8 @@ SQL: dict[str, str] = {
     "audits": """SELECT concat('folder', CAST(o_custkey % 40 AS STRING)) AS label, CAST(o_custkey AS BIGINT) * 86400000 AS at_ms, o_orderpriority AS metric, CAST(floor(sum(o_totalprice)) AS DOUBLE) AS value FROM orders GROUP BY o_custkey, o_orderpriority""",
     "configs": """SELECT concat(source, CASE WHEN length(source) = 4 THEN '' ELSE '/en' END, CASE WHEN doc_id % 2 = 0 THEN '/budget.json' ELSE '/package.json' END) AS path, CASE WHEN doc_id % 2 = 0 THEN 'file' ELSE 'package' END AS kind FROM documents WHERE doc_id % 7 = 0
   UNION ALL SELECT 'package.json', 'package'""",
+    "pictures": """SELECT concat('pics/p', CAST(p_partkey AS STRING), '.png') AS path, 20 + p_partkey * 7 % 61 AS w, 16 + p_partkey * 11 % 53 AS h, p_partkey * 13 % 256 AS red, p_partkey * 17 % 256 AS green, p_partkey * 19 % 256 AS blue, CASE WHEN p_partkey % 5 = 0 THEN 255 WHEN p_partkey % 7 = 0 THEN 40 ELSE 0 END AS ground,
+  CASE WHEN p_partkey % 5 = 0 THEN 255 WHEN p_partkey % 3 = 0 THEN 128 ELSE 255 END AS alpha, p_partkey % 9 AS from_x, p_partkey % 8 AS from_y, 4 + p_partkey % 7 AS box_w, 3 + p_partkey % 5 AS box_h FROM part""",
     "before": """SELECT concat('f', CAST(o_custkey % 700 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 0""",
     "after": """SELECT concat('f', CAST(o_custkey % 900 AS STRING)) AS id, o_orderkey AS ord, CASE o_orderkey % 4 WHEN 0 THEN 'crit' WHEN 1 THEN 'warn' ELSE 'info' END AS severity FROM orders WHERE o_orderkey % 2 = 1""",
     "found": """SELECT concat('f', CAST(o_orderkey AS STRING)) AS id, CAST(o_custkey % 400 AS BIGINT) AS asset_ref, CASE o_orderkey % 4 WHEN 0 THEN 'occupancy' WHEN 1 THEN 'dimensions-npot' WHEN 2 THEN 'format' ELSE 'duplicate-exact' END AS rule,

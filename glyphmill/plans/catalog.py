@@ -20,8 +20,12 @@ from glyphmill.operators import packing as X
 from glyphmill.operators import repack as RP
 from glyphmill.operators import repair_plan as PL
 from glyphmill.operators import runtime as T
+from glyphmill.plans import audit as AU
+from glyphmill.plans import pictures as PX
 from glyphmill.plans.adapters import relation, with_relations
 from glyphmill.sources import files
+from glyphmill.sources import manifests as P
+from glyphmill.sources import meshes as MS
 from glyphmill.sources import skeletons as SK
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -467,6 +471,31 @@ _add("k08_diff_markdown", lambda b, a: M.diff_markdown(B.diff_findings(b, a), a.
 SELECT section, CASE WHEN after IS NULL THEN rb ELSE ra END AS rank, id, concat(CASE section WHEN 1 THEN concat('- **added** `', after, '` ') WHEN 2 THEN concat('- **resolved** `', before, '` ') ELSE concat(CASE WHEN ra < rb THEN '- **worse** `' ELSE '- **better** `' END, before, '`→`', after, '` ') END, 'about \\| ', id, ' — `x`') AS line FROM r""")
 
 
+def _features(pictures: DataFrame) -> DataFrame:
+    from glyphmill.sources import images as I
+
+    f = I.image_features(PX.drawn(pictures))
+    return f.select("path", "mime", F.col("w").cast("long").alias("w"), F.col("h").cast("long").alias("h"), "strippable_bytes", "solid", "opaque", F.col("bbox_w").cast("long").alias("bbox_w"), F.col("bbox_h").cast("long").alias("bbox_h"), "interior_transparent", "binary_alpha", "opaque_count")
+
+
+_add("p00_features_of_pictures", _features, "pictures", """SELECT path, 'image/png' AS mime, w, h, 0::BIGINT AS strippable_bytes, ground = alpha AS solid, ground = 255 AND alpha = 255 AS opaque, CASE WHEN ground > 0 THEN w ELSE box_w END AS bbox_w, CASE WHEN ground > 0 THEN h ELSE box_h END AS bbox_h, 0::BIGINT AS interior_transparent,
+ground IN (0, 255) AND alpha = 255 AS binary_alpha, CASE WHEN ground = 255 THEN w * h WHEN alpha = 255 THEN box_w * box_h ELSE 0 END::BIGINT AS opaque_count FROM pictures""")
+_add("s07_parsed_sheets", lambda s, a: P.sheets(AU.sheet_texts(s, a).select("path", F.decode("content", "utf-8").alias("text"))).filter("error is null").select(F.col("asset_ref").alias("path"), "name", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "src_w", "page_w")], "rotated", "trimmed", "page"), "sprites atlases", """WITH f AS (SELECT s.*, decl_w, decl_h, image_ref FROM sprites s JOIN atlases USING (asset_ref) QUALIFY row_number() OVER (PARTITION BY asset_ref, name ORDER BY sprite_idx) = 1)
+SELECT concat('sheets/', asset_ref, '.json') AS path, name, x, y, w, h, src_w, decl_w AS page_w, rotated, trimmed, concat(image_ref, '.png') AS page FROM f WHERE x + w <= decl_w AND y + h <= decl_h""")
+
+
+def _audit(sprites: DataFrame, atlases: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Sheets and pictures written as files, read back and audited: findings by rule and severity. Every sixth picture is a sheet's page."""
+    page = pictures.withColumn("path", F.concat(F.lit("sheets/img"), F.expr("cast(red * 7 % 500 as string)"), F.lit(".png"))).groupBy("path").agg(*[F.min(c).alias(c) for c in pictures.columns if c != "path"])
+    found, _, _ = AU.audit(AU.sheet_texts(sprites, atlases).unionByName(PX.drawn(pictures.unionByName(page))))
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("disk_saved").alias("disk_saved"), F.sum("vram_saved").alias("vram_saved"))
+
+
+_add("audit_of_files", _audit, "sprites atlases pictures")
+_add("x06_sprite_meshes", lambda p: MS.sprite_meshes(PX.drawn(p), p.select("path", F.lit(0).cast("long").alias("sprite_idx"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))).select("path", F.to_json("vertices").alias("vertices"), F.size("triangles").alias("triangles")), "pictures", """WITH p AS (SELECT path, CASE WHEN ground > 0 THEN 0 ELSE from_x END AS x, CASE WHEN ground > 0 THEN 0 ELSE from_y END AS y, CASE WHEN ground > 0 THEN w ELSE box_w END AS bw, CASE WHEN ground > 0 THEN h ELSE box_h END AS bh, ground > 0 AS whole FROM pictures)
+SELECT path, CASE WHEN NOT whole THEN concat('[[', x, ',', y, '],[', x + bw, ',', y, '],[', x + bw, ',', y + bh, '],[', x, ',', y + bh, ']]') END AS vertices, CASE WHEN NOT whole THEN 2 END AS triangles FROM p""")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
