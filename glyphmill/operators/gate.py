@@ -120,11 +120,13 @@ def worst_per_asset(findings: DataFrame) -> DataFrame:
     return findings.withColumn("nth", F.row_number().over(w)).filter("nth = 1").select("asset_ref", "id", "rule", "severity")
 
 
-def loose_dominated(findings: DataFrame, images: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Counts of foldable notes (sizes and formats, never critical) if at least that fraction of images is loose."""
-    share = images.agg((F.count_if("loose") / F.count("*")).alias("share")).filter(F.col("share") >= fraction)
-    fold = findings.filter(F.col("rule").isin("dimensions-npot", "format") & (F.col("severity") != "crit")).groupBy("rule").agg(F.count("*").alias("n"))
-    return fold.crossJoin(share)
+def loose_dominated(findings: DataFrame, images: DataFrame, fraction: float = 0.5, small: int = 512, least: int = 8) -> DataFrame:
+    """images: asset_ref, loose, w, h. asset_ref, id, rule, share: the notes that fold into one recommendation to pack, where small loose images are at least that
+    fraction of all and `least` in number: sizes and formats of loose images, never critical ones."""
+    is_small = F.col("loose") & (F.greatest("w", "h") <= small)
+    share = images.agg(F.count_if(is_small).alias("k"), F.try_divide(F.count_if(is_small), F.count("*")).alias("share")).filter((F.col("share") >= fraction) & (F.col("k") >= least)).select("share")
+    fold = findings.filter(F.col("rule").isin("dimensions-npot", "format") & (F.col("severity") != "crit")).join(images.filter("loose").select("asset_ref").distinct(), "asset_ref", "left_semi")
+    return fold.select("asset_ref", "id", "rule").crossJoin(F.broadcast(share))  # one row or none
 
 
 def budget_model(totals: DataFrame, limit: int) -> DataFrame:

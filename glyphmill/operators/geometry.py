@@ -50,8 +50,10 @@ def empty_summary(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
 
 
 def wasted_regions(sprites: DataFrame, atlases: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
-    low = atlas_occupancy(sprites, atlases).filter(F.col("occ") < t.occupancy_warn).select("asset_ref", "occ")
-    return empty_summary(sprites, atlases).join(low, "asset_ref").select("asset_ref", "n", "area", "largest", "share", F.lit("info").alias("severity"))
+    """Empty space of sheets that are too empty; only their frames are gone through."""
+    low = atlas_occupancy(sprites, atlases).filter(F.col("occ") < t.occupancy_warn).select("asset_ref")
+    few = lambda df: df.join(low, "asset_ref", "left_semi")
+    return empty_summary(few(sprites), few(atlases)).select("asset_ref", "n", "area", "largest", "share", F.lit("info").alias("severity"))
 
 
 def dispersion(sprites: DataFrame, atlases: DataFrame) -> DataFrame:

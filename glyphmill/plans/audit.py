@@ -60,6 +60,7 @@ def inputs(files: DataFrame) -> Inputs:
     s = s.withColumn("nth", F.row_number().over(Window.partitionBy("asset_ref", "name").orderBy("path", "sprite_idx"))).filter("nth = 1")
     s = s.withColumn("sprite_idx", (F.row_number().over(Window.partitionBy("asset_ref").orderBy("path", "sprite_idx", "name")) - 1).cast("long"))
     s = written(s.select("asset_ref", "sprite_idx", "name", "x", "y", "w", "h", "rotated", "trimmed", "src_w", "src_h"), "audit-sprites")
+    unparsed = unparsed.unionByName(I.skipped_sheets(files, s.select(F.col("asset_ref").alias("path"))))
     hashes = I.frame_hashes(files, s.select(F.col("asset_ref").alias("path"), "sprite_idx", "x", "y", "w", "h")).withColumnRenamed("path", "asset_ref")
     none = F.lit(None).cast("int")
     sprites = written(s.join(hashes, ["asset_ref", "sprite_idx"], "left").withColumns({"trim_x": none, "trim_y": none, "trim_w": none, "trim_h": none}), "audit-frames")

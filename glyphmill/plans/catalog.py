@@ -22,6 +22,7 @@ from glyphmill.operators import repair_plan as PL
 from glyphmill.operators import runtime as T
 from glyphmill.plans import audit as AU
 from glyphmill.plans import pictures as PX
+from glyphmill.plans import reports as RE
 from glyphmill.plans.adapters import relation, with_relations
 from glyphmill.sources import files
 from glyphmill.sources import manifests as P
@@ -113,17 +114,20 @@ _V = f"v AS (SELECT CASE WHEN {_RES} THEN {_STEM} ELSE concat({_STEM}, '|', CAST
 _add("a03_should_atlas", A.should_atlas, "images", f"WITH small AS (SELECT * FROM images WHERE greatest(w, h) <= 512), {_V.replace('FROM images', 'FROM small')}, n AS (SELECT (SELECT count(*) FROM small) AS files, (SELECT count(*) FROM v) AS logical) SELECT * FROM n WHERE files >= 8 AND logical >= 8")
 _add("a04_atlas_merge", A.atlas_merge, "sprites atlases", f"WITH {OCC}, m AS (SELECT scale, count(*) AS n, sum(used) AS used, sum(area) AS area, min(asset_ref) AS first, max(greatest(decl_w, decl_h))::BIGINT AS side FROM occ WHERE source_kind IN ('texturepacker-hash', 'texturepacker-array', 'pixi') AND occ < 0.5 GROUP BY 1 ORDER BY n DESC, first LIMIT 1), k AS (SELECT *, greatest(1, ceil(used / (side * side * 0.8::DOUBLE)))::BIGINT AS merged FROM m WHERE n >= 2) SELECT scale, n, merged, CASE WHEN area * 4 - merged * side * side * 4 > 0 THEN (area * 4 - merged * side * side * 4)::BIGINT END AS vram_saved FROM k WHERE merged < n")
 _add("a05_missing_images", lambda a, i: A.missing_images(a.join(i.filter("asset_ref % 6 <> 1"), "asset_ref", "left_anti").select(F.col("asset_ref").alias("manifest"), F.col("image_ref").alias("image"))), "atlases atlas_images", "SELECT asset_ref AS manifest, image_ref AS image, 'crit' AS severity FROM atlases WHERE asset_ref NOT IN (SELECT asset_ref FROM atlas_images WHERE asset_ref % 6 <> 1)")
-_add("a06_format_aggregate", lambda i, f, e: A.aggregate_saving(R.format_candidates(i, f, e)), "images features encode_sizes", f"WITH {_FORMAT} SELECT count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved FROM fm")
-_add("a07_metadata_aggregate", lambda i: A.aggregate_saving(R.strippable_metadata(i)), "images", "SELECT count(*) AS n, sum(strippable_bytes)::BIGINT AS disk_saved FROM images WHERE strippable_bytes >= 4096")
-_add("a08_premultiplied_alpha", A.premultiplied_alpha, "features", "SELECT count(*) AS n, 'info' AS severity FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75")
+_add("a06_format_aggregate", lambda i, f, e: A.aggregate_saving(R.format_candidates(i, f, e)), "images features encode_sizes", f"WITH {_FORMAT} SELECT count(*) AS n, sum(disk_saved)::BIGINT AS disk_saved FROM fm HAVING count(*) >= 2 AND sum(disk_saved) > 0")
+_add("a07_metadata_aggregate", lambda i: A.aggregate_saving(R.strippable_metadata(i)), "images", "SELECT count(*) AS n, sum(strippable_bytes)::BIGINT AS disk_saved FROM images WHERE strippable_bytes >= 4096 HAVING count(*) >= 2 AND sum(strippable_bytes) > 0")
+_add("a08_premultiplied_alpha", A.premultiplied_alpha, "features", "SELECT count(*) AS n, 'info' AS severity FROM features WHERE pma_edge_pixels >= 24 AND pma_fringe_frac >= 0.75 HAVING count(*) >= 2")
 _add("a09_variant_groups", A.variant_groups, "images", f"WITH {_V} SELECT * FROM v")
 _add("a10_variants", A.variants, "images", f"WITH {_V} SELECT (sum(vram) - sum(most))::BIGINT AS vram_saved, count(*) AS logical FROM v")
 _add("a11_format_siblings", A.format_siblings, "siblings", f"SELECT {_STEM} AS stem, w, h, count(DISTINCT mime) AS mimes, count(*) AS n FROM siblings WHERE NOT {_RES} GROUP BY 1, 2, 3 HAVING count(DISTINCT mime) > 1")
 _add("a11_redundant_formats", lambda s, i, f, e: A.redundant_formats(s, R.format_candidates(i, f, e)), "siblings images features encode_sizes", f"WITH {_FORMAT}, s AS (SELECT asset_ref, mime, concat({_STEM}, '|', w, 'x', h) AS k FROM siblings WHERE NOT {_RES}) SELECT fm.asset_ref, fm.target_mime FROM fm JOIN s USING (asset_ref) WHERE EXISTS (SELECT 1 FROM s AS o WHERE o.k = s.k AND o.mime = fm.target_mime) AND (SELECT count(DISTINCT mime) FROM s AS o WHERE o.k = s.k) > 1")
 _add("a12_loose_in_atlas", A.loose_in_atlas, "features sprites", "WITH f AS (SELECT frame_hash, asset_ref AS atlas_ref, sprite_idx FROM sprites WHERE frame_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_hash ORDER BY asset_ref, sprite_idx) = 1) SELECT asset_ref, atlas_ref, sprite_idx FROM features JOIN f ON pixel_hash = frame_hash")
-_add("a13_gpu_alignment", A.gpu_alignment, "images", "SELECT count(*) AS n, 'info' AS severity FROM images WHERE w % 4 <> 0 OR h % 4 <> 0")
-_add("a14_mipmap_cost", A.mipmap_cost, "images", "SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4)::BIGINT AS extra FROM images")
+_add("a13_gpu_alignment", A.gpu_alignment, "images", "SELECT count(*) AS n, 'info' AS severity FROM images WHERE w % 4 <> 0 OR h % 4 <> 0 HAVING count(*) >= 2")
+_add("a14_mipmap_cost", A.mipmap_cost, "images", "SELECT sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4)::BIGINT AS extra FROM images HAVING sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4) > 4194304")
 _U = "u AS (SELECT frame_hash, asset_ref, sprite_idx, w * h AS area FROM sprites WHERE frame_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY frame_hash, asset_ref ORDER BY sprite_idx) = 1), o AS (SELECT frame_hash, count(*) AS sheets, min(asset_ref) AS owner FROM u GROUP BY 1 HAVING count(*) > 1)"
+_add("a14_gates_of_few", lambda i: A.mipmap_cost(i.filter("asset_ref % 500 = 1 and w < 700")).select(F.lit("mipmaps").alias("gate")).unionByName(A.gpu_alignment(i.filter("asset_ref = 1")).select(F.lit("alignment").alias("gate"))).unionByName(A.aggregate_saving(R.strippable_metadata(i.filter("asset_ref between 400 and 402"))).select(F.lit("metadata").alias("gate"))).unionByName(A.gpu_alignment(i.filter("asset_ref < 9")).select(F.lit("alignment of several").alias("gate"))), "images",
+"""SELECT 'mipmaps' AS gate FROM images WHERE asset_ref % 500 = 1 AND w < 700 HAVING sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT - w * h * 4) > 4194304 UNION ALL SELECT 'alignment' FROM images WHERE asset_ref = 1 AND (w % 4 <> 0 OR h % 4 <> 0) HAVING count(*) >= 2
+UNION ALL SELECT 'metadata' FROM images WHERE asset_ref BETWEEN 400 AND 402 AND strippable_bytes >= 4096 HAVING count(*) >= 2 AND sum(strippable_bytes) > 0 UNION ALL SELECT 'alignment of several' FROM images WHERE asset_ref < 9 AND (w % 4 <> 0 OR h % 4 <> 0) HAVING count(*) >= 2""")
 _add("a15_cross_atlas_redundancy", A.cross_atlas_redundancy, "sprites atlas_images", f"WITH {_U}, d AS (SELECT asset_ref, count(*) AS dupes, sum(area)::BIGINT AS area FROM u JOIN o USING (frame_hash) WHERE asset_ref <> owner GROUP BY 1), t AS (SELECT asset_ref, sum(w * h)::BIGINT AS total FROM sprites GROUP BY 1) SELECT asset_ref, dupes, area, area * 4 AS vram_saved, floor((byte_size * area)::DOUBLE / total + 0.5)::BIGINT AS disk_saved FROM d JOIN t USING (asset_ref) LEFT JOIN atlas_images USING (asset_ref)")
 _add("a17_merge_shared_atlases", A.merge_shared_atlases, "sprites atlases", "SELECT image_ref, name, asset_ref, sprite_idx FROM sprites JOIN atlases USING (asset_ref) QUALIFY row_number() OVER (PARTITION BY image_ref, name ORDER BY ord, sprite_idx) = 1")
 _add("a18_totals", A.totals, "images", f"WITH {_V} SELECT sum(byte_size)::BIGINT AS disk, sum(w * h * 4)::BIGINT AS vram, sum(ceil((w * h * 4)::DOUBLE * 4.0 / 3)::BIGINT)::BIGINT AS vram_mipmapped, count(*) AS textures, (SELECT sum(most) FROM v)::BIGINT AS loaded, ceil((SELECT sum(most) FROM v) * 4 / 3.0::DOUBLE)::BIGINT AS loaded_mipmapped, (SELECT count(*) FROM v) AS loaded_textures FROM images")
@@ -178,7 +182,8 @@ _add("b12_filter_findings", lambda f: B.filter_findings(f, "warn").select("id",
 _add("k05_sorted_findings", lambda f: B.sorted_findings(f), "found", "SELECT * FROM found")
 _add("u01_triage", lambda f: B.triage(f, f.select("asset_ref").distinct()), "found", "SELECT count(*) FILTER (WHERE severity = 'crit') AS crit, count(*) FILTER (WHERE severity = 'warn') AS warn, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'ok') AS ok, (SELECT count(*) FROM (SELECT asset_ref FROM found GROUP BY 1 HAVING count(*) FILTER (WHERE severity <> 'ok') = 0)) AS clean FROM found")
 _add("u02_worst_per_asset", B.worst_per_asset, "found", f"SELECT asset_ref, id, rule, severity FROM found QUALIFY row_number() OVER (PARTITION BY asset_ref ORDER BY {_RANK}, id) = 1")
-_add("u03_loose_dominated", B.loose_dominated, "found images", "WITH s AS (SELECT count(*) FILTER (WHERE loose)::DOUBLE / count(*) AS share FROM images) SELECT rule, count(*) AS n, any_value(share) AS share FROM found, s WHERE share >= 0.5 AND rule IN ('dimensions-npot', 'format') AND severity <> 'crit' GROUP BY 1")
+_add("u03_loose_dominated", lambda f, i: B.loose_dominated(f, i.withColumn("loose", F.col("loose") | (F.col("asset_ref") % 3 == 0)), small=3000), "found images", """WITH i AS (SELECT asset_ref, loose OR asset_ref % 3 = 0 AS loose, greatest(w, h) <= 3000 AS small FROM images), s AS (SELECT count(*) FILTER (WHERE loose AND small)::DOUBLE / count(*) AS share, count(*) FILTER (WHERE loose AND small) AS k FROM i)
+SELECT asset_ref, id, rule, share FROM found, s WHERE share >= 0.5 AND k >= 8 AND rule IN ('dimensions-npot', 'format') AND severity <> 'crit' AND asset_ref IN (SELECT asset_ref FROM i WHERE loose)""")
 _add("u04_budget_model", lambda i: B.budget_model(A.totals(i), 256 << 20), "images", f"WITH {_V}, l AS (SELECT sum(most)::BIGINT AS loaded FROM v) SELECT loaded, 268435456::BIGINT AS \"limit\", floor(loaded * 1000.0::DOUBLE / 268435456 + 0.5) / 10 AS pct, loaded > 268435456 AS over, greatest(268435456 - loaded, 0) AS left FROM l".replace("AS left FROM", 'AS "left" FROM'))
 _add("u07_rule_rollup", B.rule_rollup, "ruled", """WITH f AS (SELECT *, CASE WHEN rule IN ('integrity-missing-image', 'dimension-mismatch', 'bleeding', 'icc-non-srgb', 'premultiplied-alpha', 'dimensions-npot', 'dimensions-oversize') THEN 'integrity'
 WHEN rule IN ('variants', 'gpu-compression-alignment', 'mipmap-cost', 'font-glyph-page') THEN 'vram' WHEN rule IN ('occupancy', 'wasted-regions', 'trim-margin', 'excessive-gutter', 'spine-unreferenced-regions', 'interior-transparency', 'should-atlas', 'atlas-merge', 'repack-opportunity') THEN 'packing'
@@ -484,6 +489,15 @@ _add("s07_parsed_sheets", lambda s, a: P.sheets(AU.sheet_texts(s, a).select("pat
 SELECT concat('sheets/', asset_ref, '.json') AS path, name, x, y, w, h, src_w, decl_w AS page_w, rotated, trimmed, concat(image_ref, '.png') AS page FROM f WHERE x + w <= decl_w AND y + h <= decl_h""")
 
 
+def _placed(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
+    """Frames on their page, one of each name, as emitters of manifests take them."""
+    from pyspark.sql import Window
+
+    s = sprites.join(atlases.select("asset_ref", "image_ref", "decl_w", "decl_h"), "asset_ref").filter("x + w <= decl_w and y + h <= decl_h")
+    s = s.withColumn("nth", F.row_number().over(Window.partitionBy("asset_ref", "name").orderBy("sprite_idx"))).filter("nth = 1")
+    return s.select("asset_ref", "name", "x", "y", "w", "h", "rotated", "trimmed", "src_w", "src_h", F.col("trim_x").alias("off_x"), F.col("trim_y").alias("off_y"), F.concat("image_ref", F.lit(".png")).alias("page"), F.col("decl_w").alias("page_w"), F.col("decl_h").alias("page_h"))
+
+
 def _audit(sprites: DataFrame, atlases: DataFrame, pictures: DataFrame) -> DataFrame:
     """Sheets and pictures written as files, read back and audited: findings by rule and severity. Every sixth picture is a sheet's page."""
     page = pictures.withColumn("path", F.concat(F.lit("sheets/img"), F.expr("cast(red * 7 % 500 as string)"), F.lit(".png"))).groupBy("path").agg(*[F.min(c).alias(c) for c in pictures.columns if c != "path"])
@@ -491,6 +505,8 @@ def _audit(sprites: DataFrame, atlases: DataFrame, pictures: DataFrame) -> DataF
     return found.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("disk_saved").alias("disk_saved"), F.sum("vram_saved").alias("vram_saved"))
 
 
+_add("k09_emitted_manifests", lambda s, a: P.sheets(RE.sheet_manifests(_placed(s, a)).select(F.concat(F.lit("k"), F.col("asset_ref").cast("string")).alias("path"), F.col("manifest").alias("text"))).filter("error is null").select("asset_ref", "name", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "src_w", "src_h")], "rotated", "trimmed"), "sprites atlases", """WITH f AS (SELECT s.*, decl_w, decl_h FROM sprites s JOIN atlases USING (asset_ref) WHERE x + w <= decl_w AND y + h <= decl_h QUALIFY row_number() OVER (PARTITION BY asset_ref, name ORDER BY sprite_idx) = 1) SELECT concat('k', asset_ref) AS asset_ref, name, x, y, w, h, src_w, src_h, rotated, trimmed FROM f""")
+_add("k09_emitted_atlas_texts", lambda s, a: P.atlas_texts(RE.atlas_texts(_placed(s, a)).select(F.concat(F.lit("k"), F.col("asset_ref").cast("string")).alias("path"), "text")).filter("error is null").select("asset_ref", "name", *[F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h", "src_w", "src_h")], "rotated"), "sprites atlases", """WITH f AS (SELECT s.*, decl_w, decl_h FROM sprites s JOIN atlases USING (asset_ref) WHERE x + w <= decl_w AND y + h <= decl_h QUALIFY row_number() OVER (PARTITION BY asset_ref, name ORDER BY sprite_idx) = 1) SELECT concat('k', asset_ref) AS asset_ref, name, x, y, w, h, src_w, src_h, rotated FROM f""")
 _add("audit_of_files", _audit, "sprites atlases pictures")
 _add("x06_sprite_meshes", lambda p: MS.sprite_meshes(PX.drawn(p), p.select("path", F.lit(0).cast("long").alias("sprite_idx"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))).select("path", F.to_json("vertices").alias("vertices"), F.size("triangles").alias("triangles")), "pictures", """WITH p AS (SELECT path, CASE WHEN ground > 0 THEN 0 ELSE from_x END AS x, CASE WHEN ground > 0 THEN 0 ELSE from_y END AS y, CASE WHEN ground > 0 THEN w ELSE box_w END AS bw, CASE WHEN ground > 0 THEN h ELSE box_h END AS bh, ground > 0 AS whole FROM pictures)
 SELECT path, CASE WHEN NOT whole THEN concat('[[', x, ',', y, '],[', x + bw, ',', y, '],[', x + bw, ',', y + bh, '],[', x, ',', y + bh, ']]') END AS vertices, CASE WHEN NOT whole THEN 2 END AS triangles FROM p""")

@@ -44,13 +44,33 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return s.withColumn("frames", F.when(F.col("frames").isNull(), F.raise_error(F.lit("a session has no frames"))).otherwise(F.col("frames")))
 
 
+def _frames(placed: DataFrame) -> DataFrame:
+    """placed with all columns that emitters read; frames are as placed, so a turned one's own sides are swapped back."""
+    has = set(placed.columns)
+    col = lambda name, other: F.col(name) if name in has else other
+    turned = F.coalesce(col("rotated", F.lit(False)), F.lit(False))
+    own_w, own_h = F.when(turned, F.col("h")).otherwise(F.col("w")), F.when(turned, F.col("w")).otherwise(F.col("h"))
+    trimmed = F.coalesce(col("trimmed", F.lit(False)), F.lit(False))
+    return placed.select("asset_ref", "page", "page_w", "page_h", "name", "x", "y", own_w.alias("own_w"), own_h.alias("own_h"), turned.alias("turned"), trimmed.alias("cut"), F.coalesce(col("src_w", own_w), own_w).alias("from_w"), F.coalesce(col("src_h", own_h), own_h).alias("from_h"), F.coalesce(col("off_x", F.lit(0)), F.lit(0)).alias("at_x"), F.coalesce(col("off_y", F.lit(0)), F.lit(0)).alias("at_y"))
+
+
 def sheet_manifests(placed: DataFrame) -> DataFrame:
-    """placed: asset_ref, name, x, y, w, h, page, page_w, page_h. A manifest for each sheet as JSON, frames in name order."""
-    frame = F.struct(F.struct("x", "y", "w", "h").alias("frame"), F.lit(False).alias("rotated"), F.lit(False).alias("trimmed"))
-    entries = F.array_sort(F.collect_list(F.struct("name", frame.alias("body"))))
-    g = placed.groupBy("asset_ref", "page", "page_w", "page_h").agg(entries.alias("e"))
-    body = F.struct(F.map_from_entries("e").alias("frames"), F.struct(F.col("page").alias("image"), F.struct(F.col("page_w").alias("w"), F.col("page_h").alias("h")).alias("size")).alias("meta"))
-    return g.select("asset_ref", F.to_json(body).alias("manifest"))
+    """placed: asset_ref, name, x, y, w, h, page, page_w, page_h, and where there are such rotated, trimmed, src_w, src_h, off_x, off_y. A manifest for each sheet as
+    JSON, frames in name order; a trimmed frame says where in its source it lies."""
+    box = lambda x, y, w, h: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(w).alias("w"), F.col(h).alias("h"))
+    body = F.struct(box("x", "y", "own_w", "own_h").alias("frame"), F.col("turned").alias("rotated"), F.col("cut").alias("trimmed"), F.when(F.col("cut"), box("at_x", "at_y", "own_w", "own_h")).alias("spriteSourceSize"), F.struct(F.col("from_w").alias("w"), F.col("from_h").alias("h")).alias("sourceSize"))
+    g = _frames(placed).groupBy("asset_ref", "page", "page_w", "page_h").agg(F.array_sort(F.collect_list(F.struct("name", body.alias("body")))).alias("e"))
+    doc = F.struct(F.map_from_entries("e").alias("frames"), F.struct(F.col("page").alias("image"), F.struct(F.col("page_w").alias("w"), F.col("page_h").alias("h")).alias("size")).alias("meta"))
+    return g.select("asset_ref", F.to_json(doc).alias("manifest"))
+
+
+def atlas_texts(placed: DataFrame) -> DataFrame:
+    """placed: as for sheet_manifests, offsets from the bottom. asset_ref, text: a page of an .atlas text for each sheet, regions in name order."""
+    num = lambda *names: F.concat_ws(", ", *[F.col(n).cast("string") for n in names])
+    line = F.concat_ws("\n", "name", F.concat(F.lit("  rotate: "), F.when(F.col("turned"), "90").otherwise("0")), F.concat(F.lit("  xy: "), num("x", "y")), F.concat(F.lit("  size: "), num("own_w", "own_h")), F.concat(F.lit("  orig: "), num("from_w", "from_h")), F.concat(F.lit("  offset: "), num("at_x", "at_y")), F.lit("  index: -1"))
+    g = _frames(placed).groupBy("asset_ref", "page", "page_w", "page_h").agg(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("e"))
+    head = F.concat("page", F.lit("\nsize: "), F.col("page_w").cast("string"), F.lit(","), F.col("page_h").cast("string"), F.lit("\nformat: RGBA8888\nfilter: Linear,Linear\nrepeat: none\n"))
+    return g.select("asset_ref", F.concat(head, F.array_join(F.transform("e", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
 def resolved_profiles(refs: DataFrame, overrides: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -310,6 +310,20 @@ def frame_hashes(files: DataFrame, sprites: DataFrame, most_sprites: int = 4096,
     return files.select("path", "content").join(rects, "path").mapInPandas(run, "path string, sprite_idx long, frame_hash string")
 
 
+def skipped_sheets(files: DataFrame, sprites: DataFrame, most_sprites: int = 4096, most_pixels: int = 25_165_824) -> DataFrame:
+    """path, name (null), error: sheets whose frames aren't hashed, since they have too many of them or too many pixels. Only headers are read."""
+
+    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            info = [image_info(data) for data in pdf["content"]]
+            yield pd.DataFrame({"path": pdf["path"], "pixels": pd.array([i[1] * i[2] if i else None for i in info], "Int64")})
+
+    n = sprites.groupBy("path").count()
+    j = files.select("path", "content").join(n.select("path"), "path", "left_semi").mapInPandas(size, "path string, pixels long").join(n, "path")
+    why = F.when(F.col("count") > most_sprites, "too many frames").when(F.col("pixels") > most_pixels, "too many pixels")
+    return j.select("path", F.lit(None).cast("string").alias("name"), why.alias("error")).filter("error is not null")
+
+
 _FEATURES = "content_hash string, pixel_hash string, icc_bytes long, icc_srgb boolean, icc_label string, pma_edge_pixels long, pma_fringe_frac double, hf_energy double, path string, mime string, w int, h int, byte_size long, strippable_bytes long, d_hash string, solid boolean, opaque boolean, mean_r double, mean_g double, mean_b double, upscale_depth int, bbox_w int, bbox_h int, interior_transparent long, binary_alpha boolean, opaque_count long, content_class string, holes array<array<int>>"
 
 

@@ -71,6 +71,8 @@ def test_frame_hashes(spark):
     same = hashlib.sha256(px[:16, :16].tobytes()).hexdigest()
     assert got[("a.png", 0)] == got[("a.png", 1)] == same and set(got) == {("a.png", 0), ("a.png", 1), ("a.png", 5)}
     assert images.frame_hashes(f, s, most_sprites=5).count() == 0
+    assert {(r.path, r.error) for r in images.skipped_sheets(f, s, most_sprites=5).collect()} == {("a.png", "too many frames"), ("b.png", "too many frames")}
+    assert [(r.path, r.error) for r in images.skipped_sheets(f, s, most_pixels=100).collect()] == [("a.png", "too many pixels")] and images.skipped_sheets(f, s).count() == 0
 
 
 def test_pixel_columns_of_a_file(spark):
