@@ -7,6 +7,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from glyphmill.llm import rans
 from glyphmill.llm.common import open_store, prefix_hash, range_hash, release, shared_path, slices, text_bytes, text_or_empty, written
 
 END_ID = 0
-#: Distinct pieces that a worker remembers.
-PIECES = 100_000
+#: Distinct pieces that a worker remembers, over all of its tasks; beyond, it forgets those that came up once.
+PIECES = 400_000
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -48,8 +49,21 @@ class PieceEncoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
+        self.hits = np.zeros(1 << 14, np.int32)
         self.used = 0
 
+    def forget(self) -> None:
+        """Keep the pieces that came up in several slices since the last time; all go if these are too many as well."""
+        stay = self.hits[: len(self.known)] > 1
+        if 2 * int(stay.sum()) > PIECES:
+            return self.clear()
+        at = np.flatnonzero(stay)
+        size = self.size[at]
+        ids = self.ids[np.arange(size.sum()) + np.repeat(self.first[at] - np.cumsum(size) + size, size)]
+        names = [h for h, k in zip(self.known, stay.tolist(), strict=True) if k]  # in order of their places
+        self.clear()
+        self._keep(names, ids, size)
+
     def _learn(self, names: list[int], pieces: list[str]) -> None:
         got: list = [None] * len(pieces)
         rest = []
@@ -62,12 +76,14 @@ class PieceEncoder:
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             got[i] = e.ids
         size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
+        self._keep(names, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
+
+    def _keep(self, names: list[int], flat: np.ndarray, size: np.ndarray) -> None:
         n = len(self.known)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(size) > len(self.size):
-            self.size, self.first = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.first, np.zeros_like(self.first)])
+            self.size, self.first, self.hits = (np.concatenate([a, np.zeros_like(a)]) for a in (self.size, self.first, self.hits))
         self.ids[self.used : self.used + len(flat)] = flat
         self.size[n : n + len(size)] = size
         self.first[n : n + len(size)] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -115,11 +131,13 @@ class PieceEncoder:
         spelled, spans = text_bytes(coded.dictionary)
         names = range_hash(prefix_hash(spelled), spans[:-1], spans[1:]).tolist()
         if len(self.known) > PIECES:
-            self.clear()
-        fresh = [i for i, h in enumerate(names) if h not in self.known]
-        if fresh:
-            self._learn([names[i] for i in fresh], coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False).tolist())
-        place = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+            self.forget()
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        if (fresh := np.flatnonzero(place < 0)).size:
+            place[fresh] = len(self.known) + np.arange(len(fresh))
+            self._learn([names[i] for i in fresh.tolist()], coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False).tolist())
+        self.hits[place] += 1
+        place = place[coded.indices.to_numpy()]
         size = self.size[place]
         ends = np.cumsum(size)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[place] - ends + size, size)]
@@ -175,7 +193,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "te
             rows.append((part, seq, path, len(sizes), len(ids), len(data)))
             held, n, seq = [], 0, seq + 1
 
-        for b in slices(batches, "text", 1 << 19):
+        for b in slices(batches, "text", 1 << 20):
             ids, sizes = with_end(*enc.encode(b.column(1)))
             held.append((ids, sizes, b.column(0).to_pylist()))
             n += len(ids)
@@ -183,7 +201,6 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, text: str = "te
                 flush()
         if held:
             flush()
-        enc.clear()
         release()
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "path", "n_docs", "n_tokens", "bytes"])
 
