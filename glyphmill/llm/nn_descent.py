@@ -222,11 +222,12 @@ def neighbour_graph(nodes: DataFrame, k: int = DEGREE, rounds: int = ROUNDS, set
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, open_: int = OPEN, most_hops: int = 30) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, open_: int = OPEN) -> DataFrame:
     """Greedy graph search. queries: q, start (a node), f. Returns q, other, score: the beam's nodes, the start among them.
 
     A hop joins the nodes that queries open with those nodes' neighbours and their vectors; each query then keeps its
-    `beam` best. It ends as every query has opened all of its beam; a node is opened once for a query.
+    `beam` best. It ends as every query has opened all of its beam; a node is opened once for a query, since a beam only gets
+    better and what left it doesn't come back.
     """
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -245,7 +246,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
 
     hop_rows = queries.select("q", "f", F.col("start").alias("node"))
     state = None  # q, other, score, opened
-    for _ in range(most_hops):
+    while True:
         got = hop_rows.join(lists, "node").select("q", "f", "near").mapInArrow(score, "node long, other long, score float").select(F.col("node").alias("q"), "other", "score", F.lit(False).alias("opened"))
         if state is None:
             own = queries.select("q", F.col("start").alias("other"), F.lit(float("inf")).cast("float").alias("score"), F.lit(True).alias("opened"))

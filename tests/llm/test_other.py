@@ -168,3 +168,27 @@ def test_rows_that_share_an_id_meet_the_target(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
     words = lambda rows: sum(len((r.text or "").split()) for r in rows)
     assert words(mixing.take_mix(df).collect()) == sum(r.taken for r in got)
+
+
+def test_extra_columns_don_t_clash(spark, pages, docs):
+    from pyspark.sql import functions as F
+
+    from glyphmill.llm import quality
+
+    names = ("node", "other", "score", "rank", "q", "start", "f", "v", "near", "path", "digest", "key", "record_type", "payload", "size", "held_out", "predicted", "label", "features")
+    more = {c: F.lit(c) for c in names}
+    v = spark.createDataFrame(vectors(200), SCHEMA)
+    plain = sorted(map(str, nn_descent.nearest(v, lambda i: i % 20 == 0).collect()))
+    assert sorted(map(str, nn_descent.nearest(v.withColumns(more), lambda i: i % 20 == 0).collect())) == plain
+    assert warc.archive_and_read(pages.withColumns(more)).count() == pages.count()
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(18)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    a, b = quality.score(docs, model), quality.score(docs.withColumns(more), quality.train(docs.withColumns(more), labels.withColumns({"text": F.lit("x"), "fold": F.lit("x")})))
+    assert sorted(map(str, b.collect())) == sorted(map(str, a.collect())) and a.count() == docs.count()
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "http://a.example.com/x", "small"), (1, "http://a.example.com/x", "small"), (2, "http://a.example.com/x", "é" * 900), (2, "http://a.example.com/x", "é" * 900)]
+    got = warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 4 and {r.record_type for r in got if r.page_id == 1} == {"response"}
