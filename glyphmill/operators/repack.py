@@ -104,7 +104,7 @@ def repack(sprites: DataFrame, atlases: DataFrame, groups: DataFrame | None = No
 
     if groups is None:
         groups = atlases.select(F.col("asset_ref").alias("group"), "asset_ref", F.lit(0).cast("long").alias("ord"))
-    items = repack_items(sprites, groups, least)
+    items = written(repack_items(sprites, groups, least), "repack-items")
     placed = written(place_items(items, **options), "placed")
     return repack_totals(items, placed, atlases, groups)
 
