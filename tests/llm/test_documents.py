@@ -464,8 +464,8 @@ def test_whole_texts_score_as_ppm_by_the_book(docs, rows):
                 continue
             total, kinds = sum(left.values()), len(left)
             if s[j] in left:
-                return math.log10(p * left[s[j]] / (total + kinds))
-            p *= kinds / (total + kinds)
+                return math.log10(p * (2 * left[s[j]] - 1) / (2 * total))
+            p *= kinds / (2 * total)
             out |= set(left)
         return math.log10(p / (ppm.ALPHABET - len(out)))
 
