@@ -20,6 +20,7 @@ from glyphmill.operators import packing as X
 from glyphmill.operators import repack as RP
 from glyphmill.operators import repair_plan as PL
 from glyphmill.operators import runtime as T
+from glyphmill.operators import sheet_output as SO
 from glyphmill.plans import audit as AU
 from glyphmill.plans import pictures as PX
 from glyphmill.plans import reports as RE
@@ -489,6 +490,25 @@ _add("s07_parsed_sheets", lambda s, a: P.sheets(AU.sheet_texts(s, a).select("pat
 SELECT concat('sheets/', asset_ref, '.json') AS path, name, x, y, w, h, src_w, decl_w AS page_w, rotated, trimmed, concat(image_ref, '.png') AS page FROM f WHERE x + w <= decl_w AND y + h <= decl_h""")
 
 
+def _loose_regions(sprites: DataFrame) -> DataFrame:
+    r = sprites.groupBy((F.col("asset_ref") % 700).alias("g"), "name").agg(F.min(F.struct("asset_ref", "sprite_idx", "src_w", "src_h", "trim_x", "trim_y", "trim_w", "trim_h")).alias("r"))
+    return r.select(F.concat(F.lit("folder:dir/g"), F.col("g").cast("string")).alias("group"), (F.col("g") % 3 == 0).alias("skeleton"), "name", F.col("r.asset_ref").alias("ref"), *[f"r.{c}" for c in ("src_w", "src_h", "trim_x", "trim_y", "trim_w", "trim_h")])
+
+
+_add("x08_loose_items", lambda s: SO.loose_items(_loose_regions(s)), "sprites", """WITH r AS (SELECT asset_ref % 700 AS g, name, min({'a': asset_ref, 'i': sprite_idx, 'sw': src_w, 'sh': src_h, 'x': trim_x, 'y': trim_y, 'w': trim_w, 'h': trim_h}) AS r FROM sprites GROUP BY ALL),
+t AS (SELECT *, r.w IS NOT NULL AND (r.w <> r.sw OR r.h <> r.sh) AS cut FROM r) SELECT concat('folder:dir/g', g) AS "group", g % 3 = 0 AS skeleton, name, r.a AS ref, r.sw AS src_w, r.sh AS src_h, CASE WHEN r.w IS NOT NULL THEN r.w ELSE r.sw END AS pack_w, CASE WHEN r.w IS NOT NULL THEN r.h ELSE r.sh END AS pack_h,
+cut AS trimmed, CASE WHEN cut THEN r.x END AS off_x, CASE WHEN cut THEN CASE WHEN g % 3 = 0 THEN r.sh - r.y - r.h ELSE r.y END END AS off_y FROM t""")
+_add("x08_pack_loose", lambda s: SO.pack_loose(_loose_regions(s)), "sprites")
+_BLIT = "SELECT asset_ref * 100 + sprite_idx AS id, x AS from_x, y AS from_y, w AS from_w, h AS from_h, x, y, w, h, 300 AS page_w, 280 AS page_h, rotated AS turned, sprite_idx % 5 = 4 AS clipped FROM sprites"
+_add("f22_extrusions", lambda s: SO.extrusions(s.selectExpr("asset_ref * 100 + sprite_idx as id", "x as from_x", "y as from_y", "w as from_w", "h as from_h", "x", "y", "w", "h", "300 as page_w", "280 as page_h", "rotated as turned", "sprite_idx % 5 = 4 as clipped"), 5), "sprites", f"""WITH b AS ({_BLIT}), p AS (SELECT id, page_w, page_h, t.* FROM b, LATERAL (VALUES ('top', x, y, w, 1, x, y - 5, w, 5), ('bottom', x, y + h - 1, w, 1, x, y + h, w, 5), ('left', x, y, 1, h, x - 5, y, 5, h), ('right', x + w - 1, y, 1, h, x + w, y, 5, h),
+('tl', x, y, 1, 1, x - 5, y - 5, 5, 5), ('tr', x + w - 1, y, 1, 1, x + w, y - 5, 5, 5), ('bl', x, y + h - 1, 1, 1, x - 5, y + h, 5, 5), ('br', x + w - 1, y + h - 1, 1, 1, x + w, y + h, 5, 5)) AS t(kind, sx, sy, sw, sh, dx, dy, dw, dh) WHERE NOT turned AND NOT clipped),
+q AS (SELECT *, greatest(0, dx) AS x0, greatest(0, dy) AS y0, least(page_w, dx + dw) AS x1, least(page_h, dy + dh) AS y1 FROM p), f AS (SELECT *, (x0 - dx) / dw::DOUBLE AS l, (y0 - dy) / dh::DOUBLE AS t, (dx + dw - x1) / dw::DOUBLE AS r, (dy + dh - y1) / dh::DOUBLE AS m FROM q WHERE x1 > x0 AND y1 > y0)
+SELECT id, kind, (sx + floor(sw * l + 0.5))::BIGINT AS src_x, (sy + floor(sh * t + 0.5))::BIGINT AS src_y, greatest(1, sw - floor(sw * (l + r) + 0.5))::BIGINT AS src_w, greatest(1, sh - floor(sh * (t + m) + 0.5))::BIGINT AS src_h, x0::BIGINT AS dst_x, y0::BIGINT AS dst_y, (x1 - x0)::BIGINT AS dst_w, (y1 - y0)::BIGINT AS dst_h FROM f""")
+_add("x15_page_formats", lambda i: i.select("asset_ref", SO.forced_format(F.col("asset_ref") % 7 == 0, F.col("asset_ref") % 5 > 0, F.col("asset_ref") % 11 == 0, F.col("asset_ref") % 13 == 0, F.col("mime"), F.lit("image/webp")).alias("f"), SO.page_target(F.col("asset_ref") % 3 == 0, F.col("asset_ref") % 2 == 0, F.expr("slice(array('image/avif', 'image/webp'), 1, cast(asset_ref % 4 % 3 as int))"), F.col("loose"), F.lit("image/jpeg")).alias("t")).select("asset_ref", "f.force", "f.reason", "t.kind", "t.mime", "t.more"), "images", """WITH i AS (SELECT *, CASE WHEN asset_ref % 7 = 0 THEN 'another operation has the sheet' WHEN asset_ref % 5 = 0 THEN 'its manifest isn''t there' WHEN asset_ref % 11 = 0 THEN 'a skeleton''s atlas of several pages' WHEN asset_ref % 13 = 0 THEN 'pages stay of one format' END AS reason, asset_ref % 4 % 3 AS k,
+CASE WHEN asset_ref % 3 = 0 AND asset_ref % 2 = 1 THEN 'png' WHEN asset_ref % 4 % 3 > 0 THEN 'profile' WHEN asset_ref % 3 > 0 AND loose THEN 'webp-lossless' ELSE 'legacy' END AS kind FROM images)
+SELECT asset_ref, reason IS NULL AND mime <> 'image/webp' AS force, reason, kind, CASE kind WHEN 'png' THEN 'image/png' WHEN 'profile' THEN 'image/avif' WHEN 'webp-lossless' THEN 'image/webp' ELSE 'image/jpeg' END AS mime, kind = 'profile' AND k > 1 AS more FROM i""")
+
+
 def _placed(sprites: DataFrame, atlases: DataFrame) -> DataFrame:
     """Frames on their page, one of each name, as emitters of manifests take them."""
     from pyspark.sql import Window

@@ -133,3 +133,32 @@ def test_scaled_frames_stay_on_the_sheet(spark):
     a = spark.createDataFrame([(1, 101, 101)], "asset_ref long, decl_w long, decl_h long")
     got = X.scale_atlas(spark.createDataFrame([frame(0, 51, 1, 50, 100)], FRAME), a, 0.5).first()
     assert (got.sheet_w, got.x, got.y, got.w, got.h) == (51, 25, 50, 26, 1)
+
+
+def test_loose_images_pack_without_turns(spark):
+    from glyphmill.operators import sheet_output as SO
+
+    region = "group string, skeleton boolean, name string, ref string, src_w long, src_h long, trim_x long, trim_y long, trim_w long, trim_h long"
+    r = random.Random(2)
+    rows = [("folder:ui", False, f"n{i:02d}", f"ui/n{i}.png", w := r.randint(5, 60), h := r.randint(5, 60), *((1, 2, w - 3, h - 4) if i % 3 else (None,) * 4)) for i in range(40)] + [("skeleton:sk", True, "a", "sk/a.png", 20, 30, 2, 3, 10, 12), ("skeleton:sk", True, "b", "sk/b.png", 9, 9, 0, 0, 9, 9)]
+    out = {(x.group, x.name): x for x in SO.pack_loose(spark.createDataFrame(rows, region), padding=1, most=128).collect()}
+    assert len(out) == len(rows)
+    a = out["skeleton:sk", "a"]
+    assert (a.pack_w, a.pack_h, a.trimmed, a.off_x, a.off_y, a.page_name) == (10, 12, True, 2, 15, "sk.webp") and not out["skeleton:sk", "b"].trimmed
+    ui = [x for k, x in out.items() if k[0] == "folder:ui"]
+    assert {x.page for x in ui} == set(range(max(x.page for x in ui) + 1)) and {x.page_name for x in ui if x.page == 1} <= {"ui_1.webp"}
+    boxes = [(x.page, x.x, x.y, x.x + x.pack_w, x.y + x.pack_h) for x in ui]
+    assert not any(p[0] == q[0] and p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4] for k, p in enumerate(boxes) for q in boxes[:k])
+    whole = SO.pack_loose(spark.createDataFrame(rows, region), trim=False).filter("name = 'a'").first()
+    assert (whole.pack_w, whole.trimmed, whole.off_x) == (20, False, None)
+
+
+def test_strips_around_a_frame(spark):
+    from glyphmill.operators import sheet_output as SO
+
+    blits = [(1, 10, 20, 8, 6, 50, 60, 8, 6, 256, 256, False, False), (2, 0, 0, 8, 6, 0, 0, 8, 6, 256, 256, False, False), (3, 0, 0, 8, 6, 9, 9, 8, 6, 256, 256, True, False)]
+    df = spark.createDataFrame(blits, "id long, from_x long, from_y long, from_w long, from_h long, x long, y long, w long, h long, page_w long, page_h long, turned boolean, clipped boolean")
+    got = {(r.id, r.kind): tuple(r)[2:] for r in SO.extrusions(df, 2).collect()}
+    assert {k for i, k in got if i == 1} == {"top", "bottom", "left", "right", "tl", "tr", "bl", "br"} and {k for i, k in got if i == 2} == {"bottom", "right", "br"} and not any(i == 3 for i, _ in got)
+    assert got[1, "top"] == (10, 20, 8, 1, 50, 58, 8, 2) and got[1, "br"] == (17, 25, 1, 1, 58, 66, 2, 2) and got[2, "right"] == (7, 0, 1, 6, 8, 0, 2, 6)
+    assert SO.extrusions(df, 0).count() == 0
