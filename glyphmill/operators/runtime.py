@@ -157,3 +157,28 @@ def compare_sessions(before: DataFrame, after: DataFrame, least: int = 120, skew
     r = j.select("session", verdict.alias("verdict"), "skew", F.inline(F.array(*rows))).filter("before is not null and after is not null")
     change = F.col("after") - F.col("before")
     return r.select("session", "verdict", "skew", "place", "key", "class", "before", "after", round1(change).alias("delta"), round1(F.try_divide(change, F.col("before")) * 100).alias("pct"), "comparable")
+
+
+def probe_canvas(sprites: DataFrame, most: int = 4096) -> DataFrame:
+    """asset_ref, canvas_w, canvas_h: the box that holds all frames of a sheet, at least 1 and at most so large: what a trial rendering needs so that no frame is off it."""
+    side = lambda at, size: F.greatest(F.lit(1), F.least(F.lit(most), F.max(F.col(at) + F.col(size)))).cast("long")
+    return sprites.groupBy("asset_ref").agg(side("x", "w").alias("canvas_w"), side("y", "h").alias("canvas_h"))
+
+
+def probe_readings(counters: DataFrame, sheets: DataFrame) -> DataFrame:
+    """counters: as `gl_calls.session_counters` gives them. sheets: session, asset_ref, which sheet a session rendered. asset_ref, draw_calls, vram, live_textures, uploads, compiles."""
+    c = counters.select("session", (F.col("draw_elements") + F.col("draw_arrays")).alias("draw_calls"), "vram", "live_textures", "uploads", "compiles")
+    return sheets.join(c, "session").drop("session")
+
+
+def attach_probe(metrics: DataFrame, readings: DataFrame) -> DataFrame:
+    """metrics: asset_ref, vram (declared) and others. With the readings as probe_ columns, null where a sheet wasn't measured. What is declared and what is measured stand side by
+    side; their difference is no saving."""
+    names = [c for c in readings.columns if c != "asset_ref"]
+    return metrics.join(readings.select("asset_ref", *[F.col(c).alias(f"probe_{c}") for c in names]), "asset_ref", "left")
+
+
+def probe_totals(attached: DataFrame) -> DataFrame:
+    """draw_calls, vram, sheets, declared_vram over the sheets that were measured, so that both sums are of the same ones; no row without any."""
+    p = attached.filter("probe_vram is not null").agg(F.sum("probe_draw_calls").alias("draw_calls"), F.sum("probe_vram").alias("vram"), F.count("*").alias("sheets"), F.sum("vram").alias("declared_vram"))
+    return p.filter("sheets > 0")

@@ -239,6 +239,22 @@ coalesce(sum(compiles) FILTER (WHERE play), 0)::BIGINT AS compiles, floor(coales
 floor(coalesce(max(dt) FILTER (WHERE timed AND k = least(n - 1, n * 95 // 100)), 0) * 10 + 0.5) / 10 AS frame_ms_p95, coalesce(max(dt) FILTER (WHERE timed AND k = least(n - 1, n // 2)), 0) AS median FROM {w}k GROUP BY 1),
 {w}h AS (SELECT session, count(*) FILTER (WHERE play AND median > 0 AND dt > 2 * median AND dt > 16) AS hitches FROM {w} JOIN {w}r USING (session) GROUP BY 1),
 {w}f AS (SELECT session, frames, duration, draws_avg, draws_max, binds_avg, binds_max, redundant, uploads, compiles, fps, frame_ms, frame_ms_p95, least(hitches, 20)::BIGINT AS hitches FROM {w}r JOIN {w}h USING (session))"""
+def _probed(images: DataFrame, calls: DataFrame) -> DataFrame:
+    sheets = calls.select("session").distinct().withColumn("asset_ref", F.col("session") * 3)
+    metrics = images.select("asset_ref", S.vram_bytes(F.col("w"), F.col("h")).alias("vram"))
+    return T.attach_probe(metrics, T.probe_readings(GL.session_counters(calls), sheets))
+
+
+_PROBED = f"""{GL_SQL}, rd AS (SELECT session * 3 AS asset_ref, count(*) FILTER (WHERE call IN ('drawElements', 'drawElementsInstanced', 'drawArrays', 'drawArraysInstanced')) AS draw_calls, any_value(coalesce(lv.vram, 0)) AS vram, any_value(coalesce(live_textures, 0)) AS live_textures,
+count(*) FILTER (WHERE call IN ('texImage2D', 'texSubImage2D', 'compressedTexImage2D', 'compressedTexSubImage2D')) AS uploads, count(*) FILTER (WHERE call = 'compileShader') AS compiles FROM gl_calls LEFT JOIN lv USING (session) GROUP BY session),
+pb AS (SELECT i.asset_ref, w * h * 4 AS vram, rd.draw_calls AS probe_draw_calls, rd.vram AS probe_vram, rd.live_textures AS probe_live_textures, rd.uploads AS probe_uploads, rd.compiles AS probe_compiles FROM images i LEFT JOIN rd USING (asset_ref))"""
+_add("t13_probed_metrics", _probed, "images gl_calls", f"WITH {_PROBED} SELECT * FROM pb")
+_add("t13_probe_totals", lambda i, c: T.probe_totals(_probed(i, c)), "images gl_calls", f"WITH {_PROBED} SELECT sum(probe_draw_calls)::BIGINT AS draw_calls, sum(probe_vram)::BIGINT AS vram, count(*) AS sheets, sum(vram)::BIGINT AS declared_vram FROM pb WHERE probe_vram IS NOT NULL HAVING count(*) > 0")
+_add("t07_live_vram", lambda i, c: T.live_vram(A.totals(i.filter("asset_ref = 1")), GL.live_textures(c)), "images gl_calls", f"WITH {GL_SQL}, t AS (SELECT w * h * 4 AS loaded FROM images WHERE asset_ref = 1) SELECT session, vram, loaded FROM lv, t WHERE vram > 1.5 * loaded")
+_add("t13_probe_canvas", T.probe_canvas, "sprites", "SELECT asset_ref, greatest(1, least(4096, max(x + w)))::BIGINT AS canvas_w, greatest(1, least(4096, max(y + h)))::BIGINT AS canvas_h FROM sprites GROUP BY 1")
+_add("t01_frame_counters", GL.frame_counters, "gl_calls", """WITH f AS (SELECT *, count(*) FILTER (WHERE call = 'frame') OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS n, max(CASE WHEN call = 'frame' THEN seq END) OVER (PARTITION BY session) AS ended,
+CASE call WHEN 'useProgram' THEN 'p' ELSE concat('t', target) END AS k FROM gl_calls), g AS (SELECT *, call IN ('bindTexture', 'useProgram') AND lag(seq) OVER w IS NOT NULL AND object IS NOT DISTINCT FROM lag(object) OVER w AS again FROM f WINDOW w AS (PARTITION BY session, call IN ('bindTexture', 'useProgram'), k ORDER BY seq))
+SELECT session, n AS seq, count(*) FILTER (WHERE call IN ('drawElements', 'drawElementsInstanced', 'drawArrays', 'drawArraysInstanced')) AS draws, count(*) FILTER (WHERE call = 'bindTexture') AS binds, count(*) FILTER (WHERE again) AS redundant, count(*) FILTER (WHERE call IN ('texImage2D', 'texSubImage2D', 'compressedTexImage2D', 'compressedTexSubImage2D')) AS uploads, count(*) FILTER (WHERE call = 'compileShader') AS compiles FROM g WHERE seq <= ended GROUP BY 1, 2""")
 _add("t04_runtime_reports", lambda f, g: T.runtime_reports(f, GL.live_textures(g)), "frames gl_calls", f"WITH {GL_SQL}, {_REPORT.format(w='wf', src='frames')} SELECT wff.*, coalesce(live_textures, 0) AS live_textures, coalesce(vram, 0) AS vram, coalesce(compressed, 0) AS compressed FROM wff LEFT JOIN lv USING (session)")
 
 
