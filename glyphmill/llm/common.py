@@ -3,6 +3,7 @@ sees, bounded batches, and numpy kernels over the UTF-8 bytes of Arrow batches."
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,9 +21,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir, as a URI without
-    trailing slash. Where it is unset (tests), a temporary folder is set."""
+    trailing slash. Where it is unset, a temporary folder is set on one machine (tests), and a cluster is an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_glyphmill_shared", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="glyphmill-shared-")
         sc._glyphmill_shared = root
