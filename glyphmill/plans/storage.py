@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_glyphmill_shared", None)
-    if not root and not sc.master.startswith("local"):
+    if not root and not re.fullmatch(r"local(\[.*\])?", sc.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not root:  # tests
         root = "file://" + tempfile.mkdtemp(prefix="glyphmill-shared-")
