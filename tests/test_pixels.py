@@ -143,3 +143,18 @@ def test_tiers():
     for bad in ([], [(0.5, "_a")], [(1, "_a"), (2, "_b")], [(1, "_a"), (0, "_b")], [(1, "_a"), (math.nan, "_b")], [(1, "_a"), (0.5, "_A")], [(1, "_webp")]):
         with pytest.raises(ValueError):
             validate_tiers(bad)
+
+
+def test_pictures_are_dealt_to_all_tasks(spark):
+    from glyphmill.plans.pictures import drawn
+
+    one = spark.createDataFrame([(f"p{i}.png", 20, 16, 1, 2, 3, 0, 255, i % 9, 2, 4, 3) for i in range(60)], "path string, w int, h int, red int, green int, blue int, ground int, alpha int, from_x int, from_y int, box_w int, box_h int").coalesce(1)
+    parts = drawn(one).select("path", F.spark_partition_id().alias("p")).collect()
+    assert len(parts) == 60 and len({r.p for r in parts}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_visible_box():
+    a = np.zeros((5, 7), np.uint8)
+    assert images.visible_box(a) is None
+    a[1, 2] = a[3, 4] = 1
+    assert images.visible_box(a) == (2, 1, 5, 4)
