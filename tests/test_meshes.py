@@ -130,3 +130,14 @@ def test_corners_nest_into_fewer_bytes(spark):
     got = {r.group: r for r in M.nest_groups(spark.createDataFrame(rows, "group string, item long, w long, h long, rows array<string>"), padding=0).collect()}
     assert got["g"].wins and got["g"].bytes_nested < got["g"].bytes_rect
     assert not got["full"].wins and got["full"].bytes_nested == got["full"].bytes_rect == 64 * 64 * 4
+
+
+def test_a_full_box_is_a_mesh_without_a_walk(monkeypatch):
+    def fails(mask):
+        raise AssertionError("walked")
+
+    monkeypatch.setattr(M, "outline", fails)
+    a = np.zeros((40, 50), np.uint8)
+    a[3:7, 5:12] = 255
+    assert M.mesh_of(a) == ([[5, 3], [12, 3], [12, 7], [5, 7]], [[3, 0, 1], [1, 2, 3]])
+    assert M.mesh_of(np.full((4, 4), 9, np.uint8)) is None
