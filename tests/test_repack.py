@@ -162,3 +162,28 @@ def test_strips_around_a_frame(spark):
     assert {k for i, k in got if i == 1} == {"top", "bottom", "left", "right", "tl", "tr", "bl", "br"} and {k for i, k in got if i == 2} == {"bottom", "right", "br"} and not any(i == 3 for i, _ in got)
     assert got[1, "top"] == (10, 20, 8, 1, 50, 58, 8, 2) and got[1, "br"] == (17, 25, 1, 1, 58, 66, 2, 2) and got[2, "right"] == (7, 0, 1, 6, 8, 0, 2, 6)
     assert SO.extrusions(df, 0).count() == 0
+
+
+def test_items_are_dealt_once(spark):
+    """Frames of a group are looked at beside each other: one shuffle by group after the join, whatever is asked of them."""
+    import re
+
+    cols = "asset_ref long, sprite_idx long, x long, y long, w long, h long, rotated boolean, trimmed boolean, frame_hash string, src_w long, src_h long, off_x long, off_y long, trim_x long, trim_y long, trim_w long, trim_h long"
+    s = spark.createDataFrame([(1, 0, 0, 0, 9, 9, False, False, "a", 9, 9, None, None, 0, 0, 9, 9), (2, 0, 5, 0, 9, 9, False, False, "a", 9, 9, None, None, 0, 0, 9, 9), (2, 1, 0, 0, 8, 8, False, False, None, 8, 8, None, None, 1, 1, 5, 5)], cols)
+    g = spark.createDataFrame([(7, 1, 1), (7, 2, 2)], "group long, asset_ref long, ord long")
+    items = RP.repack_items(s, g)
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(group", plan)) == 1 and len(re.findall("Exchange hashpartitioning", plan)) <= 3
+    assert sorted((r.asset_ref, r.sprite_idx, r.rep_ref, r.rep_idx, r.pack_w, r.tight, r.places) for r in items.collect()) == [(1, 0, 1, 0, 9, False, 2), (2, 0, 1, 0, 9, False, 2), (2, 1, 2, 1, 5, True, 1)]
+
+
+def test_few_and_many_free_rectangles_give_the_same_places(monkeypatch):
+    import numpy as np
+
+    from glyphmill.operators import maxrects as MR
+
+    rng = np.random.default_rng(4)
+    sets = [[tuple(map(int, v)) for v in rng.integers(1, 120, (n, 2))] for n in (1, 3, 5, 8, 40, 70)]
+    few = [MR.pack_items(v, 512, 1, 0, turn) for v in sets for turn in (False, True)]
+    monkeypatch.setattr(MR, "LOOP", 0)
+    assert few == [MR.pack_items(v, 512, 1, 0, turn) for v in sets for turn in (False, True)]
