@@ -173,3 +173,13 @@ def test_a_sheet_of_any_size_is_packed(spark):
     s = sprites(spark, [(0, 0, 3 + i % 7, 2 + i % 5) for i in range(2100)])
     assert X.packed_sizes(X.pack(s)).first().n == 2100
     assert X.pack(s, most_sprites=X.MAX_SPRITES).count() == 0
+
+
+def test_empty_rectangles_move_boxes_and_not_cells(spark):
+    from glyphmill.operators import geometry
+
+    s = spark.createDataFrame([("a", 0, 0, 16, 16), ("a", 40, -8, 500, 16), ("b", 500, 0, 9, 9), ("b", 0, 0, 0, 9)], "asset_ref string, x long, y long, w long, h long")
+    a = spark.createDataFrame([("a", 64, 32), ("b", 20, 9), ("c", 0, 9)], "asset_ref string, decl_w long, decl_h long")
+    e = geometry.empty_rectangles(s, a)
+    assert "Generate" not in e._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in e.collect()) == [("a", 0, 16, 64, 16), ("a", 16, 0, 24, 8), ("a", 16, 8, 48, 8), ("b", 0, 0, 20, 9)]
