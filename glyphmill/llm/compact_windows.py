@@ -277,9 +277,8 @@ def links_among(rows: DataFrame, wide: int, similarity: float) -> DataFrame:
 def links_of_many(contexts: DataFrame, wide: int, similarity: float, piece: int) -> DataFrame:
     """The links among contexts (v, e, n, ..) of min-hashes that have very many.
 
-    First all meet the same few of them, about PIVOTS drawn by hash, block by block; whom one of these reaches needn't meet the other
-    reached, since that one connects them. Those that none reaches meet, with the reached, all with which they share a mark that
-    tells: marks that several drawn ones hold are common, and tell little. Many that share one are compared by pairs of blocks.
+    First all meet the same few of them, about PIVOTS drawn by hash, block by block. The largest set that these links connect needn't
+    meet among itself. All others, whether a drawn one reaches them or not, meet all with which they share a mark that tells: marks that several drawn ones hold are common, and tell little. Many that share one are compared by pairs of blocks.
     """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +303,11 @@ def links_of_many(contexts: DataFrame, wide: int, similarity: float, piece: int)
     every = contexts.filter(drawn).withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("key", F.xxhash64("v", "to")).withColumn("side", F.lit(1)).drop("to")
     met = written(by_key(own.unionByName(every)).mapInArrow(meet, LINKS + ", telling array<long>"), "found-first")
     near = met.filter("telling is null").drop("telling")
-    reached = near.select("v", "e").unionByName(near.select("v", F.col("lead_e").alias("e"))).distinct().withColumn("reached", F.lit(1))
+    node = lambda e: F.xxhash64("v", e)
+    joined = connected_components(near.select(node("e").alias("a"), node("lead_e").alias("b")))
+    members = near.select("v", "e").unionByName(near.select("v", F.col("lead_e").alias("e"))).distinct().withColumn("node", node("e")).join(joined, "node").select("v", "e", "label")
+    largest = members.groupBy("v", "label").count().groupBy("v").agg(F.max_by("label", F.struct("count", "label")).alias("label"))
+    reached = members.join(largest, ["v", "label"]).select("v", "e", F.lit(1).alias("reached"))
     offers = met.filter("telling is not null").select("v", "e", F.explode("telling").alias("mark")).join(reached, ["v", "e"], "left")
     sizes = offers.groupBy("v", "mark").agg(F.count_if(F.col("reached").isNull()).alias("n_open"), F.count("reached").alias("n_reached")).filter("n_open > 0 and n_open + n_reached > 1")
     left = offers.join(sizes, ["v", "mark"]).withColumn("o", F.ceil(F.col("n_open") / piece).cast("int")).withColumn("r", F.ceil(F.col("n_reached") / piece).cast("int"))

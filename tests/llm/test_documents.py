@@ -542,3 +542,27 @@ def test_extra_columns_with_clashing_names(clashing, docs, bench):
     assert token_output.encode_documents(clashing, tokenizer_path()).count() == n
     assert ppm.score(clashing).count() == n
     assert jaccard_join.one_of_each(clashing).count() == jaccard_join.one_of_each(docs).count()
+
+
+def test_contexts_that_different_drawn_ones_reach_meet(spark, monkeypatch):
+    """a and b are alike; the drawn ones, p and q, reach one each and aren't alike themselves."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from glyphmill.llm import compact_windows as CW
+
+    wide, other = 10, np.random.default_rng(2).permutation(np.arange(1, 60_000)).astype(np.uint32)
+    a = other[:19].copy()
+    b = a.copy()
+    b[9] = other[20]  # every passage holds this place, and one of the next two
+    p, q = a.copy(), b.copy()
+    p[[8, 10]], q[[8, 10]] = other[30:32], other[40:42]
+    like = lambda x, y: bool(CW.alike(x[None], y[None], wide, 0.8)[0][0])
+    assert like(a, b) and like(a, p) and like(b, q) and not (like(p, q) or like(p, b) or like(q, a))
+    monkeypatch.setattr(CW, "PIVOTS", 1)
+    drawn = spark.range(200).select("id", (F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(4)) < 1).alias("drawn")).collect()
+    yes, no = [r.id for r in drawn if r.drawn], [r.id for r in drawn if not r.drawn]
+    rows = [(5, e, 4, 10 + i, 9, bytearray(m.tobytes())) for i, (e, m) in enumerate([(no[0], a), (no[1], b), (yes[0], p), (yes[1], q)])]
+    contexts = CW.written(spark.createDataFrame(rows, "v long, e long, n long, t long, pos int, marks binary"), "contexts-of-test")
+    found = {frozenset((r.e, r.lead_e)) for r in CW.links_of_many(contexts, wide, 0.8, 3).collect()}
+    assert frozenset((no[0], no[1])) in found and {frozenset((no[0], yes[0])), frozenset((no[1], yes[1]))} <= found
