@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from glyphmill.operators import asset_rules as R
 from glyphmill.operators import near_duplicates as ND
@@ -98,6 +99,27 @@ def test_no_near_pair_is_missed(spark, monkeypatch, few):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [2, 3, 4])
+def test_near_pairs_by_sets_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(ND, "FEW", {2: 1 << 18, 3: 32, 4: 1}[size])
+    r = random.Random(size)
+    hashes = {0, 2**64 - 1, 2**63, 7}
+    for _ in range(20):
+        hashes.add(a := r.getrandbits(64))
+        hashes |= {a ^ sum(1 << b for b in r.sample(range(64), k)) for k in (1, 2, 3, 4, 5, 6, 6, 6, 7, 8)}
+    rows = [(f"{h:016x}",) for h in hashes] + [("ABCDEF0123456789",), ("abcdef0123456789",), ("",), (None,)]
+    got = sorted(map(tuple, ND.similar_candidates(spark.createDataFrame(rows, "d_hash string")).collect()))
+    names = sorted(x for (x,) in rows if x)
+    assert got == [(a, b, d) for i, a in enumerate(names) for b in names[i + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 6]
+
+
+def test_meetings_by_chance_follow_the_number_of_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ND, "FEW", 1 << 10)
+    values = spark.range(8000).select(F.xxhash64("id").alias("value"))
+    met, masks = ND.meetings(values, 8000, 6)
+    assert len(masks) == 9 and met.count() < 8000 * 2
+
+
 def test_no_images_no_groups(spark):
     assert ND.duplicate_similar(spark.createDataFrame([], FEATURES)).count() == 0
     assert ND.duplicate_similar(spark.createDataFrame([("a", 1, "c", None, None, None, None)], FEATURES)).count() == 0
