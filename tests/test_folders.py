@@ -33,6 +33,20 @@ def test_skeletons(spark):
     assert [r.region for r in gone.collect()] == ["items/sword"]
 
 
+def test_a_skeleton_is_parsed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    files = spark.createDataFrame([(str(i), json.dumps(MODERN)) for i in range(20)], "path string, text string").mapInPandas(seen, "path string, text string")
+    totals, gone = SK.verify_skeletons(SK.attachments(files), spark.createDataFrame([("1", "head")], "path string, name string"))
+    assert totals.filter("verified = 1").count() == 1 and gone.count() == 219 and read.value == 20
+    assert SK.required_regions(SK.attachments(files)).count() == 220 and read.value == 40
+
+
 def test_history(spark, tmp_path):
     rows = [("a", 10, "disk", 5.0), ("a", 10, "vram", 0.0), ("a", 20, "disk", 7.0), ("a", 20, "vram", 3.0), ("b", 15, "disk", 1.0), ("a", 30, "disk", 7.0), ("a", 30, "new", 1.0)]
     m = spark.createDataFrame(rows, "label string, at_ms long, metric string, value double")
