@@ -7,7 +7,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,8 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}  # a piece's 64-bit hash: its place
+        self.names = np.zeros(0, np.uint64)  # the pieces' 64-bit hashes, sorted, and the place of each
+        self.at = np.zeros(0, np.int32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
@@ -54,17 +55,19 @@ class PieceEncoder:
 
     def forget(self) -> None:
         """Keep the pieces that came up in several slices since the last time; all go if these are too many as well."""
-        stay = self.hits[: len(self.known)] > 1
+        stay = self.hits[: len(self.names)] > 1
         if 2 * int(stay.sum()) > PIECES:
             return self.clear()
         at = np.flatnonzero(stay)
         size = self.size[at]
         ids = self.ids[np.arange(size.sum()) + np.repeat(self.first[at] - np.cumsum(size) + size, size)]
-        names = [h for h, k in zip(self.known, stay.tolist(), strict=True) if k]  # in order of their places
+        names = np.empty_like(self.names)
+        names[self.at] = self.names
+        names = names[at]
         self.clear()
         self._keep(names, ids, size)
 
-    def _learn(self, names: list[int], pieces: list[str]) -> None:
+    def _learn(self, names: np.ndarray, pieces: list[str]) -> None:
         got: list = [None] * len(pieces)
         rest = []
         for i, p in enumerate(pieces):
@@ -78,8 +81,8 @@ class PieceEncoder:
         size = np.fromiter(map(len, got), np.int64, len(got))
         self._keep(names, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
 
-    def _keep(self, names: list[int], flat: np.ndarray, size: np.ndarray) -> None:
-        n = len(self.known)
+    def _keep(self, names: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.names)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(size) > len(self.size):
@@ -88,7 +91,16 @@ class PieceEncoder:
         self.size[n : n + len(size)] = size
         self.first[n : n + len(size)] = self.used + np.concatenate([[0], np.cumsum(size)[:-1]])
         self.used += len(flat)
-        self.known.update(zip(names, range(n, n + len(names)), strict=True))
+        by = np.argsort(names)
+        where = np.searchsorted(self.names, names[by])
+        self.names, self.at = np.insert(self.names, where, names[by]), np.insert(self.at, where, (n + by).astype(np.int32))
+
+    def _places(self, names: np.ndarray) -> np.ndarray:
+        """The place of each piece, -1 where it isn't known."""
+        if not len(self.names):
+            return np.full(len(names), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[i] == names, self.at[i].astype(np.int64), -1)
 
     def _part(self, raw: np.ndarray, off: np.ndarray, is_row: np.ndarray) -> None:
         """Cut around added tokens, and not inside them. Of those that begin at one place the longest counts."""
@@ -129,13 +141,13 @@ class PieceEncoder:
         pieces = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()
         spelled, spans = text_bytes(coded.dictionary)
-        names = range_hash(prefix_hash(spelled), spans[:-1], spans[1:]).tolist()
-        if len(self.known) > PIECES:
+        names = range_hash(prefix_hash(spelled), spans[:-1], spans[1:])
+        if len(self.names) > PIECES:
             self.forget()
-        place = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        place = self._places(names)
         if (fresh := np.flatnonzero(place < 0)).size:
-            place[fresh] = len(self.known) + np.arange(len(fresh))
-            self._learn([names[i] for i in fresh.tolist()], coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False).tolist())
+            place[fresh] = len(self.names) + np.arange(len(fresh))
+            self._learn(names[fresh], coded.dictionary.take(pa.array(fresh)).to_numpy(zero_copy_only=False).tolist())
         self.hits[place] += 1
         place = place[coded.indices.to_numpy()]
         size = self.size[place]

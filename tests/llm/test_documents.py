@@ -422,6 +422,34 @@ def test_flat_trees_equal_walking_them():
     assert ((f.score(x) > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.8
 
 
+def test_idle_workers_hold_little(monkeypatch):
+    """Known pieces are a few arrays, and tables of powers go as a task ends."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    common.prefix_hash(np.ones(1 << 20, np.uint8))
+    common.release()
+    assert not common._POWERS
+    enc = token_output.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"w{(i * 7919 + j) % 60000}" for j in range(2000)) for i in range(60)]
+    want = [enc.encode(pa.array([t])) for t in texts[:3]]
+    common.release()
+    tracemalloc.start()
+    try:
+        for t in texts:
+            enc.encode(pa.array([t]))
+        common.release()
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(enc.names) > 40_000 and held < 60 * len(enc.names)
+    monkeypatch.setattr(token_output, "PIECES", 1000)
+    for t, (ids, size) in zip(texts[:3], want, strict=True):
+        got = enc.encode(pa.array([t]))
+        assert np.array_equal(got[0], ids) and np.array_equal(got[1], size) and np.array_equal(ids, enc.tokenizer.encode(t, add_special_tokens=False).ids)
+
+
 # ---------------------------------------------------------------- 10
 
 
