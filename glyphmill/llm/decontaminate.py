@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import ALNUM_WORDS, Words, slices, text_or_empty
+from glyphmill.llm.common import ALNUM_WORDS, Words, release, slices, text_or_empty
 
 WINDOW = 10
 #: Words of items that one automaton, and so one broadcast, holds at most (and one item more).
@@ -188,6 +188,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, max_i
                 [b.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(sums, pa.string()), pa.array(n_hit > 0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"],
             )
+        release()
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     return d.mapInArrow(scan, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
@@ -248,6 +249,7 @@ def remove_contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW
             if chars is not None:
                 cols[chars] = pa.array(sizes, b.column(chars).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep))
+        release()
 
     if chars_type is not None and chars_type.typeName() not in ("long", "integer"):
         raise TypeError("n_chars must be a whole number")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Words, mix, shingle_hashes, slices, text_or_empty, written
+from glyphmill.llm.common import Words, mix, release, shingle_hashes, slices, text_or_empty, written
 from glyphmill.llm.components import connected_components
 
 COORDINATES = 64
@@ -168,6 +168,7 @@ def _classes(docs: DataFrame, similarity: float, recall: float = 0.999, width: i
         for b in slices(batches, "text"):
             name, size, mins = sets_of(b.column(1), width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name.view(np.int64)), pa.array(size), pa.array([m.tobytes() for m in mins], pa.binary()), b.column(2)], names=["doc_id", "sid", "n", "mins", "row"])
+        release()
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), _row(doc_id, text).alias("row"))
     measured = written(d.mapInArrow(measure, "doc_id long, sid long, n long, mins binary, row long"), "measured")
@@ -197,11 +198,13 @@ def chosen_path_edges(sets: DataFrame, similarity: float, recall: float, limit:
             for s in seeds:
                 rows, path = children(np.full(len(sid), s), mins, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(sid[rows])], names=["path", "sid"])
+        release()
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, path = children(b.column(0).to_numpy().view(np.uint64), _mins(b.column(2)), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column(1).take(pa.array(rows))], names=["path", "sid"])
+        release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -214,6 +217,7 @@ def chosen_path_edges(sets: DataFrame, similarity: float, recall: float, limit:
             rest = t.slice(cut)
         if rest is not None and rest.num_rows:
             yield edges_of(rest)
+        release()
 
     def edges_of(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -253,6 +257,7 @@ def verified_links(docs: DataFrame, sets: DataFrame, groups: DataFrame, similari
             h = [np.unique(h[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
             name = [int(mix(np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x))], np.uint64)).view(np.int64)[0]) for x in h]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(name, pa.int64()), pa.array([x.tobytes() for x in h], pa.binary())], names=["row", "sid", "shingles"])
+        release()
 
     # each set is asked of one row, whether that has a doc_id or not
     wanted = members.select("row").distinct()

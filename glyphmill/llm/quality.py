@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import SPACE_WORDS, Words, id_fold, slices, text_bytes, text_or_empty
+from glyphmill.llm.common import SPACE_WORDS, Words, id_fold, release, slices, text_bytes, text_or_empty
 
 #: Labelled rows that the trees learn from at most: those first by a hash of their id.
 MAX_TRAINING_ROWS = 15_000
@@ -194,6 +194,7 @@ def with_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
             x = statistics(b.column(1))
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), flat)], names=["doc_id", "stats"])
+        release()
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     return d.mapInArrow(measure, "doc_id long, stats array<float>")
@@ -234,6 +235,7 @@ def score(docs: DataFrame, forest: str, folds: int = 5, limit: float = 0.3, text
         for b in slices(batches, "text", 2 << 20):
             s = f.score(statistics(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= limit).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        release()
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), (id_fold(doc_id, folds) == 0).alias("held_out"))
     return d.mapInArrow(apply, "doc_id long, held_out boolean, score double, predicted int")
@@ -248,5 +250,6 @@ def keep_good(docs: DataFrame, forest: str, limit: float = 0.3, text: str = "tex
         f = Forest.load(trees.value)
         for b in slices(batches, text, 2 << 20):
             yield b.filter(pa.array(f.score(statistics(b.column(at))) >= limit))
+        release()
 
     return docs.mapInArrow(choose, docs.schema)
