@@ -6,9 +6,9 @@ symbols, counted over all training text. It is coded in the longest context that
 (method D) to the next shorter one, from which the symbols of the longer context are excluded (their sets are nested, so what is
 left is a number of each context). A document's class is coded first, so its score is a probability of the text.
 
-Contexts end at the word, so a word's cost depends on the class and the word alone: Spark counts and scores each distinct pair once and
-sends the figures back to the chunks of documents that hold it. The trie is a table of (context, symbol) pairs in Spark, of one
-order at every size.
+Contexts run over the whole stream, across words (`across`), or end at the word; there a word's cost depends on the class and the word
+alone. Either way Spark counts and scores each distinct pair once and sends the figures back to the chunks of documents that hold it.
+The trie is a table of (context, symbol) pairs in Spark, of one order at every size.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ ALPHABET = 258
 SUFFIX = 1 << 18
 #: Classes with start marks of their own; the others, with the fewest documents, share one.
 MAX_CLASSES = 200
-#: Bytes of text in a chunk.
+#: Bytes of text in a chunk, and symbols of its texts at once.
 _CHUNK = 8 << 20
+_PIECE = 1 << 20
+#: Symbols of the bytes of spaced texts (`spaced`), from 1 on; 0: no symbol.
+_SYMBOLS = np.arange(1, 257, dtype=np.int64)
+_SYMBOLS[0x20], _SYMBOLS[0x0A] = WORD_END + 1, DOC_END + 1
 
 
 def pairs_of(words: pa.Array, counts: np.ndarray, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +65,54 @@ def pairs_of(words: pa.Array, counts: np.ndarray, classes: np.ndarray, order: in
     return (key << 9) | sym, token, counts[token]
 
 
+def spaced(words: Words) -> np.ndarray:
+    """The bytes of each row's words, a space after each word and a line feed after the row, neither of which is in a word."""
+    size, n = words.ends - words.starts + 1, len(words.off) - 1
+    until = np.concatenate([[0], np.cumsum(size)])
+    blank = until[1:] - 1 + np.repeat(np.arange(n), words.counts())
+    feed = until[words.first[1:]] + np.arange(n)
+    out, letter = np.full(int(until[-1]) + n, 0x20, np.uint8), np.ones(int(until[-1]) + n, bool)
+    letter[blank] = letter[feed] = False
+    out[feed] = 0x0A
+    out[letter] = words.raw[SPACE_WORDS[words.raw]]
+    return out
+
+
+def pairs_of_texts(texts: np.ndarray, classes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of each symbol of spaced texts, their ends included, with its row. Contexts run from the start mark of the class on, across words."""
+    size = np.diff(np.flatnonzero(texts == 0x0A), prepend=-1)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(texts)) + order * (row + 1)  # before each text its start mark, and no symbols before that
+    every = np.zeros(len(texts) + order * len(size), np.int64)
+    every[at] = _SYMBOLS[texts]
+    if order:
+        every[at[np.cumsum(size) - size] - 1] = START + 1 + classes
+    key = every.copy()
+    for i in range(1, order + 1):
+        key[i:] |= every[:-i] << (9 * i)
+    return key[at], row
+
+
+def in_pieces(texts: np.ndarray, most: int = _PIECE) -> Iterator[tuple[slice, slice]]:
+    """Bytes and rows of spaced texts, in pieces of about `most` bytes (a longer text stays whole)."""
+    ends = np.flatnonzero(texts == 0x0A) + 1
+    row = at = 0
+    while row < len(ends):
+        to = max(row + 1, int(np.searchsorted(ends, at + most, side="right")))
+        yield slice(at, int(ends[to - 1])), slice(row, to)
+        row, at = to, int(ends[to - 1])
+
+
+def read_texts(path: str) -> np.ndarray:
+    import zstandard
+
+    store, at = open_store(path)
+    with store.open_input_file(at) as f:
+        body = f.read()
+    with zstandard.ZstdDecompressor().stream_reader(body) as r:
+        return np.frombuffer(r.read(), np.uint8)
+
+
 def end_pairs(order: int) -> np.ndarray:
     """The pair of the end of a document, for each class."""
     return ((START + 1 + np.arange(MAX_CLASSES, dtype=np.int64)) << 9) | (DOC_END + 1) if order else np.full(MAX_CLASSES, DOC_END + 1, np.int64)
@@ -125,10 +177,10 @@ def log_probability(pair: np.ndarray, n: np.ndarray, after_one: np.ndarray, orde
     return out
 
 
-def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, group: str | None) -> DataFrame:
+def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, group: str | None, across: bool = False) -> DataFrame:
     """Documents in chunks, each with its own small dictionary. Rows of a chunk: one with doc_ids, held_out, classes, sizes
-    and the tokens' numbers (`body`), and one for each distinct class and word with its number and its count in training
-    documents."""
+    and files of the tokens' numbers (`body`) and, for contexts across words, of the spaced texts (`texts`); and one for each distinct class and word with
+    its number and its count in training documents."""
     import zstandard
 
     out = shared_path(docs.sparkSession, "chunk-bodies")
@@ -140,13 +192,13 @@ def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, grou
         store, base = open_store(out)
         store.create_dir(base, recursive=True)
         chunk = TaskContext.get().partitionId() << 24
-        names = ["chunk", "number", "class", "word", "n_train", "doc_ids", "held_out", "classes", "sizes", "body"]
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string())
+        names = ["chunk", "number", "class", "word", "n_train", "doc_ids", "held_out", "classes", "sizes", "body", "texts"]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string(), pa.string())
         held: list[tuple] = []
         n_bytes = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, kinds, words, n_train, counts, numbers, ids, outs, classes, sizes = zip(*held, strict=True)
+            keys, kinds, words, n_train, counts, numbers, ids, outs, classes, sizes, texts = zip(*held, strict=True)
             keys, kinds, n_train, counts = map(np.concatenate, (keys, kinds, n_train, counts))
             _, where, number = np.unique(keys, return_index=True, return_inverse=True)
             n = len(where)
@@ -156,10 +208,13 @@ def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, grou
             number, where = rank[number], where[by]
             at = np.cumsum([0, *map(len, words)])
             tokens = np.concatenate([number[a + x] for a, x in zip(at, numbers, strict=False)])
-            name = f"/{chunk}-{uuid.uuid4().hex[:12]}.zst"  # a name of this attempt; the committed row tells which counts
-            with store.open_output_stream(base + name, compression=None) as f:
+            name = f"/{chunk}-{uuid.uuid4().hex[:12]}"  # a name of this attempt; the committed row tells which counts
+            with store.open_output_stream(f"{base}{name}.zst", compression=None) as f:
                 f.write(press.compress(tokens.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes()))
-            head = ([chunk], [None], [None], [None], [None], [[x for i in ids for x in i]], [np.concatenate(outs).tolist()], [np.concatenate(classes).tolist()], [np.concatenate(sizes).tolist()], [out + name])
+            if across:
+                with store.open_output_stream(f"{base}{name}.texts.zst", compression=None) as f:
+                    f.write(press.compress(np.concatenate(texts).tobytes()))
+            head = ([chunk], [None], [None], [None], [None], [[x for i in ids for x in i]], [np.concatenate(outs).tolist()], [np.concatenate(classes).tolist()], [np.concatenate(sizes).tolist()], [f"{out}{name}.zst"], [f"{out}{name}.texts.zst" if across else None])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(head, types, strict=True)], names=names)
             sums = np.bincount(number, n_train, n).astype(np.int64)
             spelled = pa.concat_arrays(words)
@@ -175,7 +230,7 @@ def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, grou
             kind = np.repeat(classes, size)
             keys, where, number = np.unique(mix(words.hash + kind.astype(np.uint64)), return_index=True, return_inverse=True)
             n_train = np.bincount(number[np.repeat(~out_, size)], minlength=len(keys))
-            held.append((keys, kind[where], words.strings(where), n_train, np.bincount(number, minlength=len(keys)), number.astype(np.int32), b.column(0).to_pylist(), out_, classes, size))
+            held.append((keys, kind[where], words.strings(where), n_train, np.bincount(number, minlength=len(keys)), number.astype(np.int32), b.column(0).to_pylist(), out_, classes, size, spaced(words) if across else None))
             n_bytes += len(words.raw)
             if n_bytes >= _CHUNK:
                 yield from flush()
@@ -190,7 +245,7 @@ def chunked(docs: DataFrame, folds: int, fold: int, text: str, doc_id: str, grou
         for i, v in enumerate(largest):
             kind = F.when(value == v, i + 1).otherwise(kind)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), (id_fold(doc_id, folds) == fold).alias("held_out"), kind.cast("int").alias("class"))
-    return written(d.mapInArrow(cut, "chunk long, number int, class int, word string, n_train long, doc_ids array<long>, held_out array<boolean>, classes array<int>, sizes array<long>, body string"), "chunks")
+    return written(d.mapInArrow(cut, "chunk long, number int, class int, word string, n_train long, doc_ids array<long>, held_out array<boolean>, classes array<int>, sizes array<long>, body string, texts string"), "chunks")
 
 
 def pair_counts(words: DataFrame, ends: np.ndarray, order: int) -> DataFrame:
@@ -222,11 +277,43 @@ def pair_counts(words: DataFrame, ends: np.ndarray, order: int) -> DataFrame:
     return words.select("word", "class", "c").mapInArrow(count, "pair long, n long").unionByName(own).groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+def text_pairs(heads: DataFrame, order: int, counted: bool = True) -> DataFrame:
+    """pair, n: the distinct pairs of the chunks' texts (n of a pair met outside of training alone: 0); or, uncounted, chunk, pair: those of each chunk."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk, texts = b.column(0)[i].as_py(), read_texts(b.column(3)[i].as_py())
+                out, classes = (b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                found: tuple[list, list] = ([], [])  # of training texts, and of the others
+                for part, rows in in_pieces(texts):
+                    pair, row = pairs_of_texts(texts[part], classes[rows], order)
+                    held_out = out[rows].astype(bool)[row]
+                    found[0].append(pair[~held_out])
+                    found[1].append(np.unique(pair[held_out]))
+                u, n = np.unique(np.concatenate(found[0]), return_counts=True)
+                new = np.setdiff1d(np.concatenate(found[1]), u)
+                found = None
+                u, n = np.concatenate([u, new]), np.concatenate([n, np.zeros(len(new), np.int64)])
+                for a in range(0, len(u), 50_000):
+                    p = pa.array(u[a : a + 50_000])
+                    yield pa.RecordBatch.from_arrays([p, pa.array(n[a : a + 50_000])], names=["pair", "n"]) if counted else pa.RecordBatch.from_arrays([pa.array(np.full(len(p), chunk)), p], names=["chunk", "pair"])
+        release()
+
+    found = heads.select("chunk", "held_out", "classes", "texts").mapInArrow(find, "pair long, n long" if counted else "chunk long, pair long")
+    return found.groupBy("pair").agg(F.sum("n").alias("n")) if counted else found
+
+
 def model_of(words: DataFrame, ends: np.ndarray, order: int = ORDER) -> DataFrame:
+    """pair, p of the words' pairs and of those of the ends, as `rated`."""
+    return rated(pair_counts(words, ends, order), order)
+
+
+def rated(counts: DataFrame, order: int) -> DataFrame:
     """pair, p: the log10 probability of each pair's symbol after its context. Pairs are dealt by their two last context symbols, so a task has
     the counts of all longer contexts; those after one symbol and after none are a table of bounded size that all tasks get."""
-    spark = words.sparkSession
-    pairs = written(pair_counts(words, ends, order), "pairs")
+    spark = counts.sparkSession
+    pairs = written(counts, "pairs")
     few = pairs.groupBy(F.col("pair").bitwiseAND(SUFFIX - 1).alias("pair")).agg(F.sum("n").alias("n")).toArrow()
     after_one = spark.sparkContext.broadcast(dense(few.column(0).to_numpy(), few.column(1).to_numpy()))
 
@@ -245,13 +332,17 @@ def model_of(words: DataFrame, ends: np.ndarray, order: int = ORDER) -> DataFram
     return written(dealt.mapInArrow(rate, "pair long, p double"), "model", replaces=[pairs])
 
 
+def table_of(model: DataFrame):
+    """The model as two arrays, by pair, for every task."""
+    t = model.toArrow()
+    by = np.argsort(t.column(0).to_numpy())
+    return model.sparkSession.sparkContext.broadcast((t.column(0).to_numpy()[by], t.column(1).to_numpy()[by].astype(np.float64)))
+
+
 def spelled(words: DataFrame, model: DataFrame, order: int, most: int = MAX_PAIRS) -> DataFrame:
     """word, class, c, s: the log10 probability of each word. A model of at most `most` pairs goes to every task; a larger one is joined."""
-    spark = words.sparkSession
     if model.count() <= most:
-        t = model.toArrow()
-        by = np.argsort(t.column(0).to_numpy())
-        table = spark.sparkContext.broadcast((t.column(0).to_numpy()[by], t.column(1).to_numpy()[by].astype(np.float64)))
+        table = table_of(model)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, p = table.value
@@ -276,11 +367,11 @@ def spelled(words: DataFrame, model: DataFrame, order: int, most: int = MAX_PAIR
     return words.withColumn("name", F.xxhash64("word")).join(sums, ["name", "class"]).select("word", "class", F.col("all").alias("c"), "s")
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER, most: int = MAX_PAIRS, text: str = "text", doc_id: str = "doc_id", group: str | None = "lang") -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER, most: int = MAX_PAIRS, text: str = "text", doc_id: str = "doc_id", group: str | None = "lang", across: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens (words and the end), n_known, train_tokens, base_score, score.
 
     score: log10 probability of the class and of all symbols of the text's words and its end, each by the trie of contexts of up to
-    `order` symbols (6 at most). The model and the counts come from all documents outside the fold, each word by its frequency. Null or empty texts are the end alone.
+    `order` symbols (6 at most), across words or within each. The model and the counts come from all documents outside the fold, each word by its frequency. Null or empty texts are the end alone.
     Rows are scored one by one; repeated ones repeat, and each counts in training. group: a column whose values are
     the classes (null counts as empty text; from the 200th class on, by number of documents, classes share one start mark), or None. Equal texts of
     different classes differ by the class's own cost. Without training documents every token is new.
@@ -288,14 +379,14 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER, mo
     import zstandard
 
     spark = docs.sparkSession
-    chunks = chunked(docs, folds, fold, text, doc_id, group)
-    heads = chunks.filter(F.col("body").isNotNull()).select("chunk", "doc_ids", "held_out", "classes", "sizes", "body")
+    chunks = chunked(docs, folds, fold, text, doc_id, group, across)
+    heads = chunks.filter(F.col("body").isNotNull()).select("chunk", "doc_ids", "held_out", "classes", "sizes", "body", "texts")
     entries = chunks.filter(F.col("word").isNotNull()).select("chunk", "number", "class", "word", "n_train")
     # dealt by word once, for the counts of a class and of all classes
     dealt = entries.select("class", "word", "n_train").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     by_class = dealt.groupBy("class", "word").agg(F.sum("n_train").alias("c"))
-    everywhere = written(by_class.groupBy("word").agg(F.sum("c").alias("all"), F.collect_list(F.struct("class", "c")).alias("by")), "everywhere")
-    words = everywhere.select("word", "all", F.explode("by").alias("b")).select("word", "all", "b.class", "b.c")
+    by = [] if across else [F.collect_list(F.struct("class", "c")).alias("by")]
+    everywhere = written(by_class.groupBy("word").agg(F.sum("c").alias("all"), *by), "everywhere")
     texts = heads.select(F.explode(F.arrays_zip("held_out", "classes")).alias("d")).filter(~F.col("d.held_out")).groupBy("d.classes").count()
     n_texts = np.zeros(MAX_CLASSES, np.int64)
     for k, n in texts.collect():
@@ -304,37 +395,60 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER, mo
     distinct, n_words = everywhere.filter(F.col("all") > 0).agg(F.count("*"), F.coalesce(F.sum("all"), F.lit(0))).first()
     distinct += 1 if ends else 0
     total = int(n_words) + ends
-    model = model_of(words, n_texts, order)
     end = np.zeros(MAX_CLASSES)
-    p_end = {r["pair"]: r["p"] for r in model.filter(F.col("pair").isin([int(p) for p in set(end_pairs(order).tolist())])).collect()}
-    end[:] = [p_end[int(p)] for p in end_pairs(order)]
     prior = np.log10((n_texts + 1.0) / (ends + MAX_CLASSES))
-    rated = spelled(words, model, order, most)
-    figures = entries.select("chunk", "number", "class", "word").join(rated, ["class", "word"]).select("chunk", "number", "c", "s")
-    own = ["doc_ids", "held_out", "classes", "sizes", "body"]
+    table = None
+    if across:
+        model = rated(text_pairs(heads, order), order)
+        figures = entries.select("chunk", F.col("number").cast("long"), "word").join(everywhere.select("word", F.col("all").alias("c")), "word").select("chunk", "number", "c", F.lit(0.0).alias("s"))
+        if model.count() <= most:
+            table = table_of(model)
+        else:  # a chunk's pairs come among its figures, by the complements of their numbers, which are negative
+            met = text_pairs(heads, order, counted=False).join(model, "pair")
+            figures = figures.unionByName(met.select("chunk", F.bitwise_not("pair").alias("number"), F.lit(0).cast("long").alias("c"), F.col("p").alias("s")))
+    else:
+        words = everywhere.select("word", "all", F.explode("by").alias("b")).select("word", "all", "b.class", "b.c")
+        model = model_of(words, n_texts, order)
+        p_end = {r["pair"]: r["p"] for r in model.filter(F.col("pair").isin([int(p) for p in set(end_pairs(order).tolist())])).collect()}
+        end[:] = [p_end[int(p)] for p in end_pairs(order)]
+        figures = entries.select("chunk", F.col("number").cast("long"), "class", "word").join(spelled(words, model, order, most), ["class", "word"]).select("chunk", "number", "c", "s")
+    own = ["doc_ids", "held_out", "classes", "sizes", "body", "texts"]
     # a chunk's head and then its figures by number, so that a task holds one batch and the figures of the chunk at hand
     # empty arrays, not nulls: a run of null lists takes time with the square of a batch on its way to Arrow
-    blank = [(F.lit(None).cast("string") if c == "body" else F.array().cast(heads.schema[c].dataType)).alias(c) for c in own]
-    rows = figures.select("*", *blank).unionByName(heads.select("chunk", F.lit(None).cast("int").alias("number"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), *own))
+    blank = [(F.lit(None).cast("string") if c in ("body", "texts") else F.array().cast(heads.schema[c].dataType)).alias(c) for c in own]
+    rows = figures.select("*", *blank).unionByName(heads.select("chunk", F.lit(None).cast("long").alias("number"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("s"), *own))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").sortWithinPartitions("chunk", F.asc_nulls_first("number"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = lambda c: np.log10((c + 1) / (total + distinct + 1))
         head: list = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def whole(path: str, kind: np.ndarray, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
+            texts, out = read_texts(path), np.zeros(len(kind))
+            for part, rows in in_pieces(texts):
+                pair, row = pairs_of_texts(texts[part], kind[rows], order)
+                pair, of = np.unique(pair, return_inverse=True)  # sorted, so that looking up runs through the table in order
+                out[rows] = np.bincount(row, p[np.searchsorted(keys, pair)][of], rows.stop - rows.start)
+            return out
 
         def settle() -> Iterator[pa.RecordBatch]:
-            ids, out, kind, sizes, path = head
+            ids, out, kind, sizes, path, texts = head
             m = int(sizes.sum())
             store, path = open_store(path)
             with store.open_input_file(path) as f:
                 body = f.read()
             number = np.frombuffer(zstandard.ZstdDecompressor().decompress(body, max_output_size=4 * m + 64), np.uint8).reshape(4, m).T.copy().view("<u4").ravel() if m else np.zeros(0, np.int64)
-            c, s = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 2
+            place, c, s = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+            cost = None
+            if across:
+                n = int(np.searchsorted(place, 0))  # pairs come first, the largest ahead
+                cost = whole(texts, kind, *(table.value if table else (~place[:n][::-1], s[:n][::-1])))
+                c, s = c[n:], s[n:]
             row = np.repeat(np.arange(len(sizes)), sizes)
             w = lambda x: np.bincount(row, x[number], len(sizes)) if m else np.zeros(len(sizes))
             known = w((c > 0).astype(float)) + (1 if ends else 0)
-            cols = [ids, out, pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(w(base(c)) + base(ends)), pa.array(w(s) + end[kind] + prior[kind])]
+            cols = [ids, out, pa.array(sizes + 1), pa.array(known.astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(w(base(c)) + base(ends)), pa.array((cost if across else w(s) + end[kind]) + prior[kind])]
             for k in range(0, len(sizes), 10_000):
                 yield pa.RecordBatch.from_arrays([x.slice(k, 10_000) for x in cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -344,8 +458,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER, mo
                 if b > a:  # from a head on, or the rest of the chunk at hand
                     if a in starts:
                         ids, out, kind, sizes = (batch.column(k)[a].values for k in range(4, 8))
-                        head, a = [ids, out, kind.to_numpy(), sizes.to_numpy(), batch.column(8)[a].as_py()], a + 1
-                    held.append((batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False)))
+                        head, a = [ids, out, kind.to_numpy(), sizes.to_numpy(), batch.column(8)[a].as_py(), batch.column(9)[a].as_py()], a + 1
+                    held.append((batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False), batch.column(3).slice(a, b - a).to_numpy(zero_copy_only=False)))
                 if b in starts and head:
                     yield from settle()
                     held = []

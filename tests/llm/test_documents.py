@@ -506,6 +506,44 @@ def test_whole_texts_score_as_ppm_by_the_book(docs, rows):
         assert sorted(((r.doc_id, round(r.score, 6)) for r in ppm.score(docs, most=most).collect()), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("piece", [40, 1 << 20])
+def test_contexts_across_words_score_as_ppm_by_the_book(docs, rows, monkeypatch, piece):
+    monkeypatch.setattr(ppm.in_pieces, "__defaults__", (piece,))
+    order, table, texts, streams = ppm.ORDER, defaultdict(Counter), Counter(), []
+    for i, text, lang, *_ in rows:
+        s = [("start", lang or "")]
+        for w in re.findall(r"[^\x20\x09-\x0D]+", lower(text or "")):
+            s += [*w.encode(), ppm.WORD_END]
+        streams.append((i, lang or "", [*s, ppm.DOC_END]))
+        if fold(i, 7) != 2:
+            texts[lang or ""] += 1
+            s = streams[-1][2]
+            for j in range(1, len(s)):
+                for k in range(min(order, j) + 1):
+                    table[tuple(s[j - k : j])][s[j]] += 1
+
+    def cost(s, j):
+        out, p = set(), 1.0
+        for k in range(min(order, j), -1, -1):
+            left = {a: n for a, n in table.get(tuple(s[j - k : j]), {}).items() if a not in out}
+            if not left:
+                continue
+            if s[j] in left:
+                return math.log10(p * (2 * left[s[j]] - 1) / (2 * sum(left.values())))
+            p *= len(left) / (2 * sum(left.values()))
+            out |= set(left)
+        return math.log10(p / (ppm.ALPHABET - len(out)))
+
+    prior = lambda lang: math.log10((texts[lang] + 1) / (sum(texts.values()) + ppm.MAX_CLASSES))
+    want = [(i, round(prior(lang) + sum(cost(s, j) for j in range(1, len(s))), 6)) for i, lang, s in streams]
+    figures = lambda r: (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6))
+    plain = sorted((str(r.doc_id), *figures(r)) for r in ppm.score(docs).collect())
+    for most in (ppm.MAX_PAIRS, 0):  # in every task, and by a join
+        got = ppm.score(docs, most=most, across=True).collect()
+        assert sorted(((r.doc_id, round(r.score, 6)) for r in got), key=key) == sorted(want, key=key)
+        assert sorted((str(r.doc_id), *figures(r)) for r in got) == plain
+
+
 def test_symbols_after_a_context_add_up_to_one():
     rng = np.random.default_rng(1)
     words = pa.array(["".join(rng.choice(list("abcé"), rng.integers(1, 7))) for _ in range(60)])
