@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import _powers, Words, minimizers, mix, range_hash, release, shingle_hashes, slices, text_or_empty, written
+from glyphmill.llm.common import _powers, Words, minimizers, mix, range_hash, release, shingle_hashes, slices, text_bytes, text_or_empty, written
 from glyphmill.llm.components import connected_components
 from glyphmill.llm.nn_descent import _grouped
 from glyphmill.llm.repeat_removal import among
@@ -34,6 +34,8 @@ PIECE = 400
 PIVOTS = 16
 #: Slots that tell cheaply that two contexts share too few marks to be compared.
 SLOTS = 1 << 9
+#: Pairs of contexts up to which all marks are compared at once.
+FEW_ROWS = 96
 
 
 def compact_windows(h: np.ndarray, first: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,6 +95,18 @@ def contexts_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarr
     return np.where(ok, marks[np.where(ok, at, 0)], kind(0))
 
 
+def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which marks of x the same row of y holds. A few rows are compared all at once; many mark by mark, each along all rows."""
+    if len(x) <= FEW_ROWS:
+        return (x[:, :, None] == y[:, None, :]).any(axis=2) & (x > 0)
+    down, of = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    hit, one = np.zeros(down.shape, bool), np.empty(down.shape, bool)
+    for mark in of:
+        np.equal(down, mark, out=one)
+        hit |= one
+    return hit.T & (x > 0)
+
+
 def alike(a: np.ndarray, b: np.ndarray, wide: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each pair of contexts: whether some passages of `wide` shingles are that similar, and in either the first and the last
     place (n x 2) where a passage begins that holds enough of the other."""
@@ -106,12 +120,6 @@ def alike(a: np.ndarray, b: np.ndarray, wide: int, similarity: float) -> tuple[n
         at, enough = sums.argmax(axis=1), sums >= need
         return sums[np.arange(len(hit)), at], at, np.stack([enough.argmax(axis=1), sums.shape[1] - 1 - enough[:, ::-1].argmax(axis=1)], axis=1)
 
-    def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        hit = np.zeros(x.shape, bool)
-        for j in range(y.shape[1]):
-            hit |= x == y[:, j : j + 1]
-        return hit & (x > 0)
-
     for i in range(0, n, 1000):
         x, y = a[i : i + 1000], b[i : i + 1000]
         most, at, ends = best(within(x, y))
@@ -254,8 +262,8 @@ def links_in(t: pa.Table, wide: int, similarity: float) -> pa.RecordBatch:
 
 
 def marks_in(t: pa.Table, wide: int) -> np.ndarray:
-    raw = b"".join(t.column(4).to_pylist())
-    return np.frombuffer(raw, np.uint32 if len(raw) == t.num_rows * (2 * wide - 1) * 4 else np.uint16).reshape(t.num_rows, -1)
+    raw, _ = text_bytes(t.column(4).combine_chunks())
+    return raw.view(np.uint32 if len(raw) == t.num_rows * (2 * wide - 1) * 4 else np.uint16).reshape(t.num_rows, -1)
 
 
 def by_key(rows: DataFrame) -> DataFrame:

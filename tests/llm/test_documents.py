@@ -558,6 +558,15 @@ def test_symbols_after_a_context_add_up_to_one():
         assert abs((10 ** p[every >> 9 == context]).sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+@pytest.mark.parametrize("n", [0, 1, 96, 97, 1500])
+def test_marks_held_by_another_context(kind, n):
+    rng = np.random.default_rng(n)
+    x, y = rng.integers(0, 150, (n, 91)).astype(kind), rng.integers(0, 150, (n, 46)).astype(kind)
+    want = [[a > 0 and a in set(q.tolist()) for a in p.tolist()] for p, q in zip(x, y, strict=True)]
+    assert compact_windows.within(x, y).tolist() == want and compact_windows.within(y, x).shape == y.shape
+
+
 @pytest.mark.parametrize("piece", [3, 400])
 def test_edited_passages_against_brute_force(spark, piece):
     rng, rows = random.Random(5), []
