@@ -26,8 +26,10 @@ WORDS = 50
 SHINGLE = 5
 FUNCTIONS = 3
 SIMILARITY = 0.8
-#: Bits of the bounded set, a broadcast, of min-hashes that occur more than once.
-BITS = 1 << 22
+#: Windows of one min-hash that are looked at together; more go through piece by piece.
+RUN = 1 << 20
+#: Beyond the end of any text, in shingles.
+FAR = 1 << 30
 #: Contexts of a block; those of one min-hash are compared at once up to this number, and by pairs of blocks beyond.
 PIECE = 400
 #: Contexts of a min-hash with more than a block that all others meet first.
@@ -35,7 +37,9 @@ PIVOTS = 16
 #: Slots that tell cheaply that two contexts share too few marks to be compared.
 SLOTS = 1 << 9
 #: Pairs of contexts up to which all marks are compared at once.
-FEW_ROWS = 96
+FEW_ROWS = 8
+#: Places by which marks are looked up where pairs are more; a power of two.
+PLACES = 1 << 10
 
 
 def compact_windows(h: np.ndarray, first: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +91,66 @@ def windows_of(texts: pa.Array, functions: int, words: int, shingle: int) -> Ite
         yield row, c - first[row], hf[c], mix(range_hash(prefix, lo, hi) + (c - lo).astype(np.uint64))
 
 
+WINDOW = "t long, pos int, v long, e long"
+CLASSED = WINDOW + ", lead int, again boolean"
+
+
+def classed(batches: Iterator[pa.RecordBatch], piece: int, at_least: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """CLASSED of rows (WINDOW) that arrive sorted by v, e, t, pos: the windows whose min-hash v occurs at several places, each place once.
+
+    lead tells the first row of a class (v, e): 1 alone with its min-hash, 2 of up to `piece` classes of it, 3 of more (or of a run of
+    over RUN rows, which isn't held whole); 0 for other rows. again: the class has several places. Rows with a negative pos stand for
+    whole texts and count where they occur twice.
+    """
+    held: list[pa.RecordBatch] = []
+    n, skip, long_, enough = 0, 0, None, at_least
+
+    def told(part: pa.Table, last: bool) -> pa.RecordBatch:
+        """Flags of the rows beyond `skip`, which are whole runs but for a first one that began before, and for the last one unless `last`."""
+        t, pos, v, e = (part.column(i).to_numpy() for i in range(4))
+        new_v = np.concatenate([[True], v[1:] != v[:-1], [True]])
+        new_e = np.concatenate([[True], (v[1:] != v[:-1]) | (e[1:] != e[:-1]), [True]])
+        run = np.cumsum(new_v[:-1]) - 1
+        classes = np.bincount(run, weights=new_e[:-1])
+        if long_ is not None and len(v) and v[0] == long_:
+            classes[0] = piece + 1
+        if not last:
+            classes[-1] = piece + 1
+        lead = np.where(new_e[:-1], np.where(classes == 1, 1, np.where(classes <= piece, 2, 3))[run], 0).astype(np.int32)
+        again = ~new_e[:-1] | ~new_e[1:]
+        keep = np.flatnonzero(again | ~new_v[:-1] | ~new_v[1:])
+        keep = keep[(keep >= skip) & (keep < len(v) - (not last))]
+        part = part.take(pa.array(keep))
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns), pa.array(lead[keep]), pa.array(again[keep])], names=["t", "pos", "v", "e", "lead", "again"])
+
+    def once(part: pa.Table) -> pa.Table:
+        """Without rows that repeat the row before; of a whole text that occurs more often, two rows stay."""
+        x = [part.column(i).to_numpy() for i in range(4)]
+        same = np.concatenate([[False], np.logical_and.reduce([c[1:] == c[:-1] for c in x])]) if part.num_rows else np.zeros(0, bool)
+        more = np.concatenate([[False, False], same[2:] & same[1:-1]])[: len(same)]
+        return part.filter(pa.array(np.where(x[1] < 0, ~more, ~same))) if same.any() else part
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n < enough:
+            continue
+        part = once(pa.Table.from_batches(held).combine_chunks()).combine_chunks()
+        v = part.column(2).to_numpy()
+        cut = int(np.searchsorted(v, v[-1]))
+        if cut > skip:
+            yield told(part.slice(0, cut).combine_chunks(), True)
+            part, skip, long_ = part.slice(cut).combine_chunks(), 0, None
+        if part.num_rows > RUN:  # one min-hash: all but its last row can be told
+            yield told(part, False)
+            long_, skip = v[-1], 1
+            part = part.slice(part.num_rows - 2).combine_chunks()
+        held, n = part.to_batches(), part.num_rows
+        enough = max(at_least, 2 * n)
+    if n:
+        yield told(once(pa.Table.from_batches(held).combine_chunks()).combine_chunks(), True)
+
+
 def contexts_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarray, wide: int, kind: type = np.uint16) -> np.ndarray:
     """16-bit or 32-bit marks of the 2 * wide - 1 shingles around each position. Places outside the text get 0, which is never a shingle's."""
     marks = np.concatenate([(h % np.uint64(np.iinfo(kind).max - 1)).astype(kind) + kind(1), np.zeros(1, kind)])
@@ -96,15 +160,21 @@ def contexts_of(h: np.ndarray, first: np.ndarray, row: np.ndarray, pos: np.ndarr
 
 
 def within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which marks of x the same row of y holds. A few rows are compared all at once; many mark by mark, each along all rows."""
+    """Which marks of x the same row of y holds. A few rows are compared all at once; in many, each mark of x is looked up by its
+    lower bits, and compared with all of y where those lead to another mark."""
     if len(x) <= FEW_ROWS:
         return (x[:, :, None] == y[:, None, :]).any(axis=2) & (x > 0)
-    down, of = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
-    hit, one = np.zeros(down.shape, bool), np.empty(down.shape, bool)
-    for mark in of:
-        np.equal(down, mark, out=one)
-        hit |= one
-    return hit.T & (x > 0)
+    low, row = x.dtype.type(PLACES - 1), np.arange(len(x))[:, None] * PLACES
+    held = np.zeros(len(x) * PLACES, y.dtype)
+    held[row + (y & low)] = y
+    place = x & low
+    there = held[row + place]
+    hit = (there == x) & (x > 0)
+    i, at = np.nonzero(~hit & (x > 0) & ((there > 0) | (place == 0)))  # no mark (0) of y may stand in the first place
+    for k in range(0, len(i), 20_000):
+        z = slice(k, k + 20_000)
+        hit[i[z], at[z]] = (y[i[z]] == x[i[z], at[z]][:, None]).any(axis=1)
+    return hit
 
 
 def alike(a: np.ndarray, b: np.ndarray, wide: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,12 +322,22 @@ LINKS = "v long, e long, t long, pos int, s int, z int, lead_e long, lead_t long
 
 
 def links_in(t: pa.Table, wide: int, similarity: float) -> pa.RecordBatch:
-    """LINKS among rows (key, e, t, pos, marks, v, side) of equal keys, or between the sides of a key; rows of one key stand together."""
+    """LINKS among rows (key, e, t, pos, marks, v, side) of equal keys, or between the sides of a key; rows of one key stand together.
+    Place and ends of a lead are told with one of its links, and are null with the others."""
     i, of, own, other = spanning(t.column(0).to_numpy(), t.column(6).to_numpy(), marks_in(t, wide), wide, similarity)
     e, text, pos, v = (t.column(k).combine_chunks() for k in (1, 2, 3, 5))
     differ = np.flatnonzero(e.to_numpy()[i] != e.to_numpy()[of])
     row, to, own, other = pa.array(i[differ]), pa.array(of[differ]), own[differ], other[differ]
-    columns = [v.take(row), e.take(row), text.take(row), pos.take(row), *[pa.array(own[:, k].astype(np.int32)) for k in (0, 1)], e.take(to), text.take(to), pos.take(to), *[pa.array(other[:, k].astype(np.int32)) for k in (0, 1)]]
+    # passages of a context all hold its middle, so those of all its links are one stretch
+    by = np.argsort(of[differ], kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], np.diff(of[differ][by]) != 0])) if len(by) else by
+    told = np.ones(len(by), bool)
+    told[by[at]] = False
+    ends = np.zeros((len(by), 2), np.int32)
+    if len(by):
+        ends[by[at]] = np.stack([np.minimum.reduceat(other[by, 0], at), np.maximum.reduceat(other[by, 1], at)], axis=1)
+    once = pa.array(to.to_numpy(), mask=told)
+    columns = [v.take(row), e.take(row), text.take(row), pos.take(row), *[pa.array(own[:, k].astype(np.int32)) for k in (0, 1)], e.take(to), text.take(once), pos.take(once), *[pa.array(ends[:, k], mask=told) for k in (0, 1)]]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LINKS.split(", ")])
 
 
@@ -343,23 +423,32 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("t", F.xxhash64("text"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            for row, pos, v, e in windows_of(b.column(1), functions, words, shingle):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pos.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(e.view(np.int64))], names=["t", "pos", "v", "e"])
+        for whole in batches:
+            # copies have the same windows, and a row for the whole text (two at most in a batch) besides
+            t, first, copies = np.unique(whole.column(0).to_numpy(), return_index=True, return_counts=True)
+            by = np.argsort(first)
+            for b in slices(iter([pa.RecordBatch.from_arrays([pa.array(t[by]), whole.column(1).take(pa.array(first[by])), pa.array(np.minimum(copies[by], 2))], names=["t", "text", "copies"])]), "text"):
+                t = b.column(0).to_numpy()
+                for f, (row, pos, v, e) in enumerate(windows_of(b.column(1), functions, words, shingle)):
+                    if not f:
+                        some = np.unique(row)
+                        some = np.repeat(t[some], b.column(2).to_numpy()[some])
+                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), -1, np.int32)), pa.array(some), pa.array(some)], names=["t", "pos", "v", "e"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t[row]), pa.array(pos.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(e.view(np.int64))], names=["t", "pos", "v", "e"])
+        release()
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from classed(batches, piece)
         release()
 
-    all_ = written(d.select("t", "text").mapInArrow(windows, "t long, pos int, v long, e long"), "all-windows")
-    often = written(all_.groupBy("v").count().filter("count > 1").select("v"), "often")
-    # a bounded set of bits keeps most windows that meet nothing out of the join's shuffle
-    bits = often.select(F.pmod("v", F.lit(BITS)).cast("int").alias("bit")).distinct()
-    met = written(all_.join(F.broadcast(bits), F.pmod("v", F.lit(BITS)).cast("int") == F.col("bit"), "left_semi").join(often, "v"), "windows", replaces=[all_])
-    classes = written(met.groupBy("v", "e").agg(F.count("*").alias("n"), F.min(F.struct("t", "pos")).alias("first")), "classes")
-    equal = met.join(classes.filter("n > 1").select("v", "e"), ["v", "e"]).select("t", F.xxhash64("v", "e").alias("k"), (F.col("pos") - (wide - 1)).alias("s"), (F.col("pos") + wide).alias("e"))
-    equal = written(equal.distinct(), "equal", replaces=[met, often])
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    all_ = d.select("t", "text").mapInArrow(windows, WINDOW).repartition(parts, "v").sortWithinPartitions("v", "e", "t", "pos")
+    met_ = written(all_.mapInArrow(met, CLASSED), "windows")
+    whole = F.col("pos") < 0
+    equal = met_.filter("again").select("t", F.when(whole, F.col("t")).otherwise(F.xxhash64("v", "e")).alias("k"), F.when(whole, 0).otherwise(F.col("pos") - (wide - 1)).alias("s"), F.when(whole, FAR).otherwise(F.col("pos") + wide).alias("e"))
 
     # of each class one context, fetched where the text is
-    several = classes.groupBy("v").count().filter("count > 1")
-    chosen = written(classes.join(several, "v").select("v", "e", "first.t", "first.pos", "count"), "chosen")
+    few, hot = (met_.filter(F.col("lead") == k).select("t", "pos", "v", "e") for k in (2, 3))
 
     def fetched(these: DataFrame, kind: type) -> DataFrame:
         """v, e, n, t, pos, marks: the contexts of rows of `chosen`, asked of one of the copies of a text."""
@@ -378,23 +467,20 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
                     yield pa.RecordBatch.from_arrays([v[z], e[z], count[z], pa.array(t[row[z]]), pos[z], pa.FixedSizeBinaryArray.from_buffers(pa.binary(c[:1].nbytes), len(c), [None, pa.py_buffer(c.tobytes())]).cast(pa.binary())], names=["v", "e", "n", "t", "pos", "marks"])
             release()
 
-        wanted = written(these.groupBy("t").agg(F.collect_list(F.struct("pos", "v", "e", "count")).alias("wanted")), "wanted")
+        wanted = written(these.groupBy("t").agg(F.collect_list(F.struct("pos", "v", "e", "n")).alias("wanted")), "wanted")
         one = among(d.select("doc_id", "t"), wanted).groupBy("t").agg(F.min("doc_id").alias("keep"))
         rows = among(d, wanted).join(wanted.join(one, "t"), "t").filter(F.col("doc_id").eqNullSafe(F.col("keep")))
         return rows.select("t", "text", "wanted").mapInArrow(contexts, "v long, e long, n long, t long, pos int, marks binary")
 
-    few = fetched(chosen.filter(F.col("count") <= piece), np.uint16).withColumn("key", F.col("v")).withColumn("side", F.lit(0))
-    found = written(links_among(few, wide, similarity), "found")
-    if not chosen.filter(F.col("count") > piece).isEmpty():
-        found = found.unionByName(links_of_many(written(fetched(chosen.filter(F.col("count") > piece), np.uint32), "hot-contexts"), wide, similarity, piece))
+    rows = fetched(few.withColumn("n", F.lit(0).cast("long")), np.uint16).withColumn("key", F.col("v")).withColumn("side", F.lit(0))
+    found = written(links_among(rows, wide, similarity), "found")
+    if not hot.isEmpty():
+        sizes = hot.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
+        found = found.unionByName(links_of_many(written(fetched(hot.join(sizes, "v"), np.uint32), "hot-contexts"), wide, similarity, piece))
     at = lambda pos, s: F.col(pos) - (wide - 1) + F.col(s)
     k = F.xxhash64("v", "lead_e")
     near = found.select("t", k.alias("k"), at("pos", "s").alias("s"), (at("pos", "z") + wide).alias("e"))
-    near = near.unionByName(found.select(F.col("lead_t").alias("t"), k.alias("k"), at("lead_pos", "lead_s").alias("s"), (at("lead_pos", "lead_z") + wide).alias("e")))
-    # members of a class of equal contexts share what its first member was found to share
-    more = classes.filter("n > 1").select("v", "e", F.xxhash64("v", "e").alias("k2"))
-    tied = found.join(more, ["v", "e"]).select("k2", k.alias("k")).unionByName(found.join(more.select("v", F.col("e").alias("lead_e"), "k2"), ["v", "lead_e"]).select("k2", k.alias("k"))).distinct()
-    tied = written(tied, "tied")
+    near = near.unionByName(found.filter("lead_t is not null").select(F.col("lead_t").alias("t"), k.alias("k"), at("lead_pos", "lead_s").alias("s"), (at("lead_pos", "lead_z") + wide).alias("e")))
     passages = written(equal.unionByName(near).groupBy("t").agg(F.collect_list(F.struct("k", "s", "e")).alias("p")), "passages")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,11 +500,11 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
             kk, end, node, t = kk[once], (reach - far)[np.append(at[1:] - 1, len(t) - 1)][node[once]], node[once], t[once]
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(kk), pa.array(s[at][node]), pa.array(end)], names=["t", "k", "s", "e"])
 
-    nodes = written(passages.mapInArrow(merge, "t long, k long, s long, e long"), "nodes", replaces=[equal, passages])
-    name = F.xxhash64("t", "s")
-    edges = nodes.select(name.alias("a"), F.xxhash64(F.lit(1), "k").alias("b")).unionByName(tied.select(F.xxhash64(F.lit(1), "k").alias("a"), F.xxhash64(F.lit(1), "k2").alias("b")))
-    label = connected_components(edges)
-    spans = nodes.select("t", "s", "e", name.alias("node")).distinct().join(label, "node").select("t", "s", "e", "label")
+    # members of a class of equal contexts share what one of them was found to share: its stretch holds both
+    nodes = written(passages.mapInArrow(merge, "t long, k long, s long, e long").withColumn("node", F.xxhash64("t", "s")), "nodes", replaces=[met_, passages])
+    low = nodes.groupBy("k").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("k", "low")
+    label = connected_components(nodes.join(low, "k").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    spans = nodes.select("t", "s", "e", "node").distinct().join(label, "node", "left").select("t", "s", "e", F.coalesce("label", "node").alias("label"))
     spans = written(spans, "spans")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

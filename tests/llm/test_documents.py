@@ -641,3 +641,59 @@ def test_contexts_that_different_drawn_ones_reach_meet(spark, monkeypatch):
     contexts = CW.written(spark.createDataFrame(rows, "v long, e long, n long, t long, pos int, marks binary"), "contexts-of-test")
     found = {frozenset((r.e, r.lead_e)) for r in CW.links_of_many(contexts, wide, 0.8, 3).collect()}
     assert frozenset((no[0], no[1])) in found and {frozenset((no[0], yes[0])), frozenset((no[1], yes[1]))} <= found
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_marks_that_share_a_place(kind):
+    rng = np.random.default_rng(4)
+    step = compact_windows.PLACES
+    marks = np.concatenate([np.zeros(3, kind), step * np.arange(1, 60), step * np.arange(60) + 7, rng.integers(1, 65_000, 60)]).astype(kind)
+    x, y = rng.choice(marks, (300, 91)), rng.choice(marks, (300, 91))
+    y[:50, 0] = 0
+    want = [[a > 0 and a in set(q.tolist()) for a in p.tolist()] for p, q in zip(x, y, strict=True)]
+    assert compact_windows.within(x, y).tolist() == want
+
+
+@pytest.mark.parametrize("run", [4, 1 << 20])
+def test_windows_that_meet_are_told_in_one_pass(monkeypatch, run):
+    """Against a plain grouping, with runs of one min-hash over several batches, copies, whole texts, and runs too long to hold."""
+    monkeypatch.setattr(compact_windows, "RUN", run)
+    rng, piece = np.random.default_rng(run), 3
+    for trial in range(30):
+        n = int(rng.integers(0, 120))
+        v = rng.integers(-4, 5, n) * rng.integers(0, 2, n)
+        rows = sorted(zip(v.tolist(), rng.integers(0, 1 + trial // 4, n).tolist(), rng.integers(0, 4, n).tolist(), rng.integers(0, 3, n).tolist(), strict=True))
+        rows += [(50 + t, 50 + t, 50 + t, -1) for t in range(4) for _ in range(t)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 7]], pa.int32() if k == 3 else pa.int64()) for k in (2, 3, 0, 1)], names=["t", "pos", "v", "e"]) for i in range(0, len(rows), 7)]
+        got = [tuple(r.values()) for b in compact_windows.classed(iter(batches), piece, 5) for r in b.to_pylist()]
+        places = sorted(set(rows))
+        own, classes = {}, {}
+        for p in places:
+            own.setdefault(p[:2], []).append(p)
+            classes.setdefault(p[0], set()).add(p[1])
+        want, leads = set(), {}
+        for p in places:
+            if p[3] >= 0 and sum(q[0] == p[0] for q in places) > 1:
+                want.add((p[2], p[3], p[0], p[1], len(own[p[:2]]) > 1))
+                if own[p[:2]][0] == p:
+                    leads[p] = 1 if len(classes[p[0]]) == 1 else 2 if len(classes[p[0]]) <= piece else 3
+        texts = [g for g in got if g[1] < 0]
+        assert {g[0] for g in texts} == {52, 53} and all(g[5] for g in texts)
+        got = [g for g in got if g[1] >= 0]
+        assert len(got) == len(want) and {(*g[:4], g[5]) for g in got} == want
+        told = {(g[2], g[3], g[0], g[1]): g[4] for g in got if g[4]}
+        if run > len(rows):
+            assert told == leads
+        else:
+            assert told.keys() == leads.keys() and all(x == leads[p] or x == 3 for p, x in told.items())
+
+
+def test_a_lead_is_told_with_one_of_its_links():
+    wide, first = 10, np.arange(1, 20, dtype=np.uint16)
+    rows = np.stack([first, *[np.where(np.arange(19) == k, 900 + k, first) for k in (2, 3, 16)]]).astype(np.uint16)
+    t = pa.table({"key": pa.array([7] * 4), "e": pa.array(range(4)), "t": pa.array(range(10, 14)), "pos": pa.array([30] * 4, pa.int32()), "marks": pa.array([r.tobytes() for r in rows], pa.binary()), "v": pa.array([7] * 4), "side": pa.array([0] * 4)})
+    links = compact_windows.links_in(t, wide, 0.8).to_pylist()
+    _, _, ends_a, ends_b = compact_windows.spanning(np.full(4, 7), np.zeros(4, int), rows, wide, 0.8)
+    assert len(links) == 3 and [x["lead_e"] for x in links] == [0] * 3 and [[x["s"], x["z"]] for x in links] == ends_a.tolist()
+    told = [(x["lead_t"], x["lead_pos"], x["lead_s"], x["lead_z"]) for x in links if x["lead_t"] is not None]
+    assert told == [(10, 30, ends_b[:, 0].min(), ends_b[:, 1].max())]
