@@ -92,11 +92,23 @@ def windows_of(texts: pa.Array, functions: int, words: int, shingle: int) -> Ite
 
 
 WINDOW = "t long, pos int, v long, e long"
+DEALT = WINDOW + ", deal long, known int"
 CLASSED = WINDOW + ", lead int, again boolean"
 
 
+def dealt(t: np.ndarray, pos: np.ndarray, v: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+    """DEALT of windows at different places, sorted by t and pos: of each class the first goes to its min-hash (deal), and stands for several where known is 1.
+    The others (2) are known to have their like, and are dealt by text, so that a class that very many share doesn't meet in one task."""
+    by = np.lexsort((e, v))
+    same = (v[by][1:] == v[by][:-1]) & (e[by][1:] == e[by][:-1])
+    known = np.zeros(len(v), np.int32)
+    known[by[1:][same]] = 2
+    known[by[:-1][same & ~np.concatenate([[False], same])[: len(same)]]] = 1
+    return pa.RecordBatch.from_arrays([pa.array(t), pa.array(pos.astype(np.int32)), pa.array(v), pa.array(e), pa.array(np.where(known == 2, t, v)), pa.array(known)], names=["t", "pos", "v", "e", "deal", "known"])
+
+
 def classed(batches: Iterator[pa.RecordBatch], piece: int, at_least: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """CLASSED of rows (WINDOW) that arrive sorted by v, e, t, pos: the windows whose min-hash v occurs at several places, each place once.
+    """CLASSED of rows (WINDOW, and last known, as in `dealt`) that arrive sorted by v, e, t, pos, the greatest known first: the windows whose min-hash v occurs at several places, each place once.
 
     lead tells the first row of a class (v, e): 1 alone with its min-hash, 2 of up to `piece` classes of it, 3 of more (or of a run of
     over RUN rows, which isn't held whole); 0 for other rows. again: the class has several places. Rows with a negative pos stand for
@@ -107,7 +119,7 @@ def classed(batches: Iterator[pa.RecordBatch], piece: int, at_least: int = 50_00
 
     def told(part: pa.Table, last: bool) -> pa.RecordBatch:
         """Flags of the rows beyond `skip`, which are whole runs but for a first one that began before, and for the last one unless `last`."""
-        t, pos, v, e = (part.column(i).to_numpy() for i in range(4))
+        t, pos, v, e, known = (part.column(i).to_numpy() for i in range(5))
         new_v = np.concatenate([[True], v[1:] != v[:-1], [True]])
         new_e = np.concatenate([[True], (v[1:] != v[:-1]) | (e[1:] != e[:-1]), [True]])
         run = np.cumsum(new_v[:-1]) - 1
@@ -117,11 +129,11 @@ def classed(batches: Iterator[pa.RecordBatch], piece: int, at_least: int = 50_00
         if not last:
             classes[-1] = piece + 1
         lead = np.where(new_e[:-1], np.where(classes == 1, 1, np.where(classes <= piece, 2, 3))[run], 0).astype(np.int32)
-        again = ~new_e[:-1] | ~new_e[1:]
+        again = ~new_e[:-1] | ~new_e[1:] | (known > 0)
         keep = np.flatnonzero(again | ~new_v[:-1] | ~new_v[1:])
         keep = keep[(keep >= skip) & (keep < len(v) - (not last))]
         part = part.take(pa.array(keep))
-        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns), pa.array(lead[keep]), pa.array(again[keep])], names=["t", "pos", "v", "e", "lead", "again"])
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns[:4]), pa.array(lead[keep]), pa.array(again[keep])], names=["t", "pos", "v", "e", "lead", "again"])
 
     def once(part: pa.Table) -> pa.Table:
         """Without rows that repeat the row before; of a whole text that occurs more often, two rows stay."""
@@ -131,6 +143,10 @@ def classed(batches: Iterator[pa.RecordBatch], piece: int, at_least: int = 50_00
         return part.filter(pa.array(np.where(x[1] < 0, ~more, ~same))) if same.any() else part
 
     for b in batches:
+        other = b.column(4).to_numpy() == 2
+        if other.any():
+            yield pa.RecordBatch.from_arrays([*b.filter(pa.array(other)).columns[:4], pa.array(np.zeros(int(other.sum()), np.int32)), pa.array(np.ones(int(other.sum()), bool))], names=["t", "pos", "v", "e", "lead", "again"])
+            b = b.filter(pa.array(~other))
         held.append(b)
         n += b.num_rows
         if n < enough:
@@ -426,15 +442,15 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
         for whole in batches:
             # copies have the same windows, and a row for the whole text (two at most in a batch) besides
             t, first, copies = np.unique(whole.column(0).to_numpy(), return_index=True, return_counts=True)
-            by = np.argsort(first)
-            for b in slices(iter([pa.RecordBatch.from_arrays([pa.array(t[by]), whole.column(1).take(pa.array(first[by])), pa.array(np.minimum(copies[by], 2))], names=["t", "text", "copies"])]), "text"):
+            for b in slices(iter([pa.RecordBatch.from_arrays([pa.array(t), whole.column(1).take(pa.array(first)), pa.array(np.minimum(copies, 2))], names=["t", "text", "copies"])]), "text"):
                 t = b.column(0).to_numpy()
                 for f, (row, pos, v, e) in enumerate(windows_of(b.column(1), functions, words, shingle)):
                     if not f:
                         some = np.unique(row)
                         some = np.repeat(t[some], b.column(2).to_numpy()[some])
-                        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), -1, np.int32)), pa.array(some), pa.array(some)], names=["t", "pos", "v", "e"])
-                    yield pa.RecordBatch.from_arrays([pa.array(t[row]), pa.array(pos.astype(np.int32)), pa.array(v.view(np.int64)), pa.array(e.view(np.int64))], names=["t", "pos", "v", "e"])
+                        some = pa.array(some)
+                        yield pa.RecordBatch.from_arrays([some, pa.array(np.full(len(some), -1, np.int32)), some, some, some, pa.array(np.zeros(len(some), np.int32))], names=["t", "pos", "v", "e", "deal", "known"])
+                    yield dealt(t[row], pos, v.view(np.int64), e.view(np.int64))
         release()
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,7 +458,7 @@ def near_duplicate_passages(docs: DataFrame, words: int = WORDS, similarity: flo
         release()
 
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    all_ = d.select("t", "text").mapInArrow(windows, WINDOW).repartition(parts, "v").sortWithinPartitions("v", "e", "t", "pos")
+    all_ = d.select("t", "text").mapInArrow(windows, DEALT).repartition(parts, "deal").sortWithinPartitions("v", "e", "t", "pos", F.desc("known")).drop("deal")
     met_ = written(all_.mapInArrow(met, CLASSED), "windows")
     whole = F.col("pos") < 0
     equal = met_.filter("again").select("t", F.when(whole, F.col("t")).otherwise(F.xxhash64("v", "e")).alias("k"), F.when(whole, 0).otherwise(F.col("pos") - (wide - 1)).alias("s"), F.when(whole, FAR).otherwise(F.col("pos") + wide).alias("e"))

@@ -664,7 +664,7 @@ def test_windows_that_meet_are_told_in_one_pass(monkeypatch, run):
         v = rng.integers(-4, 5, n) * rng.integers(0, 2, n)
         rows = sorted(zip(v.tolist(), rng.integers(0, 1 + trial // 4, n).tolist(), rng.integers(0, 4, n).tolist(), rng.integers(0, 3, n).tolist(), strict=True))
         rows += [(50 + t, 50 + t, 50 + t, -1) for t in range(4) for _ in range(t)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 7]], pa.int32() if k == 3 else pa.int64()) for k in (2, 3, 0, 1)], names=["t", "pos", "v", "e"]) for i in range(0, len(rows), 7)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 7]], pa.int32() if k == 3 else pa.int64()) for k in (2, 3, 0, 1)] + [pa.array([0] * len(rows[i : i + 7]), pa.int32())], names=["t", "pos", "v", "e", "known"]) for i in range(0, len(rows), 7)]
         got = [tuple(r.values()) for b in compact_windows.classed(iter(batches), piece, 5) for r in b.to_pylist()]
         places = sorted(set(rows))
         own, classes = {}, {}
@@ -697,3 +697,27 @@ def test_a_lead_is_told_with_one_of_its_links():
     assert len(links) == 3 and [x["lead_e"] for x in links] == [0] * 3 and [[x["s"], x["z"]] for x in links] == ends_a.tolist()
     told = [(x["lead_t"], x["lead_pos"], x["lead_s"], x["lead_z"]) for x in links if x["lead_t"] is not None]
     assert told == [(10, 30, ends_b[:, 0].min(), ends_b[:, 1].max())]
+
+
+def test_a_class_that_many_share_is_not_dealt_to_one_task():
+    """Windows of several batches, with copies of texts among them: a batch sends one of a class to its min-hash, and all are told as without that."""
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        texts = {t: sorted({(int(p), int(rng.integers(0, 3)), int(rng.integers(0, 2))) for p in rng.integers(0, 9, rng.integers(1, 8))}) for t in range(5)}
+        texts = {t: list({p: (p, v, e) for p, v, e in w}.values()) for t, w in texts.items()}
+        parts, plain = [], set()
+        for _ in range(4):
+            rows = sorted((t, *w) for t in rng.permutation(5)[: rng.integers(0, 4)].tolist() for w in texts[t])
+            plain |= set(rows)
+            t, pos, v, e = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+            parts.append(compact_windows.dealt(t, pos, v, e))
+            sent = [(r["v"], r["e"]) for r in parts[-1].to_pylist() if r["known"] < 2]
+            assert len(sent) == len(set(sent)) and all(r["deal"] == (r["t"] if r["known"] == 2 else r["v"]) for r in parts[-1].to_pylist())
+        every = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: (r["v"], r["e"], r["t"], r["pos"], -r["known"]))
+        batch = pa.Table.from_pylist(every, parts[0].schema).select(["t", "pos", "v", "e", "known"]).combine_chunks().to_batches()
+        got = [r for b in compact_windows.classed(iter(batch), 2) for r in b.to_pylist()]
+        size = lambda *k: len({r for r in plain if all(r[i] == x for i, x in k)})
+        assert {(r["t"], r["pos"], r["v"], r["e"]) for r in got if r["again"]} == {r for r in plain if size((2, r[2]), (3, r[3])) > 1}
+        leads = [(r["v"], r["e"], r["t"], r["pos"], r["lead"]) for r in got if r["lead"]]
+        want = {(r[2], r[3], *min(q[:2] for q in plain if q[2:] == r[2:]), min(2, len({q[3] for q in plain if q[2] == r[2]}) if size((2, r[2]), (3, r[3])) < size((2, r[2])) else 1)) for r in plain if size((2, r[2])) > 1}
+        assert len(leads) == len(set(leads)) and set(leads) == want
