@@ -175,6 +175,43 @@ def test_a_sheet_of_any_size_is_packed(spark):
     assert X.pack(s, most_sprites=X.MAX_SPRITES).count() == 0
 
 
+def test_sheets_of_any_number_of_sprites_are_tried_for_a_repack(spark, tmp_path):
+    from glyphmill.plans import catalog
+
+    items = [(2, 180, 180, 0, 1.0 * i, "A", "O") for i in range(2001)] + [(17, 180, 180, 0, 1.0 * i, "A", "O") for i in range(2000)]  # of 8 by 8
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(2, 17), (17, 17)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = catalog.queries()["r15_repack_opportunity"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(i, 768 * 768 * 4 - 32 * 4096 * 4, "warn") for i in (2, 17)]
+
+
+def test_trial_sizes_are_those_of_the_pack_within_the_room(spark):
+    sheets = {
+        1: [(3 + i % 7, 2 + i % 5) for i in range(2100)], 2: [(40, 40), (30, 30), (9, 0)], 3: [(5000, 10), (4, 4)], 4: [(10, 10)], 5: [(4096, 4096), (1, 1)],
+        6: [(64, 64)] * 4, 7: [(64, 64)] * 4, 8: [(64, 64)] * 4 + [(1, 1)], 9: [(8, 8)] * 3, 10: [(2**31 - 1, 2**31 - 1)] * 5, 11: [(9, 9), (7, 7)], 12: [(0, 5)],
+    }
+    s = spark.createDataFrame([(k, i, w, h) for k, v in sheets.items() for i, (w, h) in enumerate(v)], "asset_ref long, sprite_idx long, w int, h int")
+    room = {k: 4096 * 4096 for k in sheets} | {1: 1 << 16, 6: 128 * 128, 7: 128 * 128 - 1, 8: 128 * 128, 10: 2**62}
+    room.pop(9)
+    r = spark.createDataFrame([*room.items(), (6, 5), (11, 1 << 60), (99, 64)], "asset_ref long, room long")
+    want = [x for x in map(tuple, X.packed_sizes(X.pack(s)).collect()) if x[0] in room and x[1] == 1 and x[3] * x[4] <= room[x[0]]]
+    got = X.trial_sizes(s, r)
+    assert got.columns == X.packed_sizes(X.pack(s)).columns
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {x[0] for x in want} == {1, 2, 4, 6, 11}
+
+
+@pytest.mark.parametrize("side", [512, 384])
+def test_room_of_a_repack_ends_where_it_saves_too_little(spark, side):
+    a = spark.createDataFrame([(1, side, 512, "pixi", 1.0), (2, side, 512, "bmfont", 1.0), (3, side, 512, "pixi", 1.0), (4, side, 512, None, 1.0), (5, 128, 512, "pixi", 1.0)], ATLAS)
+    i = spark.createDataFrame([(k, "a", side if k != 5 else 128, 512 if k != 3 else 511, "image/png", 1) for k in range(1, 6)], IMAGE)
+    room = side * 512 - 256 * 256
+    assert [tuple(r) for r in R.repack_room(a, i).collect()] == [(1, room)]
+    packed = lambda h: spark.createDataFrame([(1, 1, 2, 1, h)], "asset_ref long, bins long, n long, bin_w long, bin_h long")
+    assert R.repack_opportunity(a, packed(room), i).first().vram_saved == 262144
+    assert R.repack_opportunity(a, packed(room + 1), i).count() == 0
+
+
 def test_empty_rectangles_move_boxes_and_not_cells(spark):
     from glyphmill.operators import geometry
 
